@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom import config
 from claimloom.functions import numbers as N
@@ -124,17 +125,21 @@ def leaves(document: Column, max_depth: int = 8) -> Column:
     level = F.array(F.struct(F.lit("").alias("pointer"), F.lit("").alias("label"), document.alias("node")))
     for _ in range(max_depth):
         level = F.flatten(F.transform(level, lambda e: F.coalesce(_children(e), F.array(e))))
-    deeper = F.exists(level, lambda e: _children(e).isNotNull())
-    root_only = F.filter(level, lambda e: (e["pointer"] != "") | ~kind_of(e["node"]).isin("object", "array"))
-    named = F.transform(
-        root_only,
-        lambda e: F.struct(
-            e["pointer"].alias("pointer"),
-            F.when(e["label"] == "", F.lit("(root)")).otherwise(e["label"]).alias("label"),
-            e["node"].alias("node"),
-        ),
-    )
-    return F.when(deeper, F.raise_error(F.lit(f"document nested deeper than {max_depth}")).cast(NODE)).otherwise(named)
+
+    def finish(found: Column) -> Column:
+        deeper = F.exists(found, lambda e: _children(e).isNotNull())
+        kept = F.filter(found, lambda e: (e["pointer"] != "") | ~kind_of(e["node"]).isin("object", "array"))
+        named = F.transform(
+            kept,
+            lambda e: F.struct(
+                e["pointer"].alias("pointer"),
+                F.when(e["label"] == "", F.lit("(root)")).otherwise(e["label"]).alias("label"),
+                e["node"].alias("node"),
+            ),
+        )
+        return F.when(deeper, F.raise_error(F.lit(f"document nested deeper than {max_depth}")).cast(NODE)).otherwise(named)
+
+    return X.let(level, finish)
 
 
 def display_node(node: Column, limit: int = 220) -> Column:
@@ -189,7 +194,7 @@ def merge_objects(base: Column, update: Column, depth: int = 2) -> Column:
 # ---------------------------------------------------------------- repair
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _set_pointer(documents: pd.Series, pointers: pd.Series, values: pd.Series) -> pd.Series:
     def assign(current, tokens, value):
         if not tokens:
@@ -272,7 +277,7 @@ def _salvage_one(text: str | None) -> tuple[str | None, str | None]:
     return body, None
 
 
-@F.pandas_udf("payload string, error string")
+@F.pandas_udf(T.StructType([T.StructField("payload", T.StringType()), T.StructField("error", T.StringType())]))
 def _salvage(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_salvage_one(t) for t in texts], columns=["payload", "error"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,19 @@ def literal_array(values: Iterable[str]) -> Column:
     return F.array(*items) if items else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rows_array(names: Sequence[str], *rows: Sequence[Column | object]) -> Column:
+    """ARRAY<STRUCT> literal with the same field names in every row."""
+    def cell(value: Column | object) -> Column:
+        return value if isinstance(value, Column) else F.lit(value)
+
+    return F.array(*[F.struct(*[cell(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+
+
 def coalesce_blank(value: Column | str, default: str = "") -> Column:
     return F.coalesce(_c(value), F.lit(default))
 

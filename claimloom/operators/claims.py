@@ -36,13 +36,17 @@ def named_parameter_claims(items: Column, prefix: str, label: str, value: str) -
             p[value].cast("double").alias("number"),
         ),
     )
-    names = F.transform(keyed, lambda k: k["field"])
-    last = F.filter(keyed, lambda k, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), k["field"]))
-    return F.transform(
-        F.filter(last, lambda k: k["number"].isNotNull()),
-        lambda k: F.struct(k["field"].alias("field"), F.lit(None).cast("string").alias("text"),
-                           k["number"].alias("number")),
-    )
+
+    def last_only(rows: Column) -> Column:
+        names = F.transform(rows, lambda k: k["field"])
+        last = F.filter(rows, lambda k, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), k["field"]))
+        return F.transform(
+            F.filter(last, lambda k: k["number"].isNotNull()),
+            lambda k: F.struct(k["field"].alias("field"), F.lit(None).cast("string").alias("text"),
+                               k["number"].alias("number")),
+        )
+
+    return X.let(keyed, last_only)
 
 
 def extraction_claims(x: Column, model_present: Column) -> Column:

@@ -123,18 +123,19 @@ def partition_ids(models: DataFrame, article_rows: DataFrame, screening: DataFra
 
 
 def corpus_counts(models: DataFrame) -> DataFrame:
-    """(measure, level, n): totals per tier, partition and implementation status in one pass, by grouping sets.
+    """(measure, level, n): totals per tier, partition and implementation status in one pass.
 
     models: tier, partition, implementation_status, has_cohorts, has_genes, n_targets.
     """
-    flags = F.array(
-        F.struct(F.lit("models").alias("measure"), F.lit("all").alias("level"), F.lit(1).alias("n")),
-        F.struct(F.lit("tier"), F.col("tier"), F.lit(1)),
-        F.struct(F.lit("partition"), F.col("partition"), F.lit(1)),
-        F.struct(F.lit("implementation"), F.coalesce("implementation_status", F.lit("unresolved")), F.lit(1)),
-        F.struct(F.lit("structured_populations"), F.lit("all"), F.col("has_cohorts").cast("int")),
-        F.struct(F.lit("pharmacogenetic_populations"), F.lit("all"), F.col("has_genes").cast("int")),
-        F.struct(F.lit("reproduction_targets"), F.lit("all"), F.col("n_targets").cast("int")),
+    flags = X.rows_array(
+        ["measure", "level", "n"],
+        ["models", "all", 1],
+        ["tier", F.col("tier"), 1],
+        ["partition", F.col("partition"), 1],
+        ["implementation", F.coalesce("implementation_status", F.lit("unresolved")), 1],
+        ["structured_populations", "all", F.col("has_cohorts").cast("int")],
+        ["pharmacogenetic_populations", "all", F.col("has_genes").cast("int")],
+        ["reproduction_targets", "all", F.col("n_targets").cast("int")],
     )
     return models.select(F.inline(flags)).groupBy("measure", "level").agg(F.sum("n").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas
@@ -23,6 +23,12 @@ def catalogue_manifests(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("folder", file_name(F.col("_metadata.file_path")))
 
 
+def parse_manifests(rows: DataFrame, json_col: str = "json") -> DataFrame:
+    """Manifest texts (folder, json) as nested columns; text that is no manifest goes to ``_corrupt_record``."""
+    parsed = F.from_json(json_col, schemas.CATALOGUE_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return rows.select("folder", parsed.alias("_m")).select("folder", "_m.*")
+
+
 def corpus_records(spark: SparkSession, path: str, kind: str, partition: str | None = None) -> DataFrame:
     """Records stored under kind=/partition= folders; both filters prune folders, not rows."""
     rows = spark.read.text(path).filter(F.col("kind") == kind)
@@ -56,10 +62,10 @@ def file_listing(spark: SparkSession, path: str, content: bool = False) -> DataF
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*columns)
 
 
-def literature_csv(spark: SparkSession, path: str) -> DataFrame:
+def literature_csv(spark: SparkSession, path: str, pattern: str = "pubmed_result*.csv") -> DataFrame:
     """(pmid, title, abstract, source): headers matched without case; ids of 5-9 digits; first row of an id wins."""
     raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option(
-        "pathGlobFilter", "pubmed_result*.csv").option("recursiveFileLookup", "true").csv(path)
+        "pathGlobFilter", pattern).option("recursiveFileLookup", "true").csv(path)
     names: dict[str, str] = {}
     for column in raw.columns:
         names.setdefault(column.lower(), column)
@@ -145,19 +151,27 @@ def supplements(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path").rlike(r"(?i)\.(ctl|mod|txt|csv|zip)$"))
 
 
-def supplement_text(files: DataFrame, group: str, max_chars: int = 80_000) -> DataFrame:
-    """Text supplements per group, each under its name, cut at the limit.
+def supplement_text(files: DataFrame, group: str, max_chars: int = 80_000, salts: int = 64) -> DataFrame:
+    """Text supplements per group, each under its name, in path order, cut at the limit.
 
-    A file only counts while the running length before it is below the limit,
-    so at most the first files that fill the budget are gathered per group.
+    A file matters only while the text before it is shorter than the limit.
+    That is tested first within (group, salt), where the running length can
+    only be smaller than the true one, so a huge group is thinned by many
+    tasks to at most salts * limit characters before it is put in order.
     """
     texts = files.filter(F.col("path").rlike(r"(?i)\.(ctl|mod|txt)$")).select(
-        group, "path", F.concat(F.lit("--- "), file_name(F.col("path")), F.lit(" ---\n"), F.col("text")).alias("piece")
+        group, "path", F.concat(F.lit("--- "), file_name(F.col("path")), F.lit(" ---\n"), F.col("text")).alias("piece"),
+        F.pmod(F.xxhash64("path"), F.lit(salts)).alias("_salt"),
     )
-    shortest = 10  # '--- ' + name + ' ---\n' and the blank line between pieces
-    first = keyed.top_per_key(texts, [group], ["path"], max(1, max_chars // shortest), rank="_n")
-    joined = first.groupBy(group).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "piece"))), lambda s: s["piece"]), "\n\n").alias("text")
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+
+    def thin(df: DataFrame, *keys: str) -> DataFrame:
+        earlier = F.coalesce(F.sum(F.length("piece") + 2).over(before.partitionBy(*keys)), F.lit(0))
+        return df.withColumn("_before", earlier).filter(F.col("_before") <= max_chars)
+
+    kept = thin(thin(texts, group, "_salt"), group)
+    joined = kept.groupBy(group).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "piece"))), lambda s: s["piece"]), "\n\n").alias("text")
     )
     return joined.withColumn("text", X.cap_text("text", max_chars, "\n[SUPPLEMENT TRUNCATED]"))
 
