@@ -12,7 +12,8 @@ EPS = 2.220446049250313e-16
 
 
 def clip01(value: Column) -> Column:
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    """Into 0..1; null stays null (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def probability(value: Column, default: float = 0.0) -> Column:

@@ -132,7 +132,7 @@ def event_rows(plans: DataFrame, keys: Sequence[str], n_subjects: Column) -> Dat
             F.lit(0).alias("MDV"),
         ),
     )
-    people = plans.withColumn("ID", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n_subjects.cast("int")))))
+    people = plans.withColumn("ID", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n_subjects.cast("int")))  # a missing count means one))
     return people.select(*keys, "ID", F.inline(F.concat(dose_rows, seen_rows)))
 
 
@@ -151,5 +151,5 @@ def plan_blockers(advan: Column, trans: Column, amount: Column, interval: Column
 
 
 def plan_subjects(n_total: Column) -> Column:
-    return F.coalesce(F.least(F.lit(100), F.greatest(F.lit(1), n_total.cast("int"))), F.lit(100))
+    return F.when(n_total.isNull(), F.lit(100)).otherwise(F.least(F.lit(100), F.greatest(F.lit(1), n_total.cast("int"))))
 

@@ -64,3 +64,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder, survives lost executors)."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least as many partitions as there are cores.
+
+    For row work that is heavy on CPU.  A large table already has more input
+    splits than that and is returned as it is; only a scan of a few small files
+    gets one cheap exchange.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

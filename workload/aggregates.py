@@ -1 +1,655 @@
+"""Aggregations, windows, top-k and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom import config
+from claimloom.functions import numbers as N
+from claimloom.functions import text as X
+from claimloom.operators import catalogue, chunks, claims, corpus, jsondiff, keyed, ledger, ranking, reproduction, scoring, training, triage
+from claimloom.plans import jobs
+from claimloom.streaming import streams
+from workload import fixtures as fx
+from workload.filters import QUAL_ORDERS, qualification_orders
+from workload.joins import LEAF_SQL, SCORES, curation, order_json, order_records, score_tables, screening_inputs
+from workload.registry import Tables, query
+from workload.sources import SCREENING, screening
+
+# ---------------------------------------------------------------- aggregations
+
+
+@query("d01_discovery_summary", f"""
+WITH {fx.MANIFEST}
+SELECT count(*) AS total, count(*) FILTER (WHERE acquisition_class = 'oa_auto') AS oa_auto, count(*) FILTER (WHERE acquisition_class = 'needs_institutional') AS needs_institutional,
+  count(*) FILTER (WHERE acquisition_class = 'stub') AS stub, count(*) FILTER (WHERE acquisition_class = 'deferred_low') AS deferred_low, count(*) FILTER (WHERE acquisition_class = 'skipped') AS skipped,
+  count(*) FILTER (WHERE lower(triage_tier) = 'high') AS high, count(*) FILTER (WHERE lower(triage_tier) = 'intermediate') AS intermediate, count(*) FILTER (WHERE lower(triage_tier) = 'low') AS low,
+  count(*) FILTER (WHERE lower(triage_tier) IN ('high', 'intermediate')) AS first_pass, count(*) FILTER (WHERE status = 'fetched') AS fetched,
+  count(*) FILTER (WHERE status = 'fetch_failed') AS fetch_failed, count(*) FILTER (WHERE status = 'pending') AS pending FROM manifest
+""")
+def discovery_summary(spark, sf):
+    return triage.discovery_summary(fx.manifest(Tables(spark, sf)))
+
+
+@query("d02_batch_status_histogram", """
+SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown' ELSE o_orderpriority END AS status, count(*) AS n FROM orders GROUP BY 1
+""")
+def batch_status_histogram(spark, sf):
+    return triage.status_counts(Tables(spark, sf).orders.select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("status")))
+
+
+@query("d03_fetch_summary", """
+SELECT count(*) AS attempted, count(*) FILTER (WHERE o_orderstatus <> 'F') AS success, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, count(*) FILTER (WHERE o_orderstatus = 'P') AS skipped FROM orders
+""")
+def fetch_summary(spark, sf):
+    s = F.col("o_orderstatus")
+    return triage.fetch_summary(Tables(spark, sf).orders.select((s != "F").alias("success"), F.when(s == "P", True).alias("skipped")))
+
+
+@query("d04_corpus_counts", f"""
+WITH {fx.MODELS}, x AS (SELECT *, CASE WHEN lang = 'en' THEN 'inferred' ELSE 'unresolved' END AS impl FROM models)
+SELECT 'models' AS measure, 'all' AS level, count(*) AS n FROM x UNION ALL SELECT 'tier', tier, count(*) FROM x GROUP BY tier
+UNION ALL SELECT 'partition', partition, count(*) FROM x GROUP BY partition UNION ALL SELECT 'implementation', impl, count(*) FROM x GROUP BY impl
+UNION ALL SELECT 'structured_populations', 'all', count(*) FILTER (WHERE lang = 'fr') FROM x UNION ALL SELECT 'pharmacogenetic_populations', 'all', count(*) FILTER (WHERE toxic = 1) FROM x
+UNION ALL SELECT 'reproduction_targets', 'all', CAST(sum(n_chars) AS BIGINT) FROM x
+""")
+def corpus_counts(spark, sf):
+    m = fx.models(Tables(spark, sf))
+    return corpus.corpus_counts(m.select("tier", "partition", F.when(F.col("lang") == "en", "inferred").alias("implementation_status"), (F.col("lang") == "fr").alias("has_cohorts"),
+                                         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("has_genes"), F.col("n_chars").alias("n_targets")))
+
+
+@query("d05_article_rollup", f"""
+WITH {fx.MODELS},
+m AS (SELECT compound_group AS pmid, title, lang AS partition, lang AS compound_group, reference_id, doc_id AS ordinal FROM models),
+s AS (SELECT CASE WHEN lang = 'en' THEN 'only_' || compound_group ELSE compound_group END AS pmid, 'S' AS title, 'train' AS partition, 'x' || lang AS compound_group, doc_id AS ordinal FROM models WHERE quality IS NOT NULL),
+u AS (SELECT pmid, title, partition, compound_group, reference_id, 0 AS src, ordinal FROM m UNION ALL SELECT pmid, title, partition, compound_group, NULL, 1, ordinal FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY src, ordinal) AS rn FROM u)
+SELECT pmid, 'pmid_' || pmid AS article_id, max(title) FILTER (WHERE rn = 1) AS title, max(partition) FILTER (WHERE rn = 1) AS partition, count(DISTINCT compound_group) AS n_compounds, count(DISTINCT reference_id) AS n_models
+FROM f GROUP BY pmid
+""")
+def article_rollup(spark, sf):
+    x = fx.models(Tables(spark, sf))
+    m = x.select(F.col("compound_group").alias("pmid"), "title", F.col("lang").alias("partition"), F.col("lang").alias("compound_group"), "reference_id", F.col("doc_id").alias("ordinal"))
+    s = x.filter("quality IS NOT NULL").select(F.when(F.col("lang") == "en", F.concat(F.lit("only_"), "compound_group")).otherwise(F.col("compound_group")).alias("pmid"), F.lit("S").alias("title"),
+                                              F.lit("train").alias("partition"), F.concat(F.lit("x"), "lang").alias("compound_group"), F.col("doc_id").alias("ordinal"))
+    return corpus.articles(m, s, ["title", "partition"])
+
+
+@query("d06_partition_ids", f"""
+WITH {SCREENING}
+SELECT partition, 'model' AS kind, reference_id AS id FROM models UNION ALL SELECT DISTINCT partition, 'article', article_id FROM models UNION ALL SELECT partition, 'screening', screening_id FROM screening
+""")
+def partition_ids(spark, sf):
+    t = Tables(spark, sf)
+    m = fx.models(t)
+    return corpus.partition_ids(m, m.select("partition", "article_id"), screening(t))
+
+
+@query("d07_source_hash_digest", """
+WITH h AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text <> '' UNION SELECT DISTINCT sha256(html) FROM pages),
+g AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_hashes FROM g
+""")
+def source_hash_digest(spark, sf):
+    t = Tables(spark, sf)
+    hashes = t.documents.filter("text <> ''").select(F.sha2("text", 256).alias("h")).unionByName(t.pages.select(F.sha2("html", 256).alias("h")))
+    return keyed.set_digest(hashes, "h")
+
+
+def all_scores(t: Tables):
+    truth, proposed = score_tables(t)
+    return jobs.benchmark(order_records(t), truth, proposed, t.lineitem.select(F.col("l_orderkey").alias("doc_id")), ["doc_id"])
+
+
+SUMMARY = f"""{SCORES},
+per AS (
+  SELECT r.doc_id, r.tier, n.doc_id IS NOT NULL AS ok, n.covered / nullif(n.expected, 0)::DOUBLE AS nc, n.correct / nullif(n.covered, 0)::DOUBLE AS na, n.extras AS nx,
+    m.covered / nullif(m.expected, 0)::DOUBLE AS sc, m.correct / nullif(m.covered, 0)::DOUBLE AS sa, m.extras AS sx, scalar_covered / scalar_expected::DOUBLE AS cc, scalar_score AS cs
+  FROM recs r LEFT JOIN num n USING (doc_id) LEFT JOIN sem m USING (doc_id) LEFT JOIN sca USING (doc_id)),
+grp AS (SELECT *, unnest([CASE WHEN tier IN ('A', 'B') THEN 'strict' ELSE 'silver' END, 'all']) AS tier_group FROM per),
+summ AS (
+  SELECT tier_group, count(*) AS n, count(*) FILTER (WHERE ok) AS scored, avg(cc) FILTER (WHERE ok) AS scalar_coverage, avg(cs) FILTER (WHERE ok) AS scalar_score, avg(nc) FILTER (WHERE ok) AS numeric_coverage,
+    avg(na) FILTER (WHERE ok) AS numeric_accuracy, avg(sc) FILTER (WHERE ok) AS semantic_coverage, avg(sa) FILTER (WHERE ok) AS semantic_accuracy,
+    CAST(coalesce(sum(nx) FILTER (WHERE ok), 0) AS BIGINT) AS unverified_numeric_extras, CAST(coalesce(sum(sx) FILTER (WHERE ok), 0) AS BIGINT) AS unverified_semantic_extras FROM grp GROUP BY 1)"""
+
+METRIC_SQL = ", ".join(f"round({m}, 6) AS {m}" for m in scoring.METRICS)
+
+
+@query("d08_benchmark_tier_summary", f"WITH {SUMMARY} SELECT tier_group, n, scored, {METRIC_SQL}, unverified_numeric_extras, unverified_semantic_extras FROM summ")
+def benchmark_tier_summary(spark, sf):
+    s = all_scores(Tables(spark, sf))["summary"]
+    return s.withColumns({m: fx.r6(m) for m in scoring.METRICS})
+
+
+@query("d09_finite_mean", """
+SELECT l_returnflag, round(avg(CASE WHEN l_discount > 0 AND l_tax > 0 THEN l_quantity / l_discount END), 6) AS mean_ratio, round(avg(NULL::DOUBLE), 6) AS empty_mean FROM lineitem GROUP BY 1
+""")
+def finite_mean(spark, sf):
+    v = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.try_divide("l_quantity", "l_discount"))
+    return Tables(spark, sf).lineitem.withColumn("v", v).groupBy("l_returnflag").agg(
+        fx.r6(scoring.finite_mean(F.col("v"))).alias("mean_ratio"), fx.r6(scoring.finite_mean(F.lit(float("nan")))).alias("empty_mean"))
+
+
+def triage_rows(t: Tables):
+    """Events as scored screening rows: the label is the event type, the probability its value."""
+    p = F.when(F.col("event_type") == "error", F.lit(None)).otherwise(N.clip01(F.round(F.col("value") / 100, 2)))
+    return t.events.select("event_id", F.col("event_type").isin("purchase", "signup").cast("int").alias("label"), p.alias("probability"))
+
+
+TRIAGE_ROWS = """ev AS (SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS label,
+  CASE WHEN event_type <> 'error' THEN least(greatest(round(value / 100, 2), 0.0::DOUBLE), 1.0::DOUBLE) END AS p FROM events),
+sc AS (SELECT * FROM ev WHERE p IS NOT NULL)"""
+
+
+@query("d10_brier_score", f"WITH {TRIAGE_ROWS} SELECT round(avg((p - label) * (p - label)), 6) AS brier FROM sc")
+def brier_score(spark, sf):
+    return scoring.triage_point_metrics(triage_rows(Tables(spark, sf))).select(fx.r6("brier").alias("brier"))
+
+
+@query("d11_log_loss", f"""
+WITH {TRIAGE_ROWS} SELECT round(-avg(label * ln(greatest(p, 1e-12::DOUBLE)) + (1 - label) * ln(greatest(1 - p, 1e-12::DOUBLE))), 6) AS log_loss FROM sc
+""")
+def log_loss(spark, sf):
+    return scoring.triage_point_metrics(triage_rows(Tables(spark, sf))).select(fx.r6("log_loss").alias("log_loss"))
+
+
+AUC_SQL = """rk AS (SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM sc),
+au AS (SELECT (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE)
+  / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS auroc FROM rk)"""
+AP_SQL = """op AS (SELECT label, sum(label) OVER w / row_number() OVER w AS prec FROM sc WINDOW w AS (ORDER BY p DESC, event_id ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT avg(prec) FILTER (WHERE label = 1) AS average_precision FROM op)"""
+
+
+@query("d12_auroc", f"WITH {TRIAGE_ROWS}, {AUC_SQL} SELECT round(auroc, 6) AS auroc FROM au")
+def auroc(spark, sf):
+    return ranking.auroc(triage_rows(Tables(spark, sf)), "label", "probability").select(fx.r6("auroc").alias("auroc"))
+
+
+@query("d13_average_precision", f"WITH {TRIAGE_ROWS}, {AP_SQL} SELECT round(average_precision, 6) AS average_precision FROM ap")
+def average_precision(spark, sf):
+    return ranking.average_precision(triage_rows(Tables(spark, sf)), "label", "probability", "event_id").select(fx.r6("average_precision").alias("average_precision"))
+
+
+@query("d14_sensitivity_specificity", f"""
+WITH {TRIAGE_ROWS} SELECT round(avg(CASE WHEN p >= 0.3 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE label = 1), 6) AS sensitivity,
+ round(avg(CASE WHEN p < 0.3 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE label = 0), 6) AS specificity FROM sc
+""")
+def sensitivity_specificity(spark, sf):
+    m = scoring.triage_point_metrics(triage_rows(Tables(spark, sf)))
+    return m.select(fx.r6("sensitivity").alias("sensitivity"), fx.r6("specificity").alias("specificity"))
+
+
+GATE_ROWS = " UNION ALL ".join(
+    f"SELECT '{k}' AS check_name, round({'n::DOUBLE' if k == 'strict_records' else k}, 6) AS observed, {v}::DOUBLE AS threshold, "
+    f"coalesce({'n' if k == 'strict_records' else k} >= {v}::DOUBLE, false) AS passed FROM st" for k, v in config.GATE_THRESHOLDS.items())
+
+
+@query("d15_release_gate", f"""
+WITH {SUMMARY}, st AS (SELECT * FROM summ WHERE tier_group = 'strict')
+{GATE_ROWS} UNION ALL SELECT 'complete_strict_predictions', scored::DOUBLE, n::DOUBLE, scored = n AND n > 0 FROM st
+""")
+def release_gate(spark, sf):
+    return all_scores(Tables(spark, sf))["gate"].withColumn("observed", fx.r6("observed"))
+
+
+CONFLICT_SQL = f"""{fx.CLAIMS},
+live AS (SELECT * FROM claims),
+cf AS (SELECT doc_id, lower(field) AS field, lower(model_stage) AS model_stage, count(*) AS n_claims, count(DISTINCT source_locator) AS n_values FROM (
+  SELECT doc_id, field, model_stage, nullif(lower(trim(source_locator)), '') AS source_locator FROM live WHERE domain IN ('theta', 'structure')) GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND count(DISTINCT source_locator) > 1)"""
+
+
+def conflict_claims(t: Tables):
+    """The ledger claims with the locator as the disputed value."""
+    return fx.claims(t).withColumn("value", F.col("source_locator"))
+
+
+@query("d16_consistency_gate", f"""
+WITH {CONFLICT_SQL},
+docs AS (SELECT o_orderkey AS doc_id, o_orderstatus, o_orderpriority FROM orders),
+fa AS (SELECT doc_id, max(CASE WHEN domain = 'structure' OR field LIKE 'structural%' THEN 1 ELSE 0 END) + max(CASE WHEN domain = 'theta' THEN 1 ELSE 0 END) + max(CASE WHEN domain = 'population' THEN 1 ELSE 0 END) AS cov,
+  count(*) FILTER (WHERE status = 'reported' AND (trim(source_locator) = '' OR trim(evidence) = '')) AS gaps, max(CASE WHEN model_stage = 'final' THEN 1 ELSE 0 END) AS fin FROM live GROUP BY 1),
+cc AS (SELECT doc_id, count(*) AS conflicts FROM cf GROUP BY 1),
+x AS (SELECT d.doc_id, coalesce(cov, 0) / 8.0::DOUBLE AS coverage_fraction, coalesce(gaps, 0) AS gaps, coalesce(conflicts, 0) AS conflicts, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS open_c,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS urgent, o_orderstatus <> 'P' AS review_ready, coalesce(fin, 0) > 0 OR o_orderstatus = 'O' AS fin FROM docs d LEFT JOIN fa USING (doc_id) LEFT JOIN cc USING (doc_id))
+SELECT doc_id, round(coverage_fraction, 6) AS coverage_fraction, gaps AS claims_without_evidence, conflicts, CAST(open_c AS BIGINT) AS open_contradictions, CAST(urgent AS BIGINT) AS urgent_questions, review_ready,
+  fin AS final_model_identified, concat_ws(',', CASE WHEN conflicts > 0 THEN 'conflicting_values' END, CASE WHEN gaps > 0 THEN 'claims_without_evidence' END, CASE WHEN open_c > 0 THEN 'major_contradictions' END,
+  CASE WHEN urgent > 0 THEN 'urgent_questions' END, CASE WHEN NOT review_ready THEN 'review_not_ready' END) AS errors,
+  conflicts = 0 AND gaps = 0 AND open_c = 0 AND urgent = 0 AND review_ready AND coverage_fraction >= 0.75 AND fin AS ready FROM x
+""")
+def consistency_gate(spark, sf):
+    t = Tables(spark, sf)
+    o, k = t.orders, F.col("o_orderkey").alias("doc_id")
+    c = conflict_claims(t).withColumn("superseded_by", F.lit(None).cast("string"))
+    inventory = o.select(k, F.when(F.col("o_orderstatus") == "O", "final").otherwise("base").alias("role"))
+    contradictions = o.select(k, F.when(F.col("o_orderstatus") == "F", "major").otherwise("minor").alias("severity"), F.lit(False).alias("resolved"))
+    questions = o.select(k, F.when(F.col("o_orderpriority").startswith("1"), "critical").otherwise("low").alias("priority"))
+    reviews = o.select(k, F.lit(1).alias("seq"), F.lit(False).alias("overall_ready")).unionByName(o.select(k, F.lit(2).alias("seq"), (F.col("o_orderstatus") != "P").alias("overall_ready")))
+    g = ledger.consistency(c, inventory, contradictions, questions, reviews)
+    return g.withColumns({"coverage_fraction": fx.r6("coverage_fraction"), "errors": F.array_join("errors", ",")})
+
+
+@query("d17_conflict_detection", f"WITH {CONFLICT_SQL} SELECT doc_id, field, model_stage, n_claims, n_values FROM cf")
+def conflict_detection(spark, sf):
+    return ledger.conflicts(conflict_claims(Tables(spark, sf))).select("doc_id", "field", "model_stage", "n_claims", "n_values")
+
+
+@query("d18_partition_leakage", f"""
+WITH {fx.MODELS} SELECT compound_group AS pmid, count(DISTINCT partition) AS n_partitions FROM models GROUP BY 1 HAVING count(DISTINCT partition) > 1
+""")
+def partition_leakage(spark, sf):
+    return corpus.leaking_groups(fx.models(Tables(spark, sf)).select(F.col("compound_group").alias("pmid"), "partition"))
+
+
+@query("d19_duplicate_ids", "SELECT l_orderkey || '-' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, sf):
+    return corpus.duplicate_ids(Tables(spark, sf).lineitem.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id")), "id")
+
+
+@query("d20_simulation_quantiles", """
+SELECT event_type, hour(ts) AS "time", count(*) AS n, round(quantile_cont(value, 0.05), 6) AS low, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS high FROM events GROUP BY 1, 2
+""")
+def simulation_quantiles(spark, sf):
+    ev = Tables(spark, sf).events.select("event_type", F.hour("ts").cast("bigint").alias("h"), "value")
+    c = reproduction.simulated_curve(ev, ["event_type"], "h", "value")
+    return c.withColumns({n: fx.r6(n) for n in ("low", "median", "high")})
+
+
+@query("d21_reproduction_score", """
+WITH p AS (SELECT event_type, value, value * (1 + (user_id - 75) / 1000.0::DOUBLE) AS sim, value - 1 AS lo, CASE WHEN user_id < 100 THEN value + 1 END AS hi FROM events),
+e AS (SELECT *, sim - value AS res, (sim - value) / greatest(abs(value), 1.4901161193847656e-08::DOUBLE) AS rel FROM p),
+g AS (SELECT event_type, count(*) AS n_points, sqrt(avg(res * res)) / greatest(max(value) - min(value), avg(abs(value)), 1.4901161193847656e-08::DOUBLE) AS nrmse, median(abs(rel)) AS med,
+  avg(CASE WHEN hi IS NOT NULL THEN CASE WHEN sim BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END END) AS cov FROM e GROUP BY 1)
+SELECT event_type, n_points, round(nrmse, 6) AS nrmse, round(med, 6) AS median_absolute_relative_error, round(cov, 6) AS interval_coverage,
+  CASE WHEN nrmse <= 0.1 THEN 'close_reproduction' WHEN nrmse <= 0.25 THEN 'approximate_reproduction' ELSE 'material_discrepancy' END AS status FROM g
+""")
+def reproduction_score(spark, sf):
+    v = F.col("value")
+    p = Tables(spark, sf).events.select("event_type", "value", (v * (1 + (F.col("user_id") - 75) / 1000.0)).alias("simulated"), (v - 1).alias("lower"),
+                                        F.when(F.col("user_id") < 100, v + 1).alias("upper"))
+    s = reproduction.reproduction_score(reproduction.point_scores(p), ["event_type"])
+    return s.withColumns({n: fx.r6(n) for n in ("nrmse", "median_absolute_relative_error", "interval_coverage")})
+
+
+@query("d22_population_total", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN (o_custkey + 7)::DOUBLE WHEN o_orderstatus = 'O' THEN coalesce(CASE WHEN o_totalprice > 200000 THEN 5.0::DOUBLE END, o_custkey::DOUBLE) ELSE CASE WHEN o_totalprice > 200000 THEN 5.0::DOUBLE END END AS n_total,
+  o_orderstatus = 'F' AS summed FROM orders
+""")
+def population_total(spark, sf):
+    c = F.col("o_custkey").cast("int")
+    counts = F.when(F.col("o_orderstatus") == "F", F.array(c, F.lit(None).cast("int"), F.lit(7))).when(F.col("o_orderstatus") == "O", F.array(c)).otherwise(F.array().cast("array<int>"))
+    total = N.population_total(counts, F.when(F.col("o_totalprice") > 200000, F.lit(5.0)))
+    return Tables(spark, sf).orders.select("o_orderkey", total.alias("t")).select("o_orderkey", "t.n_total", F.col("t.assumption").isNotNull().alias("summed"))
+
+
+@query("d23_manual_request_upsert", """
+SELECT user_id AS pmid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS requested_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_attempt_at, count(*) AS attempts, arg_max(event_type, ts) AS reason, arg_max(props, ts) AS source_url
+FROM events GROUP BY 1
+""")
+def manual_request_upsert(spark, sf):
+    ev = Tables(spark, sf).events.select(F.col("user_id").alias("pmid"), "ts", F.col("props").alias("url"), F.col("event_type").alias("reason"))
+    out = triage.upsert_requests(ev)
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("requested_at", "last_attempt_at")})
+
+
+@query("d24_export_manifest", f"""
+WITH {SCREENING}, c AS (SELECT partition, CASE WHEN NOT (relevant OR coalesce(exclusion_reason = 'no_model', false)) THEN 'a' WHEN trim(abstract) = '' THEN 'b' ELSE '' END AS reason FROM screening WHERE partition <> 'test')
+SELECT 'triage' AS task, partition, count(*) FILTER (WHERE reason = '') AS examples, count(*) AS candidates, count(*) FILTER (WHERE reason <> '') AS skipped FROM c GROUP BY 2
+""")
+def export_manifest(spark, sf):
+    t = Tables(spark, sf)
+    return training.export_manifest(jobs.triage_export(screening(t), fx.articles(t), ["train", "validation"], "s"))
+
+
+@query("d25_tier_recount", f"""
+WITH {fx.MODELS}, x AS (SELECT CASE WHEN quality IS NOT NULL THEN CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' ELSE 'C' END ELSE tier END AS tier,
+ CASE WHEN quality IS NOT NULL THEN toxic = 0 AND partition <> 'test' AND lang IN ('en', 'fr') ELSE training_eligible END AS te FROM models)
+SELECT count(*) AS models, count(*) FILTER (WHERE tier = 'A') AS tier_a, count(*) FILTER (WHERE tier = 'B') AS tier_b, count(*) FILTER (WHERE tier = 'C') AS tier_c, count(*) FILTER (WHERE tier = 'D') AS tier_d,
+  count(*) FILTER (WHERE te) AS training_eligible, CASE WHEN bool_and(tier IN ('A', 'B')) THEN 'curated_reference' ELSE 'mixed_reference' END AS status FROM x
+""")
+def tier_recount(spark, sf):
+    m, d = curation(Tables(spark, sf))
+    return corpus.recount(corpus.apply_decisions(m, d, "kim"))
+
+
+@query("d26_diff_tally", f"WITH {LEAF_SQL} SELECT s AS status, (SELECT count(*) FROM d WHERE status = s) AS n FROM (SELECT unnest(['Different', 'reference only', 'prediction only', 'Match']) AS s)")
+def diff_tally(spark, sf):
+    t = Tables(spark, sf)
+    return jsondiff.status_tally(jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json"))
+
+
+@query("d27_clinical_status_rollup", f"""
+WITH {QUAL_ORDERS} SELECT library_id, string_agg(DISTINCT status, '; ' ORDER BY status) AS clinical_status,
+  bool_or(status = 'qualified' AND (review_due = '' OR (review_due <> 'unknown' AND coalesce(try_cast(review_due AS TIMESTAMP) >= TIMESTAMP '2000-01-01', false)))) AS clinically_qualified FROM q GROUP BY 1
+""")
+def clinical_status_rollup(spark, sf):
+    q, _ = qualification_orders(Tables(spark, sf))
+    return catalogue.clinical_status(q, F.lit("2000-01-01").cast("timestamp"))
+
+
+@query("d28_retry_total", "SELECT user_id AS doc_id, CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN CAST(floor(value) AS INTEGER) END), 0) AS BIGINT) AS retry_total FROM events GROUP BY 1")
+def retry_total(spark, sf):
+    ev = Tables(spark, sf).events
+    return ledger.retry_total(ev.select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "error", F.floor("value").cast("int")).alias("retry_count")))
+
+
+@query("d29_token_f1", f"""
+WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split({fx.sql_normal("text")}, ' '), lambda x: x <> '')) AS a,
+  list_distinct(list_filter(string_split({fx.sql_normal("split_part(text, chr(10), 1)")}, ' '), lambda x: x <> '')) AS b FROM documents)
+SELECT doc_id, round(CASE WHEN len(list_intersect(a, b)) > 0 THEN 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0 END, 6) AS f1 FROM w
+""")
+def token_f1(spark, sf):
+    return fx.articles(Tables(spark, sf), True).select("doc_id", fx.r6(claims.token_f1(F.col("abstract"), F.col("title"))).alias("f1"))
+
+
+@query("d30_extraction_record_score", f"""
+WITH {SUMMARY} SELECT doc_id, tier, ok AS prediction_available, round(CASE WHEN ok THEN cc ELSE 0 END, 6) AS scalar_coverage, round(CASE WHEN ok THEN cs ELSE 0 END, 6) AS scalar_score,
+  round(CASE WHEN ok THEN nc ELSE 0 END, 6) AS numeric_coverage, round(CASE WHEN ok THEN na END, 6) AS numeric_accuracy, round(CASE WHEN ok THEN sc ELSE 0 END, 6) AS semantic_coverage, round(CASE WHEN ok THEN sa END, 6) AS semantic_accuracy,
+  CASE WHEN ok THEN nx ELSE 0 END AS unverified_numeric_extras, CASE WHEN ok THEN sx ELSE 0 END AS unverified_semantic_extras FROM per
+""")
+def extraction_record_score(spark, sf):
+    s = all_scores(Tables(spark, sf))["per_record"]
+    return s.withColumns({m: fx.r6(m) for m in scoring.METRICS})
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query("e01_average_tie_rank", f"WITH {TRIAGE_ROWS} SELECT event_id, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS average_rank FROM sc")
+def average_tie_rank(spark, sf):
+    rows = triage_rows(Tables(spark, sf)).filter(F.col("probability").isNotNull())
+    return ranking.average_rank(rows, "probability").select("event_id", "average_rank")
+
+
+@query("e02_running_precision", f"""
+WITH {TRIAGE_ROWS} SELECT event_id, row_number() OVER w AS position, CAST(sum(label) OVER w AS BIGINT) AS positives_so_far, round(sum(label) OVER w / row_number() OVER w, 6) AS precision_at FROM sc
+WINDOW w AS (ORDER BY p DESC, event_id ROWS UNBOUNDED PRECEDING)
+""")
+def running_precision(spark, sf):
+    p = ranking.positions(triage_rows(Tables(spark, sf)), "label", "probability", "event_id")
+    return p.select("event_id", "position", "positives_so_far", fx.r6(F.col("positives_so_far") / F.col("position")).alias("precision_at"))
+
+
+SEQ = "l_partkey * 10000000 + l_suppkey * 10 + l_linenumber"
+
+
+@query("e03_key_ordinal", f"SELECT l_orderkey, l_returnflag, {SEQ} AS seq, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey * 10000000000000 + {SEQ}) AS model_index FROM lineitem")
+def key_ordinal(spark, sf):
+    # (returnflag, linestatus) are six huge groups: the ordinal must not put a group in one task
+    seq = F.expr(SEQ)
+    rows = Tables(spark, sf).lineitem.select("l_orderkey", "l_returnflag", "l_linestatus", seq.alias("seq"), (F.col("l_orderkey") * 10000000000000 + seq).alias("at"))
+    return keyed.ordinal(rows, ["l_returnflag", "l_linestatus"], "at", "model_index").select("l_orderkey", "l_returnflag", "seq", "model_index")
+
+
+@query("e04_first_wins", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {SEQ}) = 1")
+def first_wins(spark, sf):
+    rows = Tables(spark, sf).lineitem.select(*fx.LINE_KEYS, F.expr(SEQ).alias("seq"))
+    return keyed.first_per_key(rows, ["l_orderkey", "l_linenumber"], ["seq"]).drop("seq")
+
+
+MARKED = r"regexp_replace(replace(text, '. ', '.' || chr(10)), '(\n[^\n]{0,40}\n)', '\n## Part\n[page 12]\n\1', 'g')"
+
+
+@query("e05_heading_carry_forward", r"""
+WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN '# ' || source || chr(10) || text WHEN lang = 'de' THEN '## S ' || doc_id || chr(10) || 'page ' || doc_id || chr(10) || text ELSE text END AS text, lang, source FROM documents),
+n AS (SELECT *, length(text) AS n, CAST(ceil(greatest(length(text) - 4200, 0) / 3850.0) AS INTEGER) + 1 AS k FROM d WHERE regexp_matches(text, '\S')),
+c AS (SELECT *, unnest(range(0, k)) AS i FROM n), s AS (SELECT *, i * 3850 + 1 AS st, least(n, i * 3850 + 4200) AS en FROM c)
+SELECT doc_id, CAST(i + 1 AS INTEGER) AS idx, CASE WHEN lang = 'en' AND i > 0 AND st <= 12001 THEN source || '; ' WHEN lang = 'de' AND i > 0 AND st <= 12001 + 0 THEN 'page ' || doc_id || '; S ' || doc_id || '; '
+  WHEN lang = 'de' AND i > 0 AND st <= 12001 + length('## S ' || doc_id) + 1 THEN 'page ' || doc_id || '; ' ELSE '' END || 'characters ' || st || '-' || en AS locator FROM s
+""")
+def heading_carry_forward(spark, sf):
+    d = Tables(spark, sf).spread("documents")
+    n = F.col("doc_id").cast("string")
+    text = F.when(F.col("lang") == "en", F.concat(F.lit("# "), "source", F.lit("\n"), "text")).when(
+        F.col("lang") == "de", F.concat(F.lit("## S "), n, F.lit("\npage "), n, F.lit("\n"), "text")).otherwise(F.col("text"))
+    return chunks.document_chunks(d.select("doc_id", text.alias("text")), "text", ["doc_id"]).select("doc_id", "idx", "locator")
+
+
+@query("e06_overlapping_windows", r"""
+WITH d AS (SELECT doc_id, text, length(text) AS n, CAST(ceil(greatest(length(text) - 4200, 0) / 3850.0) AS INTEGER) + 1 AS k FROM documents WHERE regexp_matches(text, '\S')),
+c AS (SELECT *, unnest(range(0, k)) AS i FROM d)
+SELECT doc_id, CAST(i + 1 AS INTEGER) AS idx, 'C' || lpad(CAST(i + 1 AS VARCHAR), 3, '0') AS chunk_id, CAST(i * 3850 + 1 AS INTEGER) AS start, CAST(least(n, i * 3850 + 4200) AS INTEGER) AS "end",
+  md5(substr(text, CAST(i * 3850 + 1 AS BIGINT), 4200)) AS chunk_md5 FROM c
+""")
+def overlapping_windows(spark, sf):
+    c = chunks.document_chunks(Tables(spark, sf).spread("documents"), "text", ["doc_id"], with_locator=False)
+    return c.select("doc_id", "idx", "chunk_id", "start", "end", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query("e07_next_version", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey || '.2.' || (o_orderkey + 1) ELSE '0.0.1' END AS next_version FROM orders
+""")
+def next_version(spark, sf):
+    v = F.when(F.col("o_orderstatus") == "F", F.concat_ws(".", F.col("o_custkey").cast("string"), F.lit("2"), F.col("o_orderkey").cast("string"))).when(
+        F.col("o_orderstatus") == "O", F.lit("1.x.3"))
+    return Tables(spark, sf).orders.select("o_orderkey", N.next_patch(v).alias("next_version"))
+
+
+@query("e08_timeline", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN list_sort(list_distinct([0.0::DOUBLE, value, value / 2])) ELSE list_transform(range(0, 49), lambda i: i::DOUBLE * value / 48.0::DOUBLE) END AS times0, NULL AS z FROM events
+""".replace("SELECT event_id, CASE", "SELECT event_id, len(t) AS n_times, round(list_sum(t), 4) AS total, round(t[len(t)], 6) AS last_time FROM (SELECT event_id, CASE").replace(" AS times0, NULL AS z FROM events", " AS t FROM events)"))
+def timeline(spark, sf):
+    ev = Tables(spark, sf).events
+    v = F.col("value")
+    points = F.when(F.col("event_type") == "view", F.array(v, v / 2, v, F.lit(-1.0), F.lit(float("nan")))).otherwise(F.array().cast("array<double>"))
+    rows = ev.select("event_id", N.timeline(points, v).alias("t"))
+    return rows.select("event_id", F.size("t").cast("bigint").alias("n_times"), F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+                       fx.r6(F.element_at("t", -1)).alias("last_time"))
+
+
+def progress_events(t: Tables):
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").otherwise("running")
+    return t.events.select(F.col("user_id").alias("job"), F.when(F.col("event_type").isin("click", "purchase", "error"), "batch").otherwise("current").alias("channel"), "ts",
+                           F.col("event_id").alias("seq"), (F.col("value") / 50 - 0.1).alias("value"), status.alias("status"))
+
+
+PROGRESS = """pe AS (SELECT user_id AS job, CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 'batch' ELSE 'current' END AS channel, ts, event_id, least(greatest(value / 50 - 0.1::DOUBLE, 0), 1) AS value,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status FROM events),
+last AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY job, channel ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+@query("e09_progress_channels", f"""
+WITH {PROGRESS}, w AS (SELECT job, max(value) FILTER (WHERE channel = 'batch') AS batch_value, max(status) FILTER (WHERE channel = 'batch') AS batch_status, max(value) FILTER (WHERE channel = 'current') AS current_value,
+  max(status) FILTER (WHERE channel = 'current') AS cs FROM last GROUP BY 1)
+SELECT job, round(batch_value, 6) AS batch_value, batch_status, round(current_value, 6) AS current_value, CASE WHEN batch_status IN ('done', 'error') AND cs = 'running' THEN batch_status ELSE coalesce(cs, 'idle') END AS current_status FROM w
+""")
+def progress_channels(spark, sf):
+    out = streams.close_running(streams.progress_state(progress_events(Tables(spark, sf))))
+    return out.withColumns({"batch_value": fx.r6("batch_value"), "current_value": fx.r6("current_value")})
+
+
+# ---------------------------------------------------------------- sorts and top-k
+
+
+@query("f01_top_chunks", """
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) SELECT user_id, event_id, value, CAST(rn AS INTEGER) AS position FROM e WHERE rn <= 8
+""")
+def top_chunks(spark, sf):
+    rows = Tables(spark, sf).events.select("user_id", "event_id", "value")
+    return keyed.top_per_key(rows, ["user_id"], [F.col("value").desc(), "event_id"], 8, rank="position")
+
+
+@query("f02_image_page_pick", f"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS no, len(string_split(text, chr(10))) AS n FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -{fx.sql_score("p", ["the", "ment"])}, no) AS rk FROM p),
+a AS (SELECT doc_id, min(n) AS n, list(no ORDER BY rk) AS ranked FROM r GROUP BY 1),
+b AS (SELECT doc_id, n, list_concat(CASE WHEN n = 1 THEN [1, 2] WHEN n = 2 THEN [1, 2] WHEN n = 3 THEN [1, 3, 2] ELSE [1, n, 2, n - 1] END, ranked)[1:6] AS picked FROM a)
+SELECT doc_id, array_to_string(CASE WHEN n <= 6 THEN range(1, n + 1) ELSE list_sort(list_distinct(picked)) END, ',') AS page_numbers FROM b
+""")
+def image_page_pick(spark, sf):
+    d = Tables(spark, sf).spread("documents")
+    picked = chunks.image_pages(F.split("text", "\n"), 6, ["the", "ment"])
+    return d.select("doc_id", F.array_join(F.transform(picked, lambda n: n.cast("string")), ",").alias("page_numbers"))
+
+
+@query("f03_best_lane", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND (l_returnflag = 'R' OR l_discount >= l_tax) THEN 'text' WHEN l_returnflag <> 'R' THEN 'vision' END AS lane FROM lineitem
+""")
+def best_lane(spark, sf):
+    none = F.lit(None).cast("double")
+    a, b = claims.lane_confidence(F.when(F.col("l_discount") > 0.05, F.col("l_discount")), F.col("l_discount")), claims.lane_confidence(none, F.col("l_tax"))
+    return Tables(spark, sf).lineitem.select(*fx.LINE_KEYS, claims.best_lane(F.col("l_linestatus") == "F", a, F.col("l_returnflag") != "R", b).alias("lane"))
+
+
+@query("f04_compact_ledger")
+def compact_ledger(spark, sf):
+    c = fx.claims(Tables(spark, sf)).withColumn("doc_id", F.col("domain")).withColumns(
+        {"claim_id": F.concat(F.lit("theta::"), F.col("seq").cast("string")), "superseded_by": F.lit(None).cast("string")})
+    return ledger.compact_ledger(c, 24_000).select("doc_id", "n_claims", "kept", "omitted_claim_count", F.length("claims_json").alias("n_chars"))
+
+
+@query("f05_status_ordering", f"""
+WITH {LEAF_SQL} SELECT doc_id, pointer, status, CAST(CASE status WHEN 'Different' THEN 1 WHEN 'reference only' THEN 2 WHEN 'prediction only' THEN 3 ELSE 4 END AS BIGINT) AS status_rank FROM d ORDER BY status_rank, field
+""")
+def status_ordering(spark, sf):
+    t = Tables(spark, sf)
+    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json")
+    return d.select("doc_id", "pointer", "status", "field", jsondiff.status_order(F.col("status")).alias("status_rank")).orderBy("status_rank", "field").drop("field")
+
+
+@query("f06_limit_by_group", f"""
+WITH f AS (SELECT l_orderkey, min(({SEQ}) * 1000000 + l_orderkey) AS a FROM lineitem GROUP BY 1), k AS (SELECT l_orderkey FROM f ORDER BY a LIMIT 500)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM k)
+""")
+def limit_by_group(spark, sf):
+    rows = Tables(spark, sf).lineitem.select(*fx.LINE_KEYS, (F.expr(SEQ) * 1000000 + F.col("l_orderkey")).alias("at"))
+    return corpus.first_groups(rows, "l_orderkey", "at", 500).select(*fx.LINE_KEYS)
+
+
+@query("f07_newest_version", """
+WITH v AS (SELECT (p_partkey // 100) || '.' || p_size || '.' || p_partkey AS version, p_partkey, p_size FROM part WHERE p_type <> 'PROMO') SELECT version FROM v ORDER BY p_partkey // 100 DESC, p_size DESC, p_partkey DESC LIMIT 1
+""")
+def newest_version(spark, sf):
+    v = F.concat_ws(".", F.floor(F.col("p_partkey") / 100).cast("string"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))
+    return corpus.newest_version(Tables(spark, sf).part.select(v.alias("version"), (F.col("p_type") != "PROMO").alias("ok")), "version", "ok")
+
+
+@query("f08_bounded_evidence", """
+SELECT doc_id, substr(text, 1, 180) AS locator, md5(substr(text, 1, 240)) AS evidence_md5, array_to_string(string_split(text, ' ')[1:6], '|') AS dependencies FROM documents
+""")
+def bounded_evidence(spark, sf):
+    d = Tables(spark, sf).spread("documents")
+    return d.select("doc_id", F.substring("text", 1, 180).alias("locator"), F.md5(F.substring("text", 1, 240)).alias("evidence_md5"), F.array_join(F.slice(F.split("text", " "), 1, 6), "|").alias("dependencies"))
+
+
+# ---------------------------------------------------------------- sets
+
+
+@query("g01_positives_negatives", f"""
+WITH {fx.MODELS}, u AS (SELECT pmid, 'positive' AS side, 0 AS src FROM models WHERE quality = 1 UNION ALL SELECT CAST(page_id + 1000000 AS VARCHAR), 'negative', 1 FROM pages)
+SELECT pmid, min_by(side, src) AS side FROM u GROUP BY pmid
+""")
+def positives_negatives(spark, sf):
+    t = Tables(spark, sf)
+    m, _ = screening_inputs(t)
+    u = m.select("pmid", F.lit("positive").alias("side"), F.lit(0).alias("src")).unionByName(
+        t.pages.select((F.col("page_id") + 1000000).cast("string").alias("pmid"), F.lit("negative").alias("side"), F.lit(1).alias("src")))
+    return keyed.first_per_key(u, ["pmid"], ["src"]).drop("src")
+
+
+def dedupe_rounds(n: int) -> str:
+    """The first-wins rule as SQL, round by round: a row first in both groups is kept, its neighbours fall away."""
+    parts = ["p0 AS (SELECT doc_id, cid, con, min(seq) AS seq FROM named GROUP BY 1, 2, 3)"]
+    for i in range(n):
+        parts.append(f"k{i} AS (SELECT * FROM (SELECT *, min(seq) OVER (PARTITION BY doc_id, cid) AS a, min(seq) OVER (PARTITION BY doc_id, con) AS b FROM p{i}) WHERE seq = a AND seq = b)")
+        parts.append(f"p{i + 1} AS (SELECT doc_id, cid, con, seq FROM p{i} WHERE (doc_id, cid) NOT IN (SELECT doc_id, cid FROM k{i}) AND (doc_id, con) NOT IN (SELECT doc_id, con FROM k{i}))")
+    parts.append("kept AS (" + " UNION ALL ".join(f"SELECT doc_id, cid, seq FROM k{i}" for i in range(n)) + ")")
+    return ",\n".join(parts)
+
+
+@query("g02_claim_dedupe", f"""
+WITH {fx.CLAIMS}, named AS (SELECT doc_id, seq, 'theta::' || id AS cid, field || '|' || value || '|' || model_stage || '|' || source_locator AS con FROM claims), {dedupe_rounds(6)}
+SELECT doc_id, cid AS claim_id, seq FROM kept
+""")
+def claim_dedupe(spark, sf):
+    return ledger.add_claims(fx.claims(Tables(spark, sf))).select("doc_id", "claim_id", "seq")
+
+
+def event_questions(t: Tables):
+    return t.events.select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", F.lit("s2::x")).otherwise(F.concat(F.lit("q"), F.col("event_id").cast("string"))).alias("id"),
+        F.lit("theta").alias("stage"), F.upper("event_type").alias("field"), F.col("props").alias("question"), F.when(F.col("value") > 50, "critical").otherwise("low").alias("priority"),
+        F.array(F.col("event_type"), F.lit("table")).alias("search_terms"))
+
+
+QUESTIONS = """qs AS (SELECT user_id AS doc_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 's2::x' ELSE 'theta::q' || event_id END AS question_id, upper(event_type) AS field, props AS question, value, event_type,
+  row_number() OVER (PARTITION BY user_id, lower(event_type || '|' || props) ORDER BY event_id) AS rn FROM events)"""
+
+
+@query("g03_question_dedupe", f"WITH {QUESTIONS} SELECT doc_id, seq, question_id, field, question FROM qs WHERE rn = 1")
+def question_dedupe(spark, sf):
+    return ledger.add_questions(event_questions(Tables(spark, sf))).select("doc_id", "seq", "question_id", "field", "question")
+
+
+@query("g04_investigation_merge", f"""
+WITH {QUESTIONS}, {fx.CLAIMS}, open AS (SELECT * FROM qs WHERE rn = 1 AND NOT (event_type = 'error' AND value < 40)),
+st AS (SELECT doc_id, stage, count(*) AS claim_count FROM claims GROUP BY 1, 2)
+SELECT 'questions' AS part, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM open UNION ALL SELECT 'stage_claims', count(*), CAST(sum(claim_count) AS BIGINT) FROM st
+UNION ALL SELECT 'contradictions', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderstatus = 'F'
+""")
+def investigation_merge(spark, sf):
+    t = Tables(spark, sf)
+    c = fx.claims(t).withColumn("id", F.lit("")).withColumn("source_locator", F.col("seq").cast("string"))
+    contradictions = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), F.lit("theta").alias("stage"), F.lit("major").alias("severity"))
+    resolved = t.events.filter("event_type = 'error' AND value < 40").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("theta::q"), F.col("event_id").cast("string")).alias("question_id"))
+    questions = ledger.drop_resolved(ledger.add_questions(event_questions(t)), resolved)
+    stages = ledger.stage_summaries(c, contradictions)
+    return (
+        questions.agg(F.lit("questions").alias("part"), F.count("*").alias("n"), F.sum("seq").alias("total"))
+        .unionByName(stages.filter("claim_count > 0").agg(F.lit("stage_claims").alias("part"), F.count("*").alias("n"), F.sum("claim_count").alias("total")))
+        .unionByName(contradictions.agg(F.lit("contradictions").alias("part"), F.count("*").alias("n"), F.sum("doc_id").alias("total")))
+    )
+
+
+@query("g05_required_fields", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'pmid' WHEN event_type = 'click' THEN 'k,pmid' ELSE '' END AS missing FROM events
+""")
+def required_fields(spark, sf):
+    ev = Tables(spark, sf).events
+    doc = F.when(F.col("event_type") == "view", F.col("props")).when(F.col("event_type") == "click", F.lit('{"x": 1}')).otherwise(F.lit('{"pmid": "1", "k": null}'))
+    return ev.select("event_id", F.array_join(corpus.missing_fields(doc, ["k", "pmid"]), ",").alias("missing"))
+
+
+@query("g06_unbound_domains", f"""
+WITH {fx.CLAIMS}, b AS (SELECT doc_id, list(DISTINCT domain) AS d FROM claims GROUP BY 1) SELECT doc_id, array_to_string(list_filter(['structure', 'theta', 'omega'], lambda x: NOT list_contains(d, x)), ',') AS missing FROM b
+""")
+def unbound_domains(spark, sf):
+    b = fx.claims(Tables(spark, sf)).groupBy("doc_id").agg(F.collect_set("domain").alias("d"))
+    return b.select("doc_id", F.array_join(F.array_except(X.literal_array(["structure", "theta", "omega"]), "d"), ",").alias("missing"))
+
+
+@query("g07_referenced_active", f"""
+WITH {fx.CLAIMS}, a AS (SELECT DISTINCT doc_id, id FROM claims WHERE status <> 'unresolved'), r AS (SELECT DISTINCT doc_id, dependency AS id FROM claims) SELECT doc_id, id FROM r INTERSECT SELECT doc_id, id FROM a
+""")
+def referenced_active(spark, sf):
+    c = fx.claims(Tables(spark, sf)).withColumn("superseded_by", F.lit(""))
+    referenced = c.select("doc_id", F.explode("dependencies").alias("id")).distinct()
+    return referenced.join(ledger.active_claims(c).select("doc_id", "id"), ["doc_id", "id"], "left_semi")
+
+
+@query("g08_field_universe", f"WITH {fx.LANES} SELECT doc_id, field, a IS NOT NULL AS in_text, b IS NOT NULL AS in_vision FROM cmp")
+def field_universe(spark, sf):
+    a, b = fx.lane_claims(Tables(spark, sf))
+    c = claims.compare_lanes(a, b, ["doc_id"])
+    return c.select("doc_id", "field", F.col("number_a").isNotNull().alias("in_text"), F.col("number_b").isNotNull().alias("in_vision"))
+
+
+@query("g09_character_set", """
+SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS words FROM (SELECT doc_id, list_transform(list_filter(list_transform(w, lambda x, i: {'x': x, 'i': i}), lambda s: s.x <> '' AND list_position(w, s.x) = s.i), lambda s: s.x) AS list_distinct_ordered
+ FROM (SELECT doc_id, list_transform(string_split(text, ','), lambda x: trim(x, ' ')) AS w FROM documents))
+""")
+def character_set(spark, sf):
+    return Tables(spark, sf).documents.select("doc_id", F.array_join(X.character_set(F.split("text", ",")), "|").alias("words"))
+
+
+@query("g10_new_ledger", f"""
+WITH {fx.ARTICLES} SELECT doc_id, '1.5.0' AS schema_version, '3.1.0' AS prompt_version, pmid, '' AS doi, title, sha256(abstract) AS sha256, l.quality = 1 AS model_present, coalesce(l.quality * 0.9::DOUBLE, 0.0::DOUBLE) AS model_probability
+FROM articles LEFT JOIN labels l USING (doc_id)
+""")
+def new_ledger(spark, sf):
+    t = Tables(spark, sf)
+    docs = fx.articles(t).select("doc_id", "pmid", F.lit(None).cast("string").alias("doi"), "title", F.sha2("abstract", 256).alias("sha256"))
+    recon = t.labels.select("doc_id", (F.col("quality") == 1).alias("model_present"), (F.col("quality") * 0.9).alias("model_probability"))
+    return ledger.new_ledger(docs, recon)
+
 

@@ -35,11 +35,16 @@ def r6(x: Column | str, places: int = 6) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, places)
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp column, whatever the session zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
+
+
 # ---------------------------------------------------------------- articles (documents)
 
 
-def articles(t: Tables) -> DataFrame:
-    return t.documents.select(
+def articles(t: Tables, heavy: bool = False) -> DataFrame:
+    return (t.spread("documents") if heavy else t.documents).select(
         "doc_id", (F.col("doc_id") + 1000000).cast("string").alias("pmid"),
         F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("abstract"),
         F.col("source").alias("compound"), "lang", "n_chars",

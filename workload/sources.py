@@ -394,7 +394,7 @@ SELECT doc_id, CASE WHEN length(x) > 1500 THEN substr(x, 1, 1500) || chr(10) ||
 def budgeted_page_text(spark, sf):
     t = Tables(spark, sf)
     text = chunks.budgeted_text(F.split("text", "\n"), 1500, ["the", "ment", "und", "ation"])
-    return t.documents.select("doc_id", text.alias("text"))
+    return t.spread("documents").select("doc_id", text.alias("text"))
 
 
 @query("a22_supplement_text", """
