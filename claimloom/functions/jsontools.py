@@ -41,6 +41,12 @@ def as_array(node: Column) -> Column:
     return F.try_variant_get(node, "$", ARRAY)
 
 
+def strict_parse(text: Column) -> Column:
+    """The document, or NULL unless the whole text is exactly one JSON value (nothing may follow it)."""
+    listed = as_array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+
+
 def text_of(node: Column) -> Column:
     return F.try_variant_get(node, "$", "string")
 
@@ -284,13 +290,11 @@ def _salvage(texts: pd.Series) -> pd.DataFrame:
 
 def salvage(df, text_col: str, payload: str = "payload", error: str = "error"):
     """Repair response text: valid JSON passes on the JVM, only the rest goes through Python."""
-    good = F.try_parse_json(F.col(text_col)).isNotNull()
-    shape = F.schema_of_variant(F.try_parse_json(F.col(text_col)))
-    container = good & (shape.startswith("OBJECT<") | shape.startswith("ARRAY<"))
-    kept = df.filter(F.coalesce(container, F.lit(False))).withColumn(payload, F.trim(F.col(text_col))).withColumn(
+    container = F.coalesce(kind_of(strict_parse(F.col(text_col))).isin("object", "array"), F.lit(False))
+    kept = df.filter(container).withColumn(payload, F.trim(F.col(text_col))).withColumn(
         error, F.lit(None).cast("string")
     )
-    broken = df.filter(~F.coalesce(container, F.lit(False))).withColumn("_fix", _salvage(F.col(text_col)))
+    broken = df.filter(~container).withColumn("_fix", _salvage(F.col(text_col)))
     fixed = broken.withColumn(payload, F.col("_fix.payload")).withColumn(error, F.col("_fix.error")).drop("_fix")
     return kept.unionByName(fixed)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom import config
-from claimloom.functions.text import coalesce_blank, finite, metric_name
+from claimloom.functions.text import coalesce_blank, finite, let, metric_name
 
 EPS = 2.220446049250313e-16
 
@@ -139,11 +139,17 @@ def eta_distribution_name(distribution: Column, expression: Column, template_log
 def omega_variance(reported: Column, converted: Column, metric: Column, distribution: Column,
                    expression: Column, typical: Column, template_log_normal: bool = True) -> Column:
     """Random-effect variance on the model scale.  The scale is never guessed from the size of the number."""
-    raw = F.coalesce(finite(reported), finite(converted))
-    kind = metric_name(metric)
-    dist = eta_distribution_name(distribution, expression, template_log_normal)
+    facts = F.struct(
+        F.coalesce(finite(reported), finite(converted)).alias("raw"),
+        metric_name(metric).alias("kind"),
+        eta_distribution_name(distribution, expression, template_log_normal).alias("dist"),
+        finite(typical).alias("scale"),
+    )
+    return let(facts, lambda f: _omega_variance(f["raw"], f["kind"], f["dist"], f["scale"]))
+
+
+def _omega_variance(raw: Column, kind: Column, dist: Column, scale: Column) -> Column:
     fraction = F.when(kind == "cv_percent", raw / 100).when(kind == "cv_fraction", raw)
-    scale = finite(typical)
     from_cv = F.when(dist["name"] == "log_normal", F.log1p(fraction * fraction)).when(
         dist["name"] == "normal", F.pow(scale * fraction, F.lit(2.0))
     )
@@ -175,8 +181,11 @@ def omega_variance(reported: Column, converted: Column, metric: Column, distribu
 
 
 def sigma_variance(reported: Column, converted: Column, metric: Column) -> Column:
-    raw = F.coalesce(finite(reported), finite(converted))
-    kind = metric_name(metric)
+    facts = F.struct(F.coalesce(finite(reported), finite(converted)).alias("raw"), metric_name(metric).alias("kind"))
+    return let(facts, lambda f: _sigma_variance(f["raw"], f["kind"]))
+
+
+def _sigma_variance(raw: Column, kind: Column) -> Column:
     value = F.when(
         raw >= 0,
         F.when(kind == "variance", raw)
@@ -192,8 +201,12 @@ def sigma_variance(reported: Column, converted: Column, metric: Column) -> Colum
 def covariance_value(reported: Column, converted: Column, metric: Column, row_variance: Column,
                      col_variance: Column) -> Column:
     """A correlation (percent rescaled) times the two standard deviations; a covariance as it is."""
-    raw = F.coalesce(finite(reported), finite(converted))
-    kind = metric_name(metric)
+    facts = F.struct(F.coalesce(finite(reported), finite(converted)).alias("raw"), metric_name(metric).alias("kind"),
+                     row_variance.alias("rv"), col_variance.alias("cv"))
+    return let(facts, lambda f: _covariance_value(f["raw"], f["kind"], f["rv"], f["cv"]))
+
+
+def _covariance_value(raw: Column, kind: Column, row_variance: Column, col_variance: Column) -> Column:
     percent = (kind == "correlation") & (F.abs(raw) > 1) & (F.abs(raw) <= 100)
     r = F.when(percent, raw / 100).otherwise(raw)
     value = F.when((kind == "correlation") & (F.abs(r) <= 1), r * F.sqrt(row_variance * col_variance)).when(
@@ -212,6 +225,11 @@ def amount_mg(amount: Column, unit: Column, weight: Column, surface: Column) ->
     number = finite(amount)
     text = F.lower(F.regexp_replace(coalesce_blank(unit), r"\s+", ""))
     text = F.regexp_replace(F.regexp_replace(text, "^mcg", "ug"), "^µg", "ug")
+    facts = F.struct(number.alias("number"), text.alias("text"), finite(weight).alias("weight"), finite(surface).alias("surface"))
+    return let(facts, lambda f: _amount_mg(f["number"], f["text"], f["weight"], f["surface"]))
+
+
+def _amount_mg(number: Column, text: Column, weight: Column, surface: Column) -> Column:
     base = F.regexp_replace(text, "/.*$", "")
     per_kg, per_m2 = F.contains(text, F.lit("/kg")), F.contains(text, F.lit("/m2"))
     mg = F.when(base == "g", number * 1000).when(base == "ug", number / 1000).otherwise(number)
@@ -219,8 +237,8 @@ def amount_mg(amount: Column, unit: Column, weight: Column, surface: Column) ->
         F.when(number.isNull(), F.lit("dose_amount_missing"))
         .when(text == "", F.lit("dose_unit_missing"))
         .when(~base.isin("g", "mg", "ug"), F.lit("dose_unit_not_convertible_to_mg"))
-        .when(per_kg & finite(weight).isNull(), F.lit("weight_required_for_weight_normalized_dose"))
-        .when(per_m2 & finite(surface).isNull(), F.lit("bsa_required_for_surface_area_normalized_dose"))
+        .when(per_kg & weight.isNull(), F.lit("weight_required_for_weight_normalized_dose"))
+        .when(per_m2 & surface.isNull(), F.lit("bsa_required_for_surface_area_normalized_dose"))
     )
     scaled = mg * F.when(per_kg, weight).otherwise(F.lit(1.0)) * F.when(per_m2, surface).otherwise(F.lit(1.0))
     assumption = F.when(per_m2, F.lit("surface-area-normalized dose converted with a representative BSA")).when(

@@ -67,11 +67,12 @@ def choose_variant(variants: Column, prediction: Column, variant: str) -> Column
 
 def compare_documents(reference: DataFrame, predictions: DataFrame, keys: Sequence[str], reference_json: str,
                       prediction_json: str, relative: float = config.RELATIVE_TOLERANCE,
-                      absolute: float = config.ABSOLUTE_TOLERANCE) -> DataFrame:
+                      absolute: float = config.ABSOLUTE_TOLERANCE, max_depth: int = 8) -> DataFrame:
     """Differences for every reference document; a missing prediction leaves all leaves 'reference only'."""
     known = predictions.join(reference.select(*keys), list(keys), "left_semi")
     return diff_leaves(
-        leaf_rows(reference, keys, reference_json), leaf_rows(known, keys, prediction_json), keys, relative, absolute
+        leaf_rows(reference, keys, reference_json, max_depth), leaf_rows(known, keys, prediction_json, max_depth), keys,
+        relative, absolute,
     )
 
 

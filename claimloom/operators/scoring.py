@@ -27,7 +27,7 @@ def prediction_index(files: DataFrame, variant: str = "prediction") -> DataFrame
     from claimloom.functions import jsontools as J
     from claimloom.operators import keyed
 
-    readable = files.withColumn("_v", F.try_parse_json("json")).filter(F.col("_v").isNotNull())
+    readable = files.withColumn("_v", J.strict_parse(F.col("json"))).filter(F.col("_v").isNotNull())
     first = keyed.first_per_key(readable, ["id"], ["path"])
     members = J.as_object(F.col("_v"))
     if variant == "prediction":

@@ -133,12 +133,12 @@ def finite_mean(spark, sf):
 
 def triage_rows(t: Tables):
     """Events as scored screening rows: the label is the event type, the probability its value."""
-    p = F.when(F.col("event_type") == "error", F.lit(None)).otherwise(N.clip01(F.round(F.col("value") / 100, 2)))
+    p = F.when(F.col("event_type") == "error", F.lit(None)).otherwise(N.clip01(F.floor("value") / 100.0))
     return t.events.select("event_id", F.col("event_type").isin("purchase", "signup").cast("int").alias("label"), p.alias("probability"))
 
 
 TRIAGE_ROWS = """ev AS (SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS label,
-  CASE WHEN event_type <> 'error' THEN least(greatest(round(value / 100, 2), 0.0::DOUBLE), 1.0::DOUBLE) END AS p FROM events),
+  CASE WHEN event_type <> 'error' THEN least(greatest(floor(value) / 100.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) END AS p FROM events),
 sc AS (SELECT * FROM ev WHERE p IS NOT NULL)"""
 
 
@@ -315,7 +315,7 @@ def tier_recount(spark, sf):
 @query("d26_diff_tally", f"WITH {LEAF_SQL} SELECT s AS status, (SELECT count(*) FROM d WHERE status = s) AS n FROM (SELECT unnest(['Different', 'reference only', 'prediction only', 'Match']) AS s)")
 def diff_tally(spark, sf):
     t = Tables(spark, sf)
-    return jsondiff.status_tally(jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json"))
+    return jsondiff.status_tally(jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", max_depth=4))
 
 
 @query("d27_clinical_status_rollup", f"""
@@ -503,7 +503,7 @@ WITH {LEAF_SQL} SELECT doc_id, pointer, status, CAST(CASE status WHEN 'Different
 """)
 def status_ordering(spark, sf):
     t = Tables(spark, sf)
-    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json")
+    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", max_depth=4)
     return d.select("doc_id", "pointer", "status", "field", jsondiff.status_order(F.col("status")).alias("status_rank")).orderBy("status_rank", "field").drop("field")
 
 
