@@ -114,3 +114,21 @@ def drain(writer: DataStreamWriter, checkpoint: str, timeout_seconds: int = 600)
     if not finished:
         query.stop()
         raise TimeoutError("stream did not drain in time")
+
+
+def to_table(df: DataFrame, mode: str, path: str, timeout_seconds: int = 600) -> DataFrame:
+    """Drain a stream into a table and read it back.
+
+    Every batch writes its own folder (a replay overwrites the same folder).
+    In complete mode each batch holds the whole result, so only the newest
+    folder is read; in append mode all folders are.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    drain(df.writeStream.outputMode(mode).foreachBatch(sink), f"{path}/checkpoint", timeout_seconds)
+    rows = df.sparkSession.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode != "complete":
+        return rows.drop("batch")
+    newest = rows.agg(F.max("batch").alias("b")).first()["b"]
+    return rows.filter(F.col("batch") == newest).drop("batch")
