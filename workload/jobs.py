@@ -1 +1,468 @@
+"""Composite jobs and plug-in points."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom import config
+from claimloom.functions import text as X
+from claimloom.operators import catalogue, corpus, ledger, scoring, triage
+from claimloom.plans import investigation, jobs, lanes, plugins, semantics
+from claimloom.session import scratch_path
+from claimloom.sources import readers, writers
+from workload import fixtures as fx
+from workload.aggregates import AP_SQL, AUC_SQL, QUESTIONS, TRIAGE_ROWS, event_questions, triage_rows
+from workload.registry import Tables, query
+from workload.scalars import response_texts
+from workload.sources import page_bytes
+
+
+@query("i01_heuristic_triage", f"""
+WITH {fx.ARTICLES}, s AS (SELECT a.*, {fx.sql_score("title || ' ' || abstract")} AS score, l.quality, l.toxic FROM articles a LEFT JOIN labels l USING (doc_id)),
+p AS (SELECT *, CASE WHEN toxic = 1 THEN 1.0::DOUBLE WHEN lang = 'es' AND quality IS NULL THEN 0.05::DOUBLE ELSE list_extract([0.08, 0.48, 0.72, 0.88, 0.94]::DOUBLE[], least(CASE WHEN lang = 'es' AND quality IS NULL THEN 0 ELSE score END, 4) + 1) END AS p FROM s)
+SELECT pmid, p AS relevant_probability, round(CASE WHEN toxic = 1 THEN 0.5::DOUBLE ELSE greatest(0.03::DOUBLE, p - 0.25) END, 6) AS recoverable_probability, CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.3 THEN 'intermediate' ELSE 'low' END AS tier,
+  CASE WHEN p >= 0.3 THEN 'first_pass' ELSE 'defer_low' END AS action, CASE WHEN toxic = 1 THEN 'model' ELSE 'heuristic_fallback' END AS method FROM p
+""")
+def heuristic_triage(spark, sf):
+    t = Tables(spark, sf)
+    a = fx.articles(t).join(t.labels, "doc_id", "left").withColumn(
+        "abstract", F.when((F.col("lang") == "es") & F.col("quality").isNull(), F.lit("")).otherwise(F.col("abstract")))
+    scores = t.labels.filter("toxic = 1").select((F.col("doc_id") + 1000000).cast("string").alias("pmid"), F.lit(1.7).alias("relevant_probability"), F.lit(0.5).alias("recoverable_probability"))
+    out = triage.triage(a.select("pmid", "title", "abstract"), fx.WORDS, scores)
+    return out.select("pmid", "relevant_probability", fx.r6("recoverable_probability").alias("recoverable_probability"), "tier", "action", "method")
+
+
+def appendix(t: Tables):
+    d = fx.articles(t).join(t.labels, "doc_id", "left")
+    n = F.col("doc_id").cast("string")
+    citation = F.concat(F.lit("Smith 1999 "), "pmid")
+    bare = F.col("lang") == "es"
+    cells = F.array(
+        citation, F.when(F.col("lang") == "fr", F.lit("5 mg oral")).otherwise(F.lit("IV")), F.lit("two-compartment model"),
+        F.when(bare, F.lit("")).otherwise(F.lit("CL = THETA1 * EXP(ETA1)  V=THETA2")),
+        F.when(bare, F.lit(" ")).otherwise(F.concat(F.lit("THETA1 = "), n, F.lit(" OMEGA1=0.1 SIGMA1 = 0.04"))), F.lit("VPC"))
+    row = F.col("doc_id") + 2
+    models = d.select(F.col("compound").alias("doc"), row.alias("row_no"), cells.alias("cells"))
+    studies = d.filter("quality IS NOT NULL").select(
+        F.col("compound").alias("doc"), row.alias("row_no"),
+        F.array(citation, F.concat(F.lit("Adults N = "), F.col("n_chars").cast("string")), F.lit("popPK"), F.lit(""), F.lit("Tested: age, sex Included: WT")).alias("cells"))
+    metadata = d.filter(F.col("lang") != "de").select("pmid", "title", "abstract")
+    files = t.pages.select(F.concat(F.lit("x/Supplements/S1/"), F.when(F.contains("url", F.lit("/fr/")), F.lit("exclude/3_")).otherwise(F.lit("")), (F.col("page_id") + 1000000).cast("string"), F.lit(".pdf")).alias("path"),
+                           F.sha2("html", 256).alias("sha256"), F.col("page_id").alias("ordinal"))
+    return models, studies, metadata, files
+
+
+@query("i02_corpus_build", f"""
+WITH d AS (SELECT d.*, CAST(d.doc_id + 1000000 AS VARCHAR) AS pmid, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT 'ref_' || source || '_' || pmid || '_m01' AS reference_id, {fx.sql_partition('pmid')} AS partition, CASE WHEN lang = 'es' THEN 'D' ELSE 'C' END AS tier, CASE WHEN lang = 'fr' THEN 'oral' END AS route,
+  CASE WHEN quality IS NOT NULL THEN n_chars::DOUBLE END AS n_subjects, 2 AS compartments, CASE WHEN lang = 'es' THEN NULL ELSE doc_id::DOUBLE END AS theta1, CASE WHEN quality IS NOT NULL THEN 'WT' ELSE '' END AS included,
+  concat_ws(',', CASE WHEN lang = 'de' OR trim(split_part(text, chr(10), 1)) = '' THEN 'publication_title_missing' END, CASE WHEN lang = 'es' THEN 'model_equations_missing' END, CASE WHEN lang = 'es' THEN 'parameter_values_missing' END, CASE WHEN page_id IS NULL THEN 'source_pdf_missing' END) AS issues
+FROM d LEFT JOIN (SELECT DISTINCT page_id FROM pages) p ON p.page_id = d.doc_id
+""")
+def corpus_build(spark, sf):
+    t = Tables(spark, sf)
+    tables = jobs.build_corpus(*appendix(t), prefix="ref")
+    path = jobs.write_corpus({"models": tables["models"], "articles": tables["articles"], "screening": tables["screening"]}, scratch_path(spark, "corpus"))
+    m = spark.read.parquet(f"{path}/models")
+    return m.select("reference_id", "partition", "tier", "route", "n_subjects", "compartments", F.get("parameters.theta", F.lit(0))["typical"].alias("theta1"),
+                    F.array_join("covariates.included", "|").alias("included"), F.array_join("issues", ",").alias("issues"))
+
+
+@query("i03_corpus_validate", f"""
+WITH {fx.MODELS}, v AS (SELECT *, CASE WHEN lang = 'es' THEN 'holdout' ELSE partition END AS part, CASE WHEN toxic = 1 AND quality = 0 THEN 'X' ELSE tier END AS t2, CASE WHEN compound_group = 'src1' THEN 'dup' ELSE reference_id END AS rid, coalesce(quality = 1, false) AS te FROM models)
+SELECT 'error' AS severity, 'required_fields_missing' AS rule, rid AS subject FROM v WHERE lang = 'fr' UNION ALL SELECT 'error', 'invalid_partition', rid FROM v WHERE part = 'holdout'
+UNION ALL SELECT 'error', 'test_is_trainable', rid FROM v WHERE part = 'test' AND te UNION ALL SELECT 'error', 'invalid_tier', rid FROM v WHERE t2 = 'X'
+UNION ALL SELECT 'error', 'article_missing', rid FROM v WHERE quality IS NULL UNION ALL SELECT 'error', 'duplicate_id', rid FROM v GROUP BY rid HAVING count(*) > 1
+UNION ALL SELECT 'error', 'pmid_crosses_partitions', compound_group FROM v GROUP BY compound_group HAVING count(DISTINCT part) > 1 UNION ALL SELECT 'error', 'missing_partition_index', 'test'
+UNION ALL SELECT 'warning', 'source_missing', url FROM pages WHERE contains(url, '/en/') UNION ALL SELECT 'error', 'hash_mismatch', url FROM pages WHERE contains(url, '/fr/')
+""")
+def corpus_validate(spark, sf):
+    t = Tables(spark, sf)
+    m = fx.models(t)
+    keys = F.when(F.col("lang") == "fr", F.lit('{"pmid": 1}')).otherwise(F.lit("{" + ", ".join(f'"{k}": 1' for k in config.MODEL_REQUIRED) + "}"))
+    v = m.select(
+        F.when(F.col("compound_group") == "src1", F.lit("dup")).otherwise(F.col("reference_id")).alias("reference_id"), "article_id", F.col("compound_group").alias("pmid"),
+        F.when(F.col("lang") == "es", F.lit("holdout")).otherwise(F.col("partition")).alias("partition"),
+        F.when((F.col("toxic") == 1) & (F.col("quality") == 0), F.lit("X")).otherwise(F.col("tier")).alias("tier"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("training_eligible"), keys.alias("document"))
+    good = F.sha2("html", 256)
+    hashes = t.pages.select(F.col("url").alias("path"), F.when(F.contains("url", F.lit("/fr/")), F.lit("0")).otherwise(good).alias("expected_sha256"),
+                            F.when(~F.contains("url", F.lit("/en/")), good).alias("actual_sha256"))
+    return corpus.validate(v, m.filter("quality IS NOT NULL").select("article_id"), "1.1.0", ["train", "validation"], hashes)
+
+
+@query("i04_triage_benchmark", f"""
+WITH {TRIAGE_ROWS}, {AUC_SQL}, {AP_SQL},
+pt AS (SELECT count(*) AS expected, count(p) AS found, avg((p - label) * (p - label)) AS brier, -avg(CASE WHEN p IS NOT NULL THEN label * ln(greatest(p, 1e-12::DOUBLE)) + (1 - label) * ln(greatest(1 - p, 1e-12::DOUBLE)) END) AS log_loss FROM ev)
+SELECT expected, found, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision FROM pt, au, ap
+""")
+def triage_benchmark(spark, sf):
+    m = scoring.triage_metrics(triage_rows(Tables(spark, sf)), "event_id")
+    return m.select("expected", "found", *[fx.r6(c).alias(c) for c in ("brier", "log_loss", "auroc", "average_precision")])
+
+
+@query("i05_run_planner", """
+WITH r AS (SELECT *, l_tax <> 0.08 AND l_discount > 0.01 AS fresh FROM lineitem), a AS (SELECT l_orderkey, bool_and(fresh) AS reusable FROM r GROUP BY 1),
+w AS (SELECT a.reusable, r.l_returnflag FROM r JOIN a USING (l_orderkey))
+SELECT count(*) FILTER (WHERE reusable) + count(*) FILTER (WHERE NOT reusable AND l_returnflag <> 'R') AS completed, count(*) FILTER (WHERE NOT reusable AND l_returnflag = 'R') AS failed, count(*) FILTER (WHERE NOT reusable) AS executed, count(*) FILTER (WHERE reusable) AS reused FROM w
+""")
+def run_planner(spark, sf):
+    t = Tables(spark, sf)
+    rid = F.concat_ws("-", *[F.col(k).cast("string") for k in fx.LINE_KEYS])
+    sha = F.sha2(rid, 256)
+    records = t.lineitem.select(rid.alias("record_id"), F.col("l_orderkey").cast("string").alias("article_id"), F.col("l_orderkey").cast("string").alias("pmid"), sha.alias("source_sha256"),
+                                F.lit("a.pdf").alias("pdf_path"), F.col("l_orderkey").alias("ordinal"), F.col("l_extendedprice").alias("target"))
+    env = t.lineitem.filter("l_discount > 0.01").select(rid.alias("record_id"), F.lit("extraction").alias("task"), F.lit("dual").alias("mode"), F.lit("p/m").alias("endpoint"), F.lit("complete").alias("status"),
+                                                        F.when(F.col("l_tax") == 0.08, F.lit("old")).otherwise(sha).alias("source_sha256"))
+    articles = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"), F.col("o_orderpriority").alias("title"), F.lit("").alias("abstract"))
+    plan = jobs.plan_run(records, env, articles, "extraction", "dual", "p/m")
+    answers = t.lineitem.select(rid.alias("record_id"), F.when(F.col("l_returnflag") != "R", F.lit("{}")).alias("prediction"), F.when(F.col("l_returnflag") == "R", F.lit("timeout")).alias("error"))
+    return jobs.run_counts(plan, jobs.run(plan, plugins.stored_responder(answers, "record_id")))
+
+
+@query("i06_lane_decision", """
+WITH f AS (SELECT *, l_returnflag <> 'R' AS ta, l_linestatus = 'F' AS va, l_discount > 0.02 AS tp, l_tax > 0.02 AS vp, l_quantity > 25 AS con, l_linenumber > 3 AS adj, l_quantity > 10 AS ap, l_linenumber = 7 AS mu, l_tax = 0.05 AS gate, l_discount <> 0.05 AS ind FROM lineitem),
+g AS (SELECT *, ta AND va AS c, ta AND va AND NOT tp AND NOT vp AS absent FROM f), h AS (SELECT *, c AND con AS agreed FROM g), k AS (SELECT *, c AND NOT agreed AND NOT absent AND adj AS settled FROM h),
+m AS (SELECT *, CASE WHEN absent OR agreed THEN 'machine_consistent' WHEN settled AND NOT mu THEN 'machine_adjudicated' ELSE 'needs_review' END AS st,
+  CASE WHEN absent THEN false WHEN agreed THEN tp AND vp WHEN settled THEN ap WHEN c AND tp = vp THEN tp WHEN ta AND tp OR va AND vp THEN true END AS mp FROM k)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN (coalesce(mp, false) AND gate) OR (NOT ind AND st <> 'needs_review') THEN 'needs_review' ELSE st END AS status, mp AS model_present, ind AS independence_gate_passed FROM m
+""")
+def lane_decision(spark, sf):
+    ta, va = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
+    tp, vp = F.col("l_discount") > 0.02, F.col("l_tax") > 0.02
+    d = lanes.lane_decision(ta, va, tp, vp, F.col("l_quantity") > 25, F.col("l_linenumber") > 3, F.col("l_quantity") > 10, F.col("l_linenumber") == 7, (ta & tp) | (va & vp),
+                            F.col("l_tax") == 0.05, F.col("l_discount") != 0.05, F.lit("preferred"))
+    return Tables(spark, sf).lineitem.withColumn("d", d).select(*fx.LINE_KEYS, "d.status", "d.model_present", "d.independence_gate_passed")
+
+
+@query("i07_lane_ingest", """
+WITH r AS (SELECT conv_id, turn, role, CASE role WHEN 'system' THEN 'reject' WHEN 'user' THEN 'pass' ELSE 'maybe' END AS verdict FROM conversations)
+SELECT conv_id, turn, role <> 'assistant' AS available, CASE WHEN role = 'assistant' THEN 'response.verdict: outside the enumeration' END AS error,
+  CASE WHEN turn > 3 THEN 'resolved' WHEN role = 'assistant' THEN 'maybe' ELSE verdict END AS verdict, turn > 3 AS adjudicated FROM r
+""")
+def lane_ingest(spark, sf):
+    c = Tables(spark, sf).conversations
+    verdict = F.when(F.col("role") == "system", "reject").when(F.col("role") == "user", "pass").otherwise("maybe")
+    body = F.concat(F.lit('{"verdict": "'), verdict, F.lit('", "confidence": 0.5, "supported_fields": [], "discrepancies": [], "missing_evidence": [], "recommended_status": "draft", "summary": "s"'),
+                    F.when(F.col("turn") > 0, F.lit("}")).otherwise(F.lit(",")))
+    text = F.when(F.col("turn") > 0, body).otherwise(F.concat(F.lit("```json "), F.regexp_replace(body, ",$", ""), F.lit(",}```")))
+    got = lanes.ingest_lane(c.select("conv_id", "turn", text.alias("response")), "response", "assessment")
+    best = got.withColumn("verdict", F.get_json_object("payload", "$.verdict"))
+    resolved = c.filter("turn > 3").select("conv_id", "turn", F.lit(True).alias("available"), F.lit("resolved").alias("verdict"))
+    return lanes.merge_adjudication(best, resolved, ["conv_id", "turn"], "verdict").select("conv_id", "turn", "available", "error", "verdict", "adjudicated")
+
+
+@query("i08_quote_check", """
+WITH q AS (SELECT d.doc_id, d.text, [split_part(d.text, chr(10), 1), 'made up ' || d.doc_id, b.text] AS quotes FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id)
+SELECT doc_id, len(list_filter(quotes, lambda q: q IS NOT NULL AND (q = '' OR NOT contains(text, q)))) AS n_missing FROM q
+""")
+def quote_check(spark, sf):
+    t = Tables(spark, sf)
+    b = t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("passage"))
+    quotes = F.array_compact(F.array(F.get(F.split("text", "\n"), F.lit(0)), F.concat(F.lit("made up "), F.col("doc_id").cast("string")), F.col("passage")))
+    rows = t.documents.join(b, "doc_id", "left").select("doc_id", lanes.quote_check(quotes, F.col("text")).alias("a"))
+    return rows.select("doc_id", F.size("a.missing_evidence").cast("bigint").alias("n_missing"))
+
+
+@query("i09_text_status", """
+SELECT d.doc_id, CASE WHEN lang = 'es' AND l.quality IS NULL THEN 'error_no_text' WHEN l.quality IS NULL THEN 'stub' WHEN lang = 'fr' THEN 'stub' WHEN toxic = 1 THEN 'stub' WHEN n_chars > 2000 THEN 'review' WHEN lang = 'en' THEN 'draft' ELSE 'stub' END AS status
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def text_status(spark, sf):
+    t = Tables(spark, sf)
+    d = t.documents.join(t.labels, "doc_id", "left")
+    s = lanes.text_status(F.when(F.col("lang") == "en", F.lit("text")), F.when(~((F.col("lang") == "es") & F.col("quality").isNull()), F.lit("abstract")), F.col("quality").isNotNull(),
+                          F.when(F.col("lang") == "fr", F.lit("bad json")), F.when(F.col("n_chars") > 2000, F.lit("review")), F.when(F.col("toxic") == 1, F.lit("reject")))
+    return d.select("doc_id", s.alias("status"))
+
+
+@query("i10_publish_version", """
+WITH ex AS (SELECT 'c' || c_custkey AS library_id, CASE WHEN c_nationkey < 5 THEN 'bad' ELSE '1.0.' || c_nationkey END AS ov, CASE WHEN c_mktsegment = 'BUILDING' THEN 'validated' ELSE 'draft' END AS os, c_nationkey FROM customer WHERE c_acctbal > 1000),
+inc AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN '#' ELSE 'c' END || o_custkey AS library_id, CASE o_orderstatus WHEN 'F' THEN 'review' WHEN 'O' THEN 'draft' ELSE CASE WHEN o_totalprice > 300000 THEN 'validated' ELSE 'unknown' END END AS status FROM orders),
+j AS (SELECT inc.*, ov, os, c_nationkey, CASE WHEN status = 'validated' THEN 'status_needs_human_review' WHEN status = 'unknown' THEN 'unknown_status' WHEN os = 'validated' THEN 'validated_entry_protected' WHEN inc.library_id LIKE '#%' THEN 'invalid_id' END AS refusal FROM inc LEFT JOIN ex USING (library_id))
+SELECT o_orderkey, library_id, refusal, CASE WHEN refusal IS NULL THEN CASE WHEN ov IS NULL THEN '1.0.0' WHEN ov = 'bad' THEN '0.0.1' ELSE '1.0.' || (c_nationkey + 1) END END AS version FROM j
+""")
+def publish_version(spark, sf):
+    t = Tables(spark, sf)
+    ex = t.customer.filter("c_acctbal > 1000").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("library_id"), F.when(F.col("c_nationkey") < 5, F.lit("bad")).otherwise(F.concat(F.lit("1.0."), F.col("c_nationkey").cast("string"))).alias("version"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "validated").otherwise("draft").alias("status"))
+    inc = t.orders.select("o_orderkey", F.concat(F.when(F.col("o_orderpriority").startswith("5"), F.lit("#")).otherwise(F.lit("c")), F.col("o_custkey").cast("string")).alias("library_id"),
+                          F.when(F.col("o_orderstatus") == "F", "review").when(F.col("o_orderstatus") == "O", "draft").when(F.col("o_totalprice") > 300000, "validated").otherwise("unknown").alias("status"))
+    return jobs.publish_entries(ex, inc, F.lit("now")).select("o_orderkey", "library_id", "refusal", "version")
+
+
+@query("i11_manifest_validate", f"""
+WITH {fx.ENTRIES} SELECT library_id, concat_ws('|', CASE WHEN population = 'fr' AND quality IS NULL THEN 'missing_fields: title, study' WHEN population = 'fr' THEN 'missing_fields: study' WHEN quality IS NULL THEN 'missing_fields: title' END,
+  CASE WHEN population = 'es' THEN 'invalid_id' END, CASE WHEN status = 'stub' THEN 'unknown_status' END, CASE WHEN toxic = 1 THEN 'confidence_out_of_range' END, CASE WHEN compound = 'src3' THEN 'artifact_missing' END) AS errors FROM entries
+""")
+def manifest_validate(spark, sf):
+    e = fx.entries(Tables(spark, sf))
+    one = F.lit("1")
+    required = {k: one for k in config.MANIFEST_REQUIRED}
+    required["title"] = F.when(F.col("quality").isNotNull(), F.col("title"))
+    required["study"] = F.when(F.col("population") != "fr", one)
+    errors = catalogue.manifest_errors(required, F.when(F.col("population") == "es", F.lit("a b")).otherwise(F.col("library_id")), F.when(F.col("status") == "stub", F.lit("?")).otherwise(F.col("status")),
+                                       F.when(F.col("toxic") == 1, F.lit(1.5)).otherwise(F.col("confidence_overall")), F.col("compound") != "src3")
+    return e.select("library_id", F.array_join(errors, "|").alias("errors"))
+
+
+@query("i12_qualification_gate", """
+WITH x AS (SELECT o_orderkey, o_orderstatus <> 'P' AS valid, o_totalprice / 500000.0::DOUBLE AS conf, o_orderpriority LIKE '1%' AS mapping, o_orderpriority LIKE '2%' AS ctl, o_custkey > 200 AS ev, o_orderpriority NOT LIKE '3%' AS comp,
+  CASE WHEN o_orderpriority LIKE '4%' THEN 2 ELSE 0 END AS cov, o_custkey < 1300 AS sim, o_custkey < 1000 AS fin FROM orders)
+SELECT o_orderkey, concat_ws(',', CASE WHEN NOT valid THEN 'catalogue_schema_invalid' END, CASE WHEN conf < 0.8 THEN 'confidence_below_threshold' END, CASE WHEN mapping THEN 'mapping_review_required' END, CASE WHEN ctl THEN 'control_stream_validation_failed' END,
+  CASE WHEN NOT ev THEN 'evidence_missing' END, CASE WHEN NOT comp THEN 'control_stream_compile_failed' END, CASE WHEN comp AND cov > 0 THEN 'qualification_covariates_unavailable' END, CASE WHEN comp AND cov = 0 AND NOT sim THEN 'simulation_smoke_test_failed' END,
+  CASE WHEN comp AND cov = 0 AND sim AND NOT fin THEN 'non_finite_predictions' END) AS blockers FROM x
+""")
+def qualification_gate(spark, sf):
+    p, k = F.col("o_orderpriority"), F.col("o_custkey")
+    b = catalogue.qualification_blockers(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 500000.0, p.startswith("1"), F.when(p.startswith("2"), F.lit("bad $PK")), k > 200, ~p.startswith("3"),
+                                         F.when(p.startswith("4"), F.lit(2)).otherwise(F.lit(0)), k < 1300, k < 1000)
+    return Tables(spark, sf).orders.select("o_orderkey", F.array_join(b, ",").alias("blockers"))
+
+
+@query("i13_review_decisions", """
+WITH g AS (SELECT c_custkey AS library_id, c_nationkey < 10 AS gen, c_acctbal > 2000 AS ready, c_mktsegment <> 'BUILDING' AS valid FROM customer),
+d AS (SELECT o_custkey AS library_id, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'O' THEN 'review' ELSE 'deprecated' END AS status, CASE WHEN o_orderpriority LIKE '5%' THEN ' ' ELSE o_orderpriority END AS reviewer, o_orderpriority LIKE '1%' AS confirm FROM orders),
+j AS (SELECT d.*, CASE WHEN trim(reviewer) = '' THEN 1 WHEN status = 'validated' AND gen AND NOT confirm THEN 2 WHEN status = 'validated' AND NOT ready THEN 3 WHEN NOT valid THEN 4 END AS refused FROM d JOIN g USING (library_id))
+SELECT library_id, arg_max(status, ord) AS status, arg_max(reviewer, ord) AS reviewer, max(ord) AS updated_at, count(*) AS decisions FROM j WHERE refused IS NULL GROUP BY 1
+""")
+def review_decisions(spark, sf):
+    t = Tables(spark, sf)
+    gates = t.customer.select(F.col("c_custkey").alias("library_id"), (F.col("c_nationkey") < 10).alias("generated_suggestion"), (F.col("c_acctbal") > 2000).alias("gate_ready"), (F.col("c_mktsegment") != "BUILDING").alias("manifest_valid"))
+    p = F.col("o_orderpriority")
+    d = t.orders.select(F.col("o_custkey").alias("library_id"), F.col("o_orderkey").alias("decided_at"), F.when(F.col("o_orderstatus") == "F", "validated").when(F.col("o_orderstatus") == "O", "review").otherwise("deprecated").alias("status"),
+                        F.when(p.startswith("5"), F.lit(" ")).otherwise(p).alias("reviewer"), p.startswith("1").alias("confirm_generated"))
+    return catalogue.fold_reviews(catalogue.review_outcome(d, gates))
+
+
+@query("i14_scoped_qualification", """
+WITH q AS (SELECT CAST(o_custkey AS VARCHAR) AS library_id, CASE WHEN o_orderpriority LIKE '5%' THEN 'k' || o_custkey ELSE 'n' || o_orderkey END AS qid, CASE WHEN o_orderstatus = 'F' THEN 'qualified' WHEN o_orderstatus = 'O' THEN 'candidate' ELSE 'draft' END AS status,
+  o_totalprice > 100000 AS drug, o_totalprice > 150000 AS endp, o_orderpriority NOT LIKE '4%' AS issuer, CASE WHEN o_orderpriority LIKE '3%' THEN 'k' || o_custkey WHEN o_orderpriority LIKE '2%' THEN 'zzz' ELSE '' END AS sup, o_orderkey FROM orders),
+c AS (SELECT CAST(c_custkey AS VARCHAR) AS library_id, c_acctbal > 1000 AS val, c_mktsegment <> 'BUILDING' AS known FROM customer)
+SELECT o_orderkey, CASE WHEN status = 'draft' THEN 'unknown_status' WHEN status = 'qualified' AND NOT drug THEN 'drug_missing' WHEN status = 'qualified' AND NOT endp THEN 'endpoint_missing' WHEN status = 'qualified' AND NOT issuer THEN 'issuer_and_reviewer_required'
+  WHEN status = 'qualified' AND NOT coalesce(val, false) THEN 'entry_not_validated' WHEN qid LIKE 'k%' AND known THEN 'id_exists' WHEN sup <> '' AND NOT (sup LIKE 'k%' AND coalesce(known, false)) THEN 'supersedes_unknown' END AS refusal FROM q LEFT JOIN c USING (library_id)
+""")
+def scoped_qualification(spark, sf):
+    t = Tables(spark, sf)
+    p, k = F.col("o_orderpriority"), F.col("o_custkey").cast("string")
+    one, none = X.literal_array(["x"]), X.literal_array([])
+    known_id = F.concat(F.lit("k"), k)
+    q = t.orders.select(
+        "o_orderkey", k.alias("library_id"), F.when(p.startswith("5"), known_id).otherwise(F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))).alias("qualification_id"),
+        F.when(F.col("o_orderstatus") == "F", "qualified").when(F.col("o_orderstatus") == "O", "candidate").otherwise("draft").alias("status"), F.when(F.col("o_totalprice") > 100000, one).otherwise(none).alias("drugs"),
+        F.when(F.col("o_totalprice") > 150000, one).otherwise(none).alias("endpoints"), F.when(~p.startswith("4"), F.lit("board")).alias("issuer"), F.lit("kim").alias("reviewer"),
+        F.when(p.startswith("3"), known_id).when(p.startswith("2"), F.lit("zzz")).otherwise(F.lit("")).alias("supersedes"))
+    entries = t.customer.select(F.col("c_custkey").cast("string").alias("library_id"), F.when(F.col("c_acctbal") > 1000, "validated").otherwise("draft").alias("entry_status"))
+    known = t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("library_id"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("qualification_id"))
+    return catalogue.qualification_refusal(q, entries, known).select("o_orderkey", "refusal")
+
+
+def part_models(t: Tables):
+    size = F.col("p_size")
+    item = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("double").alias("typical"))
+    theta = F.when(size > 30, F.array(item("KA", size / 10), item("CL", size), item("V", size * 2), item("F1", size))).otherwise(F.array(item("KA", size / 10), item("CL", F.lit(None))))
+    omega = F.array(F.struct(F.lit("iiv").alias("description"), F.lit("CL").alias("parameter"), F.lit(2).alias("eta_index"), F.when(size > 40, "normal").otherwise("log_normal").alias("eta_distribution"), F.lit(None).cast("string").alias("eta_expression"),
+                             F.lit(50.0).alias("reported_value"), F.lit("cv_percent").alias("reported_metric"), F.lit(None).cast("double").alias("value")))
+    sigma = F.array(F.struct(F.lit("prop").alias("description"), F.lit("proportional").alias("error_model"), F.lit(0.2).alias("reported_value"), F.lit("sd").alias("reported_metric"), F.lit(None).cast("double").alias("value")))
+    return t.spread("part").select(
+        "p_partkey", F.col("p_name").alias("title"), F.concat(F.lit("N = "), size.cast("string"), F.when(F.col("p_type") == "PROMO", F.lit(" Weight: 70")).otherwise(F.lit(""))).alias("population"),
+        F.when(F.col("p_type") == "PROMO", F.lit("2 mg/kg every 12 h")).when(F.col("p_type") == "SMALL", F.lit("3 mg/kg at steady-state")).when(F.col("p_type") == "LARGE", F.lit("5 mg infusion")).otherwise(F.lit("10 mg q 2 days")).alias("dose"),
+        F.lit("oral").alias("route"), F.lit("one compartment").alias("description"),
+        F.struct(theta.alias("theta"), omega.cast(semantics.OMEGA).alias("omega"), F.lit(None).cast(semantics.COVARIANCE).alias("omega_covariance"), sigma.cast(semantics.SIGMA).alias("sigma")).cast(semantics.PARAMETERS).alias("parameters"))
+
+
+PLAIN = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '[.]$', '')"
+
+
+def th(value: str, name: str, ok: str) -> str:
+    p = lambda v: PLAIN.format(v)
+    return f"' (' || {p(f'({value}) / 1000')} || ', ' || {p(value)} || ', ' || {p(f'({value}) * 1000')} || ') ; {name}' || CASE WHEN {ok} THEN '' ELSE ' [GENERATED DEFAULT]' END"
+
+
+@query("i15_control_text", f"""
+WITH v AS (SELECT p_partkey, p_name, p_size / 10.0::DOUBLE AS ka, CASE WHEN p_size > 30 THEN p_size::DOUBLE ELSE 5.0::DOUBLE END AS cl, CASE WHEN p_size > 30 THEN p_size * 2.0::DOUBLE ELSE 50.0::DOUBLE END AS vv, p_size > 30 AS f, p_size > 40 AS nrm FROM part)
+SELECT p_partkey, concat_ws(chr(10), '$PROBLEM ' || p_name, '$SUBROUTINES ADVAN2 TRANS2', '$INPUT ID TIME EVID AMT RATE II SS CMT DV MDV', '$DATA literature.csv IGNORE=@', '$THETA', {th('ka', 'KA', 'true')}, {th('cl', 'CL', 'f')}, {th('vv', 'V', 'f')},
+  '$OMEGA', ' 0.1', ' ' || CASE WHEN nrm THEN {PLAIN.format('(cl * 0.5::DOUBLE) * (cl * 0.5::DOUBLE)')} ELSE {PLAIN.format('ln(1.25::DOUBLE)')} END, ' 0.1', '$SIGMA', ' 0.04', '$PK', 'KA = THETA(1) * exp(ETA(1))', 'CL = THETA(2)' || CASE WHEN nrm THEN ' + ETA(2)' ELSE ' * exp(ETA(2))' END,
+  'V = THETA(3) * exp(ETA(3))', 'S2 = V', '$ERROR', 'Y = F * (1 + ERR(1))', '; Generated defaults are modelling suggestions, not reported publication values.', '; REVIEW REQUIRED: defaults used for ' || CASE WHEN f THEN '' ELSE 'CL, V, ' END || 'OMEGA(1), OMEGA(3)',
+  CASE WHEN f THEN '; REVIEW REQUIRED: unmapped THETA values: F1' END) AS control FROM v
+""")
+def control_text(spark, sf):
+    return semantics.map_models(semantics.enrich(part_models(Tables(spark, sf)))).select("p_partkey", "control")
+
+
+@query("i16_reproduction_plan", """
+SELECT p_partkey, concat_ws(',', CASE p_type WHEN 'SMALL' THEN 'weight_required_for_weight_normalized_dose' END, CASE p_type WHEN 'SMALL' THEN 'steady_state_interval_missing' END, CASE p_type WHEN 'LARGE' THEN 'infusion_duration_missing' END, 'generated_parameter_defaults_present') AS blockers,
+  false AS eligible, false AS scorable, CASE p_type WHEN 'PROMO' THEN 140.0::DOUBLE WHEN 'SMALL' THEN NULL WHEN 'LARGE' THEN 5.0::DOUBLE ELSE 10.0::DOUBLE END AS amount_mg, least(p_size, 100) AS plan_subjects, 49 AS n_times, CASE p_type WHEN 'PROMO' THEN 12.0::DOUBLE WHEN 'SMALL' THEN 24.0::DOUBLE WHEN 'LARGE' THEN 24.0::DOUBLE ELSE 48.0::DOUBLE END AS horizon FROM part
+""")
+def reproduction_plan(spark, sf):
+    m = semantics.reproduction_plan(semantics.map_models(semantics.enrich(part_models(Tables(spark, sf)))))
+    return m.select("p_partkey", F.array_join("blockers", ",").alias("blockers"), "eligible", "scorable", "amount_mg", "plan_subjects", F.size("times").alias("n_times"), F.element_at("times", -1).alias("horizon"))
+
+
+@query("i17_investigation")
+def investigate(spark, sf):
+    """Topics, one review and up to two gap rounds with stored answers; the ledger lines are the answers."""
+    t = Tables(spark, sf)
+    c = fx.claims(t).select("doc_id", "seq", "id", "domain", "field", "value", "unit", "status", "model_stage", "source_locator", "evidence", "confidence", "stage", "dependencies", "alternatives")
+    q = event_questions(t)
+    none = lambda df: df.filter(F.lit(False))
+    contradictions = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), F.lit("theta").alias("stage"), F.lit("minor").alias("severity"), F.lit(False).alias("resolved"))
+    resolved = t.events.filter("value < 40").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("theta::q"), F.col("event_id").cast("string")).alias("question_id"))
+
+    def respond(kind, request):
+        if kind == "investigate":
+            return {"claims": c, "questions": q, "contradictions": contradictions, "resolved": resolved}
+        if kind == "gap":
+            found = request.groupBy("doc_id").agg(F.count("*").alias("n"))
+            more = found.join(c.filter("domain = 'theta'"), "doc_id", "left_semi").select("doc_id")
+            extra = c.join(more, "doc_id", "left_semi").withColumn("seq", F.col("seq") + 10**12).withColumn("stage", F.lit("gap"))
+            return {"claims": extra, "questions": none(q), "contradictions": none(contradictions), "resolved": none(resolved)}
+        verdicts = request.filter("status = 'derived'").select("doc_id", "claim_id", F.lit("contradicted").alias("verdict"), F.lit("fixed").alias("corrected_value"), F.lit("p1").alias("source_locator"),
+                                                               F.lit("table").alias("evidence"), F.lit("r").alias("reason"))
+        reviews = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("seq"), (F.col("o_orderstatus") != "P").alias("overall_ready"))
+        return {"verdicts": verdicts, "reviews": reviews, "questions": none(q).select("doc_id", "field", "question", "search_terms")}
+
+    out = investigation.investigate(t.spread("documents").select("doc_id", "text"), "text", respond, rounds=1)
+    return out["gate"].select("doc_id", fx.r6("coverage_fraction").alias("coverage_fraction"), "conflicts", "claims_without_evidence", "urgent_questions", "review_ready", "ready")
+
+
+@query("i18_batch_process", """
+WITH w AS (SELECT page_id, url, contains(url, 'page=') AS haspdf, contains(url, 'www.') AS decided, CASE WHEN contains(url, '/en/') THEN 'machine_consistent' WHEN contains(url, '/fr/') THEN 'needs_review' ELSE NULL END AS st, length(html) > 2000 AS mp, contains(url, 'http:') AS err FROM pages)
+SELECT page_id, CASE WHEN NOT haspdf THEN 'awaiting_pdf' WHEN decided THEN 'needs_review' WHEN err OR st IS NULL THEN 'failed' WHEN NOT mp AND st = 'machine_consistent' THEN 'excluded_no_model' ELSE st END AS status, decided AND haspdf AS reused,
+  CASE WHEN haspdf AND NOT decided AND NOT err AND mp THEN CASE WHEN st = 'needs_review' THEN 'review' ELSE st END END AS publish_status FROM w
+""")
+def batch_process(spark, sf):
+    t = Tables(spark, sf)
+    n, sha = F.col("page_id").cast("string").alias("pmid"), F.sha2("html", 256).alias("source_sha256")
+    has = lambda s: F.contains("url", F.lit(s))
+    work = t.pages.select(n, sha, has("page=").alias("has_pdf"))
+    decisions = t.pages.filter(has("www.")).select(n, sha, F.lit("evidence").alias("pipeline"), F.lit(config.PROMPT_VERSION).alias("pipeline_version"), F.lit("needs_review").alias("status"), F.lit(1).alias("decided_at"))
+    results = t.pages.select(n, F.when(has("/en/"), "machine_consistent").when(has("/fr/"), "needs_review").alias("status"), (F.length("html") > 2000).alias("model_present"), F.when(has("http:"), F.lit("timeout")).alias("error"))
+    out = jobs.process_batch(work, decisions, results, "evidence")
+    return out.select(F.col("pmid").cast("bigint").alias("page_id"), "status", "reused", "publish_status")
+
+
+@query("i19_training_export", f"""
+WITH {fx.MODELS}, r AS (SELECT *, CASE WHEN tier NOT IN ('A', 'B') THEN 'tier_not_selected' WHEN NOT training_eligible THEN 'not_training_eligible' WHEN lang = 'es' THEN 'source_pdf_missing' WHEN lang = 'fr' THEN 'source_pdf_not_found' ELSE '' END AS reason FROM models WHERE partition <> 'test'),
+p AS (SELECT reference_id, unnest(string_split(abstract, chr(10))) AS p, generate_subscripts(string_split(abstract, chr(10)), 1) AS no FROM r WHERE reason = ''),
+j AS (SELECT reference_id, regexp_replace(string_agg('[PAGE ' || no || ']' || chr(10) || regexp_replace(p, '[ \\t]+', ' ', 'g'), chr(10) || chr(10) ORDER BY no), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM p GROUP BY 1)
+SELECT r.reference_id, r.partition, reason, md5('=== METADATA ===' || chr(10) || 'PMID: ' || pmid || chr(10) || 'Title: ' || title || chr(10) || 'DOI: ' || chr(10) || 'Abstract: ' || title || chr(10) || chr(10) || '=== ARTICLE TEXT ===' || chr(10) || j.text) AS user_md5
+FROM r LEFT JOIN j USING (reference_id)
+""")
+def training_export(spark, sf):
+    m = fx.models(Tables(spark, sf))
+    path = F.when(F.col("lang") != "es", F.col("reference_id"))
+    rows = m.select("reference_id", "pmid", "title", F.col("title").alias("abstract"), "partition", "tier", "training_eligible", path.alias("pdf_path"), F.lit("{}").alias("target_json"))
+    texts = m.filter(F.col("lang").isin("en", "de")).select(F.col("reference_id").alias("pdf_path"), F.split("abstract", "\n").alias("pages"))
+    c = jobs.extraction_export(rows, texts, ["train", "validation"], ["A", "B"], "system")
+    return c.select("reference_id", "partition", "reason", F.md5(F.get("example.messages", F.lit(1))["content"]).alias("user_md5"))
+
+
+@query("i20_triage_target", """
+SELECT doc_id, quality::DOUBLE AS relevant_probability, CASE WHEN toxic = 0 THEN quality::DOUBLE ELSE 0.0::DOUBLE END AS recoverable_probability, CASE WHEN quality = 1 THEN 'other' ELSE '' END AS categories,
+  CASE WHEN quality = 1 THEN 'Reference review included a recoverable pharmacometric model.' ELSE 'Reference exclusion: ' || CASE WHEN toxic = 1 THEN 'no_model' ELSE 'not relevant' END END AS rationale FROM labels
+""")
+def triage_target(spark, sf):
+    q, x = F.col("quality") == 1, F.col("toxic") == 1
+    rows = Tables(spark, sf).labels.select("doc_id", triage.triage_target(q, q & ~x, F.when(x, F.lit("no_model"))).alias("t"))
+    return rows.select("doc_id", "t.relevant_probability", "t.recoverable_probability", F.array_join("t.model_categories", ",").alias("categories"), "t.rationale")
+
+
+@query("i21_gap_terms", f"""
+WITH {QUESTIONS}, u AS (SELECT doc_id, field, question, event_type FROM qs WHERE event_type = 'error' UNION ALL SELECT doc_id, field, question, event_type FROM qs WHERE value > 50)
+SELECT DISTINCT doc_id, unnest([field, question, event_type, 'table']) AS term FROM u
+""")
+def gap_terms(spark, sf):
+    q = event_questions(Tables(spark, sf))
+    review = q.filter(F.col("field") == "ERROR").select("doc_id", "field", "question", "search_terms")
+    return investigation.gap_terms(q, review)
+
+
+@query("i22_topic_dictionary", " UNION ALL ".join(
+    "SELECT '" + topic + "' AS topic, count(*) AS n_documents, coalesce(CAST(sum(doc_id) AS BIGINT), 0) AS id_sum FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{k}')" for k in words)
+    for topic, words in config.TOPICS.items()))
+def topic_dictionary(spark, sf):
+    d = Tables(spark, sf).documents
+    flags = {topic: X.keyword_score("text", words) > 0 for topic, words in config.TOPICS.items()}
+    one = d.agg(*[F.count_if(f).alias(f"n_{t}") for t, f in flags.items()], *[F.coalesce(F.sum(F.when(f, F.col("doc_id"))), F.lit(0)).alias(f"s_{t}") for t, f in flags.items()])
+    return one.select(F.inline(X.rows_array(["topic", "n_documents", "id_sum"], *[[t, F.col(f"n_{t}"), F.col(f"s_{t}")] for t in flags])))
+
+
+@query("i23_probe_events", """
+SELECT p_partkey, t.time AS "time", t.evid AS evid, t.amt AS amt, t.evid AS mdv, CASE WHEN t.evid = 1 THEN CASE WHEN p_size > 25 THEN 2 ELSE 1 END ELSE CASE WHEN p_type = 'PROMO' THEN 3 WHEN p_size > 25 THEN 2 ELSE 1 END END AS cmt
+FROM part, (VALUES (0.0::DOUBLE, 1, 100.0::DOUBLE), (0.5, 0, 0), (1.0, 0, 0), (2.0, 0, 0), (4.0, 0, 0), (8.0, 0, 0), (24.0, 0, 0)) AS t(time, evid, amt)
+""")
+def probe_events(spark, sf):
+    m = Tables(spark, sf).part.select("p_partkey", F.when(F.col("p_size") > 25, F.lit(2)).alias("dosecmp"), F.when(F.col("p_type") == "PROMO", F.lit(3)).alias("obscmp"))
+    return catalogue.probe_events(m, "dosecmp", "obscmp").select("p_partkey", "time", "evid", "amt", "mdv", "cmt")
+
+
+@query("i24_corrections_load", """
+SELECT 'ref_' || l_orderkey AS reference_id, '/theta/' || l_linenumber AS pointer, CASE l_returnflag WHEN 'A' THEN 'custom' ELSE 'prediction' END AS source, '{"v": "' || l_linestatus || '"}' AS value_json, count(*) AS n FROM lineitem GROUP BY ALL
+""")
+def corrections_load(spark, sf):
+    rows = Tables(spark, sf).lineitem.select(
+        F.concat(F.lit("ref_"), F.col("l_orderkey").cast("string")).alias("reference_id"), F.concat(F.lit("/theta/"), F.col("l_linenumber").cast("string")).alias("pointer"),
+        F.when(F.col("l_returnflag") == "A", "custom").otherwise("prediction").alias("source"), F.concat(F.lit('{"v": "'), "l_linestatus", F.lit('"}')).alias("value_json"))
+    path = writers.csv(rows, scratch_path(spark, "corrections"))
+    c = corpus.check_corrections(readers.manifest_csv(spark, path, "reference_id string, pointer string, source string, value_json string"))
+    return c.groupBy(*c.columns).agg(F.count("*").alias("n"))
+
+
+@query("i25_stage_audit", """
+SELECT user_id AS doc_id, event_type AS stage, CASE WHEN value > 50 THEN 'indexing' ELSE '' END AS role, '' AS provider, '' AS model, round(value, 6) AS elapsed_seconds, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS retry_count, event_type = 'view' AS cached, '' AS cache_path, event_id FROM events
+""".replace(", event_id FROM events", " FROM events"))
+def stage_audit(spark, sf):
+    none = F.lit(None).cast("string")
+    e = F.col("event_type")
+    rows = Tables(spark, sf).events.select(F.col("user_id").alias("doc_id"), e.alias("stage"), F.when(F.col("value") > 50, F.lit("indexing")).alias("role"), none.alias("provider"), none.alias("model"), F.col("value").alias("elapsed_seconds"),
+                                           F.when(e == "error", F.lit(2)).alias("retry_count"), F.when(e == "view", F.lit(True)).alias("cached"), none.alias("cache_path"))
+    return ledger.stage_audit(rows).withColumn("elapsed_seconds", fx.r6("elapsed_seconds"))
+
+
+# ---------------------------------------------------------------- plug-ins
+
+
+@query("k01_stored_responder", "SELECT d.doc_id, c.text IS NOT NULL AS answered, md5(c.text) AS answer_md5 FROM documents d LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) c ON c.conv_id = d.doc_id")
+def stored_responder(spark, sf):
+    t = Tables(spark, sf)
+    stored = t.conversations.filter("turn = 1").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("answer"))
+    out = plugins.stored_responder(stored, "doc_id")(t.documents.select("doc_id"))
+    return out.select("doc_id", F.col("answer").isNotNull().alias("answered"), F.md5("answer").alias("answer_md5"))
+
+
+def split_paragraphs(_doc: int, content: bytes) -> list[str]:
+    return content.decode("utf-8").split("<p")
+
+
+@query("k02_parser_runner", """
+WITH s AS (SELECT page_id, CASE WHEN contains(url, '/en/') THEN '%PDF-' || html ELSE html END AS h FROM pages)
+SELECT page_id AS doc_id, CAST(n AS INTEGER) AS page_no, md5(p) AS text_md5 FROM (SELECT page_id, unnest(string_split(h, '<p')) AS p, generate_subscripts(string_split(h, '<p'), 1) AS n FROM s)
+""")
+def parser_runner(spark, sf):
+    docs = Tables(spark, sf).pages.select(F.col("page_id").alias("doc_id"), page_bytes().alias("content"))
+    return plugins.run_parser(docs, split_paragraphs).select("doc_id", "page_no", F.md5("text").alias("text_md5"))
+
+
+@query("k03_structured_retry", """
+WITH a AS (SELECT conv_id, turn + 1 AS attempt, role = 'assistant' AND (turn < 2 OR turn >= 4) AS bad, CASE WHEN turn < 2 THEN 'a value was truncated' ELSE 'no JSON object or array found' END AS err, '{"turn": ' || turn || ', "items": [1, 2]}' AS val FROM conversations WHERE turn < 4)
+SELECT conv_id, bool_or(NOT bad) AS ok, arg_min(val, attempt) FILTER (WHERE NOT bad) AS value, coalesce(min(attempt) FILTER (WHERE NOT bad), max(attempt)) - 1 AS retry_count, CASE WHEN NOT bool_or(NOT bad) THEN arg_max(err, attempt) END AS error FROM a GROUP BY 1
+""")
+def structured_retry(spark, sf):
+    attempts = response_texts(Tables(spark, sf)).select("conv_id", (F.col("turn") + 1).alias("attempt"), "response")
+    return plugins.first_valid_attempt(attempts, ["conv_id"])
+
+
+@query("k04_typed_job_envelope", """
+WITH j AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'parse' WHEN 'click' THEN 'assess' WHEN 'signup' THEN 'adjudicate' WHEN 'purchase' THEN 'triage' ELSE 'mine' END AS task, user_id < 75 AS pdf, value > 30 AS confirmed, value > 60 AS extraction, value > 70 AS comparison FROM events)
+SELECT event_id, task, CASE WHEN task = 'mine' THEN 'unknown_task' WHEN pdf AND NOT confirmed THEN 'transfer_not_confirmed' WHEN task IN ('parse', 'adjudicate') AND NOT pdf THEN 'pdf_required' WHEN task = 'assess' AND NOT extraction THEN 'extraction_required'
+  WHEN task = 'adjudicate' AND NOT comparison THEN 'comparison_required' END AS refusal FROM j
+""")
+def typed_job_envelope(spark, sf):
+    e, v = F.col("event_type"), F.col("value")
+    task = F.when(e == "view", "parse").when(e == "click", "assess").when(e == "signup", "adjudicate").when(e == "purchase", "triage").otherwise("mine")
+    rows = Tables(spark, sf).events.select("event_id", task.alias("task"), "user_id", "value")
+    yes = F.lit(True)
+    return rows.select("event_id", "task", plugins.job_refusal(F.col("task"), F.col("user_id") < 75, F.lit(False), v > 60, yes, yes, v > 70, v > 30).alias("refusal"))
+
 
