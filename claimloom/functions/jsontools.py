@@ -98,27 +98,34 @@ def dotted_get(document: Column, path: str) -> Column:
 
 
 def _children(entry: Column) -> Column:
-    node, pointer, label = entry["node"], entry["pointer"], entry["label"]
-    members = F.transform(
-        F.map_entries(as_object(node)),
-        lambda m: F.struct(
-            F.concat(pointer, F.lit("/"), escape_token(m["key"])).alias("pointer"),
-            F.when(label == "", m["key"]).otherwise(F.concat(label, F.lit("."), m["key"])).alias("label"),
-            m["value"].alias("node"),
-        ),
-    )
-    items = F.transform(
-        as_array(node),
-        lambda v, i: F.struct(
-            F.concat(pointer, F.lit("/"), i.cast("string")).alias("pointer"),
-            F.concat(label, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("label"),
-            v.alias("node"),
-        ),
-    )
-    shape = F.schema_of_variant(node)
-    return F.when(shape.startswith("OBJECT<") & (shape != "OBJECT<>"), members).when(
-        shape.startswith("ARRAY<") & (F.size(as_array(node)) > 0), items
-    )
+    """Child entries of a non-empty container, null for anything else."""
+    pointer, label = entry["pointer"], entry["label"]
+
+    def members(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.transform(
+            F.map_entries(found),
+            lambda m: F.struct(
+                F.concat(pointer, F.lit("/"), escape_token(m["key"])).alias("pointer"),
+                F.when(label == "", m["key"]).otherwise(F.concat(label, F.lit("."), m["key"])).alias("label"),
+                m["value"].alias("node"),
+            ),
+        ))
+
+    def items(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.transform(
+            found,
+            lambda v, i: F.struct(
+                F.concat(pointer, F.lit("/"), i.cast("string")).alias("pointer"),
+                F.concat(label, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("label"),
+                v.alias("node"),
+            ),
+        ))
+
+    return F.coalesce(X.let(as_object(entry["node"]), members), X.let(as_array(entry["node"]), items))
+
+
+def _has_children(entry: Column) -> Column:
+    return F.coalesce((F.size(as_object(entry["node"])) > 0) | (F.size(as_array(entry["node"])) > 0), F.lit(False))
 
 
 def leaves(document: Column, max_depth: int = 8) -> Column:
@@ -133,7 +140,7 @@ def leaves(document: Column, max_depth: int = 8) -> Column:
         level = F.flatten(F.transform(level, lambda e: F.coalesce(_children(e), F.array(e))))
 
     def finish(found: Column) -> Column:
-        deeper = F.exists(found, lambda e: _children(e).isNotNull())
+        deeper = F.exists(found, _has_children)
         kept = F.filter(found, lambda e: (e["pointer"] != "") | ~kind_of(e["node"]).isin("object", "array"))
         named = F.transform(
             kept,
@@ -313,16 +320,27 @@ def conformance_error(node: Column, spec: dict, path: Column | None = None) -> C
     """The first way a node breaks its contract, as text; NULL when it conforms or is absent.
 
     ``spec`` is one of the typed contracts in :mod:`claimloom.schemas`; the
-    walk over it happens once, when the expression is built.
+    walk over it happens once, when the expression is built.  A node's kind,
+    members and items are read once per row.
     """
     where = F.lit("response") if path is None else path
-    kind = kind_of(node)
-
-    def fault(message: str, at: Column = where) -> Column:
-        return F.concat(at, F.lit(": " + message))
-
     types = spec.get("type", [])
     types = [types] if isinstance(types, str) else list(types)
+    facts = [kind_of(node).alias("kind"), node.alias("node")]
+    if "object" in types:
+        facts.append(as_object(node).alias("members"))
+    if "array" in types:
+        facts.append(as_array(node).alias("items"))
+    found = X.let(F.struct(*facts), lambda f: _first_fault(f, spec, types, where))
+    return F.when(node.isNotNull(), found)
+
+
+def _first_fault(f: Column, spec: dict, types: list[str], where: Column) -> Column:
+    node, kind = f["node"], f["kind"]
+
+    def fault(message: str) -> Column:
+        return F.concat(where, F.lit(": " + message))
+
     ok = F.lit(False)
     for wanted in types:
         ok = ok | _type_ok(node, kind, wanted)
@@ -336,7 +354,7 @@ def conformance_error(node: Column, spec: dict, path: Column | None = None) -> C
     if "maximum" in spec:
         checks.append(F.when(number_of(node) > spec["maximum"], fault("above maximum")))
     if "object" in types:
-        members = as_object(node)
+        members = f["members"]
         for name in spec.get("required", []):
             checks.append(F.when((kind == "object") & ~F.map_contains_key(members, F.lit(name)),
                                  fault(f"missing required field {name}")))
@@ -349,7 +367,7 @@ def conformance_error(node: Column, spec: dict, path: Column | None = None) -> C
             checks.append(conformance_error(F.try_element_at(members, F.lit(name)), child,
                                             F.concat(where, F.lit("." + name))))
     if "array" in types:
-        items = as_array(node)
+        items = f["items"]
         if "maxItems" in spec:
             checks.append(F.when(F.size(items) > spec["maxItems"], fault("too many items")))
         if "items" in spec:
@@ -361,5 +379,4 @@ def conformance_error(node: Column, spec: dict, path: Column | None = None) -> C
                 ),
             )
             checks.append(F.get(F.array_compact(faults), F.lit(0)))
-    result = F.coalesce(*checks) if len(checks) > 1 else checks[0]
-    return F.when(node.isNotNull() & ((kind != "null") | F.lit("null" not in types)), result)
+    return F.coalesce(*checks) if len(checks) > 1 else checks[0]

@@ -62,9 +62,10 @@ def compound_code(value: Column | str) -> Column:
 
 
 def metric_name(value: Column | str, default: str = "unknown") -> Column:
-    name = F.regexp_replace(F.lower(F.trim(coalesce_blank(value, default))), "[^a-z0-9]+", "_")
-    name = F.regexp_replace(name, "^_|_$", "")
-    return F.when(name == "", F.lit(default)).otherwise(name)
+    text = F.lower(F.trim(coalesce_blank(value, default)))
+    name = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "_"), "^_|_$", "")
+    # names that are clean already, which is the common case, need one test and no rewriting
+    return F.when(text.rlike("^[a-z0-9]+(?:_[a-z0-9]+)*$"), text).otherwise(F.coalesce(F.nullif(name, F.lit("")), F.lit(default)))
 
 
 def strip_pmc(value: Column | str) -> Column:

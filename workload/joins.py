@@ -564,7 +564,7 @@ def template_mapping(spark, sf):
     item = lambda n, v: F.struct(n.alias("name"), v.cast("double").alias("typical"))
     theta = F.array(item(F.lit("ka x"), F.col("p_retailprice")), item(F.col("p_type"), F.when(size > 25, F.lit(-1.0)).otherwise(size)), item(F.lit(""), F.lit(None)),
                     item(F.lit("Q/F"), F.lit(3.0)), item(F.lit("S"), F.lit(4.5)))
-    m = semantics.map_template(t.part.withColumns({"theta": theta, "code": code}), F.col("theta"), F.col("code"), F.lit(None).cast("int"))
+    m = semantics.map_template(t.spread("part").withColumns({"theta": theta, "code": code}), F.col("theta"), F.col("code"), F.lit(None).cast("int"))
     return m.select("p_partkey", "mapping.advan", "mapping.trans", F.size("mapping.unmapped").alias("n_unmapped"), "mapping.structure_inferred",
                     F.inline("mapping.slots")).withColumn("value", fx.r6("value"))
 

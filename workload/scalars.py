@@ -336,7 +336,7 @@ def claim_equality(spark, sf):
     text_a = F.when(n, F.lit(" Two  Words")).when(r, F.lit("  "))
     text_b = F.when(n, F.when(F.col("l_tax") < 0.05, F.lit("two words ")).otherwise(F.lit("twowords"))).when(r & (F.col("l_discount") > 0), F.lit("x"))
     equal = claims.claims_equal(text_a, F.when(a, price), text_b, F.when(a, price * (1 + F.col("l_tax") - 0.04)))
-    return Tables(spark, sf).lineitem.select(*fx.LINE_KEYS, equal.alias("is_equal"))
+    return Tables(spark, sf).spread("lineitem").select(*fx.LINE_KEYS, equal.alias("is_equal"))
 
 
 @query("h32_claim_impact", f"""
@@ -446,7 +446,7 @@ def omega_variance(spark, sf):
     raw = F.when(n >= 5, F.col("l_quantity")).otherwise(F.col("l_discount"))
     dist = F.when(n == 3, "log-normal").when(n == 4, "normal")
     v = N.omega_variance(none, raw, metric, dist, F.lit(None).cast("string"), F.col("l_quantity"))
-    rows = Tables(spark, sf).lineitem.withColumn("v", v)
+    rows = Tables(spark, sf).spread("lineitem").withColumn("v", v)
     return rows.select(*fx.LINE_KEYS, R6("v.value").alias("value"), "v.supported", "v.review")
 
 
@@ -457,7 +457,7 @@ def sigma_variance(spark, sf):
     n = F.col("l_linenumber")
     metric = F.when(n == 1, "variance").when(n == 2, "sd").when(n == 3, "cv_fraction").when(n == 4, "cv percent").otherwise("unknown")
     v = N.sigma_variance(F.when(n == 4, F.col("l_quantity")).otherwise(F.when(n == 5, F.lit(-1.0)).otherwise(F.col("l_tax"))), F.lit(None).cast("double"), metric)
-    return Tables(spark, sf).lineitem.withColumn("v", v).select(*fx.LINE_KEYS, R6("v.value").alias("value"), "v.supported")
+    return Tables(spark, sf).spread("lineitem").withColumn("v", v).select(*fx.LINE_KEYS, R6("v.value").alias("value"), "v.supported")
 
 
 @query("h46_covariance", """
@@ -469,7 +469,7 @@ def covariance(spark, sf):
     raw = F.when(f == "N", F.col("l_quantity")).otherwise(F.col("l_discount"))
     metric = F.when(f.isin("A", "N"), "correlation").when(F.col("l_linestatus") == "F", "covariance").otherwise("unknown")
     v = N.covariance_value(raw, F.lit(None).cast("double"), metric, F.col("l_quantity"), F.col("l_tax"))
-    return Tables(spark, sf).lineitem.withColumn("v", v).select(*fx.LINE_KEYS, R6("v.value").alias("value"), "v.supported")
+    return Tables(spark, sf).spread("lineitem").withColumn("v", v).select(*fx.LINE_KEYS, R6("v.value").alias("value"), "v.supported")
 
 
 @query("h47_dose_to_mg", """
@@ -480,7 +480,7 @@ def dose_to_mg(spark, sf):
     n = F.col("l_linenumber")
     unit = F.when(n == 1, "mg").when(n == 2, " G ").when(n == 3, "mcg / kg").when(n == 4, "mg/m2").when(n == 5, "tablet").when(n == 7, "mg")
     a = N.amount_mg(F.when(n < 7, F.col("l_quantity")), unit, F.when(F.col("l_tax") > 0, F.lit(80.0)), F.lit(1.8))
-    return Tables(spark, sf).lineitem.withColumn("a", a).select(*fx.LINE_KEYS, R6("a.value").alias("amount"), "a.blocker")
+    return Tables(spark, sf).spread("lineitem").withColumn("a", a).select(*fx.LINE_KEYS, R6("a.value").alias("amount"), "a.blocker")
 
 
 @query("h48_duration_to_hours", """
@@ -532,7 +532,7 @@ SELECT event_id, unnest(['/k', '/a~1b/list/0/x', '/a~1b/list/1', '/a~1b/list/2',
   unnest([k, '"' || event_type || '"', '[]', 'null', '{}', k]) AS value_json FROM e
 """)
 def json_flatten(spark, sf):
-    rows = Tables(spark, sf).events.select("event_id", F.inline(J.leaves(F.parse_json(nested_json()), 5)))
+    rows = Tables(spark, sf).spread("events").select("event_id", F.inline(J.leaves(F.parse_json(nested_json()), 5)))
     return rows.select("event_id", "pointer", "label", F.to_json("node").alias("value_json"))
 
 
@@ -540,7 +540,7 @@ def json_flatten(spark, sf):
 SELECT event_id, '"' || event_type || '"' AS deep, json_extract_string(props, '$.k') AS k, true AS absent FROM events
 """)
 def pointer_get(spark, sf):
-    rows = Tables(spark, sf).events.select("event_id", F.parse_json(nested_json()).alias("v"))
+    rows = Tables(spark, sf).spread("events").select("event_id", F.parse_json(nested_json()).alias("v"))
     get = lambda p: F.to_json(J.pointer_get(F.col("v"), F.lit(p)))
     return rows.select("event_id", get("/a~1b/list/0/x").alias("deep"), get("/p/k").alias("k"), J.pointer_get(F.col("v"), F.lit("/a~1b/list/9/x")).isNull().alias("absent"))
 
@@ -576,7 +576,7 @@ def leaf_equality(spark, sf):
     price = F.floor("o_totalprice")
     s = F.col("o_orderstatus")
     root = F.lit("/x")
-    return Tables(spark, sf).orders.select(
+    return Tables(spark, sf).spread("orders").select(
         "o_orderkey", J.nodes_equal(v(F.lit('"CBZ"')), v(F.when(s == "F", F.lit('"carbamazepine"')).otherwise(F.lit('"vpa"'))), F.lit("/compound")).alias("same_compound"),
         J.nodes_equal(v(F.lit('"Two Words"')), v(F.when(s != "O", F.lit('" two-WORDS!"')).otherwise(F.lit('"two"'))), root).alias("same_text"),
         J.nodes_equal(v(price.cast("string")), v((price * 1.04).cast("string")), root).alias("same_number"),
@@ -617,7 +617,7 @@ def payload_conformance(spark, sf):
     q = F.concat(F.lit('{"id": "q", "field": "'), "event_type", F.lit('", "priority": "'), F.when(F.col("event_type") == "click", F.lit("soon")).otherwise(F.lit("high")), F.lit('"'),
                  F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit(', "question": "why"')), F.lit(', "search_terms": ["a", '),
                  F.when(F.col("event_type") == "signup", F.lit("1")).otherwise(F.lit('"b"')), F.lit("]"), F.when(F.col("event_type") == "purchase", F.lit(', "extra": 1')).otherwise(F.lit("")), F.lit("}"))
-    return Tables(spark, sf).events.select("event_id", J.conformance_error(F.parse_json(q), schemas.CONTRACTS["question"]).alias("error"))
+    return Tables(spark, sf).spread("events").select("event_id", J.conformance_error(F.parse_json(q), schemas.CONTRACTS["question"]).alias("error"))
 
 
 @query("h60_deep_merge", """

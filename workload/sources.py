@@ -218,7 +218,7 @@ def prediction_index(spark, sf):
         .when(s == "F", F.lit('{"prediction":null,"extraction":{"e":1}}'))
         .otherwise(F.lit('{"prediction": '))
     )
-    files = t.lineitem.select(F.col("l_orderkey").cast("string").alias("id"), path.alias("path"), json.alias("json"))
+    files = t.spread("lineitem").select(F.col("l_orderkey").cast("string").alias("id"), path.alias("path"), json.alias("json"))
     return scoring.prediction_index(files)
 
 
