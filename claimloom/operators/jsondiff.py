@@ -10,44 +10,65 @@ from pyspark.sql import functions as F
 from claimloom import config
 from claimloom.functions import jsontools as J
 from claimloom.functions import numbers as N
+from claimloom.functions import text as X
 
 MISSING = "—"
 
 
 def leaf_rows(df: DataFrame, keys: Sequence[str], json_col: str, max_depth: int = 8) -> DataFrame:
-    """(keys, pointer, label, node): one row per leaf, exploded inside the task."""
-    return df.select(*keys, F.inline(J.leaves(F.parse_json(F.col(json_col)), max_depth)))
+    """(keys, pointer, label, kind, text, number, json): one row per leaf, exploded inside the task.
+
+    The leaf is split into plain columns here, once, so that the join moves no
+    VARIANT and the comparison runs on primitive values.
+    """
+    rows = df.select(*keys, F.inline(J.leaves(F.parse_json(F.col(json_col)), max_depth)))
+    kinds = rows.select(*keys, "pointer", "label", "node", J.kind_of(F.col("node")).alias("kind"))
+    return kinds.select(
+        *keys, "pointer", "label", "kind",
+        F.when(F.col("kind") == "string", J.text_of(F.col("node"))).alias("text"),
+        F.when(F.col("kind") == "number", F.try_variant_get("node", "$", "double")).alias("number"),
+        F.to_json("node").alias("json"),
+    )
 
 
 def diff_leaves(reference: DataFrame, prediction: DataFrame, keys: Sequence[str],
                 relative: float = config.RELATIVE_TOLERANCE, absolute: float = config.ABSOLUTE_TOLERANCE) -> DataFrame:
     """Full outer join of leaves on (keys, pointer), with a status, display values and the percent delta."""
-    left = reference.select(*keys, "pointer", F.col("label").alias("label_l"), F.col("node").alias("node_l"),
-                            F.lit(True).alias("in_l"))
-    right = prediction.select(*keys, "pointer", F.col("label").alias("label_r"), F.col("node").alias("node_r"),
-                              F.lit(True).alias("in_r"))
+    fields = ("label", "kind", "text", "number", "json")
+    left = reference.select(*keys, "pointer", *[F.col(f).alias(f"{f}_l") for f in fields])
+    right = prediction.select(*keys, "pointer", *[F.col(f).alias(f"{f}_r") for f in fields])
     both = left.join(right, [*keys, "pointer"], "full_outer")
-    equal = J.nodes_equal(F.col("node_l"), F.col("node_r"), F.col("pointer"), relative, absolute)
+    in_l, in_r = F.col("kind_l").isNotNull(), F.col("kind_r").isNotNull()
+    kinds = (F.col("kind_l"), F.col("kind_r"))
+    same_kind = kinds[0] == kinds[1]
+    equal = (
+        F.when(~same_kind, F.lit(False))
+        .when(kinds[0] == "number", N.numeric_close(F.col("number_l"), F.col("number_r"), relative, absolute))
+        .when((kinds[0] == "string") & (F.col("pointer") == "/compound"),
+              X.compound_code("text_l") == X.compound_code("text_r"))
+        .when(kinds[0] == "string", (F.col("text_l") == F.col("text_r")) | (X.normalise("text_l") == X.normalise("text_r")))
+        .otherwise(F.col("json_l") == F.col("json_r"))
+    )
     status = (
-        F.when(F.col("in_l").isNull(), F.lit("prediction only"))
-        .when(F.col("in_r").isNull(), F.lit("reference only"))
-        .when(equal, F.lit("Match"))
-        .otherwise(F.lit("Different"))
+        F.when(~in_l, F.lit("prediction only")).when(~in_r, F.lit("reference only"))
+        .when(equal, F.lit("Match")).otherwise(F.lit("Different"))
     )
 
-    def shown(flag: str, node: str) -> Column:
-        return F.when(F.col(flag), J.display_node(F.col(node))).otherwise(F.lit(MISSING))
+    def shown(side: str) -> Column:
+        return F.when(F.col(f"kind_{side}").isNull(), F.lit(MISSING)).otherwise(
+            X.display_value(F.coalesce(F.col(f"text_{side}"), F.col(f"json_{side}")))
+        )
 
     return both.select(
         *keys,
         "pointer",
         F.coalesce("label_l", "label_r").alias("field"),
-        shown("in_l", "node_l").alias("reference_value"),
-        shown("in_r", "node_r").alias("prediction_value"),
-        N.percent_delta(J.number_of(F.col("node_l")), J.number_of(F.col("node_r"))).alias("delta_percent"),
+        shown("l").alias("reference_value"),
+        shown("r").alias("prediction_value"),
+        N.percent_delta(F.col("number_l"), F.col("number_r")).alias("delta_percent"),
         status.alias("status"),
-        F.when(F.col("in_l"), F.to_json("node_l")).alias("reference_json"),
-        F.when(F.col("in_r"), F.to_json("node_r")).alias("prediction_json"),
+        F.col("json_l").alias("reference_json"),
+        F.col("json_r").alias("prediction_json"),
     )
 
 

@@ -27,8 +27,9 @@ def prediction_index(files: DataFrame, variant: str = "prediction") -> DataFrame
     from claimloom.functions import jsontools as J
     from claimloom.operators import keyed
 
-    readable = files.withColumn("_v", J.strict_parse(F.col("json"))).filter(F.col("_v").isNotNull())
-    first = keyed.first_per_key(readable, ["id"], ["path"])
+    # the text travels, not the parsed value: only one document per id is parsed after the choice
+    readable = files.filter(J.strict_parse(F.col("json")).isNotNull())
+    first = keyed.first_per_key(readable, ["id"], ["path"]).withColumn("_v", J.strict_parse(F.col("json")))
     members = J.as_object(F.col("_v"))
     if variant == "prediction":
         node = (
