@@ -207,38 +207,46 @@ def merge_objects(base: Column, update: Column, depth: int = 2) -> Column:
 # ---------------------------------------------------------------- repair
 
 
-@F.pandas_udf(T.StringType())
-def _set_pointer(documents: pd.Series, pointers: pd.Series, values: pd.Series) -> pd.Series:
-    def assign(current, tokens, value):
-        if not tokens:
-            return value
-        head, rest = tokens[0], tokens[1:]
-        is_list = isinstance(current, list) or (isinstance(current, dict) and not current)
-        if is_list and head.isdigit():
-            items = list(current) if isinstance(current, list) else []
-            items += [None] * (int(head) + 1 - len(items))
-            items[int(head)] = assign(items[int(head)], rest, value)
-            return items
-        members = dict(current) if isinstance(current, dict) else {}
-        members[head] = assign(members.get(head), rest, value)
-        return members
-
-    out = []
-    for document, pointer, value in zip(documents, pointers, values):
-        if document is None or pointer is None or value is None:
-            out.append(document)
-            continue
+def _assign(current, tokens, value):
+    if not tokens:
+        return value
+    head, rest = tokens[0], tokens[1:]
+    is_list = isinstance(current, list) or (isinstance(current, dict) and not current)
+    if is_list and head.isdigit():
+        items = list(current) if isinstance(current, list) else []
+        items += [None] * (int(head) + 1 - len(items))
+        items[int(head)] = _assign(items[int(head)], rest, value)
+        return items
+    members = dict(current) if isinstance(current, dict) else {}
+    members[head] = _assign(members.get(head), rest, value)
+    return members
+
+
+def _patched(document: str | None, pointers, values) -> str | None:
+    if document is None or pointers is None or values is None:
+        return document
+    body = json.loads(document)
+    for pointer, value in zip(pointers, values):
         if pointer and not pointer.startswith("/"):
             raise ValueError("a JSON pointer must start with '/'")
         tokens = [t.replace("~1", "/").replace("~0", "~") for t in pointer.split("/")[1:]]
-        out.append(json.dumps(assign(json.loads(document), tokens, json.loads(value)), separators=(",", ":"),
-                              ensure_ascii=False))
-    return pd.Series(out)
+        body = _assign(body, tokens, json.loads(value))
+    return json.dumps(body, separators=(",", ":"), ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def _set_pointers(documents: pd.Series, pointers: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([_patched(*row) for row in zip(documents, pointers, values)], dtype=object)
 
 
 def pointer_set(document: Column, pointer: Column, value_json: Column) -> Column:
     """Replace, create or extend at a pointer.  Apply to corrected rows only."""
-    return _set_pointer(document, pointer, value_json)
+    return pointer_set_all(document, F.array(pointer), F.array(value_json))
+
+
+def pointer_set_all(document: Column, pointers: Column, values_json: Column) -> Column:
+    """Several assignments in order: two arrays of the same length."""
+    return _set_pointers(document, pointers, values_json)
 
 
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```\s*$", re.IGNORECASE)

@@ -12,6 +12,7 @@ from claimloom.functions import numbers as N
 from claimloom.functions import parsing as P
 from claimloom.functions import text as X
 from claimloom.operators import keyed
+from claimloom.session import cut_lineage
 
 
 def appendix_rows(table: DataFrame, low: int = 5, high: int = 9) -> DataFrame:
@@ -222,24 +223,31 @@ def apply_decisions(models: DataFrame, decisions: DataFrame, curator: str) -> Da
     )
 
 
-def apply_corrections(models: DataFrame, corrections: DataFrame, document: str) -> DataFrame:
-    """Set corrected values in the target document, one correction per model at a time in order.
+def apply_corrections(models: DataFrame, corrections: DataFrame, document: str, batch: int = 500) -> DataFrame:
+    """Set corrected values in the target document, in order.
 
-    Only corrected models pass through Python; the others keep their document untouched.
+    Corrections of a model are applied up to ``batch`` at a time, so no row
+    carries more than that many; a model with more takes further rounds.  Only
+    corrected models pass through Python; the others keep their document untouched.
     corrections: (reference_id, seq, pointer, value_json) with seq = 1, 2, ... per model.
     """
     from claimloom.functions import jsontools as J
 
+    numbered = corrections.withColumn("_round", F.floor((F.col("seq") - 1) / batch))
+    last = numbered.agg(F.max("_round").alias("n")).first()["n"]
     out = models
-    rounds = corrections.agg(F.max("seq").alias("n")).first()["n"] or 0
-    for number in range(1, int(rounds) + 1):
-        step = corrections.filter(F.col("seq") == number).select(
-            "reference_id", F.col("pointer").alias("_pointer"), F.col("value_json").alias("_value")
+    for number in range(0, -1 if last is None else int(last) + 1):
+        step = numbered.filter(F.col("_round") == number).groupBy("reference_id").agg(
+            F.sort_array(F.collect_list(F.struct("seq", "pointer", "value_json"))).alias("_fixes")
         )
+        pointers = F.transform("_fixes", lambda f: f["pointer"])
+        values = F.transform("_fixes", lambda f: f["value_json"])
         hit = out.join(step, "reference_id").withColumn(
-            document, J.pointer_set(F.col(document), F.col("_pointer"), F.col("_value"))
+            document, J.pointer_set_all(F.col(document), pointers, values)
         ).select(*out.columns)
         out = out.join(step.select("reference_id"), "reference_id", "left_anti").select(*out.columns).unionByName(hit)
+        if number:
+            out = cut_lineage(out)
     return out
 
 

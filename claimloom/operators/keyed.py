@@ -95,22 +95,24 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFr
     return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")})
 
 
-def set_digest(df: DataFrame, value: str, width: int = 2) -> DataFrame:
+def set_digest(df: DataFrame, value: str, width: int = 6) -> DataFrame:
     """One order-free sha256 over the distinct non-blank hashes of a column.
 
-    Hashes are grouped by their first ``width`` hex digits, each group is
-    digested on its own, and the group digests (at most 16^width) are digested
-    again.  Raise ``width`` as the number of sources grows.
+    The hashes form a tree by their hex prefix: groups of one ``width``-digit
+    prefix are digested first, then groups of at most 256 digests per level, up
+    to the root.  No row ever holds more than one small group, whatever the
+    number of hashes; raise ``width`` by two when groups at the leaves grow.
     """
-    distinct = df.select(F.col(value).alias("_h")).filter(F.coalesce(F.col("_h") != "", F.lit(False))).distinct()
-    groups = distinct.groupBy(F.substring("_h", 1, width).alias("_p")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_d"), F.count("*").alias("_n")
-    )
-    return groups.agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda g: g["_d"]), ""), 256)
-        .alias("digest"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_hashes"),
+    level = df.select(F.col(value).alias("_h")).filter(F.coalesce(F.col("_h") != "", F.lit(False))).distinct().select(
+        F.col("_h").alias("_p"), F.col("_h").alias("_d"), F.lit(1).cast("bigint").alias("_n")
     )
+    for digits in range(width, -1, -2):
+        level = level.groupBy(F.substring("_p", 1, digits).alias("_q")).agg(
+            F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda g: g["_d"]), ""), 256)
+            .alias("_d"),
+            F.sum("_n").alias("_n"),
+        ).withColumnRenamed("_q", "_p")
+    return level.select(F.col("_d").alias("digest"), F.col("_n").alias("n_hashes"))
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimloom import config
 from claimloom.functions import jsontools as J
 from claimloom.functions import text as X
+from claimloom.operators import keyed
 from claimloom.schemas import CONTRACTS
 
 
@@ -82,16 +83,14 @@ def dispatch(jobs: DataFrame, task: str) -> DataFrame:
     return jobs.filter((F.col("task") == task) & F.col("refusal").isNull())
 
 
-def message_text(messages: DataFrame, keys: list[str], order: str, most: int = 1000) -> DataFrame:
+def message_text(messages: DataFrame, keys: list[str], order: str, most: int = 500) -> DataFrame:
     """Role messages of a request as one text: text blocks kept, images as [image].
 
-    A request holds few messages by contract; more than ``most`` is an error, not a cut.
+    A request holds few messages by contract.  At most ``most`` + 1 rows per
+    request are kept before they are gathered; a longer request is an error, not a cut.
     """
-    counted = messages.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.sort_array(F.collect_list(F.struct(order, "content"))).alias("_m")
-    )
+    first = keyed.top_per_key(messages.select(*keys, order, "content"), keys, [order], most + 1)
+    gathered = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "content"))).alias("_m"))
     text = F.array_join(F.transform("_m", lambda m: X.coalesce_blank(m["content"], "[image]")), "\n\n")
-    return counted.select(*keys, F.when(F.col("_n") <= most, text).otherwise(
+    return gathered.select(*keys, F.when(F.size("_m") <= most, text).otherwise(
         F.raise_error(F.lit("too many messages in one request")).cast("string")).alias("text"))
-
-

@@ -15,7 +15,7 @@ def test_names_and_sql_cover_the_inventory():
     ids = {re.match(r"([a-k]\d\d)_", name).group(1) for name in queries}
     for letter, last in {"a": 30, "b": 14, "c": 30, "d": 30, "e": 9, "f": 8, "g": 10, "h": 66, "i": 25, "j": 6, "k": 4}.items():
         assert {f"{letter}{n:02d}" for n in range(1, last + 1)} <= ids
-    assert sorted(set(queries) - set(sql)) == ["f04_compact_ledger", "i17_investigation"]
+    assert sorted(set(queries) - set(sql)) == ["i17_investigation"]
 
 
 def test_flagship_runs(spark):

@@ -88,8 +88,10 @@ def partition_ids(spark, sf):
 
 @query("d07_source_hash_digest", """
 WITH h AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text <> '' UNION SELECT DISTINCT sha256(html) FROM pages),
-g AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
-SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_hashes FROM g
+l6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1),
+l4 AS (SELECT substr(p, 1, 4) AS q, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l6 GROUP BY 1),
+l2 AS (SELECT substr(q, 1, 2) AS p, sha256(string_agg(d, '' ORDER BY q)) AS d, sum(n) AS n FROM l4 GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_hashes FROM l2
 """)
 def source_hash_digest(spark, sf):
     t = Tables(spark, sf)
@@ -491,7 +493,17 @@ def best_lane(spark, sf):
     return Tables(spark, sf).lineitem.select(*fx.LINE_KEYS, claims.best_lane(F.col("l_linestatus") == "F", a, F.col("l_returnflag") != "R", b).alias("lane"))
 
 
-@query("f04_compact_ledger")
+@query("f04_compact_ledger", f"""
+WITH RECURSIVE {fx.CLAIMS},
+j AS (SELECT domain AS doc_id, seq, confidence, length('{{"claim_id":"theta::' || seq || '","domain":"' || domain || '","field":"' || field || '","value":"' || value || '","status":"' || status || '","model_stage":"' || model_stage
+  || '","source_locator":"' || source_locator || '","evidence":"' || evidence || '","confidence":' || CAST(confidence AS VARCHAR) || ',"dependencies":["' || dependency || '"],"alternatives":[]}}') AS len FROM claims),
+r AS (SELECT doc_id, row_number() OVER w AS k, sum(len + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, len FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, seq)),
+n AS (SELECT doc_id, count(*) AS n FROM j GROUP BY 1),
+s AS (SELECT n.doc_id, n.n, n.n AS k FROM n UNION ALL
+  SELECT s.doc_id, s.n, greatest(12, CAST(floor(s.k * 0.85::DOUBLE) AS BIGINT)) FROM s JOIN r ON r.doc_id = s.doc_id AND r.k = s.k WHERE s.k > 12 AND r.cum + length(CAST(s.n - s.k AS VARCHAR)) + 60 > 24000),
+z AS (SELECT doc_id, n, min(k) AS kept FROM s GROUP BY 1, 2)
+SELECT z.doc_id, n AS n_claims, CAST(kept AS INTEGER) AS kept, n - kept AS omitted_claim_count, CAST(r.cum + 1 AS INTEGER) AS n_chars FROM z JOIN r ON r.doc_id = z.doc_id AND r.k = z.kept
+""")
 def compact_ledger(spark, sf):
     c = fx.claims(Tables(spark, sf)).withColumn("doc_id", F.col("domain")).withColumns(
         {"claim_id": F.concat(F.lit("theta::"), F.col("seq").cast("string")), "superseded_by": F.lit(None).cast("string")})

@@ -40,6 +40,16 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
 
 
+def instant(ts: str) -> Column:
+    """A zone-free timestamp read as UTC, as the event time streams need."""
+    return F.timestamp_micros(micros(ts))
+
+
+def utc_text(ts: str, pattern: str) -> Column:
+    """An instant as UTC text, whatever the session zone is."""
+    return F.date_format(F.expr(f"timestampadd(MICROSECOND, unix_micros({ts}), TIMESTAMP_NTZ '1970-01-01 00:00:00')"), pattern)
+
+
 # ---------------------------------------------------------------- articles (documents)
 
 

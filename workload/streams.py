@@ -15,7 +15,7 @@ def table_stream(spark, sf, name):
     schema = getattr(Tables(spark, sf), name).schema
     # a pattern, so that the table may be one file or a folder of files
     rows = streams.file_stream(spark, f"{sf.rstrip('/')}/{name}.parque[t]", schema)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+    return rows.withColumn("ts", fx.instant("ts")) if "ts" in rows.columns else rows
 
 
 @query("j01_arriving_triage", f"""
@@ -48,7 +48,7 @@ def inbox_completion(spark, sf):
     done = streams.inbox_completion(requests, arrivals, "user_id", "1 day", "1 DAY")
     rows = streams.to_table(done, "append", scratch_path(spark, "inbox"))
     # how many pending rows have come out depends on the watermark; completed ones never do
-    return rows.filter("status = 'complete'").select("request_id", F.date_format("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived"), "status")
+    return rows.filter("status = 'complete'").select("request_id", fx.utc_text("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived"), "status")
 
 
 @query("j04_progress_state", f"WITH {PROGRESS} SELECT job, channel, round(value, 6) AS value, status FROM last")
@@ -66,7 +66,7 @@ SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS
 """)
 def attempt_counters(spark, sf):
     rows = streams.to_table(streams.attempt_counters(table_stream(spark, sf, "events"), "user_id"), "complete", scratch_path(spark, "attempts"))
-    return rows.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "attempts", F.date_format("first_at", "HH:mm:ss").alias("first_at"), F.date_format("last_at", "HH:mm:ss").alias("last_at"))
+    return rows.select("user_id", fx.utc_text("window_start", "yyyy-MM-dd").alias("day"), "attempts", fx.utc_text("first_at", "HH:mm:ss").alias("first_at"), fx.utc_text("last_at", "HH:mm:ss").alias("last_at"))
 
 
 @query("j06_activity_windows", """
@@ -75,7 +75,7 @@ SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H') AS
 def activity_windows(spark, sf):
     ev = table_stream(spark, sf, "events").select("ts", "event_type", "value")
     rows = streams.to_table(streams.activity_windows(ev, ["event_type"], size="6 hours"), "complete", scratch_path(spark, "windows"))
-    return rows.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "n_events", F.round("total_value", 2).alias("total_value"))
+    return rows.select("event_type", fx.utc_text("window_start", "yyyy-MM-dd HH").alias("start"), "n_events", F.round("total_value", 2).alias("total_value"))
 
 
 @query("j06_sliding_windows", """
@@ -85,7 +85,7 @@ SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts) - to_hours(back), '
 def sliding_windows(spark, sf):
     ev = table_stream(spark, sf, "events").select("ts", "event_type", "value")
     rows = streams.to_table(streams.activity_windows(ev, ["event_type"], size="12 hours", slide="6 hours"), "complete", scratch_path(spark, "sliding"))
-    return rows.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "n_events", F.round("total_value", 2).alias("total_value"))
+    return rows.select("event_type", fx.utc_text("window_start", "yyyy-MM-dd HH").alias("start"), "n_events", F.round("total_value", 2).alias("total_value"))
 
 
 @query("j06_sessions", """
@@ -96,4 +96,4 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n
 def sessions(spark, sf):
     ev = table_stream(spark, sf, "events").select("ts", "user_id", "value")
     rows = streams.to_table(streams.sessions(ev, "user_id"), "complete", scratch_path(spark, "sessions"))
-    return rows.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_events", F.round("total_value", 2).alias("total_value"))
+    return rows.select("user_id", fx.utc_text("session_start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_events", F.round("total_value", 2).alias("total_value"))
