@@ -184,8 +184,8 @@ def triage_metrics(rows: DataFrame, tie: str, threshold: float = config.INTERMED
     point = triage_point_metrics(clean, threshold)
     area = ranking.auroc(clean, "label", "probability").select("auroc")
     precision = ranking.average_precision(clean, "label", "probability", tie)
-    one = F.lit(1).alias("_one")  # three one-row tables, side by side
-    return point.select("*", one).join(area.select("*", one), "_one").join(precision.select("*", one), "_one").drop("_one")
+    stacked = point.unionByName(area, allowMissingColumns=True).unionByName(precision, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])  # three one-row tables as one row
 
 
 def reusable_articles(envelopes: DataFrame, sources: DataFrame, task: str, mode: str, endpoint: str) -> DataFrame:

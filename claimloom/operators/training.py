@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -68,9 +69,14 @@ def triage_prompt(pmid: Column, title: Column, abstract: Column) -> Column:
     )
 
 
-def extraction_prompt(pmid: Column, title: Column, doi: Column, abstract: Column, text: Column, supplement: Column) -> Column:
-    """Metadata, an optional supplement and the article text, in this order."""
+def extraction_prompt(pmid: Column, title: Column, doi: Column, abstract: Column, text: Column, supplement: Column,
+                      contract: dict | None = None) -> Column:
+    """The contract when given, metadata, an optional supplement and the article text, in this order."""
+    head = "" if contract is None else (
+        "Extract the reported pharmacometric model. JSON schema:\n" + json.dumps(contract, indent=2) + "\n\n"
+    )
     return F.concat(
+        F.lit(head),
         F.lit("=== METADATA ===\nPMID: "), X.coalesce_blank(pmid), F.lit("\nTitle: "), X.coalesce_blank(title),
         F.lit("\nDOI: "), X.coalesce_blank(doi), F.lit("\nAbstract: "), X.coalesce_blank(abstract), F.lit("\n\n"),
         F.when(X.coalesce_blank(supplement) != "",

@@ -101,9 +101,9 @@ def run_counts(plan: DataFrame, envelopes: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "complete").alias("completed"), F.count_if(F.col("status") == "error").alias("failed"),
         F.count("*").alias("executed"),
     )
-    one = F.lit(1).alias("_one")  # one row each, side by side
-    both = made.select("*", one).join(reused.select("*", one), "_one").drop("_one")
-    return both.withColumn("completed", F.col("completed") + F.col("reused"))
+    stacked = made.unionByName(reused, allowMissingColumns=True)  # two one-row tables as one row
+    total = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    return total.withColumn("completed", F.col("completed") + F.col("reused"))
 
 
 # ---------------------------------------------------------------- training export

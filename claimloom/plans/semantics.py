@@ -36,23 +36,36 @@ def with_fields(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def _kept(df: DataFrame, name: str, computed: Column, there: Column | None = None) -> Column:
+    """A structured value that is there already stays; otherwise the computed one is used."""
+    if name not in df.columns:
+        return computed
+    return F.when(there if there is not None else F.col(name).isNotNull(), F.col(name)).otherwise(computed)
+
+
 def enrich(df: DataFrame) -> DataFrame:
     """Population cohorts, dosing, canonical structure and model code; reported values are kept.
 
-    Legacy fields stay; advan, trans and compartments are filled only when missing.
+    Legacy fields stay; advan, trans and compartments are filled only when
+    missing.  Structured population_details, dosing, canonical and
+    implementation columns (as this function makes them) pass through.
     """
     base = with_fields(df)
     theta = F.coalesce(F.col("parameters.theta"), F.array().cast(THETA))
     names = F.transform(theta, lambda p: X.coalesce_blank(p["name"]))
+    cohorts = F.col("population_details.cohorts").isNotNull() if "population_details" in df.columns else None
     step = base.withColumns({
-        "population_details": P.population("population", F.col("n_subjects")),
+        "population_details": _kept(df, "population_details", P.population("population", F.col("n_subjects")), cohorts),
         "_regimen": P.regimen("dose", F.col("route")),
-        "canonical": P.canonical_structure(F.col("description"), F.col("compartments"), F.col("route"), names),
+        "canonical": _kept(df, "canonical", P.canonical_structure(
+            F.col("description"), F.col("compartments"), F.col("route"), names)),
     })
-    step = step.withColumn("implementation", P.implementation(F.col("canonical"), F.col("route"), F.col("advan"), F.col("trans")))
+    inferred = P.implementation(F.col("canonical"), F.col("route"), F.col("advan"), F.col("trans"))
+    step = step.withColumn("implementation", _kept(df, "implementation", inferred))
+    regimens = F.array_compact(F.array("_regimen"))
     return step.withColumns({
         "n_subjects": F.coalesce(F.col("population_details.n_total"), F.col("n_subjects")),
-        "dosing": F.array_compact(F.array("_regimen")),
+        "dosing": _kept(df, "dosing", regimens, F.size("dosing") > 0 if "dosing" in df.columns else None),
         "advan": F.coalesce("advan", F.col("implementation.advan")),
         "trans": F.coalesce("trans", F.col("implementation.trans")),
         "compartments": F.coalesce("compartments", F.col("canonical.compartments")),

@@ -158,3 +158,40 @@ def test_files_round_trip(spark):
     spark.createDataFrame([('{"library_id": "e1", "model": {"advan": 2}}',), ("{broken",)], "value string").write.text(text)
     rows = readers.catalogue_manifests(spark, text).select("library_id", "_corrupt_record").collect()
     assert {(r[0], r[1]) for r in rows} == {("e1", None), (None, "{broken")}
+
+
+def test_enrichment_is_idempotent_and_keeps_structured_values(spark):
+    df = spark.sql("select 1 as id, 'Young N = 4 Age: 30' as population, '5 mg q 8 h' as dose, 'oral' as route, 'two compartment' as description")
+    once = semantics.enrich(df)
+    twice = semantics.enrich(once)
+    assert once.select(*semantics.EXTRACTION_COLUMNS).first() == twice.select(*semantics.EXTRACTION_COLUMNS).first()
+    changed = semantics.enrich(once.withColumn("population", F.lit("N = 99")))
+    assert changed.first()["population_details"]["n_total"] == 4 and changed.first()["advan"] == 4
+
+
+def test_plan_and_events(spark):
+    from claimloom.operators import reproduction
+
+    df = spark.sql("select 1 as id, 'N: 12 WT: 70 kg' as population, '2 mg/kg every 12 h' as dose, 'oral' as route, 'one-compartment' as description")
+    plan = semantics.reproduction_plan(semantics.map_models(semantics.enrich(df)), allow_defaults=True)
+    row = plan.first()
+    assert row["eligible"] and row["amount_mg"] == 140 and row["plan_subjects"] == 12 and not row["scorable"] and row["covariate_values"] == {"WT": 70.0}
+    blocked = semantics.reproduction_plan(semantics.map_models(semantics.enrich(df))).first()
+    assert blocked["blockers"] == ["generated_parameter_defaults_present"]
+    ev = plan.select("id", "advan", "amount_mg", F.lit(False).alias("steady_state"), F.lit("bolus").alias("administration"), F.lit(2).alias("repetitions"), F.lit(12.0).alias("interval_hours"), F.lit(None).cast("double").alias("duration_hours"), "times")
+    rows = reproduction.event_rows(ev, ["id"], F.lit(3)).collect()
+    assert len(rows) == 3 * (2 + 49) and {r["TIME"] for r in rows if r["EVID"] == 1} == {0.0, 12.0} and {r["CMT"] for r in rows if r["EVID"] == 0} == {2}
+
+
+def test_missing_subject_count_plans_a_hundred(spark):
+    from claimloom.operators import reproduction
+
+    rows = spark.createDataFrame([(None,), (500.0,), (7.0,)], "n double").select(reproduction.plan_subjects(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [100, 100, 7]
+
+
+def test_many_corrections_need_several_rounds(spark):
+    m = spark.createDataFrame([("r1", "{}"), ("r2", "{}")], "reference_id string, target string")
+    c = spark.createDataFrame([("r1", i + 1, f"/k{i % 3}", str(i)) for i in range(25)], "reference_id string, seq int, pointer string, value_json string")
+    got = {r["reference_id"]: json.loads(r["target"]) for r in corpus.apply_corrections(m, c, "target", batch=10).collect()}
+    assert got == {"r1": {"k0": 24, "k1": 22, "k2": 23}, "r2": {}}

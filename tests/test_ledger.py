@@ -104,3 +104,21 @@ def test_cached_stages_are_reused(spark):
     cache = spark.createDataFrame([("f1", True, "{}"), ("f2", False, "{}")], "fingerprint string, valid boolean, result string")
     reused, missing = ledger.split_cached(req, cache)
     assert [r["doc_id"] for r in reused.collect()] == [1] and sorted(r["doc_id"] for r in missing.collect()) == [2, 3]
+
+
+def test_gap_search_scores_every_term_list(spark):
+    from claimloom.plans import investigation
+
+    docs = spark.createDataFrame([(1, "alpha beta " * 60 + "x" * 900 + " gamma gamma omega "), (2, "nothing")], "doc_id int, text string")
+    terms = spark.createDataFrame([(1, t) for t in ["gamma", "Omega", "zeta", "none", "at all"]], "doc_id int, term string")
+    one = investigation.gap_requests(docs, "text", terms, 1).collect()
+    split = investigation.gap_requests(docs, "text", terms, 1, batch=1).collect()
+    assert one == split and one[0]["score"] == 3.25 and "omega" in one[0]["chunk_text"]
+
+
+def test_topic_requests_use_one_pass(spark):
+    from claimloom.plans import investigation
+
+    docs = spark.createDataFrame([(1, "the clearance and the dose " * 300)], "doc_id int, text string")
+    rows = investigation.topic_requests(docs, "text", {"a": ["clearance"], "b": ["dose", "zzz"]}, 1).collect()
+    assert {r["topic"] for r in rows} == {"a", "b"} and all(r["score"] > 100 for r in rows)
