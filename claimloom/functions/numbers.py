@@ -162,7 +162,7 @@ def _omega_variance(raw: Column, kind: Column, dist: Column, scale: Column) -> C
     )
     supported = F.coalesce(value >= 0, F.lit(False))
     note = (
-        F.when(raw.isNull() | (raw < 0), F.lit("No usable variability value was reported."))
+        F.when(raw.isNull() | (raw < 0), F.lit(config.NO_VARIABILITY))
         .when(kind == "variance", F.lit("used reported variance"))
         .when(kind == "sd", F.lit("squared the reported standard deviation"))
         .when(kind == "approximate_cv_percent", F.lit("used (CV/100)^2 as explicitly reported"))
@@ -291,6 +291,6 @@ def population_total(counts: Column, supplied: Column) -> Column:
     return F.struct(
         F.when(several, total).otherwise(F.coalesce(finite(supplied), F.get(sizes, F.lit(0)).cast("double")))
         .alias("n_total"),
-        F.when(several, F.lit("Total N is the sum of separately reported cohorts; overlap was not reported."))
+        F.when(several, F.lit(config.SUMMED_POPULATION))
         .alias("assumption"),
     )

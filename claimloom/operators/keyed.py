@@ -37,33 +37,40 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return out if rank else out.drop(name)
 
 
-def with_blocks(df: DataFrame, order: str, name: str = "_block", blocks: int | None = None) -> DataFrame:
-    """Number the quantile block of a numeric column; blocks keep its order and equal values share one.
+def split_points(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
+    """Approximate quantiles of a numeric column, at most 1023 numbers.
 
-    The driver sees only the split points, at most 1023 numbers.  They steer
-    balance, never results.
+    They steer balance, never results.  Take them from the rawest table that
+    has the column: then this is a pruned scan of one column with a map-side
+    combine, and nothing expensive is computed twice.
     """
     n = blocks or block_count(df.sparkSession)
     shares = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * n).alias("q")).first()
-    points = sorted({float(p) for p in (row["q"] or []) if p is not None and not math.isnan(p)})
-    if not points:
+    return sorted({float(p) for p in (row["q"] or []) if p is not None and not math.isnan(p)})
+
+
+def with_blocks(df: DataFrame, order: str, name: str = "_block", points: Sequence[float] | None = None) -> DataFrame:
+    """Number the quantile block of a numeric column; blocks keep its order and equal values share one."""
+    found = split_points(df, order) if points is None else list(points)
+    if not found:
         return df.withColumn(name, F.lit(0.0))
     cutter = Bucketizer(
-        splits=[float("-inf"), *points, float("inf")], inputCol="_order", outputCol=name, handleInvalid="keep"
+        splits=[float("-inf"), *found, float("inf")], inputCol="_order", outputCol=name, handleInvalid="keep"
     )
     return cutter.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column],
-                 base: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+                 base: DataFrame | None = None, points: Sequence[float] | None = None) -> DataFrame:
     """Running sums per key in the order of a numeric column that is unique within the key.
 
     ``sums`` maps an output name to the value summed up to and including the
     row.  ``base`` may carry, per key, amounts that come before the key's first
-    row (same key and sum names).
+    row (same key and sum names).  ``points`` are the split points of the order
+    column when the caller can get them more cheaply than from ``df``.
     """
-    values = with_blocks(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), order, blocks=blocks)
+    values = with_blocks(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), order, points=points)
     totals = values.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -24,7 +24,8 @@ def auroc(df: DataFrame, label: str, probability: str, keys: list[str] | None =
     """Rank-sum AUROC with average ties; null when a class is empty."""
     keys = keys or []
     distinct = _by_probability(df, keys, label, probability)
-    ranked = keyed.running_sums(distinct, keys, "_p", {"_upto": F.col("_n")})
+    points = keyed.split_points(df, probability)
+    ranked = keyed.running_sums(distinct, keys, "_p", {"_upto": F.col("_n")}, points=points)
     mean_rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
     sums = ranked.groupBy(*keys).agg(
         F.sum("_pos").alias("positives"),
@@ -49,7 +50,8 @@ def positions(df: DataFrame, label: str, probability: str, tie: str, keys: list[
     names = {"position": F.lit(1).cast("bigint"), "positives_so_far": (F.col(label) == 1).cast("bigint")}
     scored = df.filter(F.col(probability).isNotNull()).withColumn("_d", -F.col(probability))
     distinct = _by_probability(scored, keys, label, "_d")
-    upto = keyed.running_sums(distinct, keys, "_p", {"_cn": F.col("_n"), "_cp": F.col("_pos")})
+    points = keyed.split_points(scored, "_d")
+    upto = keyed.running_sums(distinct, keys, "_p", {"_cn": F.col("_n"), "_cp": F.col("_pos")}, points=points)
     base = upto.select(
         *keys,
         F.col("_p").alias("_d"),
@@ -73,7 +75,8 @@ def average_rank(df: DataFrame, value: str, keys: list[str] | None = None) -> Da
     distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_p")).agg(
         F.count("*").alias("_n")
     )
-    ranked = keyed.running_sums(distinct, keys, "_p", {"_upto": F.col("_n")}).select(
+    points = keyed.split_points(df, value)
+    ranked = keyed.running_sums(distinct, keys, "_p", {"_upto": F.col("_n")}, points=points).select(
         *[F.col(k).alias(f"_j_{k}") for k in keys],
         "_p",
         (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("average_rank"),
@@ -87,7 +90,8 @@ def average_rank(df: DataFrame, value: str, keys: list[str] | None = None) -> Da
 def group_positions(df: DataFrame, group: str, order: str) -> DataFrame:
     """First position of each group and its dense number in first-seen order (numeric unique order column)."""
     firsts = df.groupBy(group).agg(F.min(order).alias("first_position"))
-    return keyed.ordinal(firsts, [], "first_position", "group_number")
+    return keyed.running_sums(firsts, [], "first_position", {"group_number": F.lit(1).cast("bigint")},
+                              points=keyed.split_points(df, order))
 
 
 
@@ -103,7 +107,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(
         *[F.col(k).alias(f"_j_{k}") for k in keys], "_total"
     )
-    ranked = keyed.running_sums(counts, keys, "_x", {"_upto": F.col("_n")})
+    points = keyed.split_points(df, value)
+    ranked = keyed.running_sums(counts, keys, "_x", {"_upto": F.col("_n")}, points=points)
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_j_{k}"))

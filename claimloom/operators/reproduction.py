@@ -31,19 +31,22 @@ def simulated_curve(simulated: DataFrame, keys: Sequence[str], time: str, value:
     return ranking.quantiles(rows, [*keys, "time"], "_value", {"low": 0.05, "median": 0.5, "high": 0.95})
 
 
-def interpolate(curve: DataFrame, targets: DataFrame, keys: Sequence[str], time: str = "time", value: str = "median") -> DataFrame:
+def interpolate(curve: DataFrame, targets: DataFrame, keys: Sequence[str], time: str = "time", value: str = "median",
+                points: Sequence[float] | None = None) -> DataFrame:
     """Targets with the curve value at their time: linear between neighbours, constant beyond the ends.
 
     Curve and targets are put on one timeline; each target looks at the last
     curve point at or before it and the first at or after it.  Timelines are
     cut into quantile blocks whose edges carry the neighbouring curve points,
-    so a long series is not handled by one task.
+    so a long series is not handled by one task.  ``points`` are the block
+    edges when the caller has them from the raw series; otherwise they are
+    taken from curve and targets.
     """
     c = curve.select(*keys, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))
     both = targets.select(*keys, F.struct(*targets.columns).alias("_row"), F.col("time").cast("double").alias("_t")).withColumn(
         "_v", F.lit(None).cast("double")).unionByName(
         c.select(*keys, F.lit(None).cast(targets.select(F.struct(*targets.columns).alias("x")).schema["x"].dataType).alias("_row"), "_t", "_v"))
-    cut = keyed.with_blocks(both, "_t")
+    cut = keyed.with_blocks(both, "_t", points=points)
     point = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
     edges = cut.groupBy(*keys, "_block").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
     order = Window.partitionBy(*keys).orderBy("_block")

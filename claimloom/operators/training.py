@@ -63,8 +63,7 @@ def example_row(example_id: Column, task: str, partition: Column, tier: Column,
 
 def triage_prompt(pmid: Column, title: Column, abstract: Column) -> Column:
     return F.concat(
-        F.lit("Assess whether this abstract reports or applies a pharmacometric model.\n"
-              "Do not use information outside the supplied title and abstract.\n\nPMID: "),
+        F.lit(config.TRIAGE_PROMPT + "PMID: "),
         pmid, F.lit("\nTITLE: "), X.coalesce_blank(title), F.lit("\nABSTRACT:\n"), X.coalesce_blank(abstract),
     )
 
@@ -73,7 +72,7 @@ def extraction_prompt(pmid: Column, title: Column, doi: Column, abstract: Column
                       contract: dict | None = None) -> Column:
     """The contract when given, metadata, an optional supplement and the article text, in this order."""
     head = "" if contract is None else (
-        "Extract the reported pharmacometric model. JSON schema:\n" + json.dumps(contract, indent=2) + "\n\n"
+        config.EXTRACTION_PROMPT + json.dumps(contract, indent=2) + "\n\n"
     )
     return F.concat(
         F.lit(head),
@@ -82,7 +81,7 @@ def extraction_prompt(pmid: Column, title: Column, doi: Column, abstract: Column
         F.when(X.coalesce_blank(supplement) != "",
                F.concat(F.lit("=== SUPPLEMENT / CONTROL STREAM ===\n"), supplement, F.lit("\n\n"))).otherwise(F.lit("")),
         F.when(X.coalesce_blank(text) != "", F.concat(F.lit("=== ARTICLE TEXT ===\n"), text)).otherwise(
-            F.lit("=== ARTICLE TEXT ===\nNot available. Use metadata only and keep confidence low.\n")),
+            F.lit("=== ARTICLE TEXT ===\n" + config.NO_ARTICLE_TEXT)),
     )
 
 
@@ -109,5 +108,3 @@ def export_manifest(candidates: DataFrame) -> DataFrame:
         F.count_if(F.col("reason") != "").alias("skipped"),
     )
 
-
-SAFE = config.SAFE_EXCLUSIONS

@@ -252,7 +252,7 @@ def triage_target(relevant: Column, recoverable: Column, reason: Column) -> Colu
         F.when(relevant, F.lit(1.0)).otherwise(F.lit(0.0)).alias("relevant_probability"),
         F.when(recoverable, F.lit(1.0)).otherwise(F.lit(0.0)).alias("recoverable_probability"),
         F.when(relevant, X.literal_array(["other"])).otherwise(X.literal_array([])).alias("model_categories"),
-        F.when(relevant, F.lit("Reference review included a recoverable pharmacometric model.")).otherwise(
-            F.concat(F.lit("Reference exclusion: "), F.coalesce(reason, F.lit("not relevant")))
+        F.when(relevant, F.lit(config.POSITIVE_RATIONALE)).otherwise(
+            F.concat(F.lit(config.EXCLUSION_RATIONALE), F.coalesce(reason, F.lit("not relevant")))
         ).alias("rationale"),
     )

@@ -252,7 +252,7 @@ def control_text(title: Column) -> Column:
     omega_head = F.when(block, F.concat(F.lit("$OMEGA BLOCK("), F.size("omegas").cast("string"), F.lit(")"))).otherwise(F.lit("$OMEGA"))
     defaults = F.array_join(generated_defaults(), ", ")
     tail = F.array_compact(F.array(
-        F.lit("; Generated defaults are modelling suggestions, not reported publication values."),
+        F.lit(config.DEFAULTS_NOTE),
         F.when(defaults != "", F.concat(F.lit("; REVIEW REQUIRED: defaults used for "), defaults)),
         F.when(F.size("mapping.unmapped") > 0,
                F.concat(F.lit("; REVIEW REQUIRED: unmapped THETA values: "), F.array_join("mapping.unmapped", ", "))),

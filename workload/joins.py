@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom import config
 from claimloom.functions import text as X
-from claimloom.operators import catalogue, chunks, claims, corpus, jsondiff, ledger, reproduction, scoring, triage
+from claimloom.operators import catalogue, chunks, claims, corpus, jsondiff, keyed, ledger, reproduction, scoring, triage
 from claimloom.plans import semantics
 from workload import fixtures as fx
 from workload.filters import QUAL_ORDERS, qualification_orders
@@ -583,7 +583,7 @@ def interpolation(spark, sf):
     ev = t.events.select("user_id", "event_id", (fx.micros("ts") / 1e6).alias("time"), "value", "event_type")
     curve = reproduction.simulated_curve(ev.filter("event_type <> 'purchase'"), ["user_id"], "time", "value")
     targets = ev.filter("event_type = 'purchase'").select("user_id", "event_id", "time", "value")
-    out = reproduction.interpolate(curve, targets, ["user_id"])
+    out = reproduction.interpolate(curve, targets, ["user_id"], points=keyed.split_points(ev, "time"))
     return out.select("user_id", "event_id", fx.r6("simulated", 4).alias("simulated"))
 
 
