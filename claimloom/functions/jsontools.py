@@ -249,6 +249,37 @@ def pointer_set_all(document: Column, pointers: Column, values_json: Column) ->
     return _set_pointers(document, pointers, values_json)
 
 
+PROBABILITY_KEY = r"^(?:confidence|recoverability|coverage)$|(?:^|_)(?:confidence|probability)$"
+
+
+def normalise_probabilities(df, json_col: str, error: str = "error", max_depth: int = 8):
+    """Percentages under confidence, recoverability, coverage and *_probability keys, at any depth, become 0..1.
+
+    Documents with nothing to change keep their text and never reach Python.
+    A number outside 0-1 and 0-100% is reported in ``error``.
+    """
+    def changed(leaf: Column) -> Column:
+        kind = kind_of(leaf["node"])
+        value = F.when(kind.isin("number", "string"), N.probability_text(text_of(leaf["node"])))
+        return F.struct(leaf["pointer"].alias("pointer"), value.alias("value"),
+                        F.coalesce((kind == "string") | (value != number_of(leaf["node"])), F.lit(False)).alias("new"))
+
+    def in_context(leaf: Column) -> Column:
+        return F.exists(pointer_tokens(leaf["pointer"]), lambda token: token.rlike(PROBABILITY_KEY))
+
+    found = F.transform(F.filter(leaves(F.parse_json(F.col(json_col)), max_depth), in_context), changed)
+    marked = df.withColumn("_p", F.filter(found, lambda p: p["value"].isNotNull()))
+    wrong = F.get(F.filter("_p", lambda p: ~p["value"].between(0, 1)), F.lit(0))["pointer"]
+    marked = marked.withColumn(error, F.when(wrong.isNotNull(), F.concat(F.lit("invalid probability at "), wrong)))
+    fixes = F.filter("_p", lambda p: p["new"])
+    todo = F.col(error).isNull() & (F.size(fixes) > 0)
+    kept = marked.filter(~todo)
+    fixed = marked.filter(todo).withColumn(json_col, pointer_set_all(
+        F.col(json_col), F.transform(fixes, lambda p: p["pointer"]), F.transform(fixes, lambda p: p["value"].cast("string"))
+    ))
+    return kept.unionByName(fixed).drop("_p")
+
+
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```\s*$", re.IGNORECASE)
 _TRAILING = re.compile(r",(\s*[}\]])")
 

@@ -101,8 +101,11 @@ def claims_equal(text_a: Column, number_a: Column, text_b: Column, number_b: Col
     def flat(value: Column) -> Column:
         return F.lower(F.regexp_replace(F.trim(value), r"\s+", " "))
 
-    left = F.coalesce(number_a.cast("string"), flat(text_a))
-    right = F.coalesce(number_b.cast("string"), flat(text_b))
+    def plain(number: Column) -> Column:
+        return F.regexp_replace(number.cast("string"), r"\.0$", "")
+
+    left = F.coalesce(plain(number_a), flat(text_a))
+    right = F.coalesce(plain(number_b), flat(text_b))
     return (
         F.when(~a & ~b, F.lit(True))
         .when(a != b, F.lit(False))

@@ -61,6 +61,12 @@ def triage(articles: DataFrame, keywords: Sequence[str] = tuple(config.MODEL_KEY
                             "tier", "action", "method", "error")])
 
 
+def lookup_key(name: str, spread_by: str) -> Column:
+    """A join key for look-ups; blank keys, often a large share of the rows, match nothing and are spread out."""
+    nothing = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread_by), F.lit(4096)).cast("string"))
+    return F.when(X.present(name), F.col(name)).otherwise(nothing)
+
+
 def classify(articles: DataFrame, unpaywall: DataFrame, europe_pmc: DataFrame, pmc_oa: DataFrame,
              first_pass: Sequence[str] = tuple(config.FIRST_PASS_TIERS)) -> DataFrame:
     """Acquisition route per article, from three look-up response tables.
@@ -70,15 +76,15 @@ def classify(articles: DataFrame, unpaywall: DataFrame, europe_pmc: DataFrame, p
     pdf_url, is_oa.  URL priority: PMC, then Unpaywall (whatever its own flag
     says), then Europe PMC when open; 'oa_auto' needs any source to be open.
     """
-    u = unpaywall.select(F.col("doi"), F.col("url_for_pdf").alias("u_url"), F.col("is_oa").alias("u_oa"))
+    u = unpaywall.select(F.col("doi").alias("_doi"), F.col("url_for_pdf").alias("u_url"), F.col("is_oa").alias("u_oa"))
     e = europe_pmc.select("pmid", X.strip_pmc("pmcid").alias("e_pmcid"), F.col("pdf_url").alias("e_url"),
                           F.col("is_open_access").alias("e_oa"))
-    p = pmc_oa.select(X.strip_pmc("pmcid").alias("pmcid"), F.col("pdf_url").alias("p_url"), F.col("is_oa").alias("p_oa"))
+    p = pmc_oa.select(X.strip_pmc("pmcid").alias("_pmcid"), F.col("pdf_url").alias("p_url"), F.col("is_oa").alias("p_oa"))
     own = X.strip_pmc("pmcid")
-    known = articles.join(u, "doi", "left").join(e, "pmid", "left").withColumn(
+    known = articles.withColumn("_doi", lookup_key("doi", "pmid")).join(u, "_doi", "left").join(e, "pmid", "left").withColumn(
         "pmcid", F.when(own == "", X.coalesce_blank("e_pmcid")).otherwise(own)
     )
-    joined = known.join(p, "pmcid", "left")
+    joined = known.withColumn("_pmcid", lookup_key("pmcid", "pmid")).join(p, "_pmcid", "left")
 
     def yes(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
@@ -116,7 +122,7 @@ def classify(articles: DataFrame, unpaywall: DataFrame, europe_pmc: DataFrame, p
         "suggested_url": suggested,
         "status": F.when(early, F.lit("pending")).otherwise(F.lit("deferred")),
         "has_abstract": X.present("abstract"),
-    }).drop("_url", "u_url", "u_oa", "e_pmcid", "e_url", "e_oa", "p_url", "p_oa")
+    }).drop("_url", "_doi", "_pmcid", "u_url", "u_oa", "e_pmcid", "e_url", "e_oa", "p_url", "p_oa")
 
 
 def discover(ids: DataFrame, metadata: DataFrame, decisions: DataFrame, inbox: DataFrame) -> DataFrame:

@@ -82,3 +82,11 @@ def test_merge_objects(spark):
     df = spark.createDataFrame([(base, update)], ["b", "u"])
     merged = df.select(F.to_json(F.to_variant_object(J.merge_objects(J.as_object(F.parse_json("b")), J.as_object(F.parse_json("u"))))).alias("m")).first()["m"]
     assert json.loads(merged) == {"a": {"x": 1, "y": [2], "z": 3}, "b": 2, "c": None}
+
+
+def test_probabilities_at_any_depth(spark):
+    docs = ['{"a":{"confidence":{"overall":83,"by":["79%",1]}},"n":83}', '{"model_probability":101}', '{"coverage":0.5}', '{"x_confidence":"high","probability_note":90}']
+    df = J.normalise_probabilities(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, j string"), "j")
+    got = {r["i"]: (r["j"], r["error"]) for r in df.collect()}
+    assert json.loads(got[0][0]) == {"a": {"confidence": {"overall": 0.83, "by": [0.79, 1]}}, "n": 83} and got[0][1] is None
+    assert "model_probability" in got[1][1] and got[2] == (docs[2], None) and got[3] == (docs[3], None)

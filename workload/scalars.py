@@ -428,6 +428,23 @@ def probability_normalise(spark, sf):
     return Tables(spark, sf).events.select("event_id", R6(p).alias("p"), N.probability_ok(p).alias("valid"))
 
 
+@query("h42_probability_documents", """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, CASE WHEN event_type = 'error' AND k > 0 THEN '{"confidence":{"overall":' || (k + 100) || '}}' WHEN event_type = 'view' THEN '{"n":' || k || '}'
+  ELSE '{"confidence":{"overall":' || CASE WHEN event_type = 'error' THEN '1.0' WHEN k > 1 THEN CAST(k / 100.0::DOUBLE AS VARCHAR) ELSE CAST(k AS VARCHAR) END || CASE WHEN event_type = 'error' THEN '}}' ELSE ',"note":"x"},"model_probability":' || CAST(k / 100.0::DOUBLE AS VARCHAR) || '}' END END AS document,
+  CASE WHEN event_type = 'error' AND k > 0 THEN 'invalid probability at /confidence/overall' END AS error FROM e
+""")
+def probability_documents(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    doc = (
+        F.when(F.col("event_type") == "error", F.concat(F.lit('{"confidence":{"overall":'), (k.cast("int") + 100).cast("string"), F.lit("}}")))
+        .when(F.col("event_type") == "view", F.concat(F.lit('{"n":'), k, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"confidence":{"overall":'), k, F.lit(',"note":"x"},"model_probability":"'), k, F.lit('%"}')))
+    )
+    rows = Tables(spark, sf).spread("events").select("event_id", doc.alias("document"))
+    return J.normalise_probabilities(rows, "document", max_depth=3).select("event_id", "document", "error")
+
+
 @query("h43_triage_tier", f"""
 SELECT doc_id, CASE WHEN s >= 2 THEN 'high' WHEN s = 1 THEN 'intermediate' ELSE 'low' END AS tier FROM (SELECT doc_id, {fx.sql_score('text', ['license', 'worthless', 'keit'])} AS s FROM documents)
 """)
