@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import jaccard
+from claimloom.llm import decontaminate, jaccard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +31,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.similar_components(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+_OP8_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op8_decontaminate", f"""
+WITH item AS (SELECT item_id, {_OP8_WORDS} AS w FROM benchmark),
+gram AS (SELECT DISTINCT item_id, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+         FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {_OP8_WORDS} AS w FROM documents),
+place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+hit AS (SELECT p.doc_id, p.i, len(g.g) AS n, g.item_id FROM place p JOIN gram g
+        ON g.g[1] = p.w[p.i] AND g.g = list_slice(p.w, p.i, p.i + len(g.g) - 1)),
+word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    return decontaminate.report(docs, items).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
