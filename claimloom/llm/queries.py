@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard
+from claimloom.llm import decontaminate, jaccard, mixture, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(docs, items).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = shards.placed(docs, shards.balanced_map(docs, 8))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
+                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query("op7_mixture")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixture.mixed(docs, max_repeats=4.0).select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_place")
