@@ -50,6 +50,7 @@ SMALL = 14
 BANDS_FROM = 12
 PARTS = 32
 REPEAT = 12
+SKETCH_WORDS = 16
 _MASK = (1 << 64) - 1
 _SEED = 0x5851F42D4C957F2D
 
@@ -112,29 +113,38 @@ def signatures(elements: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray
     return np.concatenate(out)
 
 
+def parity_sketch(elements: np.ndarray) -> np.ndarray:
+    """1024 bits as 16 words: bit i is the parity of the number of elements that hash to i."""
+    slot = (mix(elements + U64(_SEED)) >> U64(54)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def sign(docs: DataFrame, doc: Column, text: Column, shingle: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, key_a, key_b, signatures) of every row; equal sets have equal keys."""
+    """(doc_id, n_shingles, key_a, key_b, sketch, signatures) of every row; equal sets have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
             for first, data, offsets in pieces(column, 1 << 20):
                 hashes, at = words(data, offsets, NOT_BLANK)
-                sizes, keys_a, keys_b, signed = [], [], [], []
+                sizes, keys_a, keys_b, sketches, signed = [], [], [], [], []
                 for s in shingles(hashes, at, shingle):
                     sizes.append(len(s))
                     keys_a.append(int(s.sum(dtype=U64)))
                     keys_b.append(int(mix(s).sum(dtype=U64)))
+                    sketches.append(parity_sketch(s))
                     signed.append(signatures(s, threshold))
                 lists = np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()),
                     pa.array(np.array(keys_a, dtype=U64).view(np.int64)), pa.array(np.array(keys_b, dtype=U64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(np.concatenate(sketches))),
                     pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate(signed).view(np.int64))),
-                ], names=["doc_id", "n_shingles", "key_a", "key_b", "signatures"])
+                ], names=["doc_id", "n_shingles", "key_a", "key_b", "sketch", "signatures"])
 
     return docs.select(doc.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, key_a long, key_b long, signatures array<long>")
+        run, "doc_id long, n_shingles long, key_a long, key_b long, sketch array<long>, signatures array<long>")
 
 
 def linked(pairs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -229,11 +239,16 @@ def similar_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     roots = components(found)
     rooted = groups.join(roots, groups["doc_id"] == roots["node"], "left").select(
         "signature", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    apart = rooted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("signature")
-    open_groups = cut_lineage(rooted.join(apart, "signature", "left_semi"))
-    other = open_groups.toDF("signature", "other", "other_root")
-    rest = open_groups.join(other, "signature").where("doc_id < other AND root <> other_root").select(
-        F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    several_roots = rooted.select("*", F.expr("min(root) OVER (PARTITION BY signature)").alias("low"), F.expr("max(root) OVER (PARTITION BY signature)").alias("high"))
+    open_groups = several_roots.where("low < high").select("signature", "doc_id", "root")
+    sketched = filled.select("doc_id", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]).distinct()
+    open_groups = cut_lineage(open_groups.join(sketched, "doc_id"))
+    x, y = open_groups.alias("x"), open_groups.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+    may_link = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (differ * (1 + threshold) <= (n + m) * (1 - threshold) + 1e-6)
+    rest = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_link).select(
+        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     tested = stars.select("a", F.col("doc_id").alias("b"))
     more = cut_lineage(_checked(rest.join(tested, ["a", "b"], "left_anti"), texts, shingle, threshold))
     # One id with several texts stands for all of them: each text's class is linked to it.
