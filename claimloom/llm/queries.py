@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, mixture, shards
+from claimloom.llm import decontaminate, jaccard, mixture, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,20 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixture.mixed(docs, max_repeats=4.0).select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_place")
+
+
+#: The chain of the given labels: low quality, toxic, and both at once.
+CATEGORIES = ["low_quality", "toxic", "toxic_low_quality"]
+
+
+def toxicity_labels(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic"), ((1 - F.col("quality")) * F.col("toxic")).alias("toxic_low_quality"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxicity_labels(spark, folder), CATEGORIES)
+    cut = float(chain.threshold[CATEGORIES.index("toxic")])
+    return toxicity.score(docs, chain).select("doc_id", *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= cut).alias("toxic"))
