@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, mixture, shards, toxicity
+from claimloom.llm import decontaminate, fingerprints, jaccard, mixture, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     chain = toxicity.fit(docs, toxicity_labels(spark, folder), CATEGORIES)
     cut = float(chain.threshold[CATEGORIES.index("toxic")])
     return toxicity.score(docs, chain).select("doc_id", *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= cut).alias("toxic"))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.versions(table(spark, folder, "documents"))
