@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, fingerprints, jaccard, mixture, shards, toxicity
+from claimloom.llm import decontaminate, fingerprints, jaccard, mixture, secrets, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.versions(table(spark, folder, "documents"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find(table(spark, folder, "documents").select("doc_id", "text"))
