@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, fingerprints, jaccard, mixture, secrets, shards, toxicity
+from claimloom.llm import decontaminate, fingerprints, jaccard, mixture, pages, secrets, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_secrets")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_page_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
