@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, fingerprints, jaccard, lmscore, mixture, pages, secrets, shards, toxicity
+from claimloom.llm import decontaminate, fingerprints, jaccard, lines, lmscore, mixture, pages, secrets, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
     return lmscore.cross_entropy_difference(lmscore.flagged(docs, good), F.col("is_target"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_components(table(spark, folder, "documents"))
