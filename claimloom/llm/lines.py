@@ -101,7 +101,8 @@ def line_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     """(doc_id, line_no, line_id, component_id, kept) of every line that is not blank.
 
     ``component_id`` is the smallest line id of the component.  One line of each
-    component is kept; a row that repeats an id and its text shares the decision.
+    component is kept.  Rows that repeat an id and its text have the same lines,
+    which are listed once.
     Null and empty texts have no lines; blank lines are no lines.  Ties in a
     document go to the earlier line, null document ids come first.  Other columns
     are ignored, whatever their names.

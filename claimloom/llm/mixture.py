@@ -25,6 +25,7 @@ BLOCK_TOKENS = 65536
 HALVINGS = 6
 PASSES = 8
 SEED = 17
+MIX_COLUMNS = ["mix_epoch", "mix_block", "mix_position", "mix_place"]
 
 
 def token_count(text: Column) -> Column:
@@ -122,7 +123,8 @@ def realise(docs: DataFrame, plan: DataFrame, doc: str = "doc_id", text: str = "
     The partial epoch takes whole blocks and, of the block in which the budget
     ends, the documents that begin before the end; it overshoots by less than a
     document.  Whole epochs take every row, documents without tokens included;
-    a source without any tokens is taken once.
+    a source without any tokens is taken once.  Input columns that are named like
+    one of the four are replaced.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "mixture")
@@ -133,19 +135,22 @@ def realise(docs: DataFrame, plan: DataFrame, doc: str = "doc_id", text: str = "
     starts = starts.select(F.col("source").alias("_s"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("_b"), "start", "block_tokens", "rest",
                            (F.col("epoch") < F.col("whole")).alias("_whole"),
                            ((F.col("epoch") * F.col("tokens") + F.col("start")) / F.greatest(F.col("whole") * F.col("tokens") + F.col("rest"), F.lit(1))).alias("mix_position"))
-    kept = docs.columns
+    # The row goes along as one value, so its column names meet no others.
+    names = [c for c in docs.columns if c not in MIX_COLUMNS]
+    own = docs.select(F.struct(*names).alias("_row"), F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.col(source).alias("_source"))
     sized = plan.select(F.col("source").alias("_ps"), F.col("tokens").alias("_tokens"))
-    rows = docs.join(sized, docs[source].eqNullSafe(sized["_ps"])).withColumn("mix_block", _block(F.col(doc), F.col(text), F.col("_tokens"))).drop("_ps", "_tokens")
-    order = F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col(doc), F.col(text))
+    rows = own.join(sized, F.col("_source").eqNullSafe(F.col("_ps"))).withColumn("mix_block", _block(F.col("_doc"), F.col("_text"), F.col("_tokens")))
+    taken = rows.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("mix_block") == F.col("_b"))).withColumn(
+        "_order", F.xxhash64(F.lit(seed), "mix_epoch", "_doc", "_text"))
     whole_block = F.col("_whole") | (F.col("start") + F.col("block_tokens") <= F.col("rest"))
-    taken = rows.join(starts, rows[source].eqNullSafe(starts["_s"]) & (rows["mix_block"] == starts["_b"])).withColumn("_order", order)
     # Only the block that holds the end of a budget is cut; a source has one such block at most.
-    cut = taken.where(~whole_block).withColumn("_before", F.sum(token_count(F.col(text))).over(_window("_s", "mix_epoch", "mix_block")) - token_count(F.col(text)))
-    columns = [*kept, "mix_epoch", "mix_block", *(["mix_position", "_s", "_order"] if ordered else [])]
+    tokens = token_count(F.col("_text"))
+    cut = taken.where(~whole_block).withColumn("_before", F.sum(tokens).over(_window("_s", "mix_epoch", "mix_block")) - tokens)
+    columns = ["_row", "_s", "_order", "mix_epoch", "mix_block", "mix_position"]
     result = taken.where(whole_block).select(*columns).unionByName(cut.where("start + _before < rest").select(*columns))
     if not ordered:
-        return result
-    return result.withColumn("mix_place", F.row_number().over(_window("_s", "mix_epoch", "mix_block"))).drop("_s", "_order")
+        return result.select("_row.*", "mix_epoch", "mix_block")
+    return result.withColumn("mix_place", F.row_number().over(_window("_s", "mix_epoch", "mix_block"))).select("_row.*", *MIX_COLUMNS)
 
 
 def _window(*keys: str) -> WindowSpec:
