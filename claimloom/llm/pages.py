@@ -54,7 +54,7 @@ CLASS_TOKENS, COVER, HOST_PAGES = 2, 0.6, 3
 #: Constant text inside an article is template only on every page of a host of at least so many pages.
 SURE_PAGES = 8
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/!?A-Za-z][^>]*\Z|([^<]+|<)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -105,8 +105,6 @@ def read(source: str) -> Page:
 
     while at < end:
         m = _TOKEN.match(source, at)
-        if m is None:  # an unfinished tag at the end of the page
-            break
         at = m.end()
         cdata, closing, name, attributes, text = m.groups()
         if text is not None or cdata is not None:
@@ -114,7 +112,7 @@ def read(source: str) -> Page:
             buffer.append(piece)
             linked += len(piece) if in_link else 0
             continue
-        if name is None:
+        if name is None:  # a comment, a declaration, or a tag that the page's end cuts off
             continue
         name = name.lower()
         if name == "a":
