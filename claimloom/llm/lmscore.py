@@ -5,8 +5,8 @@ one vocabulary, one order and one smoothing, so their losses differ only by what
 the texts say.  A document's score is the mean over its tokens of target loss
 minus background loss: the lower, the more it resembles the target.
 
-* Vocabulary: the ``words`` most frequent words of both corpora together that
-  occur at least MIN_COUNT times in each; every other word is the one unknown.
+* Vocabulary: of the words that occur at least MIN_COUNT times in each corpus the
+  most frequent, at most WORDS; every other word is the one unknown.
 * Model: bigrams interpolated with add-ALPHA unigrams, and the start of a text as
   a context of its own.
 * Bigrams: all are counted; those with at least c occurrences are kept in the
@@ -14,7 +14,7 @@ minus background loss: the lower, the more it resembles the target.
   Rarer ones get the unigram part alone, in both models alike.
 
 What reaches the driver and the tasks is bounded by the two parameters (32,768
-words and 2 million bigrams: some 33 MB); what is counted grows with the corpus.
+words and a million bigrams: some 25 MB); what is counted grows with the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from claimloom.llm.textbatch import NOT_BLANK, U64, pieces, words
 from claimloom.session import cut_lineage
 
 WORDS = 32768
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 MIN_COUNT = 2
 ALPHA = 0.1
 MIXING = 0.7
@@ -94,6 +94,25 @@ def _rows(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and counts of all rows with at least c occurrences, and c: the smallest under which at most ``most`` are left.
+
+    The sizes of all counts below 4096, and of doublings above, are enough to find c.
+    """
+    n = F.col("target") + F.col("background")
+    doubled = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")) + 1e-9)).cast("long")
+    sizes = counted.groupBy(F.when(n < 4096, n).otherwise(doubled).alias("n")).count().orderBy("n").collect()
+    left, least = sum(r["count"] for r in sizes), 1
+    for r in sizes:
+        if left <= most:
+            break
+        left, least = left - r["count"], r["n"] + 1 if r["n"] < 4096 else 2 * r["n"]
+    # At most ``most`` rows of three numbers, as Arrow.
+    kept = counted.where(n >= least).select("key", "target", "background").toArrow()
+    columns = [kept.column(c).to_numpy() for c in ("key", "target", "background")]
+    return columns[0].astype(np.int64), np.stack(columns[1:], axis=1).astype(np.int64), least
+
+
 @dataclass
 class Models:
     """Both models; column 0 of a count table is the target, column 1 the background."""
@@ -142,10 +161,9 @@ def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int = PAIRS) ->
 
     seen = cut_lineage(_counted(rows, word_keys))
     both = seen.where((F.col("target") >= MIN_COUNT) & (F.col("background") >= MIN_COUNT))
-    top = both.orderBy(F.desc(F.col("target") + F.col("background")), "key").limit(vocabulary_words).toPandas()
-    order = np.argsort(top["key"].to_numpy(dtype=np.int64).view(U64))
-    vocabulary = top["key"].to_numpy(dtype=np.int64).view(U64)[order]
-    counts = top[["target", "background"]].to_numpy(dtype=np.int64)[order]
+    word_keys_kept, counts, _ = _most_frequent(both, vocabulary_words)
+    order = np.argsort(word_keys_kept.view(U64))
+    vocabulary, counts = word_keys_kept.view(U64)[order], counts[order]
     total = seen.agg(F.sum("target"), F.sum("background")).first()
     texts = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("is_target").count().collect()  # two rows at most
     starts = {r["is_target"]: r["count"] for r in texts}
@@ -157,18 +175,9 @@ def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int = PAIRS) ->
         hashes, first = words(data, offsets, NOT_BLANK)
         return half.codes(hashes, first)[1], _rows(first)
 
-    found = cut_lineage(_counted(rows, pair_keys).withColumn("n", F.col("target") + F.col("background")))
-    # How many bigrams have n occurrences, by n; counts over 4096 share a bin, whose bigrams number at most tokens / 4096.
-    sizes = found.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy("n").collect()
-    left, least = sum(r["count"] for r in sizes), 1
-    for r in sizes:
-        if left <= pairs:
-            break
-        left, least = left - r["count"], r["n"] + 1
-    kept = found.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(pairs).toPandas()
-    codes = kept["key"].to_numpy(dtype=np.int64)
+    codes, pair_counts, least = _most_frequent(cut_lineage(_counted(rows, pair_keys)), pairs)
     order = np.argsort(codes)
-    return Models(vocabulary, single, codes[order], kept[["target", "background"]].to_numpy(dtype=np.int64)[order], least)
+    return Models(vocabulary, single, codes[order], pair_counts[order], least)
 
 
 def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "text") -> DataFrame:
