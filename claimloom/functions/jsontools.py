@@ -128,15 +128,25 @@ def _has_children(entry: Column) -> Column:
     return F.coalesce((F.size(as_object(entry["node"])) > 0) | (F.size(as_array(entry["node"])) > 0), F.lit(False))
 
 
-def leaves(document: Column, max_depth: int = 8) -> Column:
-    """Every leaf of a document as ARRAY<STRUCT<pointer, label, node>>.
+def deeper_than(text: Column, depth: int) -> Column:
+    """Whether a JSON text nests containers more than ``depth`` levels, told from its brackets alone."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
+    brackets = F.regexp_replace(bare, r"[^\[\]{}]+", "")
+    for _ in range(depth):
+        brackets = F.regexp_replace(brackets, r"\[\]|\{\}", "")
+    return F.coalesce(F.length(brackets) > 0, F.lit(False))
+
+
+def leaves(document: Column, levels: int = 8, strict: bool = True) -> Column:
+    """Every leaf of a document of at most ``levels`` levels as ARRAY<STRUCT<pointer, label, node>>.
 
     One array expression per nesting level, evaluated inside the row: no
     recursion, no shuffle.  Empty containers below the root are leaves.  A
-    document nested deeper than ``max_depth`` raises instead of losing leaves.
+    deeper document raises instead of losing leaves; :func:`with_leaves` takes
+    documents of any depth.  Not ``strict``: the caller has sorted out deeper ones.
     """
     level = F.array(F.struct(F.lit("").alias("pointer"), F.lit("").alias("label"), document.alias("node")))
-    for _ in range(max_depth):
+    for _ in range(levels):
         level = F.flatten(F.transform(level, lambda e: F.coalesce(_children(e), F.array(e))))
 
     def finish(found: Column) -> Column:
@@ -150,11 +160,42 @@ def leaves(document: Column, max_depth: int = 8) -> Column:
                 e["node"].alias("node"),
             ),
         )
-        return F.when(deeper, F.raise_error(F.lit(f"document nested deeper than {max_depth}")).cast(NODE)).otherwise(named)
+        return named if not strict else F.when(deeper, F.raise_error(F.lit(f"document nested deeper than {levels}")).cast(NODE)).otherwise(named)
 
     return X.let(level, finish)
 
 
+def _walk(document: str) -> list[tuple[str, str, str]]:
+    found, todo = [], [("", "", json.loads(document))]
+    while todo:
+        pointer, label, node = todo.pop()
+        if isinstance(node, dict) and node:
+            todo += [(f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}", f"{label}.{k}" if label else k, v) for k, v in node.items()]
+        elif isinstance(node, list) and node:
+            todo += [(f"{pointer}/{i}", f"{label}[{i + 1}]", v) for i, v in enumerate(node)]
+        elif pointer or not isinstance(node, (dict, list)):
+            found.append((pointer, label or "(root)", json.dumps(node, ensure_ascii=False)))
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("pointer", "label", "json")])))
+def _deep_leaves(documents: pd.Series) -> pd.Series:
+    return documents.map(_walk)
+
+
+def with_leaves(df, json_col: str, name: str = "leaves", levels: int = 8):
+    """Add every leaf of a JSON text of any depth as ARRAY<STRUCT<pointer, label, node>>.
+
+    Documents of up to ``levels`` levels, nearly all, stay in the row expression;
+    the deeper ones are walked in Arrow batches.  ``levels`` steers the cost, not the result.
+    """
+    deep = deeper_than(F.col(json_col), levels)
+    flat = df.filter(~deep).withColumn(name, leaves(F.parse_json(F.col(json_col)), levels, strict=False))
+    walked = df.filter(deep).withColumn("_walked", _deep_leaves(F.col(json_col)))
+    nodes = F.transform("_walked", lambda e: F.struct(e["pointer"].alias("pointer"), e["label"].alias("label"), F.parse_json(e["json"]).alias("node")))
+    return flat.unionByName(walked.withColumn(name, nodes).drop("_walked"))
+
+
 def display_node(node: Column, limit: int = 220) -> Column:
     kind = kind_of(node)
     return X.display_value(
@@ -191,17 +232,24 @@ def string_list(node: Column) -> Column:
     )
 
 
-def merge_objects(base: Column, update: Column, depth: int = 2) -> Column:
-    """Recursive override of two JSON objects given as MAP<STRING,VARIANT>; nested objects merge ``depth`` levels."""
-    if depth <= 0:
-        return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(update, k)), update)
+def _merged(base, update):
+    if isinstance(base, dict) and isinstance(update, dict):
+        return base | {k: _merged(base[k], v) if k in base else v for k, v in update.items()}
+    return update
+
+
+@F.pandas_udf(T.StringType())
+def merge_objects(bases: pd.Series, updates: pd.Series) -> pd.Series:
+    """Recursive override of two JSON object texts, at every depth: members of both are merged, others replaced or added.
 
-    def pick(key: Column, old: Column, new: Column) -> Column:
-        both = as_object(old).isNotNull() & as_object(new).isNotNull()
-        nested = F.to_variant_object(merge_objects(as_object(old), as_object(new), depth - 1))
-        return F.when(both, nested).when(F.map_contains_key(update, key), new).otherwise(old)
+    A null update leaves the base, a null base gives the update.
+    """
+    def one(base: str | None, update: str | None) -> str | None:
+        if base is None or update is None:
+            return update if base is None else base
+        return json.dumps(_merged(json.loads(base), json.loads(update)), separators=(",", ":"), ensure_ascii=False)
 
-    return F.map_zip_with(base, update, pick)
+    return pd.Series([one(b, u) for b, u in zip(bases, updates)], dtype=object)
 
 
 # ---------------------------------------------------------------- repair
@@ -252,7 +300,7 @@ def pointer_set_all(document: Column, pointers: Column, values_json: Column) ->
 PROBABILITY_KEY = r"^(?:confidence|recoverability|coverage)$|(?:^|_)(?:confidence|probability)$"
 
 
-def normalise_probabilities(df, json_col: str, error: str = "error", max_depth: int = 8):
+def normalise_probabilities(df, json_col: str, error: str = "error", levels: int = 8):
     """Percentages under confidence, recoverability, coverage and *_probability keys, at any depth, become 0..1.
 
     Documents with nothing to change keep their text and never reach Python.
@@ -267,8 +315,8 @@ def normalise_probabilities(df, json_col: str, error: str = "error", max_depth:
     def in_context(leaf: Column) -> Column:
         return F.exists(pointer_tokens(leaf["pointer"]), lambda token: token.rlike(PROBABILITY_KEY))
 
-    found = F.transform(F.filter(leaves(F.parse_json(F.col(json_col)), max_depth), in_context), changed)
-    marked = df.withColumn("_p", F.filter(found, lambda p: p["value"].isNotNull()))
+    found = F.transform(F.filter("_leaves", in_context), changed)
+    marked = with_leaves(df, json_col, "_leaves", levels).withColumn("_p", F.filter(found, lambda p: p["value"].isNotNull())).drop("_leaves")
     wrong = F.get(F.filter("_p", lambda p: ~p["value"].between(0, 1)), F.lit(0))["pointer"]
     marked = marked.withColumn(error, F.when(wrong.isNotNull(), F.concat(F.lit("invalid probability at "), wrong)))
     fixes = F.filter("_p", lambda p: p["new"])
@@ -323,12 +371,16 @@ def _salvage_one(text: str | None) -> tuple[str | None, str | None]:
             break
         body = fixed
     try:
-        json.loads(body)
+        json.loads(body, parse_constant=_refuse_constant)
     except ValueError as problem:
         return None, f"invalid JSON: {problem.args[0].split(':')[0]}"
     return body, None
 
 
+def _refuse_constant(name: str):
+    raise ValueError(f"{name} is no JSON value")
+
+
 @F.pandas_udf(T.StructType([T.StructField("payload", T.StringType()), T.StructField("error", T.StringType())]))
 def _salvage(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_salvage_one(t) for t in texts], columns=["payload", "error"])
@@ -341,7 +393,10 @@ def salvage(df, text_col: str, payload: str = "payload", error: str = "error"):
         error, F.lit(None).cast("string")
     )
     broken = df.filter(~container).withColumn("_fix", _salvage(F.col(text_col)))
-    fixed = broken.withColumn(payload, F.col("_fix.payload")).withColumn(error, F.col("_fix.error")).drop("_fix")
+    # What Python accepts counts only if the JVM parser accepts it too.
+    good = strict_parse(F.col("_fix.payload")).isNotNull()
+    fixed = broken.withColumn(payload, F.when(good, F.col("_fix.payload"))).withColumn(
+        error, F.when(F.col("_fix.error").isNull() & ~good, F.lit("invalid JSON")).otherwise(F.col("_fix.error"))).drop("_fix")
     return kept.unionByName(fixed)
 
 

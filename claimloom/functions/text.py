@@ -38,6 +38,13 @@ def coalesce_blank(value: Column | str, default: str = "") -> Column:
     return F.coalesce(_c(value), F.lit(default))
 
 
+def strip(value: Column | str) -> Column:
+    """All white space at both ends goes, not only spaces; null stays null."""
+    text = _c(value)
+    # one cheap test for the common case, text without white space at its ends
+    return F.when(text.rlike(r"^\s|\s$"), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
+
+
 def squeeze(value: Column | str) -> Column:
     """Whitespace runs become one space, ends trimmed; null becomes ''."""
     return F.trim(F.regexp_replace(coalesce_blank(value), r"\s+", " "))
@@ -62,7 +69,7 @@ def compound_code(value: Column | str) -> Column:
 
 
 def metric_name(value: Column | str, default: str = "unknown") -> Column:
-    text = F.lower(F.trim(coalesce_blank(value, default)))
+    text = F.lower(strip(coalesce_blank(value, default)))
     name = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "_"), "^_|_$", "")
     # names that are clean already, which is the common case, need one test and no rewriting
     return F.when(text.rlike("^[a-z0-9]+(?:_[a-z0-9]+)*$"), text).otherwise(F.coalesce(F.nullif(name, F.lit("")), F.lit(default)))
@@ -73,7 +80,7 @@ def strip_pmc(value: Column | str) -> Column:
 
 
 def strip_doi_url(value: Column | str) -> Column:
-    return F.regexp_replace(F.trim(_c(value)), r"(?i)^https?://(dx\.)?doi\.org/", "")
+    return F.regexp_replace(strip(value), r"(?i)^https?://(dx\.)?doi\.org/", "")
 
 
 def pmc_pdf_url(value: Column | str) -> Column:
@@ -85,13 +92,13 @@ def pmc_pdf_url(value: Column | str) -> Column:
 
 def character_set(values: Column | str) -> Column:
     """Trimmed, non-blank, distinct, in first-seen order."""
-    trimmed = F.transform(_c(values), lambda v: F.trim(v))
+    trimmed = F.transform(_c(values), strip)
     kept = F.filter(trimmed, lambda v: v.isNotNull() & (v != ""))
     return F.array_distinct(F.coalesce(kept, literal_array([])))
 
 
 def present(value: Column | str) -> Column:
-    return F.coalesce(F.trim(_c(value)) != "", F.lit(False))
+    return F.coalesce(_c(value).rlike(r"\S"), F.lit(False))
 
 
 def finite(value: Column) -> Column:

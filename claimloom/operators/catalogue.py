@@ -103,7 +103,7 @@ def version_bound(records: DataFrame, versions: DataFrame) -> DataFrame:
 def current_records(records: DataFrame) -> DataFrame:
     """Records that no other record of the entry supersedes."""
     replaced = records.filter(X.present("supersedes")).select(
-        "library_id", F.trim("supersedes").alias("qualification_id")
+        "library_id", X.strip("supersedes").alias("qualification_id")
     ).distinct()
     return records.join(replaced, ["library_id", "qualification_id"], "left_anti")
 

@@ -31,7 +31,7 @@ def named_parameter_claims(items: Column, prefix: str, label: str, value: str) -
         lambda p, i: F.struct(
             F.concat(
                 F.lit(prefix + "."),
-                F.coalesce(F.nullif(F.upper(F.trim(p[label])), F.lit("")), (i + 1).cast("string")),
+                F.coalesce(F.nullif(F.upper(X.strip(p[label])), F.lit("")), (i + 1).cast("string")),
             ).alias("field"),
             p[value].cast("double").alias("number"),
         ),

@@ -160,7 +160,7 @@ def first_groups(df: DataFrame, group: str, order: str, limit: int) -> DataFrame
     The limit is the feature (run the first N articles); the kept ids are at most N.
     """
     ids = df.groupBy(group).agg(F.min(order).alias("_at")).orderBy("_at").limit(int(limit)).select(group)
-    return df.join(F.broadcast(ids) if limit <= 100_000 else ids, group, "left_semi")
+    return df.join(ids, group, "left_semi")
 
 
 def newest_version(versions: DataFrame, name: str, valid: str) -> DataFrame:
@@ -186,7 +186,7 @@ def curation_errors(models: DataFrame, decisions: DataFrame, corrections: DataFr
     wanted = F.coalesce(F.col("training_eligible"), F.lit(False))
     problem = (
         F.when(F.col("partition").isNull(), F.lit("unknown_model"))
-        .when(~F.upper(F.trim("tier")).isin(*config.QUALITY_TIERS), F.lit("invalid_tier"))
+        .when(~F.upper(X.strip("tier")).isin(*config.QUALITY_TIERS), F.lit("invalid_tier"))
         .when((F.col("partition") == "test") & wanted, F.lit("test_model_not_trainable"))
     )
     bad = joined.select("reference_id", problem.alias("error")).filter(F.col("error").isNotNull())
@@ -200,9 +200,13 @@ def curation_errors(models: DataFrame, decisions: DataFrame, corrections: DataFr
 
 
 def apply_decisions(models: DataFrame, decisions: DataFrame, curator: str) -> DataFrame:
-    """Successor models: decided ones get tier, status, eligibility and an audit note, the others stay."""
-    d = decisions.select(
-        "reference_id", F.upper(F.trim("tier")).alias("_tier"), F.col("training_eligible").alias("_train"),
+    """Successor models: decided ones get tier, status, eligibility and an audit note, the others stay.
+
+    Of several decisions for one model the last by ``seq`` counts; without such a column one is chosen by its values.
+    """
+    order = [F.desc("seq")] if "seq" in decisions.columns else []
+    d = keyed.one_per_key(decisions, ["reference_id"], order).select(
+        "reference_id", F.upper(X.strip("tier")).alias("_tier"), F.col("training_eligible").alias("_train"),
         F.nullif(X.coalesce_blank("review_status"), F.lit("")).alias("_status"),
         X.squeeze("notes").alias("_notes"), F.lit(True).alias("_decided"),
     )

@@ -15,13 +15,13 @@ from claimloom.functions import text as X
 MISSING = "—"
 
 
-def leaf_rows(df: DataFrame, keys: Sequence[str], json_col: str, max_depth: int = 8) -> DataFrame:
+def leaf_rows(df: DataFrame, keys: Sequence[str], json_col: str, levels: int = 8) -> DataFrame:
     """(keys, pointer, label, kind, text, number, json): one row per leaf, exploded inside the task.
 
     The leaf is split into plain columns here, once, so that the join moves no
     VARIANT and the comparison runs on primitive values.
     """
-    rows = df.select(*keys, F.inline(J.leaves(F.parse_json(F.col(json_col)), max_depth)))
+    rows = J.with_leaves(df.select(*keys, F.col(json_col).alias("_json")), "_json", "_leaves", levels).select(*keys, F.inline("_leaves"))
     kinds = rows.select(*keys, "pointer", "label", "node", J.kind_of(F.col("node")).alias("kind"))
     return kinds.select(
         *keys, "pointer", "label", "kind",
@@ -88,11 +88,11 @@ def choose_variant(variants: Column, prediction: Column, variant: str) -> Column
 
 def compare_documents(reference: DataFrame, predictions: DataFrame, keys: Sequence[str], reference_json: str,
                       prediction_json: str, relative: float = config.RELATIVE_TOLERANCE,
-                      absolute: float = config.ABSOLUTE_TOLERANCE, max_depth: int = 8) -> DataFrame:
+                      absolute: float = config.ABSOLUTE_TOLERANCE, levels: int = 8) -> DataFrame:
     """Differences for every reference document; a missing prediction leaves all leaves 'reference only'."""
     known = predictions.join(reference.select(*keys), list(keys), "left_semi")
     return diff_leaves(
-        leaf_rows(reference, keys, reference_json, max_depth), leaf_rows(known, keys, prediction_json, max_depth), keys,
+        leaf_rows(reference, keys, reference_json, levels), leaf_rows(known, keys, prediction_json, levels), keys,
         relative, absolute,
     )
 

@@ -18,9 +18,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
 def block_count(spark: SparkSession) -> int:
-    """Twice the shuffle parallelism, within 64..1024."""
-    return min(1024, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Twice the shuffle parallelism, 64 at least: a cluster that is set up for more rows gets more blocks."""
+    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -37,8 +38,14 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return out if rank else out.drop(name)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
+    """A look-up table with one row per key: the first by ``order``, then by all other columns, so ties are settled too."""
+    rest = [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
+    return first_per_key(df, keys, [*order, *rest])
+
+
 def split_points(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
-    """Approximate quantiles of a numeric column, at most 1023 numbers.
+    """Approximate quantiles of a numeric column, one less than there are blocks.
 
     They steer balance, never results.  Take them from the rawest table that
     has the column: then this is a pruned scan of one column with a map-side
@@ -127,8 +134,3 @@ def newest(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row"))
     return picked.select(*keys, "_row.*")
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when the side is counted to be small; otherwise leave the join to the optimiser."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

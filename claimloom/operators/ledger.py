@@ -25,14 +25,14 @@ def content_hash(*parts: Column) -> Column:
 def claim_id(supplied: Column, stage: Column, field: Column, value: Column, model_stage: Column,
              source_locator: Column) -> Column:
     """stage::id, written once; without an id, stage_ and twelve hex digits of the content."""
-    given = F.trim(X.coalesce_blank(supplied))
+    given = X.strip(X.coalesce_blank(supplied))
     prefix = F.concat(stage, F.lit("::"))
     made = F.concat(stage, F.lit("_"), F.substring(content_hash(field, value, model_stage, source_locator), 1, 12))
     return F.when(given == "", made).when(F.startswith(given, prefix), given).otherwise(F.concat(prefix, given))
 
 
 def question_id(supplied: Column, stage: Column, field: Column, question: Column) -> Column:
-    given = F.trim(X.coalesce_blank(supplied))
+    given = X.strip(X.coalesce_blank(supplied))
     base = F.when(given == "", F.concat(F.lit("Q_"), F.substring(content_hash(field, question), 1, 12))).otherwise(given)
     return F.when(F.contains(base, F.lit("::")), base).otherwise(F.concat(stage, F.lit("::"), base))
 
@@ -76,7 +76,7 @@ def remap_dependencies(claims: DataFrame) -> DataFrame:
     """(doc_id, claim_id, dep_seq, dependency): ids supplied in the same batch become namespaced ids."""
     deps = claims.select("doc_id", "stage", "claim_id", F.posexplode("dependencies").alias("dep_seq", "dependency"))
     ids = claims.filter(X.present("id")).select(
-        "doc_id", "stage", F.trim("id").alias("dependency"), F.col("claim_id").alias("mapped")
+        "doc_id", "stage", X.strip("id").alias("dependency"), F.col("claim_id").alias("mapped")
     ).distinct()
     return deps.join(ids, ["doc_id", "stage", "dependency"], "left").select(
         "doc_id", "claim_id", "dep_seq", F.coalesce("mapped", "dependency").alias("dependency")
@@ -180,7 +180,7 @@ def conflicts(claims: DataFrame, scalar: Column | None = None) -> DataFrame:
         "doc_id",
         F.lower(X.coalesce_blank("field")).alias("field"),
         F.lower(X.coalesce_blank("model_stage", "unknown")).alias("model_stage"),
-        F.lower(F.trim(X.coalesce_blank("value"))).alias("value"),
+        F.lower(X.strip(X.coalesce_blank("value"))).alias("value"),
     )
     distinct = rows.groupBy("doc_id", "field", "model_stage", "value").agg(F.count("*").alias("_n"))
     groups = distinct.groupBy("doc_id", "field", "model_stage").agg(

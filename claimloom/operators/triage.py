@@ -79,7 +79,11 @@ def classify(articles: DataFrame, unpaywall: DataFrame, europe_pmc: DataFrame, p
     u = unpaywall.select(F.col("doi").alias("_doi"), F.col("url_for_pdf").alias("u_url"), F.col("is_oa").alias("u_oa"))
     e = europe_pmc.select("pmid", X.strip_pmc("pmcid").alias("e_pmcid"), F.col("pdf_url").alias("e_url"),
                           F.col("is_open_access").alias("e_oa"))
+    # One answer per article: an open one before a closed one, then by value.
+    u = keyed.one_per_key(u, ["_doi"], [F.desc("u_oa")])
+    e = keyed.one_per_key(e, ["pmid"], [F.desc("e_oa")])
     p = pmc_oa.select(X.strip_pmc("pmcid").alias("_pmcid"), F.col("pdf_url").alias("p_url"), F.col("is_oa").alias("p_oa"))
+    p = keyed.one_per_key(p, ["_pmcid"], [F.desc("p_oa")])
     own = X.strip_pmc("pmcid")
     known = articles.withColumn("_doi", lookup_key("doi", "pmid")).join(u, "_doi", "left").join(e, "pmid", "left").withColumn(
         "pmcid", F.when(own == "", X.coalesce_blank("e_pmcid")).otherwise(own)
@@ -130,7 +134,9 @@ def discover(ids: DataFrame, metadata: DataFrame, decisions: DataFrame, inbox: D
 
     metadata: pmid + text fields; decisions: pmid, tier, probability; inbox: pmid, local_path.
     """
-    rows = ids.select("pmid").distinct().join(metadata, "pmid").join(decisions, "pmid", "left").join(inbox, "pmid", "left")
+    rows = ids.select("pmid").distinct()
+    rows = rows.join(keyed.one_per_key(metadata, ["pmid"]), "pmid")
+    rows = rows.join(keyed.one_per_key(decisions, ["pmid"]), "pmid", "left").join(keyed.one_per_key(inbox, ["pmid"]), "pmid", "left")
     early = F.coalesce(F.col("tier"), F.lit("low")).isin(*config.FIRST_PASS_TIERS)
     return rows.withColumns({
         "tier": F.coalesce("tier", F.lit("low")),
@@ -184,8 +190,8 @@ def fetch_worklist(manifest: DataFrame, classes: Sequence[str], tiers: Sequence[
 def merge_fetch_outcomes(manifest: DataFrame, outcomes: DataFrame, order: str) -> DataFrame:
     """Write outcomes back to the first manifest row of each pmid; blank errors and urls leave the old value."""
     firsts = manifest.groupBy("pmid").agg(F.min(order).alias(order)).join(
-        outcomes.select("pmid", "success", F.col("path").alias("_path"), F.col("error").alias("_error"),
-                        F.col("final_url").alias("_url")), "pmid"
+        keyed.one_per_key(outcomes.select("pmid", "success", F.col("path").alias("_path"), F.col("error").alias("_error"),
+                                          F.col("final_url").alias("_url")), ["pmid"], [F.desc("success")]), "pmid"
     )
     joined = manifest.join(firsts, ["pmid", order], "left")
     hit = F.col("success").isNotNull()

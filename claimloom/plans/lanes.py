@@ -43,6 +43,8 @@ def lane_decision(text_available: Column, vision_available: Column, text_present
     No lane: review.  Both absent or consistent: machine_consistent.  Adjudicated
     without a major unresolved field: machine_adjudicated.  A failed evidence
     gate or correlated lanes under the 'preferred' policy go back to review.
+    Under 'required' correlated lanes are refused: no status but the refusal, no
+    model, no passed gate.
     """
     comparable = text_available & vision_available
     both_absent = comparable & ~text_present & ~vision_present
@@ -64,9 +66,10 @@ def lane_decision(text_available: Column, vision_available: Column, text_present
     demoted = (F.coalesce(present, F.lit(False)) & gate_failed) | (
         ~independent & (policy == "preferred") & first.isin("machine_consistent", "machine_adjudicated")
     )
+    refused = comparable & ~independent & (policy == "required")
     return F.struct(
-        F.when(demoted, F.lit("needs_review")).otherwise(first).alias("status"),
-        present.alias("model_present"),
+        F.when(refused, F.lit("independence_required")).when(demoted, F.lit("needs_review")).otherwise(first).alias("status"),
+        F.when(~refused, present).alias("model_present"),
         (independent | (policy == "off")).alias("independence_gate_passed"),
     )
 

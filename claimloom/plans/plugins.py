@@ -83,14 +83,10 @@ def dispatch(jobs: DataFrame, task: str) -> DataFrame:
     return jobs.filter((F.col("task") == task) & F.col("refusal").isNull())
 
 
-def message_text(messages: DataFrame, keys: list[str], order: str, most: int = 500) -> DataFrame:
+def message_text(messages: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Role messages of a request as one text: text blocks kept, images as [image].
 
-    A request holds few messages by contract.  At most ``most`` + 1 rows per
-    request are kept before they are gathered; a longer request is an error, not a cut.
+    The result is one text per request, so a request's messages meet in one row; no number of them is too many.
     """
-    first = keyed.top_per_key(messages.select(*keys, order, "content"), keys, [order], most + 1)
-    gathered = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "content"))).alias("_m"))
-    text = F.array_join(F.transform("_m", lambda m: X.coalesce_blank(m["content"], "[image]")), "\n\n")
-    return gathered.select(*keys, F.when(F.size("_m") <= most, text).otherwise(
-        F.raise_error(F.lit("too many messages in one request")).cast("string")).alias("text"))
+    gathered = messages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "content"))).alias("_m"))
+    return gathered.select(*keys, F.array_join(F.transform("_m", lambda m: X.coalesce_blank(m["content"], "[image]")), "\n\n").alias("text"))

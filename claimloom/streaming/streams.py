@@ -107,16 +107,12 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "2 hours",
     ).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "total_value")
 
 
-def drain(writer: DataStreamWriter, checkpoint: str, timeout_seconds: int = 600) -> None:
-    """Run a stream over everything that is there now, then stop."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finished = query.awaitTermination(timeout_seconds)
-    if not finished:
-        query.stop()
-        raise TimeoutError("stream did not drain in time")
+def drain(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Run a stream over everything that is there now, however long it takes, then stop."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_table(df: DataFrame, mode: str, path: str, timeout_seconds: int = 600) -> DataFrame:
+def to_table(df: DataFrame, mode: str, path: str) -> DataFrame:
     """Drain a stream into a table and read it back.
 
     Every batch writes its own folder (a replay overwrites the same folder).
@@ -126,7 +122,7 @@ def to_table(df: DataFrame, mode: str, path: str, timeout_seconds: int = 600) ->
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-    drain(df.writeStream.outputMode(mode).foreachBatch(sink), f"{path}/checkpoint", timeout_seconds)
+    drain(df.writeStream.outputMode(mode).foreachBatch(sink), f"{path}/checkpoint")
     rows = df.sparkSession.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     if mode != "complete":
         return rows.drop("batch")

@@ -35,6 +35,30 @@ def test_too_deep_is_an_error(spark):
         df.select(F.inline(J.leaves(F.parse_json("j"), 2))).collect()
 
 
+def nested(depth):
+    doc = {"leaf": [1, {"x~/y": 'quote " and } back\\slash'}], "empty": {}}
+    for k in range(depth):
+        doc = [doc, k] if k % 2 else {"in": doc, "k": k}
+    return doc
+
+
+@pytest.mark.parametrize("levels", [1, 3, 8])
+def test_leaves_at_any_depth(spark, levels):
+    docs = [nested(d) for d in (0, 1, 3, 7, 12, 60)] + [{"t": "[[[[[[[[[[[["}, [], 5]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, j string")
+    rows = J.with_leaves(df, "j", levels=levels).select("i", F.inline("leaves")).select("i", "pointer", "label", F.to_json("node").alias("v")).collect()
+    for i, doc in enumerate(docs):
+        got = {(r["pointer"], r["label"], json.dumps(json.loads(r["v"]))) for r in rows if r["i"] == i}
+        assert got == {(p, lab, json.dumps(v)) for p, lab, v in flat(doc)}
+
+
+def test_repair_refuses_what_is_no_json(spark):
+    df = spark.createDataFrame([('{"a": NaN,}',), ("{'a': Infinity}",), ('```json {"a": 1,}```',), ('{"a": -Infinity, "b": [1,]}',)], ["t"])
+    got = {r["t"]: (r["payload"], r["error"]) for r in J.salvage(df, "t").collect()}
+    assert got['```json {"a": 1,}```'] == ('{"a": 1}', None)
+    assert all(p is None and e for t, (p, e) in got.items() if not t.startswith("```"))
+
+
 def test_pointer_set(spark):
     rows = [('{"a":[1,2]}', "/a/1", "9"), ('{"a":1}', "/b/c", '"x"'), ('{"a":[]}', "/a/2", "true"), ("{}", "", "5")]
     df = spark.createDataFrame(rows, ["d", "p", "v"]).select(J.pointer_set(F.col("d"), F.col("p"), F.col("v")).alias("x"))
@@ -80,8 +104,11 @@ def test_diff_statuses(spark):
 def test_merge_objects(spark):
     base, update = '{"a":{"x":1,"y":[1]},"b":2}', '{"a":{"y":[2],"z":3},"c":null}'
     df = spark.createDataFrame([(base, update)], ["b", "u"])
-    merged = df.select(F.to_json(F.to_variant_object(J.merge_objects(J.as_object(F.parse_json("b")), J.as_object(F.parse_json("u"))))).alias("m")).first()["m"]
+    merged = df.select(J.merge_objects("b", "u").alias("m")).first()["m"]
     assert json.loads(merged) == {"a": {"x": 1, "y": [2], "z": 3}, "b": 2, "c": None}
+    deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"keep":1,"e":2}}}}}', '{"a":{"b":{"c":{"d":{"e":3}}}}}'), (None, "{}"), ('{"x":1}', None)], ["b", "u"])
+    got = [r["m"] for r in deep.select(J.merge_objects("b", "u").alias("m")).collect()]
+    assert json.loads(got[0]) == {"a": {"b": {"c": {"d": {"keep": 1, "e": 3}}}}} and got[1:] == ["{}", '{"x":1}']
 
 
 def test_probabilities_at_any_depth(spark):

@@ -317,7 +317,7 @@ def tier_recount(spark, sf):
 @query("d26_diff_tally", f"WITH {LEAF_SQL} SELECT s AS status, (SELECT count(*) FROM d WHERE status = s) AS n FROM (SELECT unnest(['Different', 'reference only', 'prediction only', 'Match']) AS s)")
 def diff_tally(spark, sf):
     t = Tables(spark, sf)
-    return jsondiff.status_tally(jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", max_depth=4))
+    return jsondiff.status_tally(jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", levels=4))
 
 
 @query("d27_clinical_status_rollup", f"""
@@ -515,7 +515,7 @@ WITH {LEAF_SQL} SELECT doc_id, pointer, status, CAST(CASE status WHEN 'Different
 """)
 def status_ordering(spark, sf):
     t = Tables(spark, sf)
-    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", max_depth=4)
+    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", levels=4)
     return d.select("doc_id", "pointer", "status", "field", jsondiff.status_order(F.col("status")).alias("status_rank")).orderBy("status_rank", "field").drop("field")
 
 

@@ -120,17 +120,20 @@ def run_planner(spark, sf):
 
 
 @query("i06_lane_decision", """
-WITH f AS (SELECT *, l_returnflag <> 'R' AS ta, l_linestatus = 'F' AS va, l_discount > 0.02 AS tp, l_tax > 0.02 AS vp, l_quantity > 25 AS con, l_linenumber > 3 AS adj, l_quantity > 10 AS ap, l_linenumber = 7 AS mu, l_tax = 0.05 AS gate, l_discount <> 0.05 AS ind FROM lineitem),
+WITH f AS (SELECT *, l_returnflag <> 'R' AS ta, l_linestatus = 'F' AS va, l_discount > 0.02 AS tp, l_tax > 0.02 AS vp, l_quantity > 25 AS con, l_linenumber > 3 AS adj, l_quantity > 10 AS ap, l_linenumber = 7 AS mu, l_tax = 0.05 AS gate, l_discount <> 0.05 AS ind, CASE l_linenumber WHEN 1 THEN 'required' WHEN 2 THEN 'off' ELSE 'preferred' END AS policy FROM lineitem),
 g AS (SELECT *, ta AND va AS c, ta AND va AND NOT tp AND NOT vp AS absent FROM f), h AS (SELECT *, c AND con AS agreed FROM g), k AS (SELECT *, c AND NOT agreed AND NOT absent AND adj AS settled FROM h),
 m AS (SELECT *, CASE WHEN absent OR agreed THEN 'machine_consistent' WHEN settled AND NOT mu THEN 'machine_adjudicated' ELSE 'needs_review' END AS st,
   CASE WHEN absent THEN false WHEN agreed THEN tp AND vp WHEN settled THEN ap WHEN c AND tp = vp THEN tp WHEN ta AND tp OR va AND vp THEN true END AS mp FROM k)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN (coalesce(mp, false) AND gate) OR (NOT ind AND st <> 'needs_review') THEN 'needs_review' ELSE st END AS status, mp AS model_present, ind AS independence_gate_passed FROM m
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN c AND NOT ind AND policy = 'required' THEN 'independence_required'
+  WHEN (coalesce(mp, false) AND gate) OR (NOT ind AND policy = 'preferred' AND st <> 'needs_review') THEN 'needs_review' ELSE st END AS status,
+  CASE WHEN NOT (c AND NOT ind AND policy = 'required') THEN mp END AS model_present, ind OR policy = 'off' AS independence_gate_passed FROM m
 """)
 def lane_decision(spark, sf):
     ta, va = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
     tp, vp = F.col("l_discount") > 0.02, F.col("l_tax") > 0.02
     d = lanes.lane_decision(ta, va, tp, vp, F.col("l_quantity") > 25, F.col("l_linenumber") > 3, F.col("l_quantity") > 10, F.col("l_linenumber") == 7, (ta & tp) | (va & vp),
-                            F.col("l_tax") == 0.05, F.col("l_discount") != 0.05, F.lit("preferred"))
+                            F.col("l_tax") == 0.05, F.col("l_discount") != 0.05,
+                            F.when(F.col("l_linenumber") == 1, "required").when(F.col("l_linenumber") == 2, "off").otherwise("preferred"))
     return Tables(spark, sf).lineitem.withColumn("d", d).select(*fx.LINE_KEYS, "d.status", "d.model_present", "d.independence_gate_passed")
 
 

@@ -224,7 +224,7 @@ WITH {LEAF_SQL} SELECT doc_id, pointer, field, reference_value, prediction_value
 """)
 def leaf_diff(spark, sf):
     t = Tables(spark, sf)
-    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", max_depth=4)
+    d = jsondiff.compare_documents(order_json(t, False), order_json(t, True), ["doc_id"], "json", "json", levels=4)
     return d.select("doc_id", "pointer", "field", "reference_value", "prediction_value", fx.r6("delta_percent").alias("delta_percent"), "status")
 
 

@@ -442,7 +442,7 @@ def probability_documents(spark, sf):
         .otherwise(F.concat(F.lit('{"confidence":{"overall":'), k, F.lit(',"note":"x"},"model_probability":"'), k, F.lit('%"}')))
     )
     rows = Tables(spark, sf).spread("events").select("event_id", doc.alias("document"))
-    return J.normalise_probabilities(rows, "document", max_depth=3).select("event_id", "document", "error")
+    return J.normalise_probabilities(rows, "document", levels=3).select("event_id", "document", "error")
 
 
 @query("h43_triage_tier", f"""
@@ -549,7 +549,7 @@ SELECT event_id, unnest(['/k', '/a~1b/list/0/x', '/a~1b/list/1', '/a~1b/list/2',
   unnest([k, '"' || event_type || '"', '[]', 'null', '{}', k]) AS value_json FROM e
 """)
 def json_flatten(spark, sf):
-    rows = Tables(spark, sf).spread("events").select("event_id", F.inline(J.leaves(F.parse_json(nested_json()), 5)))
+    rows = J.with_leaves(Tables(spark, sf).spread("events").select("event_id", nested_json().alias("json")), "json", levels=3).select("event_id", F.inline("leaves"))
     return rows.select("event_id", "pointer", "label", F.to_json("node").alias("value_json"))
 
 
@@ -638,13 +638,13 @@ def payload_conformance(spark, sf):
 
 
 @query("h60_deep_merge", """
-SELECT event_id, '{"drugs":["x"],"limits":{"k":' || json_extract_string(props, '$.k') || ',"max":9,"min":0}}' AS merged FROM events
+SELECT event_id, '{"drugs":["x"],"limits":{"by":{"a":{"b":{"c":3,"keep":1}}},"k":' || json_extract_string(props, '$.k') || ',"max":9,"min":0}}' AS merged FROM events
 """)
 def deep_merge(spark, sf):
-    base = F.parse_json(F.lit('{"drugs": [], "limits": {"min": 0, "max": 5}}'))
-    update = F.parse_json(F.concat(F.lit('{"drugs": ["x"], "limits": {"max": 9, "k": '), F.get_json_object("props", "$.k"), F.lit("}}")))
-    merged = F.to_variant_object(J.merge_objects(J.as_object(base), J.as_object(update), 1))
-    return Tables(spark, sf).events.select("event_id", F.to_json(merged).alias("merged"))
+    base = F.lit('{"drugs": [], "limits": {"min": 0, "max": 5, "by": {"a": {"b": {"keep": 1, "c": 2}}}}}')
+    update = F.concat(F.lit('{"drugs": ["x"], "limits": {"max": 9, "by": {"a": {"b": {"c": 3}}}, "k": '), F.get_json_object("props", "$.k"), F.lit("}}"))
+    rows = Tables(spark, sf).events.select("event_id", J.merge_objects(base, update).alias("merged"))
+    return rows.select("event_id", F.to_json(F.parse_json("merged")).alias("merged"))
 
 
 @query("h61_range_validation", "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size::DOUBLE ELSE '-inf'::DOUBLE END < 0 AS open_start, p_size <= 10 OR p_type = 'PROMO' OR p_size <= 30 AS valid FROM part")
