@@ -32,6 +32,7 @@ CHARS = 8
 THRESHOLD = 0.8
 #: Shingles a row, and characters a piece before it is cut into rows; a text is walked from the start of its piece.
 STEP, PIECE = 8, 64
+SLOT_BITS = 20
 GRID = 4
 DIRECTIONS = 3
 _random = random.Random(20)
@@ -55,22 +56,21 @@ def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line_id, m0..m15) of every line."""
-    named = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), "line")
+    """(line_id, m0..m15) of every distinct line; copies of a line meet in the map-side aggregation."""
+    named = lines.select(F.xxhash64("line").alias("line_id"), "line")
     # Pieces overlap by a shingle less a character; a tail shorter than a shingle is inside the piece before.
     pattern = F.lit(f"(?s)(?=(.{{{CHARS},{PIECE + CHARS - 1}}})).{{1,{PIECE}}}")
     long = F.regexp_extract_all("line", pattern, F.lit(1))
-    pieces = named.select("doc_id", "line_no", "line_id", F.explode(F.when(F.char_length("line") < CHARS, F.array("line")).otherwise(long)).alias("piece"))
+    pieces = named.select("line_id", F.explode(F.when(F.char_length("line") < CHARS, F.array("line")).otherwise(long)).alias("piece"))
     last = F.greatest(F.floor((F.char_length("piece") - CHARS) / STEP), F.lit(0)).cast("int")
-    rows = pieces.select("doc_id", "line_no", "line_id", "piece", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    rows = rows.select("doc_id", "line_no", "line_id", F.substring("piece", F.col("k") * STEP + 1, F.lit(STEP + CHARS - 1)).alias("part"))
+    rows = pieces.select("line_id", "piece", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    rows = rows.select("line_id", F.substring("piece", F.col("k") * STEP + 1, F.lit(STEP + CHARS - 1)).alias("part"))
     rows = rows.withColumn("n", F.char_length("part"))
     hashed = [F.hash(F.substring("part", i + 1, CHARS)) for i in range(STEP)]
     # The first always counts: it is a whole shingle, or a whole short line.
-    rows = rows.select("doc_id", "line_no", "line_id", hashed[0].alias("s0"), *[F.when(F.col("n") >= i + CHARS, hashed[i]).alias(f"s{i}") for i in range(1, STEP)])
+    rows = rows.select("line_id", hashed[0].alias("s0"), *[F.when(F.col("n") >= i + CHARS, hashed[i]).alias(f"s{i}") for i in range(1, STEP)])
     least = [F.min(F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(x)) for i in range(STEP)])).alias(f"m{j}") for j, x in enumerate(XORS)]
-    signed = rows.groupBy("line_id", "doc_id", "line_no").agg(*least)
-    return signed.select("doc_id", "line_no", "line_id", *[F.shiftright(F.hash(f"m{j}"), 16).cast("smallint").alias(f"m{j}") for j in range(len(XORS))])
+    return rows.groupBy("line_id").agg(*least).select("line_id", *[F.shiftright(F.hash(f"m{j}"), 16).cast("smallint").alias(f"m{j}") for j in range(len(XORS))])
 
 
 def shingle_set(line: Column) -> Column:
@@ -88,21 +88,24 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return near.select(F.explode(F.array("head", "before")).alias("a"), F.col("line_id").alias("b")).distinct()
 
 
-def _lines_by_id(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_id, shingles) of the wanted lines (line_id, at_doc, at_line), each read out of its document once."""
-    of_doc = wanted.groupBy("at_doc").agg(F.collect_list(F.struct("line_id", "at_line")).alias("wanted"))
-    found = docs.join(of_doc, docs["doc_id"].eqNullSafe(of_doc["at_doc"])).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    read = found.select(F.col("w.line_id").alias("line_id"), F.get("lines", F.col("w.at_line")).alias("line"))
-    # An id with several texts: only the text that has the line counts.
-    return read.where(F.xxhash64("line") == F.col("line_id")).dropDuplicates(["line_id"]).select("line_id", shingle_set(F.col("line")).alias("shingles"))
+def _occurrences(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line_id, line) of every line; the text only where the line may be among ``members``.
+
+    The members are marked in a table of 2**SLOT_BITS slots, which bounds the
+    broadcast whatever their number; a slot that another line shares costs that
+    line's text being written, nothing else.
+    """
+    slot = F.pmod("line_id", F.lit(1 << SLOT_BITS))
+    marked = members.select(slot.alias("slot"), F.lit(True).alias("marked")).distinct()
+    named = lines_of(docs).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), "line").withColumn("slot", slot)
+    return named.join(F.broadcast(marked), "slot", "left").select("doc_id", "line_no", "line_id", F.when(F.col("marked"), F.col("line")).alias("line"))
 
 
 def line_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, line_id, component_id, kept) of every line that is not blank.
 
     ``component_id`` is the smallest line id of the component.  One line of each
-    component is kept.  Rows that repeat an id and its text have the same lines,
-    which are listed once.
+    component is kept.  A row that repeats an id and its text shares the decision.
     Null and empty texts have no lines; blank lines are no lines.  Ties in a
     document go to the earlier line, null document ids come first.  Other columns
     are ignored, whatever their names.
@@ -111,28 +114,26 @@ def line_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     folder = scratch_path(spark, "lines")
     slim = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
     signatures(lines_of(slim)).write.parquet(f"{folder}/signed")
-    signed = spark.read.parquet(f"{folder}/signed")
-    minima = [f"m{j}" for j in range(len(XORS))]
-    signed.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *[F.min(m).alias(m) for m in minima]).select(
-        "line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line"), *minima).write.parquet(f"{folder}/distinct")
-    distinct = spark.read.parquet(f"{folder}/distinct")
-    pairs = cut_lineage(candidates(distinct))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    places = distinct.select("line_id", "at_doc", "at_line")
-    _lines_by_id(slim, places.join(members, "line_id")).write.parquet(f"{folder}/members")
+    pairs = cut_lineage(candidates(spark.read.parquet(f"{folder}/signed")))
+    members = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct())
+    _occurrences(slim, members).write.parquet(f"{folder}/lines")
+    every = spark.read.parquet(f"{folder}/lines")
+    texts = every.where("line IS NOT NULL").select("line_id", "line").join(members, "line_id", "left_semi").dropDuplicates(["line_id"])
+    texts.select("line_id", shingle_set(F.col("line")).alias("shingles")).write.parquet(f"{folder}/members")
     sets = spark.read.parquet(f"{folder}/members")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     linked = both.select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("sum")).where(F.col("n") >= threshold * (F.col("sum") - F.col("n")))
     roots = components(linked.select("a", "b"))
-    rooted = places.join(roots, places["line_id"] == roots["node"], "left").select("line_id", "at_doc", "at_line", F.coalesce("root", "line_id").alias("component_id"))
-    several = places.join(roots, places["line_id"] == roots["node"]).groupBy("root").agg(F.min(F.struct("at_doc", "at_line")).alias("keeper"))
-    decided = rooted.join(several, rooted["component_id"] == several["root"], "left").select(
-        F.col("line_id").alias("known_id"), "component_id", F.coalesce("keeper", F.struct("at_doc", "at_line")).alias("keeper"))
-    every = signed.select("doc_id", "line_no", "line_id")
-    return every.join(decided, every["line_id"] == decided["known_id"]).select(
+    places = every.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    rooted = cut_lineage(places.join(roots, places["line_id"] == roots["node"], "left").select("line_id", "at", "root"))
+    several = rooted.where("root IS NOT NULL").groupBy(F.col("root").alias("of")).agg(F.min("at").alias("keeper"))
+    decided = rooted.join(several, rooted["root"] == several["of"], "left").select(
+        F.col("line_id").alias("known_id"), F.coalesce("root", "line_id").alias("component_id"), F.coalesce("keeper", "at").alias("keeper"))
+    listed = every.select("doc_id", "line_no", "line_id")
+    return listed.join(decided, listed["line_id"] == decided["known_id"]).select(
         "doc_id", "line_no", "line_id", "component_id",
-        (F.col("doc_id").eqNullSafe(F.col("keeper.at_doc")) & (F.col("line_no") == F.col("keeper.at_line"))).alias("kept"))
+        (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("line_no") == F.col("keeper.line_no"))).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
