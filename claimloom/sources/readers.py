@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,25 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]*$", 0)
 
 
+def folder_name(path: Column) -> Column:
+    """The folder a file lies in, without the folders above."""
+    return F.regexp_extract(path, r"([^/\\\\]*)[/\\\\][^/\\\\]*$", 1)
+
+
+def whole_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """(path, file, value): one row per matching file below a folder, its whole text as one value."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+
+
 def catalogue_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """One row per manifest line; unreadable ones keep their text in ``_corrupt_record``."""
+    """One row per manifest file (folder/manifest.json, over as many lines as it likes); unreadable ones keep their text in ``_corrupt_record``."""
+    files = whole_files(spark, path, "manifest.json")
+    return parse_manifests(files.select(folder_name(F.col("path")).alias("folder"), F.col("value").alias("json")))
+
+
+def catalogue_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of JSON-lines manifests; unreadable ones keep their text in ``_corrupt_record``."""
     raw = spark.read.schema(schemas.CATALOGUE_JSON).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return raw.withColumn("folder", file_name(F.col("_metadata.file_path")))
@@ -29,18 +49,31 @@ def parse_manifests(rows: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.select("folder", parsed.alias("_m")).select("folder", "_m.*")
 
 
-def corpus_records(spark: SparkSession, path: str, kind: str, partition: str | None = None) -> DataFrame:
-    """Records stored under kind=/partition= folders; both filters prune folders, not rows."""
-    rows = spark.read.text(path).filter(F.col("kind") == kind)
+def corpus_records(spark: SparkSession, path: str, kind: str, partition: str | None = None, one_per_file: bool = False) -> DataFrame:
+    """Records stored under kind=/partition= folders, a line each or a file each; both filters prune folders, not rows."""
+    rows = spark.read.text(path, wholetext=one_per_file).filter(F.col("kind") == kind)
     return rows.filter(F.col("partition") == partition) if partition else rows
 
 
-def prediction_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, json) for every JSON file below a folder that is not a run report."""
-    reports = ["run_manifest.json", "summary.json", "training_manifest.json"]
+#: Files of a run that hold no prediction.
+RUN_REPORTS = ["run_manifest.json", "summary.json", "training_manifest.json"]
+
+
+def prediction_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """(path, id, json) for every JSON file below a folder that is not a run report.
+
+    The id is the document's ``reference_id``, or the file name without its ending.
+    """
+    rows = whole_files(spark, path, pattern).filter(~F.col("file").isin(*RUN_REPORTS))
+    given = F.nullif(X.strip(F.get_json_object("value", "$.reference_id")), F.lit(""))
+    return rows.select("path", F.coalesce(given, F.regexp_replace("file", r"\.json$", "")).alias("id"), F.col("value").alias("json"))
+
+
+def prediction_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, json) for every line of the JSON-lines files below a folder that are no run reports."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
     return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file")).filter(
-        ~F.col("file").isin(*reports)
+        ~F.col("file").isin(*RUN_REPORTS)
     ).select("path", F.col("value").alias("json"))
 
 
@@ -63,23 +96,49 @@ def file_listing(spark: SparkSession, path: str, content: bool = False) -> DataF
 
 
 def literature_csv(spark: SparkSession, path: str, pattern: str = "pubmed_result*.csv") -> DataFrame:
-    """(pmid, title, abstract, source): headers matched without case; ids of 5-9 digits; first row of an id wins."""
-    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option(
-        "pathGlobFilter", pattern).option("recursiveFileLookup", "true").csv(path)
+    """(pmid, title, abstract, source): headers matched without case; ids of 5-9 digits; first row of an id wins.
+
+    Every file has its own header: files are read together with those that have
+    the same header line, under its names.  File names match without case.
+    """
+    wanted = F.lower(F.col("_metadata.file_name")).rlike(fnmatch.translate(pattern.lower()))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).filter(wanted)
+    firsts = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for row in firsts.groupBy("file").agg(F.min_by("value", "_at").alias("header")).orderBy("file").toLocalIterator():
+        groups[row["header"]].append(row["file"])
+    parts = [_literature_rows(spark, files) for _, files in sorted(groups.items())]
+    if not parts:
+        return spark.createDataFrame([], "pmid string, title string, abstract string, source string")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return keyed.first_per_key(rows, ["pmid"], ["source", "_row"]).drop("_row")
+
+
+def _literature_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(files)
     names: dict[str, str] = {}
     for column in raw.columns:
-        names.setdefault(column.lower(), column)
+        names.setdefault(column.lower().strip("\ufeff "), column)
     abstract = names.get("abstract") or names.get("abstracttext")
     if "pmid" not in names:
-        raise ValueError("no pmid column")
-    rows = raw.select(
-        F.regexp_replace(X.coalesce_blank(F.col(names["pmid"])), "[^0-9]", "").alias("pmid"),
-        (X.squeeze(F.col(names["title"])) if "title" in names else F.lit("")).alias("title"),
-        (X.squeeze(F.col(abstract)) if abstract else F.lit("")).alias("abstract"),
+        raise ValueError(f"no pmid column in {files[0]}")
+    return raw.select(
+        F.regexp_replace(X.coalesce_blank(F.col(f"`{names['pmid']}`")), "[^0-9]", "").alias("pmid"),
+        (X.squeeze(F.col(f"`{names['title']}`")) if "title" in names else F.lit("")).alias("title"),
+        (X.squeeze(F.col(f"`{abstract}`")) if abstract else F.lit("")).alias("abstract"),
         F.col("_metadata.file_path").alias("source"),
         F.monotonically_increasing_id().alias("_row"),
     ).filter(F.col("pmid").rlike("^[0-9]{5,9}$"))
-    return keyed.first_per_key(rows, ["pmid"], ["source", "_row"]).drop("_row")
+
+
+def plain_text(value: Column) -> Column:
+    """An XML element's text: where it holds inline markup, tags go and the five entities are decoded."""
+    text = F.regexp_replace(value, r"</?[A-Za-z][^<>]*>", "")
+    for mark, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(entity), F.lit(mark))
+    return F.when(value.rlike(r"<[A-Za-z/][^<>]*>"), text).otherwise(value)
 
 
 def article_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +162,8 @@ def article_xml(spark: SparkSession, path: str) -> DataFrame:
     )
     return raw.select(
         F.col("MedlineCitation.PMID").alias("pmid"),
-        F.regexp_replace(X.coalesce_blank(article["ArticleTitle"]), r"\s+", " ").alias("title"),
-        F.regexp_replace(F.array_join(F.coalesce(article["Abstract"]["AbstractText"], X.literal_array([])), " "), r"\s+", " ")
+        F.regexp_replace(X.coalesce_blank(plain_text(article["ArticleTitle"])), r"\s+", " ").alias("title"),
+        F.regexp_replace(F.array_join(F.transform(F.coalesce(article["Abstract"]["AbstractText"], X.literal_array([])), plain_text), " "), r"\s+", " ")
         .alias("abstract"),
         X.coalesce_blank(article["Journal"]["Title"]).alias("journal"),
         F.coalesce(F.nullif(date["Year"], F.lit("")), F.regexp_extract(X.coalesce_blank(date["MedlineDate"]), "^([0-9]{4})", 1))

@@ -10,7 +10,9 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_names_and_sql_cover_the_inventory():
-    queries, sql = entry_module.queries(), entry_module.oracle_sql()
+    registry.load_all()
+    queries, sql = registry.QUERIES, registry.SQL
+    assert set(queries) <= set(entry_module.queries()) and set(sql) <= set(entry_module.oracle_sql())
     assert set(sql) <= set(queries) and len(queries) >= 225
     ids = {re.match(r"([a-k]\d\d)_", name).group(1) for name in queries}
     for letter, last in {"a": 30, "b": 14, "c": 30, "d": 30, "e": 9, "f": 8, "g": 10, "h": 66, "i": 25, "j": 6, "k": 4}.items():

@@ -190,11 +190,24 @@ def prediction_file_scan(spark, sf):
     path = scratch_path(spark, "predictions")
     t.orders.select(F.col("o_orderkey").alias("reference_id"), F.struct(F.floor("o_totalprice").cast("bigint").alias("value")).alias("prediction"),
                     F.col("o_orderstatus").alias("part")).write.partitionBy("part").json(path)
-    rows = readers.prediction_files(spark, path)
+    rows = readers.prediction_lines(spark, path)
     parsed = F.from_json("json", "reference_id bigint, prediction struct<value:bigint>")
     return rows.select(parsed.alias("r")).select("r.reference_id", "r.prediction.value")
 
 
+@query("a10_prediction_whole_files", """
+SELECT 'ref-' || item_id AS id, length(text) AS n_chars FROM benchmark
+""")
+def prediction_whole_files(spark, sf):
+    """One pretty-printed envelope per file, as tools write them."""
+    t = Tables(spark, sf)
+    path = scratch_path(spark, "envelopes")
+    body = F.concat(F.lit('{\n  "reference_id": "ref-'), F.col("item_id").cast("string"), F.lit('",\n  "prediction": {\n    "text": '), F.to_json(F.array("text")), F.lit("\n  }\n}"))
+    t.benchmark.select("item_id", body.alias("value")).write.partitionBy("item_id").text(path)
+    found = readers.prediction_files(spark, path, "part-*")
+    return found.select("id", F.length(F.get_json_object("json", "$.prediction.text[0]")).cast("bigint").alias("n_chars"))
+
+
 @query("a11_prediction_index", """
 WITH files AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS id, 'p/' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '/' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0')
