@@ -185,15 +185,17 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
 
     Repeated rows are scored each; other columns are ignored, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    # Plain values: a task needs no class of ours to read them.
+    shared = docs.sparkSession.sparkContext.broadcast((models.vocabulary, models.single, models.pair_codes, models.pair_counts, models.least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Models(*shared.value)
         for batch in batches:
             for start, data, offsets in pieces(batch.column(1)):
                 hashes, first = words(data, offsets, NOT_BLANK)
                 n, row = len(offsets) - 1, _rows(first)
                 tokens = np.diff(first)
-                loss = shared.value.losses(hashes, first)
+                loss = known.losses(hashes, first)
                 means = [np.bincount(row, weights=loss[:, c], minlength=n) / np.maximum(tokens, 1) for c in range(2)]
                 none = tokens == 0
                 yield pa.RecordBatch.from_arrays([

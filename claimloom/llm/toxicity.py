@@ -247,12 +247,14 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """
     names = [f"p_{c}" for c in chain.categories]
     kept = docs.drop(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    # Plain values: a task needs no class of ours to read them.
+    shared = docs.sparkSession.sparkContext.broadcast((chain.categories, chain.known, chain.bias, chain.weights, chain.earlier, chain.threshold))
     width = len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Chain(*shared.value)
         for batch in batches:
-            p = shared.value.probabilities(batch.column(width))
+            p = fitted.probabilities(batch.column(width))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[pa.array(p[:, c]) for c in range(p.shape[1])]], names=[*batch.schema.names[:width], *names])
 
     schema = kept.schema
@@ -264,5 +266,5 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 def keep_clean(docs: DataFrame, chain: Chain, category: str, text: str = "text") -> DataFrame:
     """The rows whose probability of the category is under its threshold, with their own columns."""
     cut = float(chain.threshold[chain.categories.index(category)])
-    scored = score(docs, Chain(chain.categories, chain.known, chain.bias, chain.weights, chain.earlier, chain.threshold), text)
+    scored = score(docs, chain, text)
     return scored.where(F.col(f"p_{category}") < cut).select(*docs.columns)
