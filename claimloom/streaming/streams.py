@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from claimloom import config
 from claimloom.functions.numbers import clip01
 from claimloom.functions.text import finite
-from claimloom.operators import triage
+from claimloom.operators import keyed, triage
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -112,18 +112,22 @@ def drain(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_table(df: DataFrame, mode: str, path: str) -> DataFrame:
+def to_table(df: DataFrame, mode: str, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """Drain a stream into a table and read it back.
 
     Every batch writes its own folder (a replay overwrites the same folder).
     In complete mode each batch holds the whole result, so only the newest
-    folder is read; in append mode all folders are.
+    folder is read; in append mode all folders are.  In update mode a batch holds
+    the rows that changed, and the newest row of each of ``keys`` counts: nothing
+    is written twice without need, and a watermark can free the state.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     drain(df.writeStream.outputMode(mode).foreachBatch(sink), f"{path}/checkpoint")
     rows = df.sparkSession.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode == "update":
+        return keyed.newest(rows, list(keys), F.col("batch"), [c for c in df.columns if c not in keys]).select(*df.columns)
     if mode != "complete":
         return rows.drop("batch")
     newest = rows.agg(F.max("batch").alias("b")).first()["b"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom import config
@@ -464,11 +465,18 @@ def progress_channels(spark, sf):
 
 
 @query("f01_top_chunks", """
-WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) SELECT user_id, event_id, value, CAST(rn AS INTEGER) AS position FROM e WHERE rn <= 8
+WITH n AS (SELECT doc_id, text, length(text) AS n, CAST(ceil(greatest(length(text) - 600, 0) / 500.0) AS INTEGER) + 1 AS k FROM documents WHERE regexp_matches(text, '\\S')),
+c AS (SELECT doc_id, text, n, unnest(range(1, k + 1)) AS idx FROM n),
+s AS (SELECT doc_id, idx, (idx - 1) * 500 + 1 AS start, least(n, (idx - 1) * 500 + 600) AS stop, substr(text, CAST((idx - 1) * 500 + 1 AS BIGINT), 600) AS chunk FROM c),
+sc AS (SELECT *, len(list_filter(regexp_split_to_array(lower(chunk), '[^0-9a-z_]+'), lambda x: x IN ('the', 'der', 'las', 'les'))) + CASE WHEN idx = 1 THEN 0.25::DOUBLE ELSE 0 END AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS rn FROM sc),
+top AS (SELECT * FROM r WHERE rn <= 8)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS INTEGER) AS position, 'C' || lpad(CAST(idx AS VARCHAR), 3, '0') AS chunk_id, 'characters ' || start || '-' || stop AS locator FROM top
 """)
 def top_chunks(spark, sf):
-    rows = Tables(spark, sf).events.select("user_id", "event_id", "value")
-    return keyed.top_per_key(rows, ["user_id"], [F.col("value").desc(), "event_id"], 8, rank="position")
+    found = chunks.retrieve_chunks(Tables(spark, sf).spread("documents"), "text", ["doc_id"], ["the", "der", "las", "les"], 8, 600, 100)
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    return found.select("doc_id", F.row_number().over(order).alias("position"), "chunk_id", "locator")
 
 
 @query("f02_image_page_pick", f"""

@@ -177,16 +177,18 @@ def whole_word_count(spark, sf):
 
 
 @query("h19_chunk_format", r"""
-SELECT doc_id, md5('=== C001 | characters 1-' || least(length(text), 4200) || ' ===' || chr(10) || substr(text, 1, 4200) || CASE WHEN length(text) > 4200 THEN chr(10) || chr(10) || '=== C002 | characters 3851-' || least(length(text), 8050)
- || ' ===' || chr(10) || substr(text, 3851, 4200) ELSE '' END) AS block_md5 FROM documents WHERE regexp_matches(text, '\S')
+WITH d AS (SELECT doc_id, text, length(text) AS n, unnest(range(1, CAST(ceil(greatest(length(text) - 4200, 0) / 3850.0) AS BIGINT) + 2)) AS i FROM documents WHERE regexp_matches(text, '\S')),
+s AS (SELECT *, (i - 1) * 3850 + 1 AS start FROM d)
+SELECT doc_id, md5(string_agg('=== C' || lpad(CAST(i AS VARCHAR), 3, '0') || ' | characters ' || start || '-' || least(n, start + 4199) || ' ===' || chr(10) || substr(text, start, 4200), chr(10) || chr(10) ORDER BY i)) AS block_md5
+FROM s GROUP BY doc_id
 """)
 def chunk_format(spark, sf):
     d = Tables(spark, sf).documents
     text = chunks.unix_lines(F.col("text"))
-    first_two = F.transform(F.slice(chunks.chunk_spans(text), 1, 2), lambda s: F.struct(
-        chunks.chunk_id(s["idx"]).alias("chunk_id"), F.concat(F.lit("characters "), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")).alias("locator"),
+    windows = F.transform(chunks.chunk_spans(text), lambda s: F.struct(
+        chunks.chunk_id(s["idx"]).alias("chunk_id"), chunks.locator(s).alias("locator"),
         chunks.span_text(text, s).alias("chunk_text")))
-    return d.filter(F.col("text").rlike(r"\S")).select("doc_id", F.md5(chunks.format_chunks(first_two)).alias("block_md5"))
+    return d.filter(F.col("text").rlike(r"\S")).select("doc_id", F.md5(chunks.format_chunks(windows)).alias("block_md5"))
 
 
 @query("h20_message_flatten", """

@@ -41,14 +41,17 @@ def content_dedupe(spark, sf):
 
 @query("j03_inbox_completion", """
 SELECT v.event_id AS request_id, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS arrived, 'complete' AS status FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 DAY
+UNION ALL SELECT v.event_id, NULL, 'pending' FROM events v WHERE v.event_type = 'view'
+  AND v.ts + INTERVAL 1 DAY < (SELECT least(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 1 DAY FROM events)
+  AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 DAY)
 """)
 def inbox_completion(spark, sf):
     requests = table_stream(spark, sf, "events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at"))
     arrivals = table_stream(spark, sf, "events").filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("arrived_at"))
     done = streams.inbox_completion(requests, arrivals, "user_id", "1 day", "1 DAY")
     rows = streams.to_table(done, "append", scratch_path(spark, "inbox"))
-    # how many pending rows have come out depends on the watermark; completed ones never do
-    return rows.filter("status = 'complete'").select("request_id", fx.utc_text("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived"), "status")
+    # a pending request comes out once the watermark, a day behind the slower stream, has passed its range
+    return rows.select("request_id", fx.utc_text("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived"), "status")
 
 
 @query("j04_progress_state", f"WITH {PROGRESS} SELECT job, channel, round(value, 6) AS value, status FROM last")
@@ -57,7 +60,7 @@ def progress_state(spark, sf):
     ev = table_stream(spark, sf, "events").select(
         F.col("user_id").alias("job"), F.when(F.col("event_type").isin("click", "purchase", "error"), "batch").otherwise("current").alias("channel"), "ts",
         F.col("event_id").alias("seq"), (F.col("value") / 50 - 0.1).alias("value"), status.alias("status"))
-    rows = streams.to_table(streams.progress_state(ev), "complete", scratch_path(spark, "progress"))
+    rows = streams.to_table(streams.progress_state(ev), "update", scratch_path(spark, "progress"), ["job", "channel"])
     return rows.select("job", "channel", fx.r6("value").alias("value"), "status")
 
 
@@ -65,7 +68,7 @@ def progress_state(spark, sf):
 SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS attempts, strftime(min(ts), '%H:%M:%S') AS first_at, strftime(max(ts), '%H:%M:%S') AS last_at FROM events GROUP BY 1, 2
 """)
 def attempt_counters(spark, sf):
-    rows = streams.to_table(streams.attempt_counters(table_stream(spark, sf, "events"), "user_id"), "complete", scratch_path(spark, "attempts"))
+    rows = streams.to_table(streams.attempt_counters(table_stream(spark, sf, "events"), "user_id"), "update", scratch_path(spark, "attempts"), ["user_id", "window_start"])
     return rows.select("user_id", fx.utc_text("window_start", "yyyy-MM-dd").alias("day"), "attempts", fx.utc_text("first_at", "HH:mm:ss").alias("first_at"), fx.utc_text("last_at", "HH:mm:ss").alias("last_at"))
 
 
@@ -74,7 +77,7 @@ SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H') AS
 """)
 def activity_windows(spark, sf):
     ev = table_stream(spark, sf, "events").select("ts", "event_type", "value")
-    rows = streams.to_table(streams.activity_windows(ev, ["event_type"], size="6 hours"), "complete", scratch_path(spark, "windows"))
+    rows = streams.to_table(streams.activity_windows(ev, ["event_type"], size="6 hours"), "update", scratch_path(spark, "windows"), ["window_start", "event_type"])
     return rows.select("event_type", fx.utc_text("window_start", "yyyy-MM-dd HH").alias("start"), "n_events", F.round("total_value", 2).alias("total_value"))
 
 
@@ -84,7 +87,7 @@ SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts) - to_hours(back), '
 """)
 def sliding_windows(spark, sf):
     ev = table_stream(spark, sf, "events").select("ts", "event_type", "value")
-    rows = streams.to_table(streams.activity_windows(ev, ["event_type"], size="12 hours", slide="6 hours"), "complete", scratch_path(spark, "sliding"))
+    rows = streams.to_table(streams.activity_windows(ev, ["event_type"], size="12 hours", slide="6 hours"), "update", scratch_path(spark, "sliding"), ["window_start", "event_type"])
     return rows.select("event_type", fx.utc_text("window_start", "yyyy-MM-dd HH").alias("start"), "n_events", F.round("total_value", 2).alias("total_value"))
 
 
