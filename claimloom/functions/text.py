@@ -80,7 +80,7 @@ def strip_pmc(value: Column | str) -> Column:
 
 
 def strip_doi_url(value: Column | str) -> Column:
-    return F.regexp_replace(strip(value), r"(?i)^https?://(dx\.)?doi\.org/", "")
+    return F.regexp_replace(strip(value), config.DOI_PREFIX_PATTERN, "")
 
 
 def pmc_pdf_url(value: Column | str) -> Column:
@@ -119,7 +119,7 @@ def citation_key(value: Column | str, low: int = 5, high: int = 9) -> Column:
     pattern = rf"(?<![0-9])([0-9]{{{low},{high}}})(?![0-9])"
     at = F.regexp_instr(text, F.lit(pattern))
     head = F.trim(F.substring(text, F.lit(1), at - 1))
-    year_pattern = r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"
+    year_pattern = config.CITATION_YEAR_PATTERN
     years = F.regexp_extract_all(head, F.lit(year_pattern), F.lit(0))
     year = F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit(""))
     author = F.when(year == "", head).otherwise(
@@ -135,7 +135,7 @@ def citation_key(value: Column | str, low: int = 5, high: int = 9) -> Column:
 
 
 def valid_id(value: Column | str) -> Column:
-    return F.coalesce(_c(value).rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$"), F.lit(False))
+    return F.coalesce(_c(value).rlike(config.ID_PATTERN), F.lit(False))
 
 
 def checked_id(value: Column | str) -> Column:
