@@ -37,8 +37,9 @@ def source_shares(docs: DataFrame, source: str = "source", text: str = "text") -
     """(source, tokens, documents, share); sources without tokens have share 0, a null source is a source."""
     sums = docs.groupBy(F.col(source).alias("source")).agg(F.sum(token_count(F.col(text))).alias("tokens"), F.count("*").alias("documents"))
     sums = cut_lineage(sums)
-    total = sums.agg(F.sum("tokens").alias("total"))
-    return sums.join(F.broadcast(total)).select("source", "tokens", "documents", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(0.0).alias("share"), "total")
+    total = sums.agg(F.sum("tokens")).first()[0] or 0
+    share = F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0)
+    return sums.select("source", "tokens", "documents", share.alias("share"), F.lit(total).cast("long").alias("total"))
 
 
 def _judged(shares: DataFrame, exponents: list[float], budget: float | None) -> list:
@@ -77,12 +78,13 @@ def exponent(shares: DataFrame, entropy: float | None = None, max_repeats: float
 
 def budgets(shares: DataFrame, t: float, budget: float | None = None) -> DataFrame:
     """(source, tokens, documents, weight, budget, repeats, whole, rest): whole epochs and the tokens of the last, partial one."""
-    z = cut_lineage(shares.where("share > 0").agg(
-        F.sum(F.pow("share", F.lit(t))).alias("z"), F.min(F.pow("share", F.lit(t - 1.0))).alias("least"), F.max("total").alias("all_tokens")))
-    weight = F.when(F.col("share") > 0, F.pow("share", F.lit(t)) / F.col("z")).otherwise(0.0)
-    whole_budget = F.col("all_tokens") * F.col("z") / F.col("least") if budget is None else F.lit(float(budget))
+    sums = shares.where("share > 0").agg(
+        F.sum(F.pow("share", F.lit(t))).alias("z"), F.min(F.pow("share", F.lit(t - 1.0))).alias("least"), F.max("total").alias("total")).first()
+    z = sums["z"] or 1.0  # no source has tokens: no weights
+    weight = F.when(F.col("share") > 0, F.pow("share", F.lit(t)) / F.lit(z)).otherwise(0.0)
+    whole_budget = F.lit((sums["total"] or 0) * z / (sums["least"] or 1.0) if budget is None else float(budget))
     # Rounded to whole tokens, and a source that is within a token of whole epochs is taken whole.
-    planned = shares.join(F.broadcast(z), how="left").select("source", "tokens", "documents", weight.alias("weight"), F.coalesce(F.round(weight * whole_budget), F.lit(0)).cast("long").alias("budget"))
+    planned = shares.select("source", "tokens", "documents", weight.alias("weight"), F.coalesce(F.round(weight * whole_budget), F.lit(0)).cast("long").alias("budget"))
     whole = F.when(F.col("tokens") > 0, F.floor((F.col("budget") + 1) / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
     return planned.select("*", F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(0.0).alias("repeats"), whole.alias("whole"),
                           F.greatest(F.col("budget") - whole * F.col("tokens"), F.lit(0)).alias("rest"))

@@ -67,18 +67,20 @@ def edited_map(current: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
     known = current.select("version", "slot", "shard").join(sums.select("slot", F.col("bytes").alias("new_bytes")), "slot", "left").select(
         "version", "slot", "shard", F.coalesce("new_bytes", F.lit(0)).alias("bytes"))
     known = cut_lineage(known)
-    total = known.agg(F.sum("bytes").alias("total"))
+    fair = (known.agg(F.sum("bytes")).first()[0] or 0) / shards
     loads = current.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(
         known.groupBy("shard").agg(F.sum("bytes").alias("load")), "shard", "left").select("shard", F.coalesce("load", F.lit(0)).alias("load"))
-    share = loads.join(F.broadcast(total)).select("shard", "load", (F.col("total") / shards).alias("share"))
-    share = cut_lineage(share)
+    share = cut_lineage(loads.select("shard", "load", F.lit(float(fair)).alias("share")))
     running = F.expr("sum(bytes) OVER (PARTITION BY shard ORDER BY bytes, slot)")
     marked = known.join(F.broadcast(share), "shard").withColumn("run", running).withColumn("over", F.col("load") - F.col("share"))
     given = marked.where("over > 0 AND run <= over").select("slot", "bytes", F.expr("sum(bytes) OVER (ORDER BY bytes DESC, slot)").alias("upto"))
-    room = share.where("load < share").select("shard", (F.col("share") - F.col("load")).alias("room"))
-    room = room.select("shard", F.expr("sum(room) OVER (ORDER BY shard)").alias("room_end"), F.expr("sum(room) OVER (ORDER BY shard) - room").alias("room_start"))
+    # One row a shard: the free room laid end to end.
+    ends, taker = 0.0, F.lit(None).cast("int")
     middle = F.col("upto") - F.col("bytes") / 2
-    moved = given.join(F.broadcast(room), (middle > F.col("room_start")) & (middle <= F.col("room_end"))).select("slot", F.col("shard").alias("to"))
+    for row in share.where("load < share").orderBy(F.desc("shard")).collect():
+        ends += row["share"] - row["load"]
+        taker = F.when((middle > ends - (row["share"] - row["load"])) & (middle <= ends), F.lit(row["shard"])).otherwise(taker)
+    moved = given.select("slot", taker.alias("to")).where("to IS NOT NULL")
     return known.join(F.broadcast(moved), "slot", "left").select(
         (F.col("version") + 1).alias("version"), "slot", F.coalesce("to", "shard").alias("shard"), "bytes")
 
