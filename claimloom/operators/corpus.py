@@ -232,14 +232,16 @@ def apply_corrections(models: DataFrame, corrections: DataFrame, document: str,
 
     Corrections of a model are applied up to ``batch`` at a time, so no row
     carries more than that many; a model with more takes further rounds.  Only
-    corrected models pass through Python; the others keep their document untouched.
+    corrected models go through the rounds and through Python; the others are
+    added untouched at the end.
     corrections: (reference_id, seq, pointer, value_json) with seq = 1, 2, ... per model.
     """
     from claimloom.functions import jsontools as J
 
     numbered = corrections.withColumn("_round", F.floor((F.col("seq") - 1) / batch))
     last = numbered.agg(F.max("_round").alias("n")).first()["n"]
-    out = models
+    corrected = corrections.select("reference_id").distinct()
+    out = models.join(corrected, "reference_id", "left_semi")
     for number in range(0, -1 if last is None else int(last) + 1):
         step = numbered.filter(F.col("_round") == number).groupBy("reference_id").agg(
             F.sort_array(F.collect_list(F.struct("seq", "pointer", "value_json"))).alias("_fixes")
@@ -252,7 +254,7 @@ def apply_corrections(models: DataFrame, corrections: DataFrame, document: str,
         out = out.join(step.select("reference_id"), "reference_id", "left_anti").select(*out.columns).unionByName(hit)
         if number:
             out = cut_lineage(out)
-    return out
+    return models.join(corrected, "reference_id", "left_anti").select(*models.columns).unionByName(out.select(*models.columns))
 
 
 def recount(models: DataFrame) -> DataFrame:

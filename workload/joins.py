@@ -450,6 +450,24 @@ def curation_decisions(spark, sf):
     return corpus.apply_decisions(m, d, "kim").select("reference_id", "tier", "review_status", "strict_score_eligible", "training_eligible", "audit")
 
 
+@query("c17_corrections", """
+SELECT CAST(doc_id AS VARCHAR) AS reference_id, CASE lang
+  WHEN 'de' THEN '{"n":' || doc_id || ',"who":{"lang":"xx"}}'
+  WHEN 'fr' THEN '{"n":' || n_chars || ',"who":{"lang":"fr"},"new":{"list":[1]}}'
+  ELSE '{"n":' || n_chars || ',"who":{"lang":"' || lang || '"}}' END AS target FROM documents
+""")
+def corrections(spark, sf):
+    d = Tables(spark, sf).documents
+    rid = F.col("doc_id").cast("string").alias("reference_id")
+    models = d.select(rid, F.concat(F.lit('{"n":'), F.col("n_chars").cast("string"), F.lit(',"who":{"lang":"'), F.col("lang"), F.lit('"}}')).alias("target"))
+    german, french = d.filter("lang = 'de'"), d.filter("lang = 'fr'")
+    fixes = german.select(rid, F.lit(1).alias("seq"), F.lit("/n").alias("pointer"), F.lit("0").alias("value_json")).unionByName(
+        german.select(rid, F.lit(2).alias("seq"), F.lit("/who/lang").alias("pointer"), F.lit('"xx"').alias("value_json"))).unionByName(
+        german.select(rid, F.lit(3).alias("seq"), F.lit("/n").alias("pointer"), F.col("doc_id").cast("string").alias("value_json"))).unionByName(
+        french.select(rid, F.lit(1).alias("seq"), F.lit("/new/list").alias("pointer"), F.lit("[1]").alias("value_json")))
+    return corpus.apply_corrections(models, fixes, "target", batch=2)
+
+
 @query("c18_correction_coverage", f"""
 WITH {fx.MODELS}, d AS (SELECT reference_id, partition, lang FROM models WHERE quality IS NOT NULL)
 SELECT reference_id, 'correction_without_decision' AS error FROM models WHERE lang = 'es' AND quality IS NULL
