@@ -119,9 +119,11 @@ def line_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     _occurrences(slim, members).write.parquet(f"{folder}/lines")
     every = spark.read.parquet(f"{folder}/lines")
     texts = every.where("line IS NOT NULL").select("line_id", "line").join(members, "line_id", "left_semi").dropDuplicates(["line_id"])
-    texts.select("line_id", shingle_set(F.col("line")).alias("shingles")).write.parquet(f"{folder}/members")
-    sets = spark.read.parquet(f"{folder}/members")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    texts.write.parquet(f"{folder}/members")
+    texts = spark.read.parquet(f"{folder}/members")
+    # The texts travel, not the sets: a set of 64-bit hashes has eight times the bytes and does not compress.
+    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b").select(
+        "a", "b", shingle_set(F.col("line_a")).alias("set_a"), shingle_set(F.col("line_b")).alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     linked = both.select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("sum")).where(F.col("n") >= threshold * (F.col("sum") - F.col("n")))
     roots = components(linked.select("a", "b"))
