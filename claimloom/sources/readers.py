@@ -30,13 +30,13 @@ def whole_files(spark: SparkSession, path: str, pattern: str = "*.json") -> Data
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
 
 
-def catalogue_manifests(spark: SparkSession, path: str) -> DataFrame:
+def catalogue_manifest_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per manifest file (folder/manifest.json, over as many lines as it likes); unreadable ones keep their text in ``_corrupt_record``."""
     files = whole_files(spark, path, "manifest.json")
     return parse_manifests(files.select(folder_name(F.col("path")).alias("folder"), F.col("value").alias("json")))
 
 
-def catalogue_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+def catalogue_manifests(spark: SparkSession, path: str) -> DataFrame:
     """One row per line of JSON-lines manifests; unreadable ones keep their text in ``_corrupt_record``."""
     raw = spark.read.schema(schemas.CATALOGUE_JSON).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record").json(path)

@@ -18,7 +18,7 @@ def test_a_file_is_one_manifest_or_envelope(spark, tmp_path):
     write(tmp_path, "m/first/manifest.json", json.dumps({"library_id": "first", "title": "T", "version": "1.0.0"}, indent=2))
     write(tmp_path, "m/broken/manifest.json", "{\n not json")
     write(tmp_path, "m/first/other.json", "{}")
-    got = {r["folder"]: r for r in readers.catalogue_manifests(spark, str(tmp_path / "m")).select("folder", "library_id", "_corrupt_record").collect()}
+    got = {r["folder"]: r for r in readers.catalogue_manifest_files(spark, str(tmp_path / "m")).select("folder", "library_id", "_corrupt_record").collect()}
     assert set(got) == {"first", "broken"} and got["first"]["library_id"] == "first"
     assert got["first"]["_corrupt_record"] is None and got["broken"]["_corrupt_record"] is not None
     write(tmp_path, "p/a/ref_1.json", json.dumps({"prediction": {"x": 1}}, indent=2))

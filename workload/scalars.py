@@ -186,7 +186,7 @@ def chunk_format(spark, sf):
     d = Tables(spark, sf).documents
     text = chunks.unix_lines(F.col("text"))
     windows = F.transform(chunks.chunk_spans(text), lambda s: F.struct(
-        chunks.chunk_id(s["idx"]).alias("chunk_id"), chunks.locator(s).alias("locator"),
+        chunks.chunk_id(s["idx"]).alias("chunk_id"), chunks.span_locator(s).alias("locator"),
         chunks.span_text(text, s).alias("chunk_text")))
     return d.filter(F.col("text").rlike(r"\S")).select("doc_id", F.md5(chunks.format_chunks(windows)).alias("block_md5"))
 
