@@ -5,16 +5,21 @@ one vocabulary, one order and one smoothing, so their losses differ only by what
 the texts say.  A document's score is the mean over its tokens of target loss
 minus background loss: the lower, the more it resembles the target.
 
-* Vocabulary: of the words that occur at least MIN_COUNT times in each corpus the
-  most frequent, at most WORDS; every other word is the one unknown.
+* Vocabulary: all words that occur at least MIN_COUNT times in each corpus; every
+  other word is the one unknown.
 * Model: bigrams interpolated with add-ALPHA unigrams, and the start of a text as
   a context of its own.
-* Bigrams: all are counted; those with at least c occurrences are kept in the
-  model, c being the smallest count under which at most ``pairs`` are left.
-  Rarer ones get the unigram part alone, in both models alike.
+* Bigrams: all are counted and all are in the model.  The HOT most frequent are
+  broadcast.  The others stay a table: a task gives their tokens the unigram part
+  and lists their codes, and a shuffle join by code brings what the bigram changes
+  in the loss, summed per row.  HOT steers cost, not results.
 
-What reaches the driver and the tasks is bounded by the two parameters (32,768
-words and a million bigrams: some 25 MB); what is counted grows with the corpus.
+``vocabulary_words`` and ``pairs`` make smaller models on request (the most
+frequent words, and bigrams with at least c occurrences, c being the smallest
+count under which at most ``pairs`` are left); neither is set by default.
+
+The vocabulary with its counts (24 bytes a word) and the HOT bigrams reach the
+driver and the tasks; the vocabulary grows with the corpus, though much slower.
 """
 
 from __future__ import annotations
@@ -26,12 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from claimloom.llm.textbatch import NOT_BLANK, U64, pieces, words
-from claimloom.session import cut_lineage
+from claimloom.session import cut_lineage, scratch_path
 
-WORDS = 32768
-PAIRS = 1_000_000
+#: No bound: every word with MIN_COUNT occurrences in each corpus.
+WORDS = 1 << 62
+#: So many bigrams are broadcast; the rest is joined.
+HOT = 1_000_000
 MIN_COUNT = 2
 ALPHA = 0.1
 MIXING = 0.7
@@ -94,8 +102,8 @@ def _rows(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys and counts of all rows with at least c occurrences, and c: the smallest under which at most ``most`` are left.
+def _least(counted: DataFrame, most: int) -> int:
+    """The smallest c for which at most ``most`` rows have at least c occurrences.
 
     The sizes of all counts below 4096, and of doublings above, are enough to find c.
     """
@@ -107,6 +115,13 @@ def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarra
         if left <= most:
             break
         left, least = left - r["count"], r["n"] + 1 if r["n"] < 4096 else 2 * r["n"]
+    return least
+
+
+def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and counts of all rows with at least c occurrences, and c: the smallest under which at most ``most`` are left."""
+    least = _least(counted, most)
+    n = F.col("target") + F.col("background")
     # At most ``most`` rows of three numbers, as Arrow.
     kept = counted.where(n >= least).select("key", "target", "background").toArrow()
     columns = [kept.column(c).to_numpy() for c in ("key", "target", "background")]
@@ -121,7 +136,7 @@ class Models:
     single: np.ndarray  # occurrences by word number; the unknown word is the last but one, the start of a text the last
     pair_codes: np.ndarray  # sorted
     pair_counts: np.ndarray
-    least: int  # bigrams with fewer occurrences are not kept
+    rest: DataFrame | None = None  # (key, target, background) of all other bigrams of the model
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -137,22 +152,26 @@ class Models:
         before[first[:-1][first[1:] > first[:-1]]] = len(self.vocabulary) + 1
         return here, before * (len(self.vocabulary) + 2) + here
 
-    def losses(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Negative log probability of every token under each model."""
+    def code_losses(self, codes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Negative log probability under each model of the words of bigrams that occur ``found`` times."""
         width = len(self.vocabulary) + 2
-        here, codes = self.codes(hashes, first)
         tokens = self.single[:-1].sum(axis=0)
-        unigram = (self.single[here] + ALPHA) / (tokens + ALPHA * (width - 1))
-        found = np.zeros((len(codes), 2))
-        if len(self.pair_codes):
-            kinds, inverse = np.unique(codes, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.pair_codes, kinds), len(self.pair_codes) - 1)
-            found = np.where((self.pair_codes[at] == kinds)[:, None], self.pair_counts[at], 0)[inverse]
+        unigram = (self.single[codes % width] + ALPHA) / (tokens + ALPHA * (width - 1))
         share = found / np.maximum(self.single[codes // width], 1)
         return -np.log(MIXING * share + (1 - MIXING) * unigram)
 
+    def losses(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Losses of every token by the bigrams at hand, its bigram code, and whether that bigram is not at hand."""
+        codes = self.codes(hashes, first)[1]
+        if not len(self.pair_codes):
+            return self.code_losses(codes, np.zeros((len(codes), 2))), codes, np.ones(len(codes), dtype=bool)
+        kinds, inverse = np.unique(codes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pair_codes, kinds), len(self.pair_codes) - 1)
+        known = self.pair_codes[at] == kinds
+        return self.code_losses(kinds, np.where(known[:, None], self.pair_counts[at], 0))[inverse], codes, ~known[inverse]
+
 
-def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int = PAIRS) -> Models:
+def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int | None = None, hot: int = HOT) -> Models:
     """Both models from all rows (text, is_target)."""
 
     def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,15 +188,19 @@ def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int = PAIRS) ->
     starts = {r["is_target"]: r["count"] for r in texts}
     unknown = [(total[c] or 0) - int(counts[:, c].sum()) for c in range(2)]
     single = np.vstack([counts, np.array([unknown, [starts.get(True, 0), starts.get(False, 0)]], dtype=np.int64)])
-    half = Models(vocabulary, single, np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64), 1)
+    half = Models(vocabulary, single, np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64))
 
     def pair_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, first = words(data, offsets, NOT_BLANK)
         return half.codes(hashes, first)[1], _rows(first)
 
-    codes, pair_counts, least = _most_frequent(cut_lineage(_counted(rows, pair_keys)), pairs)
+    counted = cut_lineage(_counted(rows, pair_keys))
+    n = F.col("target") + F.col("background")
+    if pairs is not None:
+        counted = counted.where(n >= _least(counted, pairs))
+    codes, pair_counts, least = _most_frequent(counted, hot)
     order = np.argsort(codes)
-    return Models(vocabulary, single, codes[order], pair_counts[order], least)
+    return Models(vocabulary, single, codes[order], pair_counts[order], counted.where(n < least))
 
 
 def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,27 +209,47 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
     Repeated rows are scored each; other columns are ignored, whatever their names.
     """
     # Plain values: a task needs no class of ours to read them.
-    shared = docs.sparkSession.sparkContext.broadcast((models.vocabulary, models.single, models.pair_codes, models.pair_counts, models.least))
+    shared = docs.sparkSession.sparkContext.broadcast((models.vocabulary, models.single, models.pair_codes, models.pair_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Models(*shared.value)
         for batch in batches:
-            for start, data, offsets in pieces(batch.column(1)):
+            for start, data, offsets in pieces(batch.column(2)):
                 hashes, first = words(data, offsets, NOT_BLANK)
                 n, row = len(offsets) - 1, _rows(first)
-                tokens = np.diff(first)
-                loss = known.losses(hashes, first)
-                means = [np.bincount(row, weights=loss[:, c], minlength=n) / np.maximum(tokens, 1) for c in range(2)]
-                none = tokens == 0
+                loss, codes, open_ = known.losses(hashes, first)
+                sums = [np.bincount(row, weights=loss[:, c], minlength=n).astype(np.float64) for c in range(2)]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[open_], minlength=n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(start, n), pa.array(tokens.astype(np.int64)), *[pa.array(m, mask=none) for m in means], pa.array(means[0] - means[1], mask=none)],
-                    names=[batch.schema.names[0], "n_tokens", "target_loss", "background_loss", "score"])
+                    batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(np.diff(first).astype(np.int64)), *[pa.array(x) for x in sums],
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[open_]))], names=[*batch.schema.names[:2], "n_tokens", "target_sum", "background_sum", "codes"])
 
-    slim = docs.select(F.col(doc), F.col(text).cast("string").alias("_text"))
-    schema = slim.select(doc).schema
-    for name, kind in (("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double")):
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Models(*shared.value)
+        for batch in batches:
+            codes = batch.column(0).to_numpy()
+            counts = np.stack([batch.column(c).to_numpy() for c in (1, 2)], axis=1)
+            changed = known.code_losses(codes, counts) - known.code_losses(codes, np.zeros_like(counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(changed[:, c])) for c in range(2)]], names=["key", "target_change", "background_change"])
+
+    slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc), F.col(text).cast("string").alias("_text"))
+    schema = slim.select("_row", doc).schema
+    for name, kind in (("n_tokens", "long"), ("target_sum", "double"), ("background_sum", "double"), ("codes", ArrayType(LongType()))):
         schema = schema.add(name, kind)
-    return slim.mapInArrow(run, schema)
+    means = [F.when(F.col("n_tokens") > 0, F.col(f"{c}_sum") / F.col("n_tokens")).alias(f"{c}_loss") for c in ("target", "background")]
+    scored = slim.mapInArrow(run, schema)
+    if models.rest is not None:
+        # Written: the row numbers must be the same in both uses.
+        folder = scratch_path(docs.sparkSession, "scores")
+        scored.write.parquet(folder)
+        scored = docs.sparkSession.read.schema(schema).parquet(folder)
+        rest = models.rest.select("key", "target", "background").mapInArrow(changes, "key long, target_change double, background_change double")
+        tokens = scored.select("_row", F.explode("codes").alias("key"))
+        moved = tokens.join(rest, "key").groupBy(F.col("_row").alias("_of")).agg(F.sum("target_change").alias("target_change"), F.sum("background_change").alias("background_change"))
+        scored = scored.drop("codes").join(moved, F.col("_row") == F.col("_of"), "left")
+        for c in ("target", "background"):
+            scored = scored.withColumn(f"{c}_sum", F.col(f"{c}_sum") + F.coalesce(f"{c}_change", F.lit(0.0)))
+    return scored.select(doc, "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def cross_entropy_difference(docs: DataFrame, is_target: Column, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:

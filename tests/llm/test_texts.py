@@ -68,6 +68,26 @@ def test_scores_equal_brute_force(spark, pairs):
     assert sum(r["score"] is None for r in got) == 2
 
 
+@pytest.mark.parametrize("hot", [0, 300])
+def test_bigrams_that_are_not_broadcast_count_all_the_same(spark, hot):
+    from pyspark.sql import functions as F
+
+    rows = [(k, " ".join(words(30 + k % 40, k, pool=60))) for k in range(60)] + [(3, "word1 word2"), (None, None)]
+    good = set(range(0, 60, 3))
+    flagged = lmscore.flagged(docs(spark, rows).drop("is_target"), spark.createDataFrame([(k,) for k in good], "doc_id long"))
+    got = lmscore.cross_entropy_difference(flagged, F.col("is_target"), hot=hot).collect()
+    key = lambda r: tuple(-1e9 if x is None else round(x, 6) for x in r)
+    want = brute_scores(rows, good, len(rows) * 100, 10**9)
+    assert sorted(key((r["n_tokens"], r["target_loss"], r["background_loss"])) for r in got) == sorted(key(w) for w in want)
+
+
+def test_no_word_and_no_bigram_is_left_out_by_default():
+    import inspect
+
+    options = inspect.signature(lmscore.train).parameters
+    assert options["pairs"].default is None and options["vocabulary_words"].default >= 1 << 62
+
+
 def test_scores_without_target_or_rows(spark):
     from pyspark.sql import functions as F
 
