@@ -1,3 +1,4 @@
+import random
 import re
 
 from claimloom.llm import lines
@@ -30,6 +31,29 @@ def test_kept_lines_equal_brute_force(spark):
     assert {(r["doc_id"], r["line_no"]) for r in got if r["kept"]} == want
 
 
+def test_all_pairs_of_a_band_count(spark):
+    rng = random.Random(7)
+    base, kinds = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(97)), set()
+    for _ in range(400):
+        line = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            line[rng.randrange(97)] = rng.choice("0123456789")
+        kinds.add("".join(line))
+    frame = docs(spark, list(enumerate(sorted(kinds))))
+    named = {r["line_id"]: r["text"] for r in frame.selectExpr("xxhash64(text) AS line_id", "text").collect()}
+    signed = {r["line_id"]: r for r in lines.signatures(frame.selectExpr("text AS line")).collect()}
+    ids = sorted(named)
+    sets = {i: {named[i][k:k + 8] for k in range(90)} for i in ids}
+    keys = {i: {(k, *[signed[i][f"m{j}"] for j in band]) for k, band in enumerate(lines.bands())} for i in ids}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if keys[a] & keys[b] and len(sets[a] & sets[b]) >= lines.THRESHOLD * len(sets[a] | sets[b])]
+    want = roots(links, ids)
+    first = lines.candidates(lines.groups(lines.signatures(frame.selectExpr("text AS line")))).collect()
+    tested = {(r["a"], r["b"]) for r in first}
+    assert roots([x for x in links if x in tested], ids) != want  # head and predecessor alone do not reach all
+    got = lines.line_components(frame).collect()
+    assert {r["line_id"]: r["component_id"] for r in got} == want and sum(r["kept"] for r in got) == len(set(want.values()))
+
+
 def test_texts_lose_the_other_lines_and_keep_their_columns(spark):
     rows = sample()
     want, _ = brute(rows)
