@@ -219,28 +219,35 @@ def _tokens(pages: DataFrame) -> DataFrame:
         run, "host string, page long, kind int, path string, token long, n long, chars long")
 
 
+def _vector(*columns: str) -> Column:
+    """Order-free hash of the rows of a group: sums of two halves of their hashes, so that repeats add up and do not cancel."""
+    h = F.xxhash64(*columns)
+    # Each half has 32 bits, so the sums stay exact for up to 2**31 rows.
+    return F.xxhash64(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32)))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed): per host the path of its main container and its template's text tokens.
 
     Input columns: host, page_id, url, html.
     """
     stats = _tokens(pages).groupBy("host", "kind", "path", "token").agg(
-        F.count("*").alias("support"), F.sum("chars").alias("chars"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
+        F.count("*").alias("support"), F.sum("chars").alias("chars"), F.max("n").alias("most"), _vector("page", "n").alias("vector"))
     folder = scratch_path(pages.sparkSession, "templates")
     stats.write.parquet(f"{folder}/stats")
     stats = pages.sparkSession.read.parquet(f"{folder}/stats")
     # The page token stands once on every page: its support is the number of pages, its vector the one of tokens that do the same.
     hosts = stats.where("kind = 0").select("host", F.col("support").alias("pages"), F.col("vector").alias("page_vector")).where(F.col("pages") >= HOST_PAGES)
-    classes = stats.groupBy("host", "vector").agg(F.count("*").alias("class_tokens"), F.max("support").alias("class_support"))
+    classes = stats.groupBy("host", "vector").agg(F.count("*").alias("class_tokens"))
     valid = stats.join(classes, ["host", "vector"]).join(hosts, "host").where(
-        (F.col("class_tokens") >= CLASS_TOKENS) & (F.col("class_support") >= COVER * F.col("pages")))
+        (F.col("class_tokens") >= CLASS_TOKENS) & (F.col("support") >= COVER * F.col("pages")))
     # Nesting: the deepest container that holds nearly all text the outermost does; inner classes refine outer ones.
     containers = valid.where("kind = 1 AND most = 1")
     best = containers.groupBy("host").agg(F.max("chars").alias("all_chars"))
     main = containers.join(best, "host").where("chars >= 0.8 * all_chars AND chars > 0").groupBy("host").agg(F.max_by("path", F.struct(F.length("path"), "path")).alias("main"))
     # Template tokens of a host cover COVER of its pages each, so there are at most 1 / COVER times as many as on an average page.
     fixed = valid.where("kind = 2").groupBy("host").agg(
-        F.collect_set("token").alias("fixed"), F.collect_set(F.when((F.col("vector") == F.col("page_vector")) & (F.col("pages") >= SURE_PAGES), F.col("token"))).alias("sure"))
+        F.collect_set("token").alias("fixed"), F.collect_set(F.when((F.col("vector") == F.col("page_vector")) & (F.col("support") == F.col("pages")) & (F.col("pages") >= SURE_PAGES), F.col("token"))).alias("sure"))
     every = hosts.select("host").join(main, "host", "left").join(fixed, "host", "left")
     every.write.parquet(f"{folder}/templates")
     return pages.sparkSession.read.parquet(f"{folder}/templates")

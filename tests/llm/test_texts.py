@@ -257,5 +257,14 @@ def test_templates_give_the_main_container_and_constant_text(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_repeated_rows_do_not_cancel(spark):
+    def rows(times):
+        return [(k, f"http://h.example/{k}", page(f"<article><h1>Story {k}</h1><p>{' '.join(words(20, k))}</p></article>")) for k in range(10) for _ in range(times(k))]
+
+    for times in (lambda k: 2, lambda k: 1 if k == 3 else 2):
+        got = pages.extract(spark.createDataFrame(rows(times), "page_id long, url string, html string")).collect()
+        assert all(r["text"] == f"Story {r['page_id']}\n{' '.join(words(20, r['page_id']))}" for r in got)
+
+
 def test_edited_helper_changes_words():
     assert edited(["a"] * 5, 0, 1) == ["a"] * 5
