@@ -188,35 +188,47 @@ def _tokens(pages: DataFrame) -> DataFrame:
     """(host, page, kind, path, token, n, chars): what stands on each page, counted per page.
 
     Kind 0 is the page itself, 1 a container (named by its path), 2 a text block
-    (named by a hash).  ``chars`` of a container are those outside links.
+    (named by a hash).  ``chars`` of a container are those outside links.  A page
+    is named by its article's text, without an article by all its text; of
+    several pages of a host with the same text one is kept, for copies say
+    nothing about the template.
     """
-    names = ["host", "page", "kind", "path", "token", "n", "chars"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["host", "page", "kinds", "paths", "tokens", "ns", "chars"]
+    types = [pa.string(), pa.int64(), *[pa.list_(x) for x in (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for host, key, source in zip(*[c.to_pylist() for c in batch.columns]):
+            for host, source in zip(*[c.to_pylist() for c in batch.columns]):
                 page = read(source or "")
                 counts: dict[tuple[int, str, int], list[int]] = {(0, "", 0): [1, 0]}
                 for i, c in enumerate(page.containers[1:], 1):
                     if not page.around(i):
                         counts.setdefault((1, c.path, 0), [0, 0])[0] += 1
+                every, article = [], []
                 for i, text, linked in page.blocks:
                     if page.around(i):
                         continue
+                    every.append(text)
+                    if page.article(i):
+                        article.append(text)
                     counts.setdefault((2, "", block_token(page.containers[i].path, text)), [0, 0])[0] += 1
                     up = i
                     while up > 0:
                         counts[(1, page.containers[up].path, 0)][1] += len(text) - linked
                         up = page.containers[up].parent
-                for (kind, path, token), (n, chars) in counts.items():
-                    for column, value in zip(rows, (host, key, kind, path, token, n, chars)):
-                        column.append(value)
+                listed = sorted(counts.items())
+                found = (host, block_token("", "\n".join(article or every)), [k[0] for k, _ in listed], [k[1] for k, _ in listed], [k[2] for k, _ in listed], [v[0] for _, v in listed], [v[1] for _, v in listed])
+                for column, value in zip(rows, found):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
-    return pages.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").where("host IS NOT NULL").mapInArrow(
-        run, "host string, page long, kind int, path string, token long, n long, chars long")
+    read_pages = pages.select("host", "html").where("host IS NOT NULL").mapInArrow(
+        run, "host string, page long, kinds array<int>, paths array<string>, tokens array<long>, ns array<long>, chars array<long>")
+    # The smallest of the copies, so that the choice does not depend on the order of the rows.
+    distinct = read_pages.groupBy("host", "page").agg(F.min(F.struct("kinds", "paths", "tokens", "ns", "chars")).alias("of"))
+    return distinct.select("host", "page", F.explode(F.arrays_zip("of.kinds", "of.paths", "of.tokens", "of.ns", "of.chars")).alias("x")).select(
+        "host", "page", F.col("x.kinds").alias("kind"), F.col("x.paths").alias("path"), F.col("x.tokens").alias("token"), F.col("x.ns").alias("n"), F.col("x.chars").alias("chars"))
 
 
 def _vector(*columns: str) -> Column:
@@ -229,7 +241,7 @@ def _vector(*columns: str) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed): per host the path of its main container and its template's text tokens.
 
-    Input columns: host, page_id, url, html.
+    Input columns: host, html.
     """
     stats = _tokens(pages).groupBy("host", "kind", "path", "token").agg(
         F.count("*").alias("support"), F.sum("chars").alias("chars"), F.max("n").alias("most"), _vector("page", "n").alias("vector"))
@@ -258,7 +270,8 @@ def main_blocks(source: str, main: str | None, fixed: frozenset = frozenset(), s
 
     An article's blocks, but for constant text that is sure to be template; else
     those of the host's main container; else all blocks outside of menus and the
-    like - in both cases without the template's text.
+    like - in both cases without the template's text.  An article or main container
+    of which the template would leave nothing keeps its text.
     """
     page = read(source or "")
     kept = [(i, text) for i, text, _ in page.blocks if not page.around(i)]
@@ -269,8 +282,8 @@ def main_blocks(source: str, main: str | None, fixed: frozenset = frozenset(), s
         known = fixed
         if main:
             chosen = [(i, text) for i, text in kept if page.inside(i, lambda c: c.path == main)]
-        chosen = chosen or kept
-    return [text for i, text in chosen if not known or block_token(page.containers[i].path, text) not in known]
+    left = [text for i, text in chosen or kept if not known or block_token(page.containers[i].path, text) not in known]
+    return left or [text for _, text in chosen]
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

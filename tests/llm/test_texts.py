@@ -266,5 +266,25 @@ def test_repeated_rows_do_not_cancel(spark):
         assert all(r["text"] == f"Story {r['page_id']}\n{' '.join(words(20, r['page_id']))}" for r in got)
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_copies_of_an_article_are_no_template(spark, tag):
+    story = lambda k: f"<{tag}><h1>Story {k}</h1><p>{' '.join(words(30, k))}</p></{tag}>"
+    rows = [(k, f"http://copies.example/{k}", page(story(0))) for k in range(9)]
+    rows += [(20 + k, f"http://few.example/{k}", page(story(max(k, 1)))) for k in range(3)]
+    rows += [(30 + k, f"http://more.example/{k}", page(story(k if k < 9 else 0), f"<p hidden>{k}</p>" if tag == "article" else "")) for k in range(30)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = r["page_id"]
+        of = 0 if k < 9 else max(k - 20, 1) if k < 30 else k - 30 if k < 39 else 0
+        assert r["text"] == f"Story {of}\n{' '.join(words(30, of))}", r
+
+
+def test_a_template_never_takes_a_whole_article():
+    body = "<article><p>one</p></article>"
+    whole = frozenset({pages.block_token("/html/body/article", "one")})
+    assert pages.main_blocks(f"<html><body>{body}</body></html>", None, whole, whole) == ["one"]
+
+
 def test_edited_helper_changes_words():
     assert edited(["a"] * 5, 0, 1) == ["a"] * 5
