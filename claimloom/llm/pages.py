@@ -49,6 +49,8 @@ AROUND_WORDS = frozenset((
     "newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar masthead topbar toolbar footer social share "
     "sharing related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets pagination pager search searchbox copyright disclaimer banner"
 ).split())
+#: Those of them that tell even of an article that it is no text of the page.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: A valid class has so many tokens and covers this share of a host's pages; a host has so many pages at least.
 CLASS_TOKENS, COVER, HOST_PAGES = 2, 0.6, 3
 #: Constant text inside an article is template only on every page of a host of at least so many pages.
@@ -67,6 +69,7 @@ class Container:
     around: bool
     by_word: bool
     text: bool
+    comments: bool = False
 
 
 @dataclass
@@ -153,15 +156,44 @@ def read(source: str) -> Page:
                 elif key == "itemprop" and value.strip().lower() == "articlebody":
                     role = "article"
         holds = name in TEXT_TAGS or role in TEXT_ROLES
-        by_word = bool(words & AROUND_WORDS) and name not in ("html", "body")
-        around = name in AROUND_TAGS or role in AROUND_ROLES or by_word or (name == "header" and not page.article(stack[-1]))
+        comments = bool(words & COMMENT_WORDS) and name not in ("html", "body")
+        # Class words do not overrule an article or main container, unless they are those of comments.
+        by_word = bool(words & AROUND_WORDS) and name not in ("html", "body") and (comments or not holds)
+        by_kind = name in AROUND_TAGS or role in AROUND_ROLES or (name == "header" and not page.article(stack[-1]))
+        around = by_kind or by_word
         if name in CONTAINERS or name == "head" or ((around or holds) and not attributes.endswith("/")):
             if name not in CONTAINERS and name not in BLOCKS and name != "head":
                 flush()
             above = page.containers[stack[-1]]
-            page.containers.append(Container(name, f"{above.path}/{name}{label}", stack[-1], around, by_word and name not in AROUND_TAGS, holds and not around))
+            page.containers.append(Container(name, f"{above.path}/{name}{label}", stack[-1], around, by_word and not by_kind, holds and not around, comments))
             stack.append(len(page.containers) - 1)
     flush()
+    _settle(page)
+    return page
+
+
+def _settle(page: Page) -> None:
+    """What only the whole page tells of its containers."""
+    in_comments = lambda c: page.inside(c.parent, lambda up: up.comments)
+    if not any(c.text and not in_comments(c) for c in page.containers):
+        # Without an article, a container that holds most of the page's text is not around it, whatever its name.
+        chars, total, holding = [0] * len(page.containers), 0, set()
+        for i, text, linked in page.blocks:
+            if page.inside(i, lambda c: c.around and not c.by_word):
+                continue
+            total += len(text) - linked
+            while i > 0:
+                chars[i] += len(text) - linked
+                i = page.containers[i].parent
+        for i, c in enumerate(page.containers):
+            while c.text and i > 0:
+                holding.add(i)
+                i = page.containers[i].parent
+        for i, c in enumerate(page.containers):
+            if c.by_word and 2 * chars[i] > total and (not c.comments or i in holding):
+                c.around = c.comments = False
+    for c in page.containers:
+        c.text = c.text and not in_comments(c)
     # A wrapper named after its sidebar is no sidebar: what holds an article is not around it.
     for c in page.containers:
         if c.text:
@@ -170,7 +202,6 @@ def read(source: str) -> Page:
                 if page.containers[up].by_word:
                     page.containers[up].around = False
                 up = page.containers[up].parent
-    return page
 
 
 def host_of(url: Column) -> Column:

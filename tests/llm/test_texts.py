@@ -231,6 +231,20 @@ def test_main_blocks(body, want):
     assert "\n".join(pages.main_blocks(page(body), None)) == want
 
 
+@pytest.mark.parametrize("body, want", [
+    ("<article class='post has-sidebar'><p>in</p></article>", "in"),
+    ("<main class='with-sidebar'><p>in</p><div class='sidebar'>no</div></main>", "in"),
+    ("<article class='related-enabled'><header><h1>Head</h1></header><p>in</p></article>", "Head\nin"),
+    ("<div role='main' class='social-page'><p>in</p></div>", "in"),
+    ("<div id='content' class='no-sidebar'><p>Most of the text of this page stands here.</p></div>", "Most of the text of this page stands here."),
+    ("<div class='post with-comments'><article><p>The whole story is in here, wrapped.</p></article></div>", "The whole story is in here, wrapped."),
+    ("<article><p>in</p></article><div class='comments'><article><p>A comment much longer than the text.</p></article></div>", "in"),
+    ("<p>short</p><section class='comments'><p>A comment much longer than the text.</p></section>", "short"),
+    ("<article><p>in</p><div class='comments'><p>A comment much longer than the text.</p></div></article>", "in")])
+def test_class_words_do_not_overrule_what_holds_the_text(body, want):
+    assert "\n".join(pages.main_blocks(page(body), None)) == want
+
+
 def test_a_page_that_breaks_off_keeps_its_text():
     assert pages.main_blocks("<html><body><nav>A</nav><article><p>broken &am</p><p>tail <a hre", None) == ["broken &am", "tail"]
     assert pages.main_blocks("<script>never closed", None) == [] and pages.main_blocks("5 < 6 and <", None) == ["5 < 6 and <"]
