@@ -143,6 +143,24 @@ def test_a_secret_keeps_its_place_inside_a_layer():
     assert kind == 0 and s == 2 + at * 8 // 6 and e == 2 + -(-(at + len("token=abcdefgh1234")) * 8 // 6)
 
 
+def wrapped(raw, width=76, indent=""):
+    text = b64(raw)
+    return "\n".join(indent + text[k: k + width] for k in range(0, len(text), width))
+
+
+FILLER = " ".join(hashlib.sha256(bytes([k])).hexdigest()[:9].upper() for k in range(60))
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda s: wrapped(gzip.compress(f"{FILLER} {s} {FILLER}".encode())), lambda s: wrapped(f"{FILLER[:50]} {s}".encode(), 64, "    "), lambda s: wrapped(s.encode(), 12),
+    *[lambda s, x=x: x + b64(s.encode()) for x in ("data/", "x-", "id_", "ab/", "abc")], lambda s: "data/" + b64(gzip.compress(s.encode())),
+    lambda s: b64(b"\xff\xfe" + s.encode()), lambda s: b64(s.encode("utf-16")), lambda s: b64(b"\x00\x01" + s.encode()), lambda s: "%FF" + urllib.parse.quote(s, safe="").replace("a", "%61").replace("p", "%70"),
+    lambda s: b64(gzip.compress(b"first") + gzip.compress(s.encode())), lambda s: b64(b"head" + zlib.compress(s.encode()))])
+def test_layers_that_do_not_begin_with_a_whole_run(wrap):
+    base, every, _, refused = secrets.scan(f"before\n\n{wrap(PLAIN)}\n\nafter")
+    assert not base and any(kind == 0 for _, kind, _ in every) and not refused
+
+
 def test_base_spans_stay_and_bombs_are_refused():
     text = f"secret=abcdefgh %41 {b64(gzip.compress(b'0' * 200000))}"
     base, every, _, refused = secrets.scan(text, max_unpacked=1000)
