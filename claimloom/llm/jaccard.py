@@ -156,13 +156,14 @@ def linked(pairs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: float = TH
             _, data, offsets = next(pieces(column, 1))
             return next(shingles(*words(data, offsets, NOT_BLANK), shingle))
 
-        last, of_last = None, None
+        last, last_text, of_last = None, None, None
         for batch in batches:
             a, b, text_a, text_b = batch.columns
             kept = []
             for i in range(len(batch)):
-                if last is None or a[i] != last:
-                    last, of_last = a[i], one(text_a.slice(i, 1))
+                # An id can stand for several texts.
+                if last is None or a[i] != last or text_a[i] != last_text:
+                    last, last_text, of_last = a[i], text_a[i], one(text_a.slice(i, 1))
                 other = one(text_b.slice(i, 1))
                 both = len(np.intersect1d(of_last, other, assume_unique=True))
                 if both and 10000 * both >= share * (len(of_last) + len(other) - both):

@@ -100,3 +100,9 @@ def test_union_find_on_paths_stars_and_noise(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == roots([x for x in links if None not in x], nodes)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_pair_is_checked_on_its_own_text(spark):
+    one, two = " ".join(words(30, 1)), " ".join(words(30, 2))
+    pairs = spark.createDataFrame([(1, 2, one, one), (1, 3, two, two), (1, 4, one, two)], "a long, b long, text_a string, text_b string").coalesce(1)
+    assert {(r["a"], r["b"]) for r in jaccard.linked(pairs).collect()} == {(1, 2), (1, 3)}
