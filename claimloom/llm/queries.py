@@ -1,4 +1,4 @@
-"""The ten operators as registered queries on the given tables."""
+"""The operators as registered queries on the given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, fingerprints, jaccard, lines, lmscore, mixture, pages, secrets, shards, toxicity
+from claimloom.llm import decontaminate, fingerprints, jaccard, lines, lmscore, mixture, pages, secrets, shards, simhash, toxicity, vantage, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,69 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_line_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_components(table(spark, folder, "documents"))
+
+
+#: Words with their counts, then near words by two kinds of keys: one letter left open, and one letter left out.
+_OP11_SQL = """
+WITH RECURSIVE step(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+run AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS r FROM documents)),
+kind AS (SELECT doc_id, r, count(*) AS m, hex(encode(doc_id || ':' || r)) AS x FROM run GROUP BY doc_id, r),
+hashed AS (SELECT r, m, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(x), 2), j ->
+             CAST(16 * (instr('0123456789ABCDEF', substr(x, j, 1)) - 1) + instr('0123456789ABCDEF', substr(x, j + 1, 1)) - 1 AS BIGINT))),
+             (a, b) -> xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM kind, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, CAST(h % len(r) AS BIGINT)) || substr(r, CAST(h % len(r) AS BIGINT) + 2) ELSE r END AS word, m FROM hashed),
+word AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cut WHERE len(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+place AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM word),
+opened AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS k FROM place),
+short AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS k FROM place),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM opened a JOIN opened b ON a.k = b.k AND a.word <> b.word
+         UNION ALL SELECT s.word, w.word, w.n FROM short s JOIN word w ON s.k = w.word
+         UNION ALL SELECT w.word, s.word, s.n FROM short s JOIN word w ON s.k = w.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS top FROM near GROUP BY word),
+form AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN top END AS form_n,
+           (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.top AND b.top >= 10 * w.n) AS form
+         FROM word w LEFT JOIN best b ON w.word = b.word),
+chain(word, at) AS (SELECT word, word FROM form UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM form f JOIN chain c ON c.word = f.word JOIN form e ON e.word = c.at AND e.form IS NULL
+"""
+
+
+@query("op11_variants", _OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """All rounds written out: assignment to the nearest centroid, then the floored mean of each cluster."""
+    parts = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+      FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {size}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), row) - 1 AS c, x AS m FROM v QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), row) <= {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+d{i} AS (SELECT row, vec_id, x, c, list_sum(list_transform(range(1, {size + 1}), j -> (x[j] - m[j]) * (x[j] - m[j]))) AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (SELECT c, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, range(1, {size + 1}) t(j) GROUP BY c, j),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{i} o LEFT JOIN m{i} n ON o.c = n.c)""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON a.c = k.c"""
+
+
+@query("op13_centroids", _op13_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return vantage.cluster(table(spark, folder, "embeddings"))
