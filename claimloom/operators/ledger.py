@@ -6,10 +6,12 @@ order in which items were reported), because first-wins rules need an order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom import config
 from claimloom.functions import text as X
@@ -37,9 +39,49 @@ def question_id(supplied: Column, stage: Column, field: Column, question: Column
     return F.when(F.contains(base, F.lit("::")), base).otherwise(F.concat(stage, F.lit("::"), base))
 
 
-def first_wins_pairs(df: DataFrame, keys: Sequence[str], one: str, two: str, order: str) -> DataFrame:
+#: Rows of one key that are decided in one pass; keys with more are decided in rounds.
+ONE_PASS_ROWS = 100_000
+
+
+def first_wins_pairs(df: DataFrame, keys: Sequence[str], one: str, two: str, order: str, one_pass: int = ONE_PASS_ROWS) -> DataFrame:
     """Keep a row unless an earlier *kept* row of the same keys shares either of two values.
 
+    Rows of keys with at most ``one_pass`` rows are dealt by key, sorted, and read once, whatever chains
+    they make; only the values seen so far are held, for one key at a time.  Larger keys are decided in
+    rounds by :func:`_in_rounds`, so no key has to fit a task.  Rows that repeat the order and both values
+    of a kept row are kept with it.
+    """
+    large = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > one_pass).select(*keys))
+    names = df.columns
+    at = [names.index(c) for c in (*keys, order, one, two)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, ones, twos = None, None, set(), set()
+        for batch in batches:
+            keep = []
+            for *mine, place, x, y in zip(*(batch.column(i).to_pylist() for i in at)):
+                if mine != key:
+                    key, last, ones, twos = mine, None, set(), set()
+                if (place, x, y) == last:
+                    keep.append(True)
+                elif x in ones or y in twos:
+                    keep.append(False)
+                else:
+                    ones.add(x), twos.add(y), keep.append(True)
+                    last = (place, x, y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    def passed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(scan, df.schema)
+
+    if large.isEmpty():
+        return passed(df)
+    return passed(df.join(large, list(keys), "left_anti")).unionByName(_in_rounds(df.join(large, list(keys), "left_semi"), keys, one, two, order))
+
+
+def _in_rounds(df: DataFrame, keys: Sequence[str], one: str, two: str, order: str) -> DataFrame:
+    """The same rule for keys of any size.
+
     A row that comes first in both of its groups is kept; rows sharing a value
     with it fall away; what is left is decided the same way.  Groups are
     reduced with min(), never gathered.  Lineage is cut once per round, and
@@ -63,13 +105,34 @@ def first_wins_pairs(df: DataFrame, keys: Sequence[str], one: str, two: str, ord
     return df.join(kept, [*keys, one, two, order], "left_semi")
 
 
-def add_claims(claims: DataFrame) -> DataFrame:
-    """Namespaced claims; one is dropped when an earlier kept claim has its id or its content."""
-    named = claims.withColumn(
+def _content() -> Column:
+    return content_hash(F.col("field"), F.col("value"), F.col("model_stage"), F.col("source_locator"))
+
+
+def name_claims(claims: DataFrame) -> DataFrame:
+    """Claims with their namespaced ``claim_id``."""
+    return claims.withColumn(
         "claim_id", claim_id(F.col("id"), F.col("stage"), F.col("field"), F.col("value"), F.col("model_stage"),
                              F.col("source_locator"))
-    ).withColumn("_content", content_hash(F.col("field"), F.col("value"), F.col("model_stage"), F.col("source_locator")))
-    return first_wins_pairs(named, ["doc_id"], "claim_id", "_content", "seq").drop("_content")
+    )
+
+
+def add_claims(claims: DataFrame, order: str = "seq") -> DataFrame:
+    """Namespaced claims; one is dropped when an earlier kept claim has its id or its content."""
+    named = name_claims(claims).withColumn("_content", _content())
+    return first_wins_pairs(named, ["doc_id"], "claim_id", "_content", order).drop("_content")
+
+
+def new_claims(kept: DataFrame, claims: DataFrame, order: str = "seq") -> DataFrame:
+    """The claims of a later stage that join a ledger of kept claims, by the rule of :func:`add_claims`.
+
+    Everything in the ledger is kept and comes earlier, so a claim that shares an id
+    or a content with it falls away at once; the rest is decided among itself.
+    """
+    named = name_claims(claims).withColumn("_content", _content())
+    fresh = named.join(kept.select("doc_id", "claim_id"), ["doc_id", "claim_id"], "left_anti").join(
+        kept.select("doc_id", _content().alias("_content")), ["doc_id", "_content"], "left_anti")
+    return first_wins_pairs(fresh, ["doc_id"], "claim_id", "_content", order).select(*claims.columns, "claim_id")
 
 
 def remap_dependencies(claims: DataFrame) -> DataFrame:
@@ -97,6 +160,34 @@ def drop_resolved(questions: DataFrame, resolved: DataFrame) -> DataFrame:
     return questions.join(resolved.select("doc_id", "question_id").distinct(), ["doc_id", "question_id"], "left_anti")
 
 
+def open_questions(asked: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The questions that are open after all steps, folded from the log of what was asked and resolved.
+
+    asked: (doc_id, step, seq, id, stage, field, question, ...); resolved: (doc_id, step, question_id).  In one
+    step questions are asked before others are resolved.  While a question is open, another of the same
+    lower(field|question) is not added; after it was resolved, the next one is.  Of a step only the first
+    question of a key counts, so what is gathered for a key is bounded by the number of steps.
+    """
+    key = F.lower(F.concat(X.coalesce_blank("field"), F.lit("|"), X.coalesce_blank("question")))
+    named = asked.withColumn("question_id", question_id(F.col("id"), F.col("stage"), F.col("field"), F.col("question"))).withColumn("_key", key)
+    first = cut_lineage(keyed.first_per_key(named, ["doc_id", "_key", "step"], ["seq"]))
+    ends = resolved.select("doc_id", "step", "question_id").distinct().join(
+        first.select("doc_id", "question_id", "_key").distinct(), ["doc_id", "question_id"])
+    events = first.select("doc_id", "_key", F.struct("step", F.lit(0).alias("ends"), "question_id").alias("e")).unionByName(
+        ends.select("doc_id", "_key", F.struct("step", F.lit(1).alias("ends"), "question_id").alias("e")))
+
+    def fold(state: Column, e: Column) -> Column:
+        asks, none = e["ends"] == 0, state["question_id"].isNull()
+        gone = ~asks & (state["question_id"] == e["question_id"])
+        opened = F.struct(e["step"].alias("step"), e["question_id"].alias("question_id"))
+        return F.when(asks & none, opened).when(gone, nothing).otherwise(state)
+
+    nothing = F.struct(F.lit(None).cast(asked.schema["step"].dataType).alias("step"), F.lit(None).cast("string").alias("question_id"))
+    last = events.groupBy("doc_id", "_key").agg(F.aggregate(F.array_sort(F.collect_list("e")), nothing, fold).alias("open")).select(
+        "doc_id", "_key", F.col("open.step").alias("step"))
+    return first.join(last.where("step IS NOT NULL"), ["doc_id", "_key", "step"], "left_semi").drop("_key")
+
+
 def stage_summaries(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
     """Reported claims and contradictions per document and stage, before de-duplication."""
     counted = claims.select("doc_id", "stage", F.lit(1).alias("c"), F.lit(0).alias("x")).unionByName(
@@ -118,37 +209,52 @@ def merge_investigation(claims: DataFrame, questions: DataFrame, contradictions:
 
 
 def apply_review(claims: DataFrame, verdicts: DataFrame, stage: str) -> dict[str, DataFrame]:
-    """Contradicted claims get a contradiction row; with a corrected value also a replacement claim.
+    """The ledger after a review: verdicts are events in the order of ``seq``, and of several the last one holds.
+
+    claims: the kept claims (doc_id, seq, claim_id, field, value, model_stage, source_locator, evidence, confidence,
+    status, dependencies, stage, ...) with ``superseded_by`` if an earlier review has set it.  verdicts: (doc_id, seq,
+    claim_id, verdict, corrected_value, source_locator, evidence, reason); they speak about claims that stand in the
+    ledger when the review begins, others are ignored.
 
-    Inputs: claims (doc_id, seq, claim_id, field, value, model_stage, source_locator, evidence, confidence,
-    status) and verdicts (doc_id, claim_id, verdict, corrected_value, source_locator, evidence, reason).
+    Every contradicting verdict gives a contradiction, which is resolved if the verdict corrects the value.  A
+    correction gives a replacement: the claim with all its columns, but the corrected value, the verdict's locator and
+    evidence, and a dependency on the claim.  The claim is superseded by the last replacement.  A replacement is a copy
+    of the claim as it stands when the verdict comes, so one that follows another correction of the same claim bears
+    that mark, and of several corrections the first one stays active.  Replacements join the ledger like other claims.
+
+    Returns ``claims`` (with replacements), ``replacements`` (those that joined) and ``contradictions``.
     """
+    if "superseded_by" not in claims.columns:
+        claims = claims.withColumn("superseded_by", F.lit(None).cast("string"))
+    claims = cut_lineage(claims)
     target = keyed.first_per_key(claims, ["doc_id", "claim_id"], ["seq"])
     said = verdicts.filter(F.col("verdict") == "contradicted").select(
-        "doc_id", "claim_id", "corrected_value", F.col("source_locator").alias("v_locator"),
+        "doc_id", "claim_id", F.col("seq").alias("v_seq"), "corrected_value", F.col("source_locator").alias("v_locator"),
         F.col("evidence").alias("v_evidence"), "reason",
     )
-    hit = said.join(target, ["doc_id", "claim_id"])
+    hit = cut_lineage(said.join(target, ["doc_id", "claim_id"]))
     corrected = X.present("corrected_value")
+    locator, evidence = X.coalesce_blank("v_locator"), X.coalesce_blank("v_evidence")
     contradictions = hit.select(
-        "doc_id", "claim_id",
+        "doc_id", "claim_id", F.col("v_seq").alias("seq"),
         X.coalesce_blank("reason", "Contradicted during review").alias("description"),
-        X.coalesce_blank("v_locator").alias("source_locator"),
-        X.coalesce_blank("v_evidence").alias("evidence"),
+        locator.alias("source_locator"), evidence.alias("evidence"),
         F.lit("major").alias("severity"), corrected.alias("resolved"), F.lit(stage).alias("stage"),
     )
     new_id = F.concat(F.col("claim_id"), F.lit("_correction_"), F.substring(F.sha2(F.col("corrected_value"), 256), 1, 8))
-    fixes = hit.filter(corrected)
-    replacements = fixes.select(
-        "doc_id", F.concat(F.lit(stage + "::"), new_id).alias("claim_id"), "field",
-        F.col("corrected_value").alias("value"), "model_stage",
-        X.coalesce_blank("v_locator").alias("source_locator"), X.coalesce_blank("v_evidence").alias("evidence"),
-        F.greatest(F.lit(0.7), F.coalesce(X.finite(F.col("confidence")), F.lit(0.0))).alias("confidence"),
-        F.lit("reported").alias("status"), F.col("claim_id").alias("depends_on"), F.lit(stage).alias("stage"),
-    )
-    marks = fixes.groupBy("doc_id", "claim_id").agg(F.max(new_id).alias("superseded_by"))
-    updated = claims.join(marks, ["doc_id", "claim_id"], "left")
-    return {"claims": updated, "replacements": replacements, "contradictions": contradictions}
+    before = Window.partitionBy("doc_id", "claim_id").orderBy("v_seq")
+    fixes = hit.filter(corrected).withColumn("_new", new_id).withColumn("_mark", F.coalesce(F.lag("_new").over(before), "superseded_by"))
+    changed = {
+        "seq": F.col("v_seq"), "id": F.col("_new"), "value": F.col("corrected_value"), "source_locator": locator, "evidence": evidence,
+        "confidence": F.greatest(F.lit(0.7), F.coalesce(X.finite(F.col("confidence")), F.lit(0.0))), "status": F.lit("reported"),
+        "dependencies": F.array("claim_id"), "superseded_by": F.col("_mark"), "stage": F.lit(stage),
+    }
+    columns = list(dict.fromkeys([c for c in claims.columns if c != "claim_id"] + ["id"]))
+    replacements = cut_lineage(new_claims(claims, fixes.select(*[changed.get(c, F.col(c)).alias(c) for c in columns])))
+    marks = fixes.groupBy("doc_id", "claim_id").agg(F.max_by("_new", "v_seq").alias("_by"))
+    marked = claims.join(marks, ["doc_id", "claim_id"], "left").withColumn("superseded_by", F.coalesce("_by", "superseded_by")).drop("_by")
+    return {"claims": marked.unionByName(replacements.select(*[c for c in replacements.columns if c in marked.columns])),
+            "replacements": replacements, "contradictions": contradictions}
 
 
 def unsupported_claims(claims: DataFrame) -> DataFrame:

@@ -302,31 +302,141 @@ def reproduction_plan(spark, sf):
     return m.select("p_partkey", F.array_join("blockers", ",").alias("blockers"), "eligible", "scorable", "amount_mg", "plan_subjects", F.size("times").alias("n_times"), F.element_at("times", -1).alias("horizon"))
 
 
-@query("i17_investigation")
+# Topics of the investigation with their keywords, in order; words of the given texts.
+STUDY_TOPICS = {"structure": ["the", "der"], "theta": ["les", "las"], "omega": ["license"], "sigma": ["thou"], "covariates": ["und"], "population": ["de"], "dosing": ["que"], "reproduction": ["a"]}
+REVIEW_TERMS = ["the", "und", "table"]
+LONG_WORD = "[A-Za-z]{5,}"
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def investigation_sql(rounds: int = 2) -> str:
+    """The same investigation written out: topics, then review and gap search by turns."""
+    topic_rows = ", ".join(f"('{t}', {i + 1}, {_sql_list(k)})" for i, (t, k) in enumerate(STUDY_TOPICS.items()))
+    asked_terms = _sql_list(["sigma", *REVIEW_TERMS])
+    parts = [f"""
+d AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE regexp_matches(text, '\\S')),
+n AS (SELECT *, CAST(ceil(greatest(length(text) - 4200, 0) / 3850.0) AS INTEGER) + 1 AS k FROM d),
+s AS (SELECT doc_id, idx, substr(text, CAST((idx - 1) * 3850 + 1 AS BIGINT), 4200) AS chunk FROM (SELECT doc_id, text, unnest(range(1, k + 1)) AS idx FROM n)),
+w AS MATERIALIZED (SELECT doc_id, idx, 'C' || lpad(CAST(idx AS VARCHAR), 3, '0') AS chunk_id, lower(regexp_extract(chunk, '{LONG_WORD}')) AS v, regexp_split_to_array(lower(chunk), '[^0-9a-z_]+') AS toks,
+      CASE WHEN idx = 1 THEN 0.25::DOUBLE ELSE 0 END AS bonus FROM s),
+topic(topic, step, kws) AS (VALUES {topic_rows}),
+sc AS (SELECT doc_id, topic, idx, chunk_id, v, len(list_filter(toks, lambda x: list_contains(kws, x))) + bonus AS score FROM w, topic),
+ex AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, idx) <= 2),
+k0 AS (SELECT doc_id, topic || '::c' || idx AS claim_id, topic AS domain, topic || '.value' AS field, v AS value, CASE WHEN score >= 2 THEN 'final' ELSE 'base' END AS model_stage, chunk_id AS locator, v AS evidence,
+       CAST(NULL AS VARCHAR) AS sup FROM ex WHERE score >= 1 OR doc_id % 3 <> 0),
+q0 AS (SELECT DISTINCT doc_id, topic || '::q' AS question_id, topic AS key, topic = 'theta' AS urgent FROM ex WHERE score < 1 AND NOT (topic = 'theta' AND doc_id % 2 = 0)),
+f0 AS (SELECT DISTINCT doc_id FROM documents)"""]
+    for r in range(1, rounds + 2):
+        # A review of the documents in f, on the ledger k, with the questions q of the step before.
+        ready = "doc_id % 3 <> 1" if r == 1 else "doc_id % 5 <> 4"
+        first, second = "CASE WHEN doc_id % 4 = 2 THEN 'aa' ELSE 'zz' END", "CASE WHEN doc_id % 4 = 2 THEN 'zz' ELSE 'aa' END"
+        mark = lambda x: f"claim_id || '_correction_' || substr(sha256({x}), 1, 8)"
+        parts.append(f"""
+t{r} AS (SELECT * FROM k{r - 1} WHERE claim_id = 'theta::c2' AND sup IS NULL AND doc_id IN (SELECT doc_id FROM f{r - 1})),
+x{r} AS (SELECT doc_id, 'falsification_{r}::' || {mark(first)} AS claim_id, domain, field, {first} AS value, model_stage, 'p1' AS locator, 'seen' AS evidence, CAST(NULL AS VARCHAR) AS sup FROM t{r}
+     UNION ALL SELECT doc_id, 'falsification_{r}::' || {mark(second)}, domain, field, {second}, model_stage, 'p1', 'seen', {mark(first)} FROM t{r} WHERE doc_id % 2 = 0),
+o{r} AS (SELECT doc_id, count(*) AS n FROM k{r - 1} WHERE domain = 'omega' AND model_stage = 'base' AND sup IS NULL AND doc_id IN (SELECT doc_id FROM f{r - 1}) GROUP BY 1),
+l{r} AS MATERIALIZED (SELECT k.doc_id, k.claim_id, k.domain, k.field, k.value, k.model_stage, k.locator, k.evidence,
+       CASE WHEN t.doc_id IS NULL THEN k.sup WHEN k.doc_id % 2 = 0 THEN {mark(second).replace("claim_id", "k.claim_id").replace("doc_id", "k.doc_id")} ELSE {mark(first).replace("claim_id", "k.claim_id").replace("doc_id", "k.doc_id")} END AS sup
+     FROM k{r - 1} k LEFT JOIN t{r} t ON t.doc_id = k.doc_id AND t.claim_id = k.claim_id UNION ALL SELECT * FROM x{r}),
+v{r} AS (SELECT doc_id, {ready} AS ready FROM f{r - 1}),
+a{r} AS (SELECT doc_id, question_id, key, urgent FROM q{r - 1} WHERE NOT ({r} > 1 AND question_id = 'theta::q' AND doc_id % 3 = 0 AND doc_id IN (SELECT doc_id FROM f{r - 1}))),
+b{r} AS MATERIALIZED (SELECT * FROM a{r} UNION ALL SELECT doc_id, 'falsification_{r}::s', 'missing', true FROM v{r} WHERE NOT ready AND doc_id NOT IN (SELECT doc_id FROM a{r} WHERE key = 'missing'))""")
+        if r > rounds:
+            parts.append(f"\nk_end AS (SELECT * FROM l{r}), q_end AS (SELECT * FROM b{r})")
+            break
+        parts.append(f"""
+f{r} AS MATERIALIZED (SELECT v.doc_id, NOT v.ready AS remarks, coalesce(u.theta, false) AS theta, coalesce(u.missing, false) AS missing FROM v{r} v
+     LEFT JOIN (SELECT doc_id, bool_or(key = 'theta') AS theta, bool_or(key = 'missing') AS missing FROM b{r} WHERE urgent GROUP BY 1) u ON u.doc_id = v.doc_id WHERE NOT v.ready OR u.doc_id IS NOT NULL),
+g{r} AS (SELECT w.doc_id, idx, chunk_id, v, len(list_filter(toks, lambda x: list_contains(list_concat(list_concat(['supplement', 'appendix', 'table', 'equation'], CASE WHEN remarks OR missing THEN {asked_terms} ELSE [] END),
+       CASE WHEN theta THEN ['theta', 'les'] ELSE [] END), x))) + bonus AS score FROM w JOIN f{r} f ON f.doc_id = w.doc_id),
+e{r} AS MATERIALIZED (SELECT * FROM g{r} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) <= 10),
+c{r} AS (SELECT doc_id, 'gap_search_{r}::g' || idx AS claim_id, 'sigma' AS domain, 'sigma.value' AS field, v AS value, CASE WHEN score >= 2 THEN 'final' ELSE 'base' END AS model_stage, chunk_id AS locator, v AS evidence, CAST(NULL AS VARCHAR) AS sup FROM e{r} WHERE score >= 1),
+k{r} AS MATERIALIZED (SELECT * FROM l{r} UNION ALL SELECT * FROM c{r} c WHERE NOT EXISTS (SELECT 1 FROM l{r} l WHERE l.doc_id = c.doc_id AND l.field = c.field AND l.value = c.value AND l.model_stage = c.model_stage AND l.locator = c.locator)),
+q{r} AS MATERIALIZED (SELECT * FROM b{r} b WHERE NOT (question_id = 'falsification_1::s' AND doc_id % 2 = 1 AND doc_id IN (SELECT doc_id FROM e{r})))""")
+    revs = " UNION ALL ".join(f"SELECT doc_id, {r} AS r, ready FROM v{r}" for r in range(1, rounds + 2))
+    opened = " UNION ALL ".join(f"SELECT doc_id, n FROM o{r}" for r in range(1, rounds + 2))
+    parts.append(f"""
+rev AS (SELECT doc_id, count(*) AS n_reviews, arg_max(ready, r) AS ready FROM ({revs}) GROUP BY 1),
+maj AS (SELECT doc_id, sum(n) AS n FROM ({opened}) GROUP BY 1),
+fact AS (SELECT doc_id, count(*) AS n_claims, count(sup) AS n_superseded, count(DISTINCT domain) FILTER (WHERE sup IS NULL) AS cov, count(*) FILTER (WHERE sup IS NULL AND evidence = '') AS gaps,
+     coalesce(bool_or(model_stage = 'final') FILTER (WHERE sup IS NULL), false) AS fin FROM k_end GROUP BY 1),
+cf AS (SELECT doc_id, count(*) AS conflicts FROM (SELECT doc_id, field, model_stage FROM k_end WHERE sup IS NULL AND domain IN ('theta', 'omega', 'sigma', 'covariates') GROUP BY 1, 2, 3
+     HAVING count(*) >= 2 AND count(DISTINCT nullif(value, '')) > 1) GROUP BY 1),
+qu AS (SELECT doc_id, count(*) AS n_open, count(*) FILTER (WHERE urgent) AS urgent FROM q_end GROUP BY 1),
+bound AS (SELECT doc_id, count(*) FILTER (WHERE domain = 'theta') AS theta, count(*) FILTER (WHERE domain = 'sigma') AS sigma FROM k_end WHERE sup IS NULL GROUP BY 1),
+gate AS (SELECT d.doc_id, d.n_reviews, coalesce(n_claims, 0) AS n_claims, coalesce(n_superseded, 0) AS n_superseded, CAST(coalesce(maj.n, 0) AS BIGINT) AS open_contradictions, coalesce(n_open, 0) AS open_questions, coalesce(urgent, 0) AS urgent_questions,
+     coalesce(conflicts, 0) AS conflicts, coalesce(gaps, 0) AS gaps, coalesce(cov, 0) / 8.0::DOUBLE AS coverage_fraction, d.ready AS review_ready, coalesce(fin, false) OR d.doc_id % 4 = 0 AS fin, coalesce(bound.theta, 0) AS theta, coalesce(bound.sigma, 0) AS sigma
+     FROM rev d LEFT JOIN maj USING (doc_id) LEFT JOIN fact USING (doc_id) LEFT JOIN cf USING (doc_id) LEFT JOIN qu USING (doc_id) LEFT JOIN bound USING (doc_id))
+SELECT doc_id, n_reviews, n_claims, n_superseded, open_contradictions, open_questions, urgent_questions, conflicts, gaps AS claims_without_evidence, round(coverage_fraction, 6) AS coverage_fraction, review_ready,
+  CASE WHEN NOT (conflicts = 0 AND gaps = 0 AND open_contradictions = 0 AND urgent_questions = 0 AND review_ready AND coverage_fraction >= 0.75 AND fin) THEN 'gate_blocked'
+       WHEN doc_id % 7 <> 0 AND theta > 0 AND (doc_id % 2 = 0 OR sigma > 0) THEN 'complete' ELSE 'binding_blocked' END AS outcome FROM gate""")
+    return "WITH" + ",".join(parts[:-2]) + "," + parts[-2] + "," + parts[-1]
+
+
+def study_responder(documents):
+    """Answers read from the excerpts and from the ledger that is shown; the rules stand in the SQL too."""
+    doc, none = F.col("doc_id"), F.lit(None).cast("string")
+    word = F.lower(F.regexp_extract("chunk_text", LONG_WORD, 0))
+
+    def claim_rows(excerpts, letter, stage, domain):
+        return excerpts.select(
+            "doc_id", F.col("idx").alias("seq"), F.concat(F.lit(letter), F.col("idx").cast("string")).alias("id"), stage.alias("stage"), domain.alias("domain"), F.concat(domain, F.lit(".value")).alias("field"),
+            word.alias("value"), none.alias("unit"), F.lit("reported").alias("status"), F.when(F.col("score") >= 2, "final").otherwise("base").alias("model_stage"), F.col("chunk_id").alias("source_locator"), word.alias("evidence"),
+            F.least(F.lit(1.0), F.col("score") / 10).alias("confidence"), F.array().cast("array<string>").alias("dependencies"), F.array().cast("array<string>").alias("alternatives"))
+
+    def question_rows(rows, stage, field, question, priority, terms, id):
+        return rows.select("doc_id", F.col("idx").alias("seq"), F.lit(id).alias("id"), stage.alias("stage"), field.alias("field"), question.alias("question"), priority.alias("priority"), terms.alias("search_terms"))
+
+    def respond(stage, request):
+        if stage == "investigate":
+            topic = F.col("topic")
+            kws = F.create_map(*[x for t, k in STUDY_TOPICS.items() for x in (F.lit(t), F.array(F.lit(k[0]), F.lit("table")))])
+            return {"claims": claim_rows(request.filter((F.col("score") >= 1) | (doc % 3 != 0)), "c", topic, topic),
+                    "questions": question_rows(request.filter("score < 1"), topic, topic, F.concat(F.lit("Where is "), topic), F.when(topic == "theta", "high").otherwise("low"), F.element_at(kws, topic), "q"),
+                    "contradictions": request.filter("false").select("doc_id", F.col("topic").alias("stage"), F.lit("minor").alias("severity"), F.lit(False).alias("resolved")),
+                    "resolved": request.filter((topic == "dosing") & (doc % 2 == 0)).select("doc_id", F.col("topic").alias("stage"), F.lit("theta::q").alias("question_id")),
+                    "inventory": documents.select("doc_id", F.when(doc % 4 == 0, "final").otherwise("base").alias("role"))}
+        if stage.startswith("gap"):
+            name, sigma = F.lit(stage), F.lit("sigma")
+            return {"claims": claim_rows(request.filter("score >= 1"), "g", name, sigma), "questions": question_rows(request.filter("false"), name, sigma, sigma, sigma, F.array(sigma), "q"),
+                    "contradictions": request.filter("false").select("doc_id", name.alias("stage"), F.lit("minor").alias("severity"), F.lit(False).alias("resolved")),
+                    "resolved": request.filter(doc % 2 == 1).select("doc_id", name.alias("stage"), F.lit("falsification_1::s").alias("question_id"))}
+        if stage == "synthesis":
+            cited = request.filter(F.col("domain").isin("theta", "sigma")).groupBy("doc_id").agg(F.collect_set("claim_id").alias("ids"))
+            docs = request.select("doc_id").distinct()
+            evidence = docs.join(cited, "doc_id", "left").select("doc_id", F.lit(1).alias("item_no"), F.concat(F.coalesce("ids", X.literal_array([])), F.when(doc % 7 == 0, X.literal_array(["nope"])).otherwise(X.literal_array([]))).alias("claim_ids"))
+            return {"evidence": evidence, "required": docs.select("doc_id", F.when(doc % 2 == 1, X.literal_array(["theta", "sigma"])).otherwise(X.literal_array(["theta"])).alias("domains"))}
+        number = int(stage.rsplit("_", 1)[1])
+        shown = request.filter("superseded_by IS NULL")
+        order = F.when(doc % 4 == 2, F.array(F.lit("aa"), F.lit("zz"))).otherwise(F.array(F.lit("zz"), F.lit("aa")))
+        said = shown.select("doc_id", "claim_id", F.posexplode(F.when(F.col("claim_id") == "theta::c2", F.slice(order, 1, F.when(doc % 2 == 0, 2).otherwise(1)))
+                                                               .when((F.col("domain") == "omega") & (F.col("model_stage") == "base"), F.array(F.lit(" "))).otherwise(X.literal_array([]))).alias("seq", "corrected_value"))
+        docs = request.select("doc_id").distinct().withColumn("idx", F.lit(1))
+        reviews = docs.select("doc_id", ((doc % 3 != 1) if number == 1 else (doc % 5 != 4)).alias("overall_ready"))
+        open_docs = docs.join(reviews.filter("NOT overall_ready"), "doc_id", "left_semi")
+        return {"verdicts": said.select("doc_id", "seq", "claim_id", F.lit("contradicted").alias("verdict"), "corrected_value", F.lit("p1").alias("source_locator"), F.lit("seen").alias("evidence"), F.lit("r").alias("reason")),
+                "reviews": reviews, "resolved": docs.filter(doc % 3 == 0).filter(F.lit(number > 1)).select("doc_id", F.lit("theta::q").alias("question_id")),
+                "questions": question_rows(open_docs, F.lit(stage), F.lit("sigma"), F.lit("sigma missing"), F.lit("critical"), X.literal_array(REVIEW_TERMS), "s")}
+
+    return respond
+
+
+@query("i17_investigation", investigation_sql())
 def investigate(spark, sf):
-    """Topics, one review and up to two gap rounds with stored answers; the ledger lines are the answers."""
-    t = Tables(spark, sf)
-    c = fx.claims(t).select("doc_id", "seq", "id", "domain", "field", "value", "unit", "status", "model_stage", "source_locator", "evidence", "confidence", "stage", "dependencies", "alternatives")
-    q = event_questions(t)
-    none = lambda df: df.filter(F.lit(False))
-    contradictions = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), F.lit("theta").alias("stage"), F.lit("minor").alias("severity"), F.lit(False).alias("resolved"))
-    resolved = t.events.filter("value < 40").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("theta::q"), F.col("event_id").cast("string")).alias("question_id"))
-
-    def respond(kind, request):
-        if kind == "investigate":
-            return {"claims": c, "questions": q, "contradictions": contradictions, "resolved": resolved}
-        if kind == "gap":
-            found = request.groupBy("doc_id").agg(F.count("*").alias("n"))
-            more = found.join(c.filter("domain = 'theta'"), "doc_id", "left_semi").select("doc_id")
-            extra = c.join(more, "doc_id", "left_semi").withColumn("seq", F.col("seq") + 10**12).withColumn("stage", F.lit("gap"))
-            return {"claims": extra, "questions": none(q), "contradictions": none(contradictions), "resolved": none(resolved)}
-        verdicts = request.filter("status = 'derived'").select("doc_id", "claim_id", F.lit("contradicted").alias("verdict"), F.lit("fixed").alias("corrected_value"), F.lit("p1").alias("source_locator"),
-                                                               F.lit("table").alias("evidence"), F.lit("r").alias("reason"))
-        reviews = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("seq"), (F.col("o_orderstatus") != "P").alias("overall_ready"))
-        return {"verdicts": verdicts, "reviews": reviews, "questions": none(q).select("doc_id", "field", "question", "search_terms")}
-
-    out = investigation.investigate(t.spread("documents").select("doc_id", "text"), "text", respond, rounds=1)
-    return out["gate"].select("doc_id", fx.r6("coverage_fraction").alias("coverage_fraction"), "conflicts", "claims_without_evidence", "urgent_questions", "review_ready", "ready")
+    """Topics, a review, up to two gap rounds of the documents that need them, the gate and the binding; all answers come from the excerpts."""
+    d = Tables(spark, sf).spread("documents").select("doc_id", "text")
+    out = investigation.investigate(d, "text", study_responder(d), rounds=2, topics=STUDY_TOPICS, limit=2)
+    total = out["claims"].groupBy("doc_id").agg(F.count("*").alias("n_claims"), F.count("superseded_by").alias("n_superseded"))
+    asked = out["questions"].groupBy("doc_id").agg(F.count("*").alias("open_questions"))
+    reviews = out["reviews"].groupBy("doc_id").agg(F.count("*").alias("n_reviews"))
+    g = out["gate"].join(out["outcome"], "doc_id").join(reviews, "doc_id").join(total, "doc_id", "left").join(asked, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return g.select("doc_id", "n_reviews", zero("n_claims"), zero("n_superseded"), "open_contradictions", zero("open_questions"), "urgent_questions", "conflicts", "claims_without_evidence",
+                    fx.r6("coverage_fraction").alias("coverage_fraction"), "review_ready", "outcome")
 
 
 @query("i18_batch_process", """

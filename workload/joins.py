@@ -350,29 +350,36 @@ def ledger_binding(spark, sf):
 @query("c12_review_verdicts", f"""
 WITH {fx.CLAIMS},
 k AS (SELECT *, CAST(doc_id AS VARCHAR) || '-' || seq AS claim_id FROM claims),
-v AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'contradicted' ELSE 'supported' END AS verdict,
-             CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'X' ELSE ' ' END AS corrected, o_orderpriority FROM orders),
-h AS (SELECT k.*, v.corrected, trim(corrected) <> '' AS fixed FROM k JOIN v USING (doc_id) WHERE verdict = 'contradicted' AND k.id = 'c1')
-SELECT 'contradiction' AS kind, doc_id, claim_id, CASE WHEN fixed THEN 'resolved' ELSE 'open' END AS detail, NULL::DOUBLE AS confidence FROM h
+said AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN ['zz', 'aa'] WHEN o_orderpriority LIKE '3%' THEN ['aa', ' ', 'zz', 'aa'] ELSE [' '] END AS values
+      FROM orders WHERE o_orderstatus = 'F'),
+v AS (SELECT doc_id, unnest(values) AS corrected, generate_subscripts(values, 1) AS no FROM said),
+h AS (SELECT k.*, v.no, v.corrected, trim(v.corrected) <> '' AS fixed, k.claim_id || '_correction_' || substr(sha256(v.corrected), 1, 8) AS new_id FROM k JOIN v USING (doc_id) WHERE k.id = 'c1'),
+f AS (SELECT *, lag(new_id) OVER (PARTITION BY doc_id, claim_id ORDER BY no) AS mark FROM h WHERE fixed),
+r AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM f e WHERE e.doc_id = f.doc_id AND e.field = f.field AND e.corrected = f.corrected AND e.model_stage = f.model_stage AND (e.no < f.no OR e.no = f.no AND e.seq < f.seq)))
+SELECT 'contradiction' AS kind, doc_id, claim_id, CASE WHEN fixed THEN 'resolved' ELSE 'open' END || no AS detail, NULL::DOUBLE AS confidence FROM h
 UNION ALL
-SELECT 'replacement', doc_id, 'review::' || claim_id || '_correction_' || substr(sha256(corrected), 1, 8), claim_id, round(greatest(0.7::DOUBLE, confidence), 6) FROM h WHERE fixed
+SELECT 'replacement', doc_id, 'review::' || new_id, concat_ws('|', claim_id, domain, field, corrected, model_stage, status2, 'p9', 'table', coalesce(mark, '-')), round(greatest(0.7::DOUBLE, confidence), 6) FROM (SELECT *, 'reported' AS status2 FROM r)
 UNION ALL
-SELECT 'superseded', doc_id, claim_id, claim_id || '_correction_' || substr(sha256(corrected), 1, 8), NULL FROM h WHERE fixed
+SELECT 'superseded', doc_id, claim_id, arg_max(new_id, no), NULL FROM f GROUP BY doc_id, claim_id
 """)
 def review_verdicts(spark, sf):
+    """Up to four verdicts for one claim in order: the last correction holds, also where its id is the smaller one."""
     t = Tables(spark, sf)
     k = fx.claims(t).withColumn("claim_id", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("seq").cast("string")))
-    said = t.orders.select(
-        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "contradicted").otherwise("supported").alias("verdict"),
-        F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), F.lit("X")).otherwise(F.lit(" ")).alias("corrected_value"),
-        F.lit("p9").alias("source_locator"), F.lit("table").alias("evidence"), F.lit("reason").alias("reason"))
-    verdicts = said.join(k.filter(F.col("id") == "c1").select("doc_id", "claim_id"), "doc_id")
-    out = ledger.apply_review(k, verdicts, "review")
+    p = F.substring("o_orderpriority", 1, 1)
+    values = F.when(p.isin("1", "2"), X.literal_array(["zz", "aa"])).when(p == "3", X.literal_array(["aa", " ", "zz", "aa"])).otherwise(X.literal_array([" "]))
+    said = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(values).alias("no", "corrected_value"))
+    c1 = k.filter(F.col("id") == "c1").select("doc_id", "claim_id", F.col("seq").alias("place"))
+    verdicts = said.join(c1, "doc_id").select("doc_id", "claim_id", F.struct("no", "place").alias("seq"), "corrected_value", F.lit("contradicted").alias("verdict"), F.lit("p9").alias("source_locator"),
+                                              F.lit("table").alias("evidence"), F.lit("reason").alias("reason"))
+    out = ledger.apply_review(k.withColumn("seq", F.struct(F.lit(-1).alias("no"), F.col("seq").alias("place"))), verdicts, "review")
     none = F.lit(None).cast("double")
+    made = F.concat_ws("|", F.element_at("dependencies", 1), "domain", "field", "value", "model_stage", "status", "source_locator", "evidence", F.coalesce("superseded_by", F.lit("-")))
+    state = F.concat(F.when(F.col("resolved"), "resolved").otherwise("open"), (F.col("seq.no") + 1).cast("string"))
     return (
-        out["contradictions"].select(F.lit("contradiction").alias("kind"), "doc_id", "claim_id", F.when(F.col("resolved"), "resolved").otherwise("open").alias("detail"), none.alias("confidence"))
-        .unionByName(out["replacements"].select(F.lit("replacement").alias("kind"), "doc_id", "claim_id", F.col("depends_on").alias("detail"), fx.r6("confidence").alias("confidence")))
-        .unionByName(out["claims"].filter(F.col("superseded_by").isNotNull()).select(F.lit("superseded").alias("kind"), "doc_id", "claim_id", F.col("superseded_by").alias("detail"), none.alias("confidence")))
+        out["contradictions"].select(F.lit("contradiction").alias("kind"), "doc_id", "claim_id", state.alias("detail"), none.alias("confidence"))
+        .unionByName(out["replacements"].select(F.lit("replacement").alias("kind"), "doc_id", "claim_id", made.alias("detail"), fx.r6("confidence").alias("confidence")))
+        .unionByName(out["claims"].filter(F.col("superseded_by").isNotNull() & (F.col("seq.no") < 0)).select(F.lit("superseded").alias("kind"), "doc_id", "claim_id", F.col("superseded_by").alias("detail"), none.alias("confidence")))
     )
 
 
