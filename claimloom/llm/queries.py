@@ -125,9 +125,9 @@ crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
 run AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS r FROM documents)),
 kind AS (SELECT doc_id, r, count(*) AS m, hex(encode(doc_id || ':' || r)) AS x FROM run GROUP BY doc_id, r),
-hashed AS (SELECT r, m, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(x), 2), j ->
+hashed AS (SELECT r, m, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(x), 2), lambda j:
              CAST(16 * (instr('0123456789ABCDEF', substr(x, j, 1)) - 1) + instr('0123456789ABCDEF', substr(x, j + 1, 1)) - 1 AS BIGINT))),
-             (a, b) -> xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM kind, crc),
+             lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM kind, crc),
 cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, CAST(h % len(r) AS BIGINT)) || substr(r, CAST(h % len(r) AS BIGINT) + 2) ELSE r END AS word, m FROM hashed),
 word AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cut WHERE len(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
 place AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM word),
@@ -140,9 +140,9 @@ best AS (SELECT word, count(*) AS n_near, max(m) AS top FROM near GROUP BY word)
 form AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN top END AS form_n,
            (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.top AND b.top >= 10 * w.n) AS form
          FROM word w LEFT JOIN best b ON w.word = b.word),
-chain(word, at) AS (SELECT word, word FROM form UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON c.at = f.word WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
-FROM form f JOIN chain c ON c.word = f.word JOIN form e ON e.word = c.at AND e.form IS NULL
+chain(word, top) AS (SELECT word, word FROM form UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON c.top = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.top AS root, f.n, f.n_near, f.form_n
+FROM form f JOIN chain c ON c.word = f.word JOIN form e ON e.word = c.top AND e.form IS NULL
 """
 
 
@@ -159,12 +159,12 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 def _op13_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
     """All rounds written out: assignment to the nearest centroid, then the floored mean of each cluster."""
     parts = [f"""
-v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
-      FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {size}),
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+      FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), row) - 1 AS c, x AS m FROM v QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), row) <= {k})"""]
     for i in range(rounds + 1):
         parts.append(f"""
-d{i} AS (SELECT row, vec_id, x, c, list_sum(list_transform(range(1, {size + 1}), j -> (x[j] - m[j]) * (x[j] - m[j]))) AS d FROM v, c{i}),
+d{i} AS (SELECT row, vec_id, x, c, list_sum(list_transform(range(1, {size + 1}), lambda j: (x[j] - m[j]) * (x[j] - m[j]))) AS d FROM v, c{i}),
 a{i} AS MATERIALIZED (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
         if i < rounds:
             parts.append(f"""
