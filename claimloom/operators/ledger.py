@@ -48,27 +48,25 @@ def first_wins_pairs(df: DataFrame, keys: Sequence[str], one: str, two: str, ord
 
     Rows of keys with at most ``one_pass`` rows are dealt by key, sorted, and read once, whatever chains
     they make; only the values seen so far are held, for one key at a time.  Larger keys are decided in
-    rounds by :func:`_in_rounds`, so no key has to fit a task.  Rows that repeat the order and both values
-    of a kept row are kept with it.
+    rounds by :func:`_in_rounds`, so no key has to fit a task.  Rows of the same order do not see each other.
     """
     large = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > one_pass).select(*keys))
     names = df.columns
     at = [names.index(c) for c in (*keys, order, one, two)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, ones, twos = None, None, set(), set()
+        key, now, ones, twos, new = None, None, set(), set(), []
         for batch in batches:
             keep = []
             for *mine, place, x, y in zip(*(batch.column(i).to_pylist() for i in at)):
                 if mine != key:
-                    key, last, ones, twos = mine, None, set(), set()
-                if (place, x, y) == last:
-                    keep.append(True)
-                elif x in ones or y in twos:
-                    keep.append(False)
-                else:
-                    ones.add(x), twos.add(y), keep.append(True)
-                    last = (place, x, y)
+                    key, now, ones, twos, new = mine, place, set(), set(), []
+                if place != now:
+                    ones.update(p for p, _ in new), twos.update(q for _, q in new)
+                    now, new = place, []
+                keep.append(x not in ones and y not in twos)
+                if keep[-1]:
+                    new.append((x, y))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     def passed(rows: DataFrame) -> DataFrame:
