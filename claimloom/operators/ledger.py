@@ -426,32 +426,55 @@ def urgent(questions: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- compact view
 
-COMPACT_FIELDS = ("claim_id", "domain", "field", "value", "unit", "status", "model_stage", "superseded_by")
 MIN_CLAIMS = 12
+#: No claim is shorter: the names of its fields alone take more characters.
 SMALLEST_CLAIM = 40
+#: The lists of the payload besides the claims, around them in this order.
+LISTS_BEFORE, LISTS_AFTER = ("model_inventory",), ("hypotheses", "questions", "contradictions", "referenced_sources")
+
+
+def _json(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def _json_number(x: Column) -> Column:
+    """A number as JSON text; whole numbers have no fraction, anything else that is not finite is null."""
+    plain = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    return F.coalesce(F.when(X.finite(x).isNotNull(), plain), F.lit("null"))
 
 
 def compact_claim_json(locator_chars: int = 180, evidence_chars: int = 240, dependencies: int = 6,
                        alternatives: int = 4) -> Column:
-    return F.to_json(
-        F.struct(
-            *[F.col(c) for c in COMPACT_FIELDS],
-            F.substring(X.coalesce_blank("source_locator"), 1, locator_chars).alias("source_locator"),
-            F.substring(X.coalesce_blank("evidence"), 1, evidence_chars).alias("evidence"),
-            F.col("confidence"),
-            F.slice("dependencies", 1, dependencies).alias("dependencies"),
-            F.slice("alternatives", 1, alternatives).alias("alternatives"),
-        )
+    """A claim as the prompts show it: fields in a fixed order, null where nothing is known, long texts and lists cut."""
+    head = _json(
+        F.col("claim_id").alias("id"), F.coalesce("domain", F.lit("other")).alias("domain"),
+        *[F.col(c) for c in ("field", "value", "unit", "status", "model_stage", "superseded_by")],
+        F.substring(X.coalesce_blank("source_locator"), 1, locator_chars).alias("source_locator"),
+        F.substring(X.coalesce_blank("evidence"), 1, evidence_chars).alias("evidence"),
     )
+    none = X.literal_array([])
+    tail = _json(F.slice(F.coalesce("dependencies", none), 1, dependencies).alias("dependencies"),
+                 F.slice(F.coalesce("alternatives", none), 1, alternatives).alias("alternatives"))
+    return F.concat(F.left(head, F.length(head) - 1),
+                    F.lit(',"confidence":'), _json_number(F.col("confidence").cast("double")), F.lit(","), F.substring(tail, 2, 1 << 30))
+
+
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, list): the rows of a document (doc_id, seq, ...) as one JSON list in the order of ``seq``."""
+    body = _json(*[F.col(c) for c in rows.columns if c not in ("doc_id", "seq")])
+    items = F.transform(F.array_sort(F.collect_list(F.struct("seq", body.alias("json")))), lambda x: x["json"])
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias(name))
 
 
-def compact_ledger(claims: DataFrame, max_chars: int = 24_000, overhead: int = 60) -> DataFrame:
-    """One JSON payload per document: the most confident claims that fit the budget.
+def compact_ledger(claims: DataFrame, ledgers: DataFrame, lists: dict[str, DataFrame] | None = None, max_chars: int = 24_000) -> DataFrame:
+    """One JSON payload per document, with the most confident claims that fit the budget of characters.
 
-    The list shrinks by 0.85 (never below 12) until it fits.  A claim takes at
-    least ``SMALLEST_CLAIM`` characters, so no more than max_chars / 40 claims
-    can ever fit; only that many per document are kept before anything is
-    gathered, and the number left out is counted separately.
+    ledgers: (doc_id, source struct, model_present, model_probability), one row per document; lists: tables
+    (doc_id, seq, fields...) by the names in LISTS_BEFORE and LISTS_AFTER, which are shown whole and count against
+    the budget.  They are what stages have returned about one document; only the claims give way.  The claim list
+    shrinks by 0.85 (never below 12) until the whole payload fits, or 12 claims are left.  A claim takes at least
+    ``SMALLEST_CLAIM`` characters, so no more than max_chars / 40 claims can ever fit; only that many per document
+    are kept before anything is gathered, and the number left out is counted separately.
     """
     bound = max(MIN_CLAIMS, max_chars // SMALLEST_CLAIM)
     total = claims.groupBy("doc_id").agg(F.count("*").alias("n_claims"))
@@ -459,30 +482,49 @@ def compact_ledger(claims: DataFrame, max_chars: int = 24_000, overhead: int = 6
     top = keyed.top_per_key(
         claims.withColumn("_conf", confidence), ["doc_id"], [F.col("_conf").desc(), F.col("seq")], bound, rank="_pos"
     ).select("doc_id", "_pos", compact_claim_json().alias("_json"))
-    lists = top.groupBy("doc_id").agg(
+    gathered = top.groupBy("doc_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_json"))), lambda s: s["_json"]).alias("_items")
     )
+    base = ledgers.join(gathered.join(total, "doc_id"), "doc_id", "left")
+    for name, rows in (lists or {}).items():
+        base = base.join(_listed(rows, f"_{name}"), "doc_id", "left")
+
+    def shown(names: Sequence[str]) -> list[Column]:
+        return [x for n in names for x in (F.lit(f'"{n}":'), F.coalesce(f"_{n}", F.lit("[]")) if n in (lists or {}) else F.lit("[]"), F.lit(","))]
+
+    source = F.to_json("source", {"ignoreNullFields": "false"})
+    before = F.concat(F.lit('{"source":'), source, F.lit(',"model_present":'), F.coalesce(F.col("model_present").cast("string"), F.lit("null")),
+                      F.lit(',"model_probability":'), _json_number(F.col("model_probability").cast("double")), F.lit(","), *shown(LISTS_BEFORE), F.lit('"claims":['))
+    after = F.concat(F.lit("],"), *shown(LISTS_AFTER), F.lit('"omitted_claim_count":'))
     sizes = F.aggregate(
         "_items", F.array(F.lit(0)),
         lambda acc, j: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(j) + 1)),
     )
 
-    def fits(k: Column) -> Column:
-        length = F.get(F.col("_sizes"), k) + F.length((F.col("n_claims") - k).cast("string")) + overhead
-        return F.coalesce(length <= max_chars, F.lit(False))
+    def shrunk(sized: Column) -> Column:
+        """The number of claims kept; ``sized`` is bound, so it is computed once and not in every step."""
 
-    shrunk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(200)),
-        F.col("n_claims").cast("int"),
-        lambda k, _: F.when((k <= MIN_CLAIMS) | fits(k), k).otherwise(
-            F.greatest(F.lit(MIN_CLAIMS), F.floor(k * 0.85).cast("int"))
-        ),
-    )
-    sized = lists.join(total, "doc_id").withColumn("_sizes", sizes).withColumn("kept", shrunk)
-    body = F.concat(F.lit("["), F.array_join(F.slice("_items", 1, F.col("kept")), ","), F.lit("]"))
+        def fits(k: Column) -> Column:
+            listed = F.when(k > 0, F.get(sized["sizes"], k) - 1).otherwise(0)  # null where more claims are asked for than can fit
+            length = sized["fixed"] + listed + F.length((F.col("n_claims") - k).cast("string"))
+            return F.coalesce(length <= max_chars, F.lit(False))
+
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(200)),
+            F.col("n_claims").cast("int"),
+            lambda k, _: F.when((k <= MIN_CLAIMS) | fits(k), k).otherwise(
+                F.greatest(F.lit(MIN_CLAIMS), F.floor(k * 0.85).cast("int"))
+            ),
+        )
+
+    framed = base.withColumns({"n_claims": F.coalesce("n_claims", F.lit(0)), "_items": F.coalesce("_items", X.literal_array([])), "_before": before, "_after": after})
+    sized = framed.withColumn("kept", X.let(
+        F.struct(sizes.alias("sizes"), (F.length("_before") + F.length("_after") + 1).alias("fixed")), shrunk))
+    omitted = F.col("n_claims") - F.col("kept")
+    body = F.array_join(F.slice("_items", 1, F.col("kept")), ",")
     return sized.select(
-        "doc_id", "n_claims", "kept", (F.col("n_claims") - F.col("kept")).alias("omitted_claim_count"),
-        body.alias("claims_json"),
+        "doc_id", "n_claims", "kept", omitted.alias("omitted_claim_count"),
+        F.concat("_before", body, "_after", omitted.cast("string"), F.lit("}")).alias("payload"),
     )
 
 

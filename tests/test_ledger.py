@@ -68,27 +68,35 @@ def test_binding(spark):
     assert not bad["ready"] and bad["missing_domains"] == ["theta"] and bad["invalid_ids"] == 1 and bad["items_without_ids"] == 1
 
 
-def brute_compact(claims, max_chars, overhead=60):
-    texts = [t for _, _, t in sorted(claims, key=lambda c: (-c[0], c[1]))]
-    n = len(texts)
-    k = n
+def brute_compact(head, claims, tail, max_chars):
+    """The whole payload of claims that are sorted already."""
+    k = len(claims)
     while True:
-        size = 0 + sum(len(t) + 1 for t in texts[:k]) + len(str(n - k)) + overhead
-        if size <= max_chars or k <= 12:
-            return k
+        text = f"{head}{','.join(claims[:k])}{tail}{len(claims) - k}}}"
+        if len(text) <= max_chars or k <= 12:
+            return text
         k = max(12, math.floor(k * 0.85))
 
 
 def test_compact_ledger_against_brute_force(spark):
-    rows = [claim(i, doc_id=i % 3 % 2, evidence="e" * (i % 300), confidence=(i * 37 % 100) / 100) for i in range(900)]
+    rows = [claim(i, doc_id=i % 3 % 2, evidence="e" * (i % 300), confidence=(i * 37 % 101) / 100, domain=None if i % 5 == 0 else "theta") for i in range(900)] + [claim(1, doc_id=3, confidence=None)]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"claim_id": F.col("id"), "superseded_by": F.lit(None).cast("string")})
-    out = {r["doc_id"]: r for r in ledger.compact_ledger(df, 9000).collect()}
-    text = {(r["doc_id"], r["seq"]): (r["confidence"], r["seq"], r["j"]) for r in df.select("doc_id", "seq", "confidence", ledger.compact_claim_json().alias("j")).collect()}
-    for doc, row in out.items():
-        mine = [v for (d, _), v in text.items() if d == doc]
-        assert row["kept"] == brute_compact(mine, 9000) and row["omitted_claim_count"] == len(mine) - row["kept"]
-        best = json.loads(row["claims_json"])
-        assert len(best) == row["kept"] and best[0]["confidence"] == max(m[0] for m in mine)
+    ledgers = spark.createDataFrame([(d, ("1", "a \"b\" é"), d == 1, 0.25 * d) for d in range(4)], "doc_id int, source struct<pmid string, title string>, model_present boolean, model_probability double")
+    questions = spark.createDataFrame([(1, n, f"why {n}", None) for n in range(40, 0, -1)], "doc_id int, seq int, question string, priority string")
+    text = {(r["doc_id"], r["seq"]): (-(r["confidence"] or 0), r["seq"], r["j"]) for r in df.select("doc_id", "seq", "confidence", ledger.compact_claim_json().alias("j")).collect()}
+    for budget in (9000, 100, 10**6):
+        out = {r["doc_id"]: r for r in ledger.compact_ledger(df, ledgers, {"questions": questions}, budget).collect()}
+        assert sorted(out) == [0, 1, 2, 3]
+        for doc, row in out.items():
+            mine = [t for _, _, t in sorted(v for (d, _), v in text.items() if d == doc)]
+            asked = ",".join(f'{{"question":"why {n}","priority":null}}' for n in range(1, 41)) if doc == 1 else ""
+            head = f'{{"source":{{"pmid":"1","title":"a \\"b\\" é"}},"model_present":{"true" if doc == 1 else "false"},"model_probability":{[0, 0.25, 0.5, 0.75][doc]},"model_inventory":[],"claims":['
+            assert row["payload"] == brute_compact(head, mine, f'],"hypotheses":[],"questions":[{asked}],"contradictions":[],"referenced_sources":[],"omitted_claim_count":', budget)
+            said = json.loads(row["payload"])
+            assert len(said["claims"]) == row["kept"] and said["omitted_claim_count"] == row["omitted_claim_count"] == len(mine) - row["kept"]
+    one = json.loads(text[0, 0][2])
+    assert list(one) == ["id", "domain", "field", "value", "unit", "status", "model_stage", "superseded_by", "source_locator", "evidence", "confidence", "dependencies", "alternatives"]
+    assert one["domain"] == "other" and one["unit"] is None and one["confidence"] == 0
 
 
 VERDICTS = "doc_id int, seq int, claim_id string, verdict string, corrected_value string, source_locator string, evidence string, reason string"

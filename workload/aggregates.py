@@ -503,19 +503,38 @@ def best_lane(spark, sf):
 
 @query("f04_compact_ledger", f"""
 WITH RECURSIVE {fx.CLAIMS},
-j AS (SELECT domain AS doc_id, seq, confidence, length('{{"claim_id":"theta::' || seq || '","domain":"' || domain || '","field":"' || field || '","value":"' || value || '","status":"' || status || '","model_stage":"' || model_stage
-  || '","source_locator":"' || source_locator || '","evidence":"' || evidence || '","confidence":' || CAST(confidence AS VARCHAR) || ',"dependencies":["' || dependency || '"],"alternatives":[]}}') AS len FROM claims),
-r AS (SELECT doc_id, row_number() OVER w AS k, sum(len + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, len FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, seq)),
-n AS (SELECT doc_id, count(*) AS n FROM j GROUP BY 1),
+j AS (SELECT doc_id % 97 AS doc_id, seq, doc_id AS ord, confidence, '{{"id":"' || doc_id || '::' || id || '","domain":"' || domain || '","field":"' || field || '","value":"' || value || '","unit":null,"status":"' || status || '","model_stage":"' || model_stage
+  || '","superseded_by":null,"source_locator":"' || source_locator || '","evidence":"' || evidence || '","confidence":' || CASE WHEN confidence = floor(confidence) THEN CAST(CAST(confidence AS BIGINT) AS VARCHAR) ELSE CAST(confidence AS VARCHAR) END
+  || ',"dependencies":["' || dependency || '"],"alternatives":[]}}' AS js FROM claims),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq, ord, js) AS k FROM j),
+inv AS (SELECT c_custkey % 97 AS doc_id, '[' || string_agg('{{"name":"' || c_name || '","role":"' || CASE WHEN c_nationkey < 3 THEN 'final' ELSE 'base' END || '"}}', ',' ORDER BY c_custkey) || ']' AS t FROM customer WHERE c_nationkey < 5 GROUP BY 1),
+qu AS (SELECT user_id AS doc_id, '[' || string_agg('{{"id":"q' || event_id || '","field":"' || event_type || '","priority":' || CASE WHEN value > 50 THEN '"critical"' ELSE 'null' END || '}}', ',' ORDER BY event_id) || ']' AS t FROM events WHERE value > 45 GROUP BY 1),
+co AS (SELECT o_custkey % 97 AS doc_id, '[' || string_agg('{{"claim_id":"c' || o_orderkey || '","severity":"major","resolved":' || (o_orderstatus = 'O') || '}}', ',' ORDER BY o_orderkey) || ']' AS t FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1),
+d AS (SELECT s_suppkey AS doc_id, s_name FROM supplier),
+fx AS (SELECT d.doc_id, '{{"source":{{"pmid":"' || d.doc_id || '","doi":null,"title":"' || s_name || '"}},"model_present":' || (d.doc_id % 2 = 0) || ',"model_probability":' || CASE WHEN d.doc_id % 4 = 0 THEN '1' ELSE '0.5' END || ',"model_inventory":' || coalesce(inv.t, '[]') || ',"claims":[' AS head,
+  '],"hypotheses":[],"questions":' || coalesce(qu.t, '[]') || ',"contradictions":' || coalesce(co.t, '[]') || ',"referenced_sources":[],"omitted_claim_count":' AS tail FROM d LEFT JOIN inv USING (doc_id) LEFT JOIN qu USING (doc_id) LEFT JOIN co USING (doc_id)),
+r AS (SELECT doc_id, k, sum(length(js) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS cum FROM o),
+n AS (SELECT fx.doc_id, head, tail, coalesce(c.n, 0) AS n FROM fx LEFT JOIN (SELECT doc_id, count(*) AS n FROM j GROUP BY 1) c USING (doc_id)),
 s AS (SELECT n.doc_id, n.n, n.n AS k FROM n UNION ALL
-  SELECT s.doc_id, s.n, greatest(12, CAST(floor(s.k * 0.85::DOUBLE) AS BIGINT)) FROM s JOIN r ON r.doc_id = s.doc_id AND r.k = s.k WHERE s.k > 12 AND r.cum + length(CAST(s.n - s.k AS VARCHAR)) + 60 > 24000),
-z AS (SELECT doc_id, n, min(k) AS kept FROM s GROUP BY 1, 2)
-SELECT z.doc_id, n AS n_claims, CAST(kept AS INTEGER) AS kept, n - kept AS omitted_claim_count, CAST(r.cum + 1 AS INTEGER) AS n_chars FROM z JOIN r ON r.doc_id = z.doc_id AND r.k = z.kept
+  SELECT s.doc_id, s.n, greatest(12, CAST(floor(s.k * 0.85::DOUBLE) AS BIGINT)) FROM s JOIN n ON n.doc_id = s.doc_id JOIN r ON r.doc_id = s.doc_id AND r.k = s.k WHERE s.k > 12 AND r.cum - 1 + length(CAST(s.n - s.k AS VARCHAR)) + length(head) + length(tail) + 1 > 24000),
+z AS (SELECT doc_id, min(k) AS kept FROM s GROUP BY 1),
+b AS (SELECT z.doc_id, string_agg(js, ',' ORDER BY o.k) AS body FROM z JOIN o ON o.doc_id = z.doc_id AND o.k <= z.kept GROUP BY 1)
+SELECT n.doc_id, n AS n_claims, CAST(kept AS INTEGER) AS kept, n - kept AS omitted_claim_count, head || coalesce(body, '') || tail || (n - kept) || '}}' AS payload FROM n JOIN z USING (doc_id) LEFT JOIN b USING (doc_id)
 """)
 def compact_ledger(spark, sf):
-    c = fx.claims(Tables(spark, sf)).withColumn("doc_id", F.col("domain")).withColumns(
-        {"claim_id": F.concat(F.lit("theta::"), F.col("seq").cast("string")), "superseded_by": F.lit(None).cast("string")})
-    return ledger.compact_ledger(c, 24_000).select("doc_id", "n_claims", "kept", "omitted_claim_count", F.length("claims_json").alias("n_chars"))
+    """Whole payloads as text: source, inventory, claims under the budget, questions and contradictions."""
+    t = Tables(spark, sf)
+    c = fx.claims(t).withColumns({"claim_id": F.concat_ws("::", F.col("doc_id").cast("string"), "id"), "superseded_by": F.lit(None).cast("string"), "ord": F.col("doc_id"), "doc_id": F.col("doc_id") % 97})
+    c = c.withColumn("seq", F.struct("seq", "ord", ledger.compact_claim_json().alias("js")))
+    key = F.col("s_suppkey").alias("doc_id")
+    source = F.struct(F.col("s_suppkey").cast("string").alias("pmid"), F.lit(None).cast("string").alias("doi"), F.col("s_name").alias("title"))
+    ledgers = t.supplier.select(key, source.alias("source"), (F.col("s_suppkey") % 2 == 0).alias("model_present"), F.when(F.col("s_suppkey") % 4 == 0, 1.0).otherwise(0.5).alias("model_probability"))
+    lists = {
+        "model_inventory": t.customer.filter("c_nationkey < 5").select((F.col("c_custkey") % 97).alias("doc_id"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") < 3, "final").otherwise("base").alias("role")),
+        "questions": t.events.filter("value > 45").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("field"), F.when(F.col("value") > 50, "critical").alias("priority")),
+        "contradictions": t.orders.filter("o_orderpriority LIKE '1%'").select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("claim_id"), F.lit("major").alias("severity"), (F.col("o_orderstatus") == "O").alias("resolved")),
+    }
+    return ledger.compact_ledger(c, ledgers, lists, 24_000).select("doc_id", "n_claims", "kept", "omitted_claim_count", "payload")
 
 
 @query("f05_status_ordering", f"""
