@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +86,7 @@ def extraction_claims(x: Column, model_present: Column) -> Column:
 
 
 def _json_or_null(items: Column) -> Column:
-    return F.when(F.size(items) > 0, F.to_json(items))
+    return F.when(F.size(items) > 0, F.to_json(items, {"ignoreNullFields": "false"}))
 
 
 def has_value(text: Column, number: Column) -> Column:
@@ -181,10 +181,11 @@ def best_lane(text_available: Column, text_confidence: Column, vision_available:
 # ---------------------------------------------------------------- scoring
 
 
-def semantic_claims(df: DataFrame, keys: Sequence[str], x: Column) -> DataFrame:
+def semantic_claims(df: DataFrame, keys: Sequence[str], x: Column, analysed: Callable[[Column], Column] = lambda cohort: cohort["n_analysed"]) -> DataFrame:
     """(keys, path, text, number): nested cohorts, dosing and targets as dotted paths with 1-based indexes.
 
-    Two explodes, both of arrays that the contracts bound; absent values make no row.
+    Two explodes, both of arrays that the contracts bound; absent values make no row.  ``analysed`` reads a cohort's
+    number of analysed subjects.
     """
     none = F.array().cast(f"array<{CLAIM}>")
 
@@ -215,7 +216,7 @@ def semantic_claims(df: DataFrame, keys: Sequence[str], x: Column) -> DataFrame:
             )),
         ))
         return F.concat(
-            F.array(claim(F.concat(prefix, F.lit(".n")), number=c["n_analysed"])), F.coalesce(described, none)
+            F.array(claim(F.concat(prefix, F.lit(".n")), number=analysed(c))), F.coalesce(described, none)
         )
 
     def dose_claims(d: Column, i: Column) -> Column:

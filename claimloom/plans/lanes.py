@@ -9,7 +9,9 @@ from claimloom import config
 from claimloom.functions import jsontools as J
 from claimloom.functions import text as X
 from claimloom.operators import claims as C
+from claimloom.plans import semantics
 from claimloom.schemas import CONTRACTS
+from claimloom.session import cut_lineage
 
 
 def ingest_lane(responses: DataFrame, text_col: str, kind: str = "lane") -> DataFrame:
@@ -22,6 +24,39 @@ def ingest_lane(responses: DataFrame, text_col: str, kind: str = "lane") -> Data
     ).withColumn("prompt_version", F.lit(config.PROMPT_VERSION))
 
 
+def decode_lane(responses: DataFrame, text_col: str, kind: str = "lane") -> DataFrame:
+    """Responses to typed, enriched lanes: ``available``, ``error``, ``model_present`` and the struct ``extraction``.
+
+    A response is repaired, parsed, held against its contract and decoded; what breaks the contract anywhere, a wrong
+    type included, is an error row without an extraction.  ``extraction`` has the fields that comparison and scoring
+    read (``semantics.contract_extraction``); ``decoded`` is the whole response.
+    """
+    ready = J.decode(J.salvage(responses, text_col), "payload", CONTRACTS[kind], "decoded")
+    there = F.col("error").isNull() & F.col("decoded").isNotNull()
+    return ready.withColumns({
+        "available": there, "model_present": F.col("decoded.model_present"), "prompt_version": F.lit(config.PROMPT_VERSION),
+        "extraction": F.when(there, semantics.contract_extraction(F.col("decoded.extraction"))),
+    })
+
+
+def compare_responses(responses: DataFrame, keys: list[str], text_col: str, vision_col: str, kind: str = "lane",
+                      tolerance: float = config.CLAIM_TOLERANCE) -> dict[str, DataFrame]:
+    """Both lanes of every record from their response texts: ``lanes``, the ``claims`` side by side, and the ``summary``."""
+    sides = {}
+    for side, col in (("text", text_col), ("vision", vision_col)):
+        sides[side] = cut_lineage(decode_lane(responses.select(*keys, col), col, kind).select(
+            *keys, F.col("available").alias(f"{side}_available"), F.col("error").alias(f"{side}_error"), "model_present", "extraction"))
+
+    def claims(side: str) -> DataFrame:
+        rows = sides[side].filter(f"{side}_available")
+        return rows.select(*keys, F.inline(C.extraction_claims(F.col("extraction"), F.col("model_present"))))
+
+    both = sides["text"].drop("model_present", "extraction").join(sides["vision"].drop("model_present", "extraction"), keys)
+    compared = C.compare_lanes(claims("text"), claims("vision"), keys, tolerance)
+    return {"lanes": both, "text": sides["text"], "vision": sides["vision"], "claims": compared,
+            "summary": C.comparison_summary(compared, both, keys)}
+
+
 def needs_adjudication(comparison: DataFrame) -> DataFrame:
     """Comparable records with at least one difference."""
     return comparison.filter(F.col("comparable") & (F.col("difference_count") > 0))

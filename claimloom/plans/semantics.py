@@ -11,6 +11,7 @@ from claimloom import config
 from claimloom.functions import numbers as N
 from claimloom.functions import parsing as P
 from claimloom.functions import text as X
+from claimloom.operators import claims as C
 
 THETA = "array<struct<name:string,typical:double>>"
 OMEGA = ("array<struct<description:string,parameter:string,eta_index:int,eta_distribution:string,"
@@ -85,6 +86,56 @@ def as_struct(df: DataFrame, name: str = "extraction") -> DataFrame:
     return df.withColumn(name, F.struct(*EXTRACTION_COLUMNS))
 
 
+def contract_extraction(x: Column) -> Column:
+    """An extraction of the contract's type, enriched, with the fields that claims and scores read.
+
+    Structured population, dosing and canonical structure stay as reported.  The total of the population counts as the
+    number of subjects.  Without an implementation one is inferred; missing codes and compartments are filled from it.
+    """
+    model = x["structural_model"]
+    reported = model["canonical"]
+    canonical = F.struct(
+        reported["compartments"]["count"].cast("int").alias("compartments"), reported["input"]["process"].alias("input"),
+        reported["input"]["depot"].alias("depot"), reported["elimination"]["type"].alias("elimination"),
+        reported["parameterization"]["type"].alias("parameterization"))
+
+    def filled(parts: Column) -> Column:
+        found, inferred = F.get(model["implementations"], F.lit(0)), parts["inferred"]
+        given = F.size(model["implementations"]) > 0
+        return F.struct(
+            *[x[c].alias(c) for c in ("title", "compound", "population", "route")],
+            F.coalesce(x["population_details"]["n_total"], x["n_subjects"]).alias("n_subjects"),
+            *[x[c].alias(c) for c in ("software", "estimation_method", "model_type")],
+            F.coalesce(model["advan"].cast("int"), inferred["advan"]).alias("advan"),
+            F.coalesce(model["trans"].cast("int"), inferred["trans"]).alias("trans"),
+            F.coalesce(model["compartments"].cast("int"), parts["canonical"]["compartments"]).alias("compartments"),
+            model["description"].alias("description"), parts["canonical"].alias("canonical"),
+            F.struct(F.when(given, found["status"]).otherwise(inferred["status"]).alias("status"),
+                     F.when(given, found["advan"].cast("int")).otherwise(inferred["advan"]).alias("advan"),
+                     F.when(given, found["trans"].cast("int")).otherwise(inferred["trans"]).alias("trans")).alias("implementation"),
+            *[x[c].alias(c) for c in ("population_details", "dosing", "reproduction_targets", "covariates", "residual_error", "parameters")],
+        )
+
+    inferred = P.implementation(canonical, x["route"], model["advan"], model["trans"])
+    return X.let(F.struct(canonical.alias("canonical"), inferred.alias("inferred")), filled)
+
+
+def score_tables(decoded: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """The long tables 'scalar', 'numeric' and 'semantic' of decoded lanes, as ``jobs.benchmark`` takes them."""
+    rows = decoded.filter("available").select(*keys, "extraction")
+    x = F.col("extraction")
+    values = {"n_subjects": x["n_subjects"], "structural_model.compartments": x["compartments"], "structural_model.description": x["description"],
+              "covariates": F.array_join(x["covariates"], " ")}
+    numbers = ("n_subjects", "structural_model.compartments")
+    found = {path: values[path] if path in values else x[path] for path in config.SCALAR_PATHS}
+    scalar = F.array(*[C.claim(path, number=v) if path in numbers else C.claim(path, text=v) for path, v in found.items()])
+    return {
+        "scalar": rows.select(*keys, F.inline(scalar)).select(*keys, F.col("field").alias("path"), "text", "number"),
+        "numeric": C.parameter_rows(rows, keys, x["parameters"]),
+        "semantic": C.semantic_claims(rows, keys, x, lambda cohort: cohort["n"]["analysed"]),
+    }
+
+
 # ---------------------------------------------------------------- template mapping
 
 

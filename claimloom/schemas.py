@@ -274,6 +274,18 @@ CONTRACTS = {
 }
 
 
+def spark_type(spec: dict, whole: T.DataType | None = None) -> T.DataType:
+    """The Spark type of a contract; ``whole`` is the type of its integers (BIGINT unless another is asked for)."""
+    types = spec.get("type", [])
+    types = [types] if isinstance(types, str) else list(types)
+    if "object" in types:
+        return T.StructType([T.StructField(name, spark_type(child, whole)) for name, child in spec["properties"].items()])
+    if "array" in types:
+        return T.ArrayType(spark_type(spec["items"], whole))
+    simple = {"string": T.StringType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "integer": whole or T.LongType()}
+    return next(simple[t] for t in types if t != "null")
+
+
 def contract_rules(kind: str) -> list[tuple[str, str, str, str]]:
     """The contract as flat rules (kind, path, rule, argument); '[]' stands for any element."""
     rules: list[tuple[str, str, str, str]] = []

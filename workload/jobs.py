@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from claimloom import config
 from claimloom.functions import text as X
-from claimloom.operators import catalogue, corpus, ledger, scoring, triage
+from claimloom.operators import catalogue, claims, corpus, ledger, scoring, triage
 from claimloom.plans import investigation, jobs, lanes, plugins, semantics
-from claimloom.session import scratch_path
+from claimloom.session import cut_lineage, scratch_path
 from claimloom.sources import readers, writers
 from workload import fixtures as fx
 from workload.aggregates import AP_SQL, AUC_SQL, QUESTIONS, TRIAGE_ROWS, event_questions, triage_rows
@@ -154,6 +154,92 @@ def lane_ingest(spark, sf):
     return lanes.merge_adjudication(best, resolved, ["conv_id", "turn"], "verdict").select("conv_id", "turn", "available", "error", "verdict", "adjudicated")
 
 
+_SOURCE = '{"status":"reported","source_locator":"p1","evidence":"e","confidence":0.5}'
+COHORTS_JSON = ('[{"id":"overall","label":"overall","role":"study","n":{"enrolled":null,"dosed":null,"analysed":§p_size§},"health_status":"healthy","country":null,"descriptors":[],"pharmacogenetics":[],"source":' + _SOURCE + '}]')
+DOSING_JSON = ('[{"cohort_id":"overall","route":"oral","administration":"unspecified","amount":2.5,"amount_unit":"mg","interval":12.5,"interval_unit":"h","duration":null,"duration_unit":null,"repetitions":null,"steady_state":false,"raw":null,"source":' + _SOURCE + '}]')
+LANE_JSON = (
+    '{"model_present":§present§,"model_probability":0.9,"recoverability":{"overall":0.9,"structure":0.9,"parameters":0.9,"variability":0.9,"covariates":0.9,"data":0.9},"extraction":{"title":"§p_name§","compound":"cbz","population":"adults",'
+    '"population_details":{"raw":null,"n_total":§total§,"cohorts":' + COHORTS_JSON + ',"assumptions":[],"source":' + _SOURCE + '},"route":"§route§","n_subjects":§subjects§,"dosing":' + DOSING_JSON +
+    ',"software":"nm","estimation_method":"foce","model_type":"pk","structural_model":{"advan":§advan§,"trans":null,"compartments":null,"description":"Two compartments","canonical":{"compartments":{"count":2,"names":["central","peripheral"]},'
+    '"input":{"route":"oral","process":"first_order","depot":true},"elimination":{"type":"linear","from":"central"},"parameterization":{"type":"clearance_volume","parameters":["CL","V"]},"description":"d"},"implementations":'
+    "§CASE WHEN p_partkey % 2 = 1 THEN '" '[{"engine":"x","advan":2,"trans":2,"status":"reported","confidence":1,"rationale":"r","evidence":' + _SOURCE + ',"alternatives":[],"review_required":false}]' "' ELSE '[]' END§},"
+    '"parameters":{"theta":[{"name":"cl","typical":§clearance§,"se":null,"unit":"L/h"},{"name":"V","typical":§p_size§,"se":null,"unit":null}],"omega":[{"description":"CL","parameter":"CL","eta_index":1,"eta_distribution":"log_normal","eta_expression":null,'
+    '"variability_level":"iiv","reported_value":0.3,"reported_metric":"sd","value":0.09,"conversion":"c"}],"omega_covariance":[],"sigma":[{"description":"prop","error_model":"proportional","reported_value":0.2,"reported_metric":"sd","value":0.04,"conversion":"c"}]},'
+    '"covariates":["WT","Age"],"residual_error":"proportional","reproduction_targets":[],"confidence":{"overall":0.8,"fields":{"structure":0.8,"parameters":0.8,"population":0.8,"software":0.8}},"evidence_quotes":[],"notes":""},"field_evidence":[]§end§')
+LANE_PARTS = {
+    "text": {"present": "CASE WHEN p_partkey % 9 = 0 THEN 'false' ELSE 'true' END", "route": "'oral'", "subjects": """CASE WHEN p_partkey % 11 = 0 THEN '"many"' ELSE concat(p_size) END""", "clearance": "p_size",
+             "advan": "CASE WHEN p_partkey % 2 = 1 THEN '2.0' ELSE 'null' END", "end": """CASE WHEN p_partkey % 13 = 0 THEN '}' ELSE ',"limitations":[]}' END"""},
+    "vision": {"present": "'true'", "route": "CASE WHEN p_partkey % 5 = 0 THEN 'iv' ELSE 'oral' END", "subjects": "p_size", "clearance": "CASE WHEN p_partkey % 3 = 0 THEN p_size + 5 ELSE p_size END",
+               "advan": "CASE WHEN p_partkey % 17 = 0 THEN '1e30' WHEN p_partkey % 2 = 1 THEN '2' ELSE 'null' END", "end": """',"limitations":[]}'"""},
+}
+
+
+_TOTAL = {"total": "CASE WHEN p_partkey % 4 = 0 THEN 'null' ELSE concat(p_size) END"}
+
+
+def filled(template: str, parts: dict[str, str]) -> str:
+    """A template with expressions between marks as one SQL expression, the same for Spark and DuckDB."""
+    pieces = template.split("§")
+    return "concat(" + ", ".join(parts.get(x, x) if i % 2 else f"'{x}'" for i, x in enumerate(pieces)) + ")"
+
+
+def lane_responses(t: Tables):
+    """Two response texts per part; some are fenced, cut off, incomplete, or of a wrong type somewhere."""
+    text, vision = (F.expr(filled(LANE_JSON, LANE_PARTS[side] | _TOTAL)) for side in ("text", "vision"))
+    fence = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), text, F.lit("\n```"))).otherwise(text)
+    return t.spread("part").select("p_partkey", fence.alias("text"), F.when(F.col("p_partkey") % 7 == 0, F.substring(vision, 1, 100)).otherwise(vision).alias("vision"))
+
+
+LANE_FLAGS = """f AS (SELECT *, p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AS ta, p_partkey % 7 <> 0 AND p_partkey % 17 <> 0 AS va, p_partkey % 2 = 1 AS odd, CAST(p_partkey % 3 = 0 AS INTEGER) AS d_theta, CAST(p_partkey % 5 = 0 AS INTEGER) AS d_route,
+  CAST(p_partkey % 9 = 0 AS INTEGER) AS d_present, CASE WHEN p_partkey % 4 = 0 THEN 25 ELSE 26 END AS n FROM part)"""
+
+
+@query("i07_lane_responses", f"""
+WITH {LANE_FLAGS}
+SELECT p_partkey, ta AS text_available, va AS vision_available, CASE WHEN p_partkey % 13 = 0 THEN 'response: missing required field limitations' WHEN NOT ta THEN 'response.extraction.n_subjects: expected number or null' END AS text_error,
+  CASE WHEN p_partkey % 7 = 0 THEN 'a value was truncated' WHEN NOT va THEN 'response.extraction.structural_model.advan: expected integer or null' END AS vision_error, ta AND va AS comparable, ta AND va AND d_theta + d_route + d_present = 0 AS consistent,
+  CAST(CASE WHEN ta AND va THEN n ELSE 0 END AS BIGINT) AS compared_fields, CAST(CASE WHEN ta AND va THEN d_theta + d_route + d_present ELSE 0 END AS BIGINT) AS difference_count, CAST(CASE WHEN ta AND va THEN d_theta + d_present ELSE 0 END AS BIGINT) AS major_difference_count,
+  round(CASE WHEN ta AND va THEN (n - d_theta - d_route - d_present) / n::DOUBLE ELSE 0.0 END, 6) AS agreement FROM f
+""")
+def lane_responses_compared(spark, sf):
+    """From two response texts per record to the comparison of their lanes."""
+    out = lanes.compare_responses(lane_responses(Tables(spark, sf)), ["p_partkey"], "text", "vision")
+    s = out["summary"].join(out["lanes"].select("p_partkey", "text_error", "vision_error"), "p_partkey")
+    return s.select("p_partkey", "text_available", "vision_available", "text_error", "vision_error", "comparable", "consistent", "compared_fields", "difference_count", "major_difference_count", fx.r6("agreement").alias("agreement"))
+
+
+@query("c09_response_claims", f"""
+WITH {LANE_FLAGS}, v AS (SELECT * FROM f WHERE ta),
+r AS (SELECT p_partkey, unnest(['model_present', 'compound', 'population', 'route', 'software', 'estimation_method', 'model_type', 'structural.description', 'structural.canonical.input', 'structural.canonical.elimination', 'structural.canonical.parameterization',
+    'structural.implementation_status', 'population_details.cohorts', 'dosing', 'reproduction_targets', 'covariates', 'residual_error',
+    'n_subjects', 'structural.advan', 'structural.trans', 'structural.compartments', 'structural.canonical.compartments', 'population_details.n_total', 'theta.CL', 'theta.V', 'omega.CL', 'sigma.PROP']) AS field,
+  unnest([CASE WHEN d_present = 1 THEN 'false' ELSE 'true' END, 'cbz', 'adults', 'oral', 'nm', 'foce', 'pk', 'Two compartments', 'first_order', 'linear', 'clearance_volume', CASE WHEN odd THEN 'reported' ELSE 'inferred' END, {filled(COHORTS_JSON, {})}, '{DOSING_JSON}', NULL, 'age|wt', 'proportional',
+    NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS text,
+  unnest([NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, p_size, CASE WHEN odd THEN 2 ELSE 4 END, CASE WHEN odd THEN 2 ELSE 4 END, 2, 2, CASE WHEN p_partkey % 4 <> 0 THEN p_size END, p_size, p_size, 0.09, 0.04]::DOUBLE[]) AS number FROM v)
+SELECT p_partkey, field, text, number FROM r
+""")
+def response_claims(spark, sf):
+    """All 23 fixed fields and the parameters of every response that keeps its contract."""
+    decoded = lanes.decode_lane(lane_responses(Tables(spark, sf)), "text").filter("available")
+    return decoded.select("p_partkey", F.inline(claims.extraction_claims(F.col("extraction"), F.col("model_present"))))
+
+
+@query("i04_extraction_benchmark", f"""
+WITH {LANE_FLAGS}, v AS (SELECT *, CASE WHEN p_partkey % 4 < 2 THEN 'strict' ELSE 'silver' END AS tier FROM f WHERE ta), g AS (SELECT *, unnest([tier, 'all']) AS tier_group FROM v)
+SELECT tier_group, count(*) AS n, count(*) FILTER (WHERE va) AS scored, round(avg(1.0::DOUBLE) FILTER (WHERE va), 6) AS scalar_coverage, round(avg((12 - d_route) / 12.0::DOUBLE) FILTER (WHERE va), 6) AS scalar_score,
+  round(avg(1.0::DOUBLE) FILTER (WHERE va), 6) AS numeric_coverage, round(avg((4 - d_theta) / 4.0::DOUBLE) FILTER (WHERE va), 6) AS numeric_accuracy, round(avg(1.0::DOUBLE) FILTER (WHERE va), 6) AS semantic_coverage, round(avg(1.0::DOUBLE) FILTER (WHERE va), 6) AS semantic_accuracy,
+  CAST(0 AS BIGINT) AS unverified_numeric_extras, CAST(0 AS BIGINT) AS unverified_semantic_extras FROM g GROUP BY 1
+""")
+def extraction_benchmark(spark, sf):
+    """The extraction side of the benchmark, from response texts: the text lane is the truth, the vision lane the prediction."""
+    keys, rows = ["p_partkey"], cut_lineage(lane_responses(Tables(spark, sf)))
+    truth, proposed = (cut_lineage(lanes.decode_lane(rows, side)) for side in ("text", "vision"))
+    tier = F.element_at(X.literal_array(["A", "B", "C", "D"]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    records = truth.filter("available").select("p_partkey", tier.alias("tier"))
+    out = jobs.benchmark(records, semantics.score_tables(truth, keys), semantics.score_tables(proposed, keys), proposed.filter("available"), keys)
+    return out["summary"].withColumns({m: fx.r6(m) for m in scoring.METRICS})
+
+
 @query("i08_quote_check", """
 WITH q AS (SELECT d.doc_id, d.text, [split_part(d.text, chr(10), 1), 'made up ' || d.doc_id, b.text] AS quotes FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id)
 SELECT doc_id, len(list_filter(quotes, lambda q: q IS NOT NULL AND (q = '' OR NOT contains(text, q)))) AS n_missing FROM q
