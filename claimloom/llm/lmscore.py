@@ -98,6 +98,13 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
+def _written(table: DataFrame, label: str) -> DataFrame:
+    """The table from files in the shared folder: columns of sorted keys take a fraction of checkpointed rows."""
+    folder = scratch_path(table.sparkSession, label)
+    table.sortWithinPartitions("key").write.option("compression", "zstd").parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
+
+
 def _rows(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
@@ -178,7 +185,7 @@ def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int | None = No
         hashes, first = words(data, offsets, NOT_BLANK)
         return hashes, _rows(first)
 
-    seen = cut_lineage(_counted(rows, word_keys))
+    seen = _written(_counted(rows, word_keys), "words")
     both = seen.where((F.col("target") >= MIN_COUNT) & (F.col("background") >= MIN_COUNT))
     word_keys_kept, counts, _ = _most_frequent(both, vocabulary_words)
     order = np.argsort(word_keys_kept.view(U64))
@@ -194,7 +201,7 @@ def train(rows: DataFrame, vocabulary_words: int = WORDS, pairs: int | None = No
         hashes, first = words(data, offsets, NOT_BLANK)
         return half.codes(hashes, first)[1], _rows(first)
 
-    counted = cut_lineage(_counted(rows, pair_keys))
+    counted = _written(_counted(rows, pair_keys), "bigrams")
     n = F.col("target") + F.col("background")
     if pairs is not None:
         counted = counted.where(n >= _least(counted, pairs))
@@ -220,9 +227,10 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
                 loss, codes, open_ = known.losses(hashes, first)
                 sums = [np.bincount(row, weights=loss[:, c], minlength=n).astype(np.float64) for c in range(2)]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[open_], minlength=n))]).astype(np.int32)
+                listed = codes[open_][np.lexsort((codes[open_], row[open_]))]  # sorted numbers take less room
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(np.diff(first).astype(np.int64)), *[pa.array(x) for x in sums],
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[open_]))], names=[*batch.schema.names[:2], "n_tokens", "target_sum", "background_sum", "codes"])
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(listed))], names=[*batch.schema.names[:2], "n_tokens", "target_sum", "background_sum", "codes"])
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Models(*shared.value)
@@ -241,7 +249,7 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
     if models.rest is not None:
         # Written: the row numbers must be the same in both uses.
         folder = scratch_path(docs.sparkSession, "scores")
-        scored.write.parquet(folder)
+        scored.write.option("compression", "zstd").parquet(folder)
         scored = docs.sparkSession.read.schema(schema).parquet(folder)
         rest = models.rest.select("key", "target", "background").mapInArrow(changes, "key long, target_change double, background_change double")
         tokens = scored.select("_row", F.explode("codes").alias("key"))
