@@ -235,10 +235,10 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Models(*shared.value)
         for batch in batches:
-            codes = batch.column(0).to_numpy()
-            counts = np.stack([batch.column(c).to_numpy() for c in (1, 2)], axis=1)
+            codes = batch.column(1).to_numpy()
+            counts = np.stack([batch.column(c).to_numpy() for c in (2, 3)], axis=1)
             changed = known.code_losses(codes, counts) - known.code_losses(codes, np.zeros_like(counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(changed[:, c])) for c in range(2)]], names=["key", "target_change", "background_change"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(changed[:, c])) for c in range(2)]], names=["_of", "target_change", "background_change"])
 
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc), F.col(text).cast("string").alias("_text"))
     schema = slim.select("_row", doc).schema
@@ -251,9 +251,11 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
         folder = scratch_path(docs.sparkSession, "scores")
         scored.write.option("compression", "zstd").parquet(folder)
         scored = docs.sparkSession.read.schema(schema).parquet(folder)
-        rest = models.rest.select("key", "target", "background").mapInArrow(changes, "key long, target_change double, background_change double")
+        # Small counts travel, and become changes of the loss after the join: those are numbers that do not compress.
         tokens = scored.select("_row", F.explode("codes").alias("key"))
-        moved = tokens.join(rest, "key").groupBy(F.col("_row").alias("_of")).agg(F.sum("target_change").alias("target_change"), F.sum("background_change").alias("background_change"))
+        met = tokens.join(models.rest.select("key", "target", "background"), "key").select("_row", "key", "target", "background")
+        moved = met.mapInArrow(changes, "_of long, target_change double, background_change double").groupBy("_of").agg(
+            F.sum("target_change").alias("target_change"), F.sum("background_change").alias("background_change"))
         scored = scored.drop("codes").join(moved, F.col("_row") == F.col("_of"), "left")
         for c in ("target", "background"):
             scored = scored.withColumn(f"{c}_sum", F.col(f"{c}_sum") + F.coalesce(f"{c}_change", F.lit(0.0)))
