@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.session import cut_lineage
+
 
 def block_count(spark: SparkSession) -> int:
     """Twice the shuffle parallelism, 64 at least: a cluster that is set up for more rows gets more blocks."""
@@ -109,18 +111,32 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFr
     return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")})
 
 
-def set_digest(df: DataFrame, value: str, width: int = 6) -> DataFrame:
+#: Members of a group of the digest tree, on average at the leaves and at most above them.
+DIGEST_GROUP = 256
+
+
+def digest_width(n: int) -> int:
+    """Hex digits of the leaves' prefix: the smallest even number with at most DIGEST_GROUP hashes a prefix on average."""
+    width = 0
+    while n > DIGEST_GROUP * 16**width:
+        width += 2
+    return width
+
+
+def set_digest(df: DataFrame, value: str) -> DataFrame:
     """One order-free sha256 over the distinct non-blank hashes of a column.
 
-    The hashes form a tree by their hex prefix: groups of one ``width``-digit
-    prefix are digested first, then groups of at most 256 digests per level, up
-    to the root.  No row ever holds more than one small group, whatever the
-    number of hashes; raise ``width`` by two when groups at the leaves grow.
+    The hashes form a tree by their hex prefix: leaves are the groups of one prefix of
+    ``digest_width`` digits, which follows the counted number of hashes; above them
+    every level drops two digits and has groups of at most 256 digests, up to the
+    root.  A group's digest is the sha256 of its members' texts, sorted and joined.
+    So no row ever holds more than one small group, whatever the number of hashes.
+    The hashes are to be spread evenly over their prefixes, as those of texts are.
     """
-    level = df.select(F.col(value).alias("_h")).filter(F.coalesce(F.col("_h") != "", F.lit(False))).distinct().select(
+    level = cut_lineage(df.select(F.col(value).alias("_h")).filter(F.coalesce(F.col("_h") != "", F.lit(False))).distinct().select(
         F.col("_h").alias("_p"), F.col("_h").alias("_d"), F.lit(1).cast("bigint").alias("_n")
-    )
-    for digits in range(width, -1, -2):
+    ))
+    for digits in range(digest_width(level.count()), -1, -2):
         level = level.groupBy(F.substring("_p", 1, digits).alias("_q")).agg(
             F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda g: g["_d"]), ""), 256)
             .alias("_d"),

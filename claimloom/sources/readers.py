@@ -174,22 +174,29 @@ def article_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def decode_text(content: Column) -> Column:
-    """Bytes as text: NULs and a UTF-8 mark dropped, valid UTF-8 kept, anything else read as windows-1252.
+#: Windows-1252 is ISO-8859-1 but for these 32 code points; the five that it leaves open become the replacement character.
+_C1 = bytes(range(0x80, 0xA0))
+_LATIN_C1, _WINDOWS_C1 = _C1.decode("latin-1"), _C1.decode("cp1252", "replace")
 
-    The legacy branch needs ``spark.sql.legacy.javaCharsets=true``; see :func:`enable_legacy_charsets`.
-    """
+
+def decode_text(content: Column) -> Column:
+    """Bytes as text: NULs and a UTF-8 mark dropped, valid UTF-8 kept, anything else read as windows-1252."""
     hexed = F.hex(content)
     pairs = F.filter(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1)), lambda p: p != "00")
     clean = F.when(F.contains(hexed, F.lit("00")), F.unhex(F.array_join(pairs, ""))).otherwise(content)
     marked = F.startswith(F.hex(clean), F.lit("EFBBBF"))
     body = F.when(marked, F.substring(clean, F.lit(4), F.length(clean))).otherwise(clean)
     # F.substring of BINARY is BINARY; only the invalid branch is decoded as a legacy page.
-    return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(F.decode(body, "windows-1252"))
+    legacy = F.translate(F.decode(body, "ISO-8859-1"), _LATIN_C1, _WINDOWS_C1)
+    return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(legacy)
 
 
-def enable_legacy_charsets(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+def encode_windows(text: Column) -> Column:
+    """Text as windows-1252 bytes; null if a character has no place there."""
+    known = [(w, c) for w, c in zip(_WINDOWS_C1, _LATIN_C1) if w != "\ufffd"]
+    moved = F.translate(text, "".join(w for w, _ in known), "".join(c for _, c in known))
+    fits = ~text.rlike(f"[{_LATIN_C1[0]}-{_LATIN_C1[-1]}]") & ~moved.rlike(r"[^\x00-\xFF]")
+    return F.when(fits, F.encode(F.when(fits, moved), "ISO-8859-1"))
 
 
 def looks_like_pdf(content: Column, length: Column | None = None, least: int = 1000) -> Column:

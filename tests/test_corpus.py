@@ -136,7 +136,6 @@ def test_search_words_are_ored(spark):
 
 
 def test_encodings(spark):
-    readers.enable_legacy_charsets(spark)
     rows = [(1, "Röshammar".encode()), (2, "Röshammar".encode("cp1252")), (3, b"\xef\xbb\xbfa\x00b"), (4, b"")]
     df = spark.createDataFrame(rows, "id int, content binary").select("id", readers.decode_text(F.col("content")).alias("t"))
     assert [r["t"] for r in df.orderBy("id").collect()] == ["Röshammar", "Röshammar", "ab", ""]
@@ -195,3 +194,13 @@ def test_many_corrections_need_several_rounds(spark):
     c = spark.createDataFrame([("r1", i + 1, f"/k{i % 3}", str(i)) for i in range(25)], "reference_id string, seq int, pointer string, value_json string")
     got = {r["reference_id"]: json.loads(r["target"]) for r in corpus.apply_corrections(m, c, "target", batch=10).collect()}
     assert got == {"r1": {"k0": 24, "k1": 22, "k2": 23}, "r2": {}}
+
+
+def test_every_byte_is_read_as_windows_1252_without_a_session_switch(spark):
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+    rows = [(b, bytes([0xFF, b, 0x41])) for b in range(1, 256)]
+    got = {r["id"]: r["t"] for r in spark.createDataFrame(rows, "id int, content binary").select("id", readers.decode_text(F.col("content")).alias("t")).collect()}
+    assert got == {b: bytes([0xFF, b, 0x41]).decode("cp1252", "replace") for b in range(1, 256)}
+    texts = [(1, "€ “é” ÿ abc"), (2, "漢"), (3, "\x81"), (4, ""), (5, None)]
+    back = spark.createDataFrame(texts, "id int, t string").select("id", readers.encode_windows(F.col("t")).alias("b")).collect()
+    assert {r["id"]: r["b"] and bytes(r["b"]) for r in back} == {1: "€ “é” ÿ abc".encode("cp1252"), 2: None, 3: None, 4: bytearray(), 5: None}

@@ -1,5 +1,6 @@
 """Skew-safe building blocks against brute force, with one key holding a third or more of all rows."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -66,6 +67,22 @@ def test_set_digest_ignores_order_and_repeats(spark):
     assert keyed.set_digest(a, "h").first() == keyed.set_digest(b, "h").first()
 
 
+def test_set_digest_groups_stay_small_at_any_count(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "DIGEST_GROUP", 4)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for n in (0, 1, 4, 5, 300, 2000):
+        hashes = sorted(sha(str(i)) for i in range(n))
+        level, width = [(h, h) for h in hashes], keyed.digest_width(n)
+        assert n <= 4 * 16**width and (width == 0 or n > 4 * 16 ** (width - 2))
+        for digits in range(width, -1, -2):
+            groups = {}
+            for p, d in sorted(level):
+                groups.setdefault(p[:digits], []).append(d)
+            level = [(p, sha("".join(ds))) for p, ds in groups.items()]
+        got = keyed.set_digest(spark.createDataFrame([(h,) for h in hashes], "h string"), "h").collect()
+        assert [(r["digest"], r["n_hashes"]) for r in got] == [(d, n) for _, d in level]
+
+
 def first_wins(rows):
     kept, ids, contents = [], set(), set()
     for doc, seq, i, c in sorted(rows, key=lambda r: r[1]):

@@ -89,9 +89,8 @@ def partition_ids(spark, sf):
 
 @query("d07_source_hash_digest", """
 WITH h AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text <> '' UNION SELECT DISTINCT sha256(html) FROM pages),
-l6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1),
-l4 AS (SELECT substr(p, 1, 4) AS q, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l6 GROUP BY 1),
-l2 AS (SELECT substr(q, 1, 2) AS p, sha256(string_agg(d, '' ORDER BY q)) AS d, sum(n) AS n FROM l4 GROUP BY 1)
+-- up to 65,536 hashes the leaves have prefixes of two digits
+l2 AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
 SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_hashes FROM l2
 """)
 def source_hash_digest(spark, sf):

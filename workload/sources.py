@@ -376,12 +376,10 @@ SELECT doc_id, md5(text) AS text_md5 FROM documents
 """)
 def text_decoding(spark, sf):
     t = Tables(spark, sf)
-    readers.enable_legacy_charsets(spark)
-    legacy = F.encode("text", "windows-1252")
-    safe = F.decode(legacy, "windows-1252") == F.col("text")
+    legacy = readers.encode_windows(F.col("text"))
     utf8 = F.encode("text", "UTF-8")
     mark = F.unhex(F.lit("EFBBBF00"))
-    content = F.when(F.col("lang").isin("fr", "de", "es") & safe, legacy).when(F.col("lang") == "en", F.concat(mark, utf8)).otherwise(utf8)
+    content = F.when(F.col("lang").isin("fr", "de", "es") & legacy.isNotNull(), legacy).when(F.col("lang") == "en", F.concat(mark, utf8)).otherwise(utf8)
     return t.documents.select("doc_id", F.md5(readers.decode_text(content)).alias("text_md5"))
 
 
