@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom import config
@@ -151,3 +152,28 @@ def test_partition_is_deterministic(spark):
     rows = spark.range(2000).select(N.partition_of(F.col("id")).alias("p")).groupBy("p").count().collect()
     share = {r["p"]: r["count"] / 2000 for r in rows}
     assert abs(share["test"] - 0.15) < 0.04 and abs(share["validation"] - 0.15) < 0.04
+
+
+@pytest.mark.parametrize("text, names", [
+    ("CL = theta1; V=Theta 2", {"1": "CL", "2": "V"}), ("CL = theta1 CL2 = theta1", {"1": "CL"}), ("2CL = theta3, .KA= theta4\nx-y = THETA5", {"4": "KA", "5": "x-y"}),
+    ("theta1 = 5", {}), ("a = theta", {}), (f"{'n' * 41} = theta1 p/{'q' * 38}=theta2", {"2": f"p/{'q' * 38}"}), ("K10 =\n theta12 = theta13", {"12": "K10"}), (None, {})])
+def test_names_of_parameters(one, text, names):
+    assert one(lambda: P.parameter_names(F.lit(text))) == names
+
+
+@pytest.mark.parametrize("text, model", [
+    ("Cobs = C * (1 + eps1)", "proportional"), ("cobs=C*(1+EPS1) + eps2", "combined"), ("cobs=C*(1+EPS(1)) + eps(2)", "proportional"), ("Y = F + ERR(1)", "additive"), ("y = f * (1 + err1 )\n + err2", "combined"), ("y = f\n + err(1)", "unknown"),
+    ("cobs = c + err", "unknown"), ("y = f + eps", "unknown"), ("(1 + eps) + eps", "combined"), ("y =\n f + err", "unknown"), ("w = 2\ny = f * ( 1 + err)", "additive"), ("", "unknown"), (None, "unknown")])
+def test_error_models(one, text, model):
+    assert one(lambda: P.error_model(F.lit(text))) == model
+
+
+@pytest.mark.parametrize("text, value", [
+    ("N = 5 Age 30 ± 2 (20-40) Weight 70", "30 ± 2 (20-40)"), ("Age: 30", "30"), ("Age WT 5", ""), ("Age = WT 5", ""), ("age 3; x", ""), ("age; Age 30 years", "30 years"), ("Age 3 (a; b)", "3 (a; b)"), ("Age 3,Age 4 BMI 2", "3,Age 4"),
+    ("Aged 5", "d 5"), ("none", ""), ("Stage 4", ""), ("Age 30\nCYP2D6", "30")])
+def test_descriptor_values(one, text, value):
+    assert one(lambda: P.descriptor_value(F.lit(text), r"\bAge")) == value
+
+
+def test_genes_are_words(one):
+    assert one(lambda: P.genes_in(F.lit("cyp2d6, CYP3A4/CYP2D6 xCYP2C9 CYP2C19*2 CYP9Z9 CYP2E1_1"))) == ["CYP2D6", "CYP3A4", "CYP2C19"]
