@@ -224,7 +224,6 @@ def apply_review(claims: DataFrame, verdicts: DataFrame, stage: str) -> dict[str
     """
     if "superseded_by" not in claims.columns:
         claims = claims.withColumn("superseded_by", F.lit(None).cast("string"))
-    claims = cut_lineage(claims)
     target = keyed.first_per_key(claims, ["doc_id", "claim_id"], ["seq"])
     said = verdicts.filter(F.col("verdict") == "contradicted").select(
         "doc_id", "claim_id", F.col("seq").alias("v_seq"), "corrected_value", F.col("source_locator").alias("v_locator"),
