@@ -6,8 +6,7 @@
   shingles a row.
 * Bands are the lines of the affine plane over the 16 minima as a 4 x 4 grid: any
   four minima on a grid line make a band key.  With three directions there are 12
-  bands of four, of which two share at most one minimum.  Of pairs at Jaccard 0.80
-  some 97 in 100 share a band, at 0.90 more than 99.8.
+  bands of four, of which two share at most one minimum.
 * In a band's group every line is first paired with the group's smallest and with
   its predecessor.  Lines that end in one component by that need no further check,
   since only reachability is asked for.  All other pairs of the group, those from
@@ -25,7 +24,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import components
@@ -35,12 +34,14 @@ CHARS = 8
 THRESHOLD = 0.8
 #: Shingles a row, and characters a piece before it is cut into rows; a text is walked from the start of its piece.
 STEP, PIECE = 8, 64
-SLOT_BITS = 20
+#: Bits of the table that marks the members of bands' groups: 2 MB whatever their number.
+SLOT_BITS = 24
 SKETCH_WORDS = 8
 GRID = 4
 DIRECTIONS = 3
 _random = random.Random(20)
-XORS = [_random.getrandbits(31) for _ in range(GRID * GRID)]
+#: All 32 bits, sign included: without it every minimum would come from the same half of the shingles.
+XORS = [_random.getrandbits(32) - (1 << 31) for _ in range(GRID * GRID)]
 
 
 def _times(a: int, x: int) -> int:
@@ -99,23 +100,20 @@ def candidates(grouped: DataFrame) -> DataFrame:
 
 def _sketched(texts: DataFrame) -> DataFrame:
     """(line_id, n, s0..): the number of shingles, and for each bit the parity of the number of shingles that hash to it."""
-    sets = texts.select("line_id", shingle_set(F.col("line")).alias("set"))
-
-    def word(w: int) -> Column:
-        mine = F.filter("set", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)) == w)
-        one = F.lit(1).cast("long")
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
-
-    words = [word(w).alias(f"s{w}") for w in range(SKETCH_WORDS)]
-    return sets.select("line_id", F.size("set").alias("n"), *words)
+    shingles = texts.select("line_id", F.explode(shingle_set(F.col("line"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    place = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH_WORDS - 1))
+    words = [F.coalesce(F.bit_xor(F.when(place == w, bit)), F.lit(0).cast("long")).alias(f"s{w}") for w in range(SKETCH_WORDS)]
+    return shingles.groupBy("line_id").agg(F.count("*").alias("n"), *words)
 
 
 def other_candidates(grouped: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of a group that lie in different components and may link; of up to three lines all pairs were tested."""
     large = grouped.where("size > 3").select("key", "line_id")
     rooted = large.join(roots, large["line_id"] == roots["node"], "left").select("key", "line_id", F.coalesce("root", "line_id").alias("root"))
-    several = rooted.select("*", F.expr("min(root) OVER (PARTITION BY key)").alias("low"), F.expr("max(root) OVER (PARTITION BY key)").alias("high"))
-    several = cut_lineage(several.where("low < high").select("key", "line_id", "root"))
+    rooted = cut_lineage(rooted)
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    several = cut_lineage(rooted.join(several, "key", "left_semi"))
     sketches = _sketched(texts.join(several.select("line_id").distinct(), "line_id", "left_semi"))
     open_groups = cut_lineage(several.join(sketches, "line_id"))
     x, y = open_groups.alias("x"), open_groups.alias("y")
@@ -136,17 +134,29 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return counted.where(F.col("n") >= threshold * (F.col("sum") - F.col("n"))).select("a", "b")
 
 
+def _marks(spark: SparkSession, ids: DataFrame) -> DataFrame:
+    """One row: the 2**SLOT_BITS bits as an array of longs, with the bits of all ids set."""
+    slot = F.pmod("line_id", F.lit(1 << SLOT_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    filled = ids.select(F.shiftright(slot, 6).alias("word"), bit.alias("bits"))
+    every = spark.range((1 << SLOT_BITS) // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = filled.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")).select("words.bits")
+
+
 def _occurrences(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, line_no, line_id, line) of every line; the text only where the line may be among ``members``.
 
-    The members are marked in a table of 2**SLOT_BITS slots, which bounds the
-    broadcast whatever their number; a slot that another line shares costs that
-    line's text being written, nothing else.
+    The members are marked in a bit table of fixed size, which the plan takes as
+    the value of a subquery; a bit that another line shares costs that line's text
+    being written, nothing else.
     """
+    table = cut_lineage(_marks(docs.sparkSession, members)).scalar()
     slot = F.pmod("line_id", F.lit(1 << SLOT_BITS))
-    marked = members.select(slot.alias("slot"), F.lit(True).alias("marked")).distinct()
-    named = lines_of(docs).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), "line").withColumn("slot", slot)
-    return named.join(F.broadcast(marked), "slot", "left").select("doc_id", "line_no", "line_id", F.when(F.col("marked"), F.col("line")).alias("line"))
+    word = table[F.shiftright(slot, 6).cast("int")]
+    marked = F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    named = lines_of(docs).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), "line")
+    return named.select("doc_id", "line_no", "line_id", F.when(marked, F.col("line")).alias("line"))
 
 
 def line_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -80,3 +80,21 @@ def test_bands_are_distinct_fours_that_meet_once():
     bands = lines.bands()
     assert len(bands) == 12 and all(len(set(b)) == 4 for b in bands)
     assert all(len(set(a) & set(b)) <= 1 for k, a in enumerate(bands) for b in bands[k + 1:])
+
+
+def test_marks_hold_every_member_and_few_others(spark):
+    ids = spark.range(-500, 500).selectExpr("xxhash64(id) AS line_id")
+    bits = lines._marks(spark, ids).first()["bits"]
+    assert len(bits) == (1 << lines.SLOT_BITS) // 64
+    wanted = {r["line_id"] % (1 << lines.SLOT_BITS) for r in ids.collect()}
+    assert {64 * w + b for w, x in enumerate(bits) if x for b in range(64) if x >> b & 1} == wanted
+
+
+def test_sketch_is_the_parity_of_the_set(spark):
+    frame = docs(spark, [(1, "abcdefghij" * 9), (2, "é"), (3, "x" * 50)]).selectExpr("text AS line", "doc_id AS line_id")
+    sets = {r["line_id"]: r["s"] for r in frame.select("line_id", lines.shingle_set(frame["line"]).alias("s")).collect()}
+    for row in lines._sketched(frame).collect():
+        want = [0] * lines.SKETCH_WORDS
+        for h in sets[row["line_id"]]:
+            want[h >> 6 & lines.SKETCH_WORDS - 1] ^= 1 << (h & 63)
+        assert row["n"] == len(sets[row["line_id"]]) and [row[f"s{i}"] % (1 << 64) for i in range(lines.SKETCH_WORDS)] == want
