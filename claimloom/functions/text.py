@@ -208,6 +208,16 @@ def cap_text(text: Column | str, limit: int, marker: str = "\n[DOCUMENT TRUNCATE
     return F.when(F.length(value) > limit, F.concat(cut, F.lit(marker))).otherwise(value)
 
 
+def sha256_of(content: Column | str) -> Column:
+    """Lower-case hex SHA-256 of bytes or of a text's UTF-8; empty where there is no content."""
+    return F.coalesce(F.sha2(_c(content), 256), F.lit(""))
+
+
+def md5_of(value: Column | str) -> Column:
+    """Lower-case hex MD5 of a text's UTF-8; a missing text counts as the empty one."""
+    return F.md5(F.encode(F.coalesce(_c(value), F.lit("")), "UTF-8"))
+
+
 def bibtex(entry_id: Column, title: Column, authors: Column, journal: Column, year: Column,
            doi: Column, pmid: Column) -> Column:
     def clean(value: Column) -> Column:

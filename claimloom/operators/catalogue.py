@@ -173,6 +173,20 @@ def publish(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def provenance(entries: DataFrame, artefacts: dict[str, DataFrame], key: str = "library_id") -> DataFrame:
+    """Entries with what was kept beside them: a struct column for each artefact, null where an entry has none.
+
+    An artefact's rows are (key, fields...); of several rows of an entry the first
+    by its fields counts, rows with a null key belong to no entry, and an artefact
+    of an unknown entry is left out.
+    """
+    out = entries
+    for name, rows in artefacts.items():
+        fields = F.struct(*[c for c in rows.columns if c != key]).alias(name)
+        out = out.join(keyed.one_per_key(rows, [key]).select(key, fields), key, "left")
+    return out
+
+
 def manifest_errors(required: dict[str, Column], library_id: Column, status: Column, confidence: Column,
                     artifact: Column | None = None) -> Column:
     """ARRAY of rule names a manifest breaks."""

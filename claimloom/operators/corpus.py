@@ -141,6 +141,25 @@ def corpus_counts(models: DataFrame) -> DataFrame:
     return models.select(F.inline(flags)).groupBy("measure", "level").agg(F.sum("n").alias("n"))
 
 
+def list_models(models: DataFrame, partitions: Sequence[str] | None = None, tiers: Sequence[str] | None = None) -> DataFrame:
+    """The listing of the corpus; an empty or missing choice of partitions or tiers leaves all rows."""
+    chosen = filter_models(models, partitions=partitions, tiers=tiers)
+    return chosen.select("reference_id", "article_id", "pmid", F.col("compound_group").alias("compound"), "partition", "tier",
+                         F.coalesce("training_eligible", F.lit(False)).alias("training_eligible"))
+
+
+def filter_models(models: DataFrame, words: str = "", partitions: Sequence[str] | None = None, tiers: Sequence[str] | None = None,
+                  compound: str | None = None, searched: Sequence[str] = ("reference_id", "title", "compound_group")) -> DataFrame:
+    """Models that hold ``words`` in one of the searched columns, in any letter case, and match every choice that is made."""
+    keep = F.lit(True)
+    if words:
+        keep &= F.contains(F.lower(F.concat_ws(" ", *searched)), F.lower(F.lit(words)))
+    for column, choice in (("partition", partitions), ("tier", tiers), ("compound_group", [compound] if compound else None)):
+        if choice:
+            keep &= F.col(column).isin(*choice)
+    return models.filter(keep)
+
+
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 

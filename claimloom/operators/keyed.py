@@ -145,6 +145,11 @@ def set_digest(df: DataFrame, value: str) -> DataFrame:
     return level.select(F.col("_d").alias("digest"), F.col("_n").alias("n_hashes"))
 
 
+def orphans(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
+    """The distinct keys of ``rows`` that ``known`` does not have; a null key is known to nobody."""
+    return rows.select(key).distinct().join(known.select(F.col(known_key).alias(key)), key, "left_anti")
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
     """The columns of the row with the greatest order value per key (partial aggregation first)."""
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row"))

@@ -442,18 +442,28 @@ def _json_number(x: Column) -> Column:
     return F.coalesce(F.when(X.finite(x).isNotNull(), plain), F.lit("null"))
 
 
+def bounded_evidence(locator: Column | str = "source_locator", evidence: Column | str = "evidence", dependencies: Column | str = "dependencies",
+                     alternatives: Column | str = "alternatives", sizes: tuple[int, int, int, int] = (180, 240, 6, 4)) -> dict[str, Column]:
+    """What a prompt shows of a claim's evidence: texts cut to characters and lists to items; nothing is null."""
+    none, column = X.literal_array([]), lambda c: F.col(c) if isinstance(c, str) else c
+    return {
+        "source_locator": F.substring(X.coalesce_blank(column(locator)), 1, sizes[0]),
+        "evidence": F.substring(X.coalesce_blank(column(evidence)), 1, sizes[1]),
+        "dependencies": F.slice(F.coalesce(column(dependencies), none), 1, sizes[2]),
+        "alternatives": F.slice(F.coalesce(column(alternatives), none), 1, sizes[3]),
+    }
+
+
 def compact_claim_json(locator_chars: int = 180, evidence_chars: int = 240, dependencies: int = 6,
                        alternatives: int = 4) -> Column:
     """A claim as the prompts show it: fields in a fixed order, null where nothing is known, long texts and lists cut."""
+    cut = bounded_evidence(sizes=(locator_chars, evidence_chars, dependencies, alternatives))
     head = _json(
         F.col("claim_id").alias("id"), F.coalesce("domain", F.lit("other")).alias("domain"),
         *[F.col(c) for c in ("field", "value", "unit", "status", "model_stage", "superseded_by")],
-        F.substring(X.coalesce_blank("source_locator"), 1, locator_chars).alias("source_locator"),
-        F.substring(X.coalesce_blank("evidence"), 1, evidence_chars).alias("evidence"),
+        *[cut[c].alias(c) for c in ("source_locator", "evidence")],
     )
-    none = X.literal_array([])
-    tail = _json(F.slice(F.coalesce("dependencies", none), 1, dependencies).alias("dependencies"),
-                 F.slice(F.coalesce("alternatives", none), 1, alternatives).alias("alternatives"))
+    tail = _json(*[cut[c].alias(c) for c in ("dependencies", "alternatives")])
     return F.concat(F.left(head, F.length(head) - 1),
                     F.lit(',"confidence":'), _json_number(F.col("confidence").cast("double")), F.lit(","), F.substring(tail, 2, 1 << 30))
 

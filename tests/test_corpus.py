@@ -1,10 +1,12 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom import config
-from claimloom.operators import catalogue, claims, corpus, scoring, training, triage
+from claimloom.functions import text as X
+from claimloom.operators import catalogue, claims, corpus, keyed, scoring, training, triage
 from claimloom.plans import jobs, lanes, semantics
 from claimloom.session import scratch_path
 from claimloom.sources import readers, writers
@@ -204,3 +206,24 @@ def test_every_byte_is_read_as_windows_1252_without_a_session_switch(spark):
     texts = [(1, "€ “é” ÿ abc"), (2, "漢"), (3, "\x81"), (4, ""), (5, None)]
     back = spark.createDataFrame(texts, "id int, t string").select("id", readers.encode_windows(F.col("t")).alias("b")).collect()
     assert {r["id"]: r["b"] and bytes(r["b"]) for r in back} == {1: "€ “é” ÿ abc".encode("cp1252"), 2: None, 3: None, 4: bytearray(), 5: None}
+
+
+def test_listing_and_filter_of_models(spark):
+    rows = [("r1", "a1", "1", "Midazolam", "train", "A", True, "One"), ("r2", "a2", "2", "other", "test", "B", None, "Two midaZOLAM"), ("r3", "a3", None, None, None, None, False, None)]
+    models = spark.createDataFrame(rows, "reference_id string, article_id string, pmid string, compound_group string, partition string, tier string, training_eligible boolean, title string")
+    assert [(r["reference_id"], r["compound"], r["training_eligible"]) for r in corpus.list_models(models).orderBy("reference_id").collect()] == [
+        ("r1", "Midazolam", True), ("r2", "other", False), ("r3", None, False)]
+    ids = lambda **choice: {r["reference_id"] for r in corpus.filter_models(models, **choice).collect()}
+    assert ids(words="midazolam") == {"r1", "r2"} and ids(words="midazolam", compound="other") == {"r2"}
+    assert ids(partitions=["train"], tiers=["A", "B"]) == {"r1"} and ids(tiers=[]) == ids() == {"r1", "r2", "r3"}
+    assert corpus.list_models(models.limit(0), ["train"]).count() == 0
+
+
+def test_provenance_orphans_and_fingerprints(spark):
+    entries = spark.createDataFrame([("e1", 1), ("e2", 1)], "library_id string, version int")
+    audits = spark.createDataFrame([("e1", "b", None), ("e1", "a", 2), ("e9", "z", 1), (None, "n", 1)], "library_id string, url string, version int")
+    got = {r["library_id"]: (r["version"], r["audit"], r["ledger"]) for r in catalogue.provenance(entries, {"audit": audits, "ledger": audits.limit(0)}).collect()}
+    assert got == {"e1": (1, ("a", 2), None), "e2": (1, None, None)}
+    assert {r[0] for r in keyed.orphans(audits, "library_id", entries.selectExpr("library_id AS id"), "id").collect()} == {"e9", None}
+    row = spark.createDataFrame([(None, "é")], "a string, b string").select(X.sha256_of("a"), X.md5_of("a"), X.sha256_of("b"), X.md5_of("b")).first()
+    assert tuple(row) == ("", hashlib.md5(b"").hexdigest(), hashlib.sha256("é".encode()).hexdigest(), hashlib.md5("é".encode()).hexdigest())

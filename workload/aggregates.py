@@ -563,11 +563,15 @@ def newest_version(spark, sf):
 
 
 @query("f08_bounded_evidence", """
-SELECT doc_id, substr(text, 1, 180) AS locator, md5(substr(text, 1, 240)) AS evidence_md5, array_to_string(string_split(text, ' ')[1:6], '|') AS dependencies FROM documents
+SELECT doc_id, substr(text, 1, 180) AS locator, md5(substr(text, 1, 240)) AS evidence_md5, array_to_string(string_split(text, ' ')[1:6], '|') AS dependencies,
+  array_to_string(string_split(text, ' ')[1:4], '|') AS alternatives FROM documents
 """)
 def bounded_evidence(spark, sf):
     d = Tables(spark, sf).spread("documents")
-    return d.select("doc_id", F.substring("text", 1, 180).alias("locator"), F.md5(F.substring("text", 1, 240)).alias("evidence_md5"), F.array_join(F.slice(F.split("text", " "), 1, 6), "|").alias("dependencies"))
+    words = F.split("text", " ")
+    cut = ledger.bounded_evidence("text", "text", words, words)
+    return d.select("doc_id", cut["source_locator"].alias("locator"), X.md5_of(cut["evidence"]).alias("evidence_md5"),
+                    F.array_join(cut["dependencies"], "|").alias("dependencies"), F.array_join(cut["alternatives"], "|").alias("alternatives"))
 
 
 # ---------------------------------------------------------------- sets

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom import config
 from claimloom.functions import text as X
-from claimloom.operators import catalogue, ledger, scoring, training, triage
+from claimloom.operators import catalogue, corpus, ledger, scoring, training, triage
 from workload import fixtures as fx
 from workload.registry import Tables, query
 
@@ -50,10 +50,8 @@ WHERE contains(lower(reference_id || ' ' || title || ' ' || compound_group), 'th
   AND compound_group = 'src10'
 """)
 def reference_list_filter(spark, sf):
-    m = fx.models(Tables(spark, sf))
-    hay = F.lower(F.concat_ws(" ", "reference_id", "title", "compound_group"))
-    return m.filter(F.contains(hay, F.lit("the")) & F.col("partition").isin("train", "validation") & F.col("tier").isin("A", "D")
-                    & (F.col("compound_group") == "src10")).select("reference_id", "tier", "partition")
+    found = corpus.filter_models(fx.models(Tables(spark, sf)), "The", ["train", "validation"], ["A", "D"], "src10")
+    return found.select("reference_id", "tier", "partition")
 
 
 @query("b04_batch_selection", f"""

@@ -430,8 +430,7 @@ SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_order
 """)
 def referential_integrity(spark, sf):
     t = Tables(spark, sf)
-    known = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey").distinct().join(known, "l_orderkey", "left_anti")
+    return keyed.orphans(t.lineitem, "l_orderkey", t.orders.filter("o_orderstatus <> 'P'"), "o_orderkey")
 
 
 def curation(t: Tables):

@@ -393,7 +393,7 @@ def partition_hash(spark, sf):
 def fingerprints(spark, sf):
     t = Tables(spark, sf)
     both = t.documents.select("doc_id", "text").unionByName(t.pages.select((-F.col("page_id") - 1).alias("doc_id"), F.col("html").alias("text")))
-    return both.select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    return both.select("doc_id", X.sha256_of("text").alias("sha256"), X.md5_of("text").alias("md5"))
 
 
 @query("h39_claim_id", f"""
@@ -687,15 +687,28 @@ def null_coalesce(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", X.coalesce_blank(F.when(F.col("lang") == "en", F.col("text")), "default").alias("value"))
 
 
-@query("h66_contract_rules", """
-WITH ev AS (SELECT *, '{"' || CASE WHEN event_type = 'view' THEN 'id' WHEN event_type = 'click' THEN 'field' ELSE 'other' END || '": 1}' AS doc FROM events)
-SELECT CASE WHEN event_type = 'view' THEN 'id' WHEN event_type = 'click' THEN 'field' END AS argument, count(*) AS n_documents FROM ev WHERE event_type IN ('view', 'click') GROUP BY 1
+def _required_fields():
+    """(kind, kind's number, place, field) of the fields that each contract demands, as its definition lists them."""
+    return [(kind, n, place, field) for n, kind in enumerate(schemas.CONTRACTS) for place, field in enumerate(schemas.CONTRACTS[kind]["required"])]
+
+
+@query("h66_contract_rules", f"""
+WITH fields(kind, n, place, field) AS (VALUES {", ".join(str(row) for row in _required_fields())}),
+counted AS (SELECT n, count(*) AS demanded FROM fields GROUP BY n),
+ev AS (SELECT event_id % {len(schemas.CONTRACTS)} AS n, event_id // {len(schemas.CONTRACTS)} AS turn FROM events),
+doc AS (SELECT n, turn % (demanded + 1) AS place FROM ev JOIN counted USING (n))
+SELECT kind, field AS argument, count(*) AS n_documents FROM doc JOIN fields USING (n, place) GROUP BY 1, 2
 """)
 def contract_rules(spark, sf):
-    # which required fields of the 'question' contract the documents carry: the rule table is fixed in size and broadcast
-    name = F.when(F.col("event_type") == "view", F.lit("id")).when(F.col("event_type") == "click", F.lit("field")).otherwise(F.lit("other"))
-    keys = Tables(spark, sf).events.select(F.explode(F.json_object_keys(F.concat(F.lit('{"'), name, F.lit('": 1}')))).alias("argument"))
-    rules = schemas.rule_table(spark, ["question"]).filter("rule = 'required' AND path = 'response'").select("argument")
-    return keys.join(F.broadcast(rules), "argument").groupBy("argument").agg(F.count("*").alias("n_documents"))
+    # documents that carry one field each, of all contracts in turn, or one that no contract knows; the rule table is fixed in size and broadcast
+    demanded = [spec["required"] for spec in schemas.CONTRACTS.values()]
+    kinds = X.literal_array(list(schemas.CONTRACTS))
+    names = F.array(*[X.literal_array([*fields, "other"]) for fields in demanded])
+    n, turn = (F.col("event_id") % len(demanded)).cast("int"), F.floor(F.col("event_id") / len(demanded))
+    ev = Tables(spark, sf).events.select(F.get(kinds, n).alias("kind"), F.get(names, n).alias("names"), turn.alias("turn"))
+    name = F.get("names", (F.col("turn") % F.size("names")).cast("int"))
+    keys = ev.select("kind", F.explode(F.json_object_keys(F.concat(F.lit('{"'), name, F.lit('": 1}')))).alias("argument"))
+    rules = schemas.rule_table(spark).filter("rule = 'required' AND path = 'response'").select("kind", "argument")
+    return keys.join(F.broadcast(rules), ["kind", "argument"]).groupBy("kind", "argument").agg(F.count("*").alias("n_documents"))
 
 

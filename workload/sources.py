@@ -109,11 +109,13 @@ LEFT JOIN benchmark b ON b.item_id = e.doc_id
 def provenance_read(spark, sf):
     t = Tables(spark, sf)
     e = fx.entries(t).select("doc_id", "library_id", "version", "status")
-    audit = t.pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("audit_url"))
-    assessed = t.labels.select("doc_id", F.col("quality").alias("assessed_quality"))
-    ledgers = t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit(True).alias("has_ledger"))
-    return e.join(audit, "doc_id", "left").join(assessed, "doc_id", "left").join(ledgers, "doc_id", "left").select(
-        "library_id", "version", "status", "audit_url", "assessed_quality", F.coalesce("has_ledger", F.lit(False)).alias("has_ledger"))
+    kept = catalogue.provenance(e, {
+        "audit": t.pages.select(F.col("page_id").alias("doc_id"), "url"),
+        "assessment": t.labels.select("doc_id", "quality"),
+        "ledger": t.benchmark.select(F.col("item_id").alias("doc_id"), F.xxhash64("text").alias("version")),
+    }, "doc_id")
+    return kept.select("library_id", "version", "status", F.col("audit.url").alias("audit_url"),
+                       F.col("assessment.quality").alias("assessed_quality"), F.col("ledger").isNotNull().alias("has_ledger"))
 
 
 @query("a05_model_lines", """
@@ -167,9 +169,7 @@ SELECT reference_id, article_id, pmid, compound_group AS compound, partition, ti
 WHERE partition IN ('train', 'validation') AND tier IN ('A', 'B')
 """)
 def corpus_model_list(spark, sf):
-    m = fx.models(Tables(spark, sf))
-    return m.filter(F.col("partition").isin("train", "validation") & F.col("tier").isin("A", "B")).select(
-        "reference_id", "article_id", "pmid", F.col("compound_group").alias("compound"), "partition", "tier", "training_eligible")
+    return corpus.list_models(fx.models(Tables(spark, sf)), ["train", "validation"], ["A", "B"])
 
 
 @query("a09_corpus_model_get", f"""
