@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from claimloom import config
 from claimloom.functions.numbers import clip01
@@ -71,6 +74,48 @@ def progress_state(events: DataFrame) -> DataFrame:
                        F.col("s.status").alias("status"))
 
 
+def live_progress(events: DataFrame, delay: str = "1 day", idle: timedelta = timedelta(days=7), linger: timedelta = timedelta(hours=1)) -> DataFrame:
+    """The latest state per (job, channel) as a stream of changes whose state leaves again.
+
+    events: (job, channel, ts timestamp, seq, value, status).  A channel's state goes
+    when the watermark, ``delay`` behind the newest event, has passed its last event
+    by ``linger`` if that was terminal, else by ``idle``.  An event of a channel that
+    has left starts it anew; later than the watermark it is dropped, so a row that
+    comes out is never older than one before.  Values as in :func:`progress_state`;
+    of one time the greatest ``seq`` counts.  A batch gives one row for each channel
+    that changed.
+    """
+    # Times travel as microseconds, which no session time zone shifts.
+    slim = events.select("job", "channel", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"),
+                         clip01(F.coalesce(finite(F.col("value")), F.lit(0.0))).alias("value"), F.col("status").cast("string").alias("status"))
+    types = {f.name: f.dataType.simpleString() for f in slim.schema}
+    columns = ["at", "seq", "value", "status"]
+    terminal, waits = frozenset(config.TERMINAL_PROGRESS), (int(idle.total_seconds() * 1000), int(linger.total_seconds() * 1000))
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = last = state.get if state.exists else None
+        for part in parts:
+            part = part[part["at"].notna()]
+            if len(part):
+                top = part.sort_values(["at", "seq"], na_position="first").iloc[-1]
+                found = (int(top["at"]), None if pd.isna(top["seq"]) else int(top["seq"]), float(top["value"]), top["status"])
+                order = lambda r: (r[0], r[1] is not None, r[1] or 0)
+                last = found if last is None or order(found) > order(last) else last
+        if last is None:
+            return
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[0] // 1000 + waits[last[3] in terminal], state.getCurrentWatermarkMs() + 1))
+        if last != before:
+            yield pd.DataFrame([dict(zip(["job", "channel", *columns], (*key, *last)))]).astype({"seq": "Int64"})
+
+    changes = slim.withWatermark("ts", delay).groupBy("job", "channel").applyInPandasWithState(
+        fold, ", ".join(f"{c} {types[c]}" for c in ["job", "channel", *columns]), "at long, seq long, value double, status string", "update", "EventTimeTimeout")
+    return changes.select("job", "channel", F.timestamp_micros("at").alias("ts"), *columns[1:])
+
+
 def close_running(states: DataFrame) -> DataFrame:
     """One row per job: a terminal batch state closes an article that still runs."""
     def pick(channel: str, field: str):
@@ -102,14 +147,21 @@ def activity_windows(events: DataFrame, keys: Sequence[str], ts: str = "ts", siz
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "2 hours", delay: str = "1 day") -> DataFrame:
+    """Activity per key without a pause of ``gap``.
+
+    In append mode a session comes out, and its state goes, once the watermark has
+    passed its end; in complete mode all of them stay.
+    """
     return events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key).agg(
         F.count("*").alias("n_events"), F.sum("value").alias("total_value")
     ).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "total_value")
 
 
-def drain(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Run a stream over everything that is there now, however long it takes, then stop."""
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Run a stream over everything that is there now, however long it takes, then stop; the ended query tells its progress."""
+    running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return running
 
 
 def to_table(df: DataFrame, mode: str, path: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -32,3 +32,39 @@ def test_pending_requests_come_out_when_the_watermark_passes(spark):
     a = streams.file_stream(spark, path + "/a", "pmid string, arrived_at timestamp", 1)
     out = streams.to_table(streams.inbox_completion(r, a, "pmid", "1 hour", "1 DAY"), "append", scratch_path(spark, "out"))
     assert {(x["pmid"], x["status"]) for x in out.collect()} == {("0", "pending"), ("1", "complete")}
+
+
+def _hourly(spark, batches, schema):
+    """A stream of one file a batch; the rows give their time in hours."""
+    path = scratch_path(spark, "hours")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("h") * 3600)).drop("h").coalesce(1).write.mode("append").parquet(path)
+    return streams.file_stream(spark, path, spark.read.parquet(path).schema, 1)
+
+
+def _drained(df, mode):
+    """The rows of every batch and the number of state rows after each."""
+    path, batches = scratch_path(df.sparkSession, "drained"), []
+    done = streams.drain(df.writeStream.outputMode(mode).foreachBatch(lambda rows, n: batches.append([tuple(r) for r in rows.collect()])), path)
+    return batches, [p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress]
+
+
+def test_progress_leaves_the_state_after_its_end(spark):
+    schema = "job string, channel string, h int, seq int, value double, status string"
+    source = _hourly(spark, [
+        [("a", "batch", 0, 1, 0.2, "running"), ("a", "batch", 0, 2, 1.7, "done"), ("b", "batch", 0, 3, float("nan"), "running"), ("n", None, 0, None, None, None)],
+        [("b", "batch", 9, 4, 0.5, "running"), ("b", "batch", 8, 5, 0.4, "running")],
+        [("c", "batch", 200, 6, 0.1, "running"), ("b", "batch", 199, 8, 0.6, "running")],
+        [("a", "batch", 1, 7, 0.3, "running"), ("c", "batch", 200, 5, 0.9, "error")],
+    ], schema)
+    batches, state = _drained(streams.live_progress(source, "2 hours"), "update")
+    seen = [{(r[0], r[4], r[5]) for r in rows} for rows in batches if rows]
+    assert seen == [{("a", 1.0, "done"), ("b", 0.0, "running"), ("n", 0.0, None)}, {("b", 0.5, "running")}, {("c", 0.1, "running"), ("b", 0.6, "running")}]
+    assert max(state) >= 3 and state[-1] == 2
+
+
+def test_closed_sessions_leave_the_state(spark):
+    source = _hourly(spark, [[("u", 0, 1.0), ("u", 1, 1.0), ("v", 0, 5.0)], [("u", 30, 1.0)], [("u", 60, 1.0)]], "user string, h int, value double")
+    batches, state = _drained(streams.sessions(source, "user", delay="3 hours"), "append")
+    assert sorted((r[0], r[3], r[4]) for rows in batches for r in rows) == [("u", 1, 1.0), ("u", 2, 2.0), ("v", 1, 5.0)]
+    assert state[-1] == 1

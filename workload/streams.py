@@ -60,7 +60,7 @@ def progress_state(spark, sf):
     ev = table_stream(spark, sf, "events").select(
         F.col("user_id").alias("job"), F.when(F.col("event_type").isin("click", "purchase", "error"), "batch").otherwise("current").alias("channel"), "ts",
         F.col("event_id").alias("seq"), (F.col("value") / 50 - 0.1).alias("value"), status.alias("status"))
-    rows = streams.to_table(streams.progress_state(ev), "update", scratch_path(spark, "progress"), ["job", "channel"])
+    rows = streams.to_table(streams.live_progress(ev), "update", scratch_path(spark, "progress"), ["job", "channel"])
     return rows.select("job", "channel", fx.r6("value").alias("value"), "status")
 
 
@@ -100,3 +100,16 @@ def sessions(spark, sf):
     ev = table_stream(spark, sf, "events").select("ts", "user_id", "value")
     rows = streams.to_table(streams.sessions(ev, "user_id"), "complete", scratch_path(spark, "sessions"))
     return rows.select("user_id", fx.utc_text("session_start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_events", F.round("total_value", 2).alias("total_value"))
+
+
+@query("j06_closed_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n_events, round(sum(value), 2) AS total_value FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+""")
+def closed_sessions(spark, sf):
+    # the sessions that the watermark, a day behind the newest event, has passed; those still open stay in the state
+    ev = table_stream(spark, sf, "events").select("ts", "user_id", "value")
+    rows = streams.to_table(streams.sessions(ev, "user_id"), "append", scratch_path(spark, "closed"))
+    return rows.select("user_id", fx.utc_text("session_start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_events", F.round("total_value", 2).alias("total_value"))
