@@ -123,7 +123,7 @@ def digest_width(n: int) -> int:
     return width
 
 
-def set_digest(df: DataFrame, value: str) -> DataFrame:
+def set_digest(df: DataFrame, value: str, width: int | None = None) -> DataFrame:
     """One order-free sha256 over the distinct non-blank hashes of a column.
 
     The hashes form a tree by their hex prefix: leaves are the groups of one prefix of
@@ -132,11 +132,13 @@ def set_digest(df: DataFrame, value: str) -> DataFrame:
     root.  A group's digest is the sha256 of its members' texts, sorted and joined.
     So no row ever holds more than one small group, whatever the number of hashes.
     The hashes are to be spread evenly over their prefixes, as those of texts are.
+    ``width`` fixes the digits of the leaves, for digests that must not change their form
+    with the number of hashes; a leaf then has the 16**width-th part of them.
     """
     level = cut_lineage(df.select(F.col(value).alias("_h")).filter(F.coalesce(F.col("_h") != "", F.lit(False))).distinct().select(
         F.col("_h").alias("_p"), F.col("_h").alias("_d"), F.lit(1).cast("bigint").alias("_n")
     ))
-    for digits in range(digest_width(level.count()), -1, -2):
+    for digits in range(digest_width(level.count()) if width is None else width, -1, -2):
         level = level.groupBy(F.substring("_p", 1, digits).alias("_q")).agg(
             F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda g: g["_d"]), ""), 256)
             .alias("_d"),

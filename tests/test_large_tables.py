@@ -40,3 +40,12 @@ def test_first_groups_of_large_part_keys(spark, tmp_path):
     rows = [(9_000_000 - i // 2, 1_199_999 - i, 59_999, 1 + i % 7, "A", "F") for i in range(1200)]
     sql = registry.SQL["f06_limit_by_group"].replace(") * 1000000", ")::HUGEINT * 1000000")
     assert differences(spark, "f06_limit_by_group", sql, folder=tmp_path, lineitem=(LINES, rows)) == ([], [])
+
+
+PAGES, DOCUMENTS = "page_id bigint, url string, html string", "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_source_digest_of_many_hashes(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "web", 9) for i in range(66_000)]
+    tables = {"documents": (DOCUMENTS, rows), "pages": (PAGES, [(1, "u", "<p>x</p>")])}
+    assert differences(spark, "d07_source_hash_digest", folder=tmp_path, **tables) == ([], [])
