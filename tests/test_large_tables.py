@@ -1,6 +1,7 @@
 """Queries on rows that the small given tables lack: keys, counts and lengths of larger tables."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from workload import registry
 
@@ -49,3 +50,18 @@ def test_source_digest_of_many_hashes(spark, tmp_path):
     rows = [(i, f"text {i}", "en", "web", 9) for i in range(66_000)]
     tables = {"documents": (DOCUMENTS, rows), "pages": (PAGES, [(1, "u", "<p>x</p>")])}
     assert differences(spark, "d07_source_hash_digest", folder=tmp_path, **tables) == ([], [])
+
+
+def test_headings_are_whole_lines(spark, tmp_path):
+    # every look-back but the first begins inside the one line, at characters that look like a heading further on
+    rows = [(i, "x" * i + "word### more " * 2000, lang, "web", 26_000) for i, lang in enumerate(["es", "fr", "en", "de"] * 4)]
+    assert differences(spark, "e05_heading_carry_forward", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])
+
+
+def test_a_heading_at_the_beginning_of_the_look_back_counts(spark):
+    from claimloom.operators import chunks
+
+    text = "x\n# Methods\n" + "y" * 2000
+    df = spark.createDataFrame([(i,) for i in range(1, 30)], "start int").select("start", chunks.locator(F.lit(text), F.col("start") + 500, F.col("start") + 600, 500).alias("l"))
+    found = {r["start"]: r["l"].startswith("Methods; ") for r in df.collect()}
+    assert found == {s: s <= 3 for s in range(1, 30)}
