@@ -65,3 +65,8 @@ def test_a_heading_at_the_beginning_of_the_look_back_counts(spark):
     df = spark.createDataFrame([(i,) for i in range(1, 30)], "start int").select("start", chunks.locator(F.lit(text), F.col("start") + 500, F.col("start") + 600, 500).alias("l"))
     found = {r["start"]: r["l"].startswith("Methods; ") for r in df.collect()}
     assert found == {s: s <= 3 for s in range(1, 30)}
+
+
+def test_locators_of_top_chunks_have_no_cut_lines(spark, tmp_path):
+    rows = [(i, "x" * i + "word### more " * 1500 + "the### more " * 500, "es", "web", 25_500) for i in range(13)]
+    assert differences(spark, "f01_top_chunks", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])
