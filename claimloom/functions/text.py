@@ -90,9 +90,9 @@ def pmc_pdf_url(value: Column | str) -> Column:
     )
 
 
-def character_set(values: Column | str) -> Column:
-    """Trimmed, non-blank, distinct, in first-seen order."""
-    trimmed = F.transform(_c(values), strip)
+def character_set(values: Column | str, trim: Callable[[Column], Column] = strip) -> Column:
+    """Trimmed, non-blank, distinct, in first-seen order; ``trim`` may keep other white space than it strips."""
+    trimmed = F.transform(_c(values), lambda v: trim(v))
     kept = F.filter(trimmed, lambda v: v.isNotNull() & (v != ""))
     return F.array_distinct(F.coalesce(kept, literal_array([])))
 

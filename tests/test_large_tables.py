@@ -70,3 +70,8 @@ def test_a_heading_at_the_beginning_of_the_look_back_counts(spark):
 def test_locators_of_top_chunks_have_no_cut_lines(spark, tmp_path):
     rows = [(i, "x" * i + "word### more " * 1500 + "the### more " * 500, "es", "web", 25_500) for i in range(13)]
     assert differences(spark, "f01_top_chunks", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])
+
+
+def test_character_set_trims_what_its_sql_trims(spark, tmp_path):
+    rows = [(1, "a, b ,\nb,\tc , ,a", "en", "web", 9), (2, " \n ,\n", "en", "web", 9), (3, "", "en", "web", 0)]
+    assert differences(spark, "g09_character_set", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])
