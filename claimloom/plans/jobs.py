@@ -132,9 +132,11 @@ def triage_export(screening: DataFrame, articles: DataFrame, partitions: Sequenc
 
 
 def extraction_export(models: DataFrame, texts: DataFrame, partitions: Sequence[str], tiers: Sequence[str], system: str,
-                      allow_silver: bool = False, require_eligible: bool = True, max_source_chars: int = 60_000) -> DataFrame:
+                      allow_silver: bool = False, require_eligible: bool = True, max_source_chars: int | None = 60_000) -> DataFrame:
     """Candidates for reviewed models; the target is the answer and never part of the prompt.
 
+    ``max_source_chars`` is the budget of the article text; None keeps the whole of it.
+
     models: (reference_id, pmid, title, abstract, partition, tier, training_eligible, pdf_path, target_json);
     texts: (pdf_path, pages ARRAY<STRING>).
     """

@@ -75,3 +75,9 @@ def test_locators_of_top_chunks_have_no_cut_lines(spark, tmp_path):
 def test_character_set_trims_what_its_sql_trims(spark, tmp_path):
     rows = [(1, "a, b ,\nb,\tc , ,a", "en", "web", 9), (2, " \n ,\n", "en", "web", 9), (3, "", "en", "web", 0)]
     assert differences(spark, "g09_character_set", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])
+
+
+def test_export_has_whole_texts(spark, tmp_path):
+    rows = [(i, f"title {i}\n" + "word  and\tword\n\n\n" * 5000, lang, "web", 90_000) for i, lang in enumerate(["en", "de", "fr", "es"] * 8)]
+    tables = {"documents": (DOCUMENTS, rows), "labels": ("doc_id bigint, quality int, toxic int", [(i, 1, 0) for i in range(32)])}
+    assert differences(spark, "i19_training_export", folder=tmp_path, **tables) == ([], [])
