@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import config
@@ -22,8 +22,20 @@ def literal_array(values: Iterable[str]) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it many times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Evaluate ``value`` once per row and use it many times in ``body``.
+
+    ``element_at`` keeps the type of its result; ``get`` derives it anew for every row, through the whole of ``body``.
+    """
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
+
+
+def inline_rows(df: DataFrame, keep: Sequence[Column | str], items: Column | str, present: str) -> DataFrame:
+    """``keep`` and the fields of every struct of an array; ``present`` is a field that is never null.
+
+    For arrays that are costly to compute: of a plain ``inline`` Spark infers the filter that the array is not empty
+    and moves it below the exchange of ``session.spread``, where the array is computed once more, by one task.
+    """
+    return df.select(*keep, F.inline_outer(_c(items))).filter(F.col(present).isNotNull())
 
 
 def rows_array(names: Sequence[str], *rows: Sequence[Column | object]) -> Column:

@@ -81,3 +81,8 @@ def test_export_has_whole_texts(spark, tmp_path):
     rows = [(i, f"title {i}\n" + "word  and\tword\n\n\n" * 5000, lang, "web", 90_000) for i, lang in enumerate(["en", "de", "fr", "es"] * 8)]
     tables = {"documents": (DOCUMENTS, rows), "labels": ("doc_id bigint, quality int, toxic int", [(i, 1, 0) for i in range(32)])}
     assert differences(spark, "i19_training_export", folder=tmp_path, **tables) == ([], [])
+
+
+def test_parameter_lists_use_all_cores(spark):
+    df = registry.QUERIES["h12_parameter_list"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

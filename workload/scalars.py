@@ -118,7 +118,7 @@ UNION ALL SELECT p_partkey, 'CL=' || p_size || ';V/F=2', '1=0.25;2=0.5', '3,1=-0
 """)
 def parameter_list(spark, sf):
     values = F.concat(F.lit("Theta2 = 2, OMEGA 2=.5 theta1="), F.col("p_size").cast("string"), F.lit(" omega1 = 2.5e-1 omega1,3=-0.01 Sigma1=0.04"))
-    rows = Tables(spark, sf).part.select("p_partkey", P.parameters(values, equation_text()).alias("p"))
+    rows = Tables(spark, sf).spread("part").select("p_partkey", P.parameters(values, equation_text()).alias("p"))
     num = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
     join = lambda a, f: F.array_join(F.transform(a, f), ";")
     return rows.select(
