@@ -247,7 +247,8 @@ def semantic_claims(df: DataFrame, keys: Sequence[str], x: Column, analysed: Cal
         F.coalesce(F.flatten(F.transform(x["dosing"], dose_claims)), none),
         F.coalesce(F.flatten(F.transform(x["reproduction_targets"], target_claims)), none),
     )
-    rows = df.select(*keys, F.inline(everything)).withColumnRenamed("field", "path")
+    # outer for the reason that X.inline_rows gives; the row of an empty array has no value
+    rows = df.select(*keys, F.inline_outer(everything)).withColumnRenamed("field", "path")
     return rows.filter(has_value(F.col("text"), X.finite(F.col("number"))))
 
 
@@ -303,7 +304,7 @@ def parameter_rows(df: DataFrame, keys: Sequence[str], parameters: Column) -> Da
         F.coalesce(rows(kind, value), empty)
         for kind, value in (("theta", "typical"), ("omega", "value"), ("omega_covariance", "value"), ("sigma", "value"))
     ])
-    return df.select(*keys, F.inline(everything))
+    return X.inline_rows(df, keys, everything, "type")
 
 
 def token_f1(target: Column, prediction: Column) -> Column:

@@ -49,7 +49,7 @@ def compare_responses(responses: DataFrame, keys: list[str], text_col: str, visi
 
     def claims(side: str) -> DataFrame:
         rows = sides[side].filter(f"{side}_available")
-        return rows.select(*keys, F.inline(C.extraction_claims(F.col("extraction"), F.col("model_present"))))
+        return X.inline_rows(rows, keys, C.extraction_claims(F.col("extraction"), F.col("model_present")), "field")
 
     both = sides["text"].drop("model_present", "extraction").join(sides["vision"].drop("model_present", "extraction"), keys)
     compared = C.compare_lanes(claims("text"), claims("vision"), keys, tolerance)
@@ -156,6 +156,6 @@ def quote_check(quotes: Column, evidence: Column) -> Column:
 def compare_records(df: DataFrame, keys: list[str], text: Column, vision: Column, text_present: Column,
                     vision_present: Column, tolerance: float = config.CLAIM_TOLERANCE) -> DataFrame:
     """Claims of both lanes compared, for rows that carry both extraction structs."""
-    a = df.select(*keys, F.inline(C.extraction_claims(text, text_present)))
-    b = df.select(*keys, F.inline(C.extraction_claims(vision, vision_present)))
+    a = X.inline_rows(df, keys, C.extraction_claims(text, text_present), "field")
+    b = X.inline_rows(df, keys, C.extraction_claims(vision, vision_present), "field")
     return C.compare_lanes(a, b, keys, tolerance)

@@ -86,3 +86,16 @@ def test_export_has_whole_texts(spark, tmp_path):
 def test_parameter_lists_use_all_cores(spark):
     df = registry.QUERIES["h12_parameter_list"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_costly_arrays_are_made_once_behind_the_exchange(spark):
+    from claimloom.functions import text as X
+
+    items = F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.struct(i.alias("i")))
+    df = spark.range(4).repartition(3).select("id", F.when(F.col("id") > 0, items).alias("items"))
+    rows = X.inline_rows(df, ["id"], "items", "i")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Repartition"):]
+    plan = registry.QUERIES["c24_template_mapping"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Repartition"):]

@@ -303,7 +303,7 @@ SELECT field, text, count(*) AS n, round(sum(number), 2) AS total FROM r WHERE N
 """)
 def extraction_claim_unnest(spark, sf):
     e = semantics.as_struct(semantics.enrich(line_extractions(Tables(spark, sf))))
-    rows = e.select(*fx.LINE_KEYS, F.inline(claims.extraction_claims(F.col("extraction"), F.col("l_linestatus") == "F")))
+    rows = X.inline_rows(e, fx.LINE_KEYS, claims.extraction_claims(F.col("extraction"), F.col("l_linestatus") == "F"), "field")
     shown = ["model_present", "compound", "route", "covariates", "structural.description", "structural.canonical.input", "structural.implementation_status",
              "n_subjects", "structural.advan", "structural.trans"]
     kept = rows.filter(F.col("field").isin(shown) | F.startswith("field", F.lit("theta.")))
@@ -589,8 +589,8 @@ def template_mapping(spark, sf):
     theta = F.array(item(F.lit("ka x"), F.col("p_retailprice")), item(F.col("p_type"), F.when(size > 25, F.lit(-1.0)).otherwise(size)), item(F.lit(""), F.lit(None)),
                     item(F.lit("Q/F"), F.lit(3.0)), item(F.lit("S"), F.lit(4.5)))
     m = semantics.map_template(t.spread("part").withColumns({"theta": theta, "code": code}), F.col("theta"), F.col("code"), F.lit(None).cast("int"))
-    return m.select("p_partkey", "mapping.advan", "mapping.trans", F.size("mapping.unmapped").alias("n_unmapped"), "mapping.structure_inferred",
-                    F.inline("mapping.slots")).withColumn("value", fx.r6("value"))
+    kept = ["p_partkey", "mapping.advan", "mapping.trans", F.size("mapping.unmapped").alias("n_unmapped"), "mapping.structure_inferred"]
+    return X.inline_rows(m, kept, "mapping.slots", "position").withColumn("value", fx.r6("value"))
 
 
 @query("c25_interpolation", """
