@@ -21,7 +21,8 @@ def leaf_rows(df: DataFrame, keys: Sequence[str], json_col: str, levels: int = 8
     The leaf is split into plain columns here, once, so that the join moves no
     VARIANT and the comparison runs on primitive values.
     """
-    rows = J.with_leaves(df.select(*keys, F.col(json_col).alias("_json")), "_json", "_leaves", levels).select(*keys, F.inline("_leaves"))
+    rows = J.with_leaves(df.select(*keys, F.col(json_col).alias("_json")), "_json", "_leaves", levels)
+    rows = X.inline_rows(rows, keys, "_leaves", "pointer")
     kinds = rows.select(*keys, "pointer", "label", "node", J.kind_of(F.col("node")).alias("kind"))
     return kinds.select(
         *keys, "pointer", "label", "kind",

@@ -105,3 +105,9 @@ def test_status_ordering_spreads_equal_fields(spark):
     df = registry.QUERIES["f05_status_ordering"](spark, "/root/testdata/sf0.001")
     sort = next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in line)
     assert [sort.index(c) for c in ("status_rank", "field", "doc_id", "pointer")] == sorted(sort.index(c) for c in ("status_rank", "field", "doc_id", "pointer"))
+
+
+def test_leaves_are_made_once_behind_the_exchange(spark):
+    # of the leaves nothing may be computed below the exchange, only the depth test
+    plan = registry.QUERIES["h52_json_flatten"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "size(" not in "".join(p.split("\n", 1)[1] for p in plan.split("Generate ")[1:] for p in [p[p.index("Repartition"):]])

@@ -551,7 +551,8 @@ SELECT event_id, unnest(['/k', '/a~1b/list/0/x', '/a~1b/list/1', '/a~1b/list/2',
   unnest([k, '"' || event_type || '"', '[]', 'null', '{}', k]) AS value_json FROM e
 """)
 def json_flatten(spark, sf):
-    rows = J.with_leaves(Tables(spark, sf).spread("events").select("event_id", nested_json().alias("json")), "json", levels=3).select("event_id", F.inline("leaves"))
+    rows = J.with_leaves(Tables(spark, sf).spread("events").select("event_id", nested_json().alias("json")), "json", levels=3)
+    rows = X.inline_rows(rows, ["event_id"], "leaves", "pointer")
     return rows.select("event_id", "pointer", "label", F.to_json("node").alias("value_json"))
 
 
