@@ -72,6 +72,16 @@ def test_locators_of_top_chunks_have_no_cut_lines(spark, tmp_path):
     assert differences(spark, "f01_top_chunks", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])
 
 
+def test_windows_of_odd_texts(spark, tmp_path):
+    # headings, page marks, line ends of two characters, a vertical tab alone, over a thousand windows
+    texts = ["# Title\nPage 3\n" + "the word " * 300, "the las\r\n" * 300, "\x0b", " \t\r\n\f", "", None, "x" * 510_000 + " the der las les" * 200]
+    tables = {"documents": (DOCUMENTS, [(i, x, "fr", "web", 1) for i, x in enumerate(texts)])}
+    assert differences(spark, "f01_top_chunks", folder=tmp_path, **tables) == ([], [])
+    texts[-1] = "x" * 4_000_000
+    tables = {"documents": (DOCUMENTS, [(i, x, "fr", "web", 1) for i, x in enumerate(texts)])}
+    assert differences(spark, "e06_overlapping_windows", folder=tmp_path, **tables) == ([], [])
+
+
 def test_character_set_trims_what_its_sql_trims(spark, tmp_path):
     rows = [(1, "a, b ,\nb,\tc , ,a", "en", "web", 9), (2, " \n ,\n", "en", "web", 9), (3, "", "en", "web", 0)]
     assert differences(spark, "g09_character_set", folder=tmp_path, documents=(DOCUMENTS, rows)) == ([], [])

@@ -422,7 +422,7 @@ SELECT doc_id, CAST(idx AS INTEGER) AS idx, 'C' || lpad(CAST(idx AS VARCHAR), 3,
 def chunk_retrieval(spark, sf):
     t = Tables(spark, sf)
     c = chunks.retrieve_chunks(t.spread("documents"), "text", ["doc_id"], KEYWORDS, 3, 600, 100)
-    return c.select("doc_id", "idx", "chunk_id", "start", "end", fx.r6("score").alias("score"), F.md5("chunk_text").alias("chunk_md5"))
+    return c.select("doc_id", "idx", fx.window_id("idx").alias("chunk_id"), "start", "end", fx.r6("score").alias("score"), F.md5("chunk_text").alias("chunk_md5"))
 
 
 @query("c16_referential_integrity", """
