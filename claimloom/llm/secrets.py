@@ -13,11 +13,10 @@ it is reached: kinds that are nested by turns make a grid of layers, not a tree.
 Every character of a layer knows the stretch of the original text it came from,
 so a secret in an inner layer is reported at its place in the original.
 
-Compressed bytes are unpacked whole until a text has made WHOLE bytes of them.
-What is larger is unpacked in overlapping windows, each a layer of its own, of
-which one at a time is held.  Characters of compressed data all stand for the
-whole run, so a window finds what the whole would: any secret of up to OVERLAP
-bytes lies in one of them.
+Compressed bytes are unpacked whole, whatever their size.  All that comes of them
+stands for one stretch, so these layers are bytes without places: what a text has
+unpacked beyond WHOLE bytes lies in an unlinked temp file that is mapped instead of
+in memory, and both are read in the same way.  No result depends on where it lies.
 
 Only texts in which a cheap pattern finds anything are looked at one by one.
 """
@@ -28,9 +27,10 @@ import base64
 import bz2
 import hashlib
 import html
-import itertools
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -51,15 +51,16 @@ _either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in wo
 ASSIGN = re.compile(rf"""({_either})["']?\x20*[:=]\x20*["']?({VALUE})""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,30};")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})++")
+ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})++|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,30};")
 _ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 #: Shorter runs cannot hold the shortest secret.
 MIN_RUN = 18
 _B64, _LINE_END = "[A-Za-z0-9+/_-]", r"[\x20\t]*\r?\n[\x20\t]*"
-RUN = re.compile(rf"{_B64}+(?:{_LINE_END}{_B64}+)*")
+RUN = re.compile(rf"{_B64}+(?:{_LINE_END}{_B64}+)*+")
 _PACKED = re.compile(rb"\x28\xb5\x2f\xfd|\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.DOTALL)
-#: What one text may unpack to as whole layers; beyond that in windows of WINDOW bytes that overlap.
+#: What one text may hold unpacked in memory; the rest lies in files, and is read WINDOW bytes at a time where it is copied.
+#: Pieces of up to OVERLAP bytes are not counted, of which one is held at each depth.
 WHOLE, WINDOW, OVERLAP = 16 << 20, 1 << 20, 1 << 16
 #: Packed bytes that are fed at once: what one step unpacks to is held before its size is known.
 FEED = 256
@@ -67,6 +68,10 @@ FEED = 256
 #: For RE2: a superset of the texts in which anything can be found or unwrapped.
 CANDIDATE = rf"""(?:{_either})["']? *[:=]|AKIA[A-Z0-9]{{{MIN_ACCESS - 4}}}|[0-9a-f]{{{MIN_HEX}}}|%[0-9A-Fa-f][0-9A-Fa-f]|\\[uUx]|&#|&[A-Za-z]|(?:{_B64}(?:{_LINE_END})?){{{MIN_RUN}}}"""
 _CANDIDATE = re.compile(CANDIDATE)
+# The same for bytes: all patterns are ASCII, so bytes beyond it only separate, whatever they are decoded to.
+_ASSIGN, _ACCESS, _HEX, _PERCENT, _ESCAPES, _ESCAPED, _RUN, _HINT = (
+    re.compile(x.pattern.encode("ascii")) for x in (ASSIGN, ACCESS, HEX, PERCENT, ESCAPES, _ESCAPE, RUN, _CANDIDATE))
+_STANDARD = bytes.maketrans(b"-_", b"+/")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -180,57 +185,153 @@ def _opener(raw: memoryview):
 _FAULTS = (zlib.error, zstandard.ZstdError, lzma.LZMAError, OSError, EOFError)
 
 
-def _steps(raw: memoryview) -> Iterator[tuple[bytes, int]]:
-    """Pieces of the bytes inside packed data, and the packed bytes read so far."""
-    opened, at = _opener(raw), 0
-    while at < len(raw) and not opened.eof:
-        more = opened.decompress(raw[at: at + FEED])
-        at = min(at + FEED, len(raw))
-        yield more, at - len(opened.unused_data)
-
-
-def _unpacked(raw: memoryview, budget: int) -> tuple[bytes | None, int]:
-    """The bytes inside packed data, or None if they are more than ``budget``, and the packed bytes read; no bytes if there is a fault."""
-    got, size, taken = [], 0, 0
-    try:
-        for more, taken in _steps(raw):
-            got.append(more)
-            size += len(more)
-            if size > budget:
-                return None, 0
-    except _FAULTS:
-        return b"", 0
-    return b"".join(got), taken
-
-
-def _windows(raw: memoryview) -> Iterator[bytes]:
-    """The bytes inside packed data, up to its end or its first fault, as windows that overlap."""
-    held = b""
+class Room:
+    """Holds bytes in memory as long as there is room, then in files; counts the latter."""
+
+    def __init__(self, whole: int):
+        self.left, self.small, self.filed = whole, min(OVERLAP, whole // 256), 0
+
+    def held(self, pieces: Iterator[bytes]) -> bytes | mmap.mmap:
+        got, size, file = [], 0, None
+        for piece in pieces:
+            size += len(piece)
+            if file is None and size > max(self.left, self.small):
+                file = tempfile.TemporaryFile()
+                file.writelines(got)
+                got = []
+            (file.write if file else got.append)(piece)
+        if file is None:
+            self.left -= size if size > self.small else 0
+            return b"".join(got)
+        self.filed += 1
+        with file:
+            file.flush()
+            return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _steps(raw: memoryview, taken: list[int]) -> Iterator[bytes]:
+    """Pieces of the bytes inside packed data up to its end or its first fault; ``taken`` gets the packed bytes read, 0 after a fault."""
+    at = 0
     try:
-        for more, _ in _steps(raw):
-            held += more
-            while len(held) >= WINDOW:
-                yield held[:WINDOW]
-                held = held[WINDOW - OVERLAP:]
+        opened = _opener(raw)
+        while at < len(raw) and not opened.eof:
+            more = opened.decompress(raw[at: at + FEED])
+            at = min(at + FEED, len(raw))
+            taken[0] = at - len(opened.unused_data)
+            yield more
     except _FAULTS:
-        pass
-    yield held
+        taken[0] = 0
 
 
-def _members(raw: bytes, budget: int) -> Iterator[tuple[int, bytes | None]]:
-    """Place and content of every compressed member in the bytes; None for the content of one that is over the budget."""
+def _members(raw: bytes | mmap.mmap, room: Room) -> Iterator[tuple[int, bytes | mmap.mmap]]:
+    """Place and content of every compressed member in the bytes."""
     view, at = memoryview(raw), 0
     while m := _PACKED.search(raw, at):
         at = m.start() + 1
         if len(m.group()) == 1 and (raw[at - 1] << 8 | raw[at]) % 31:
             continue
-        more, taken = _unpacked(view[m.start():], budget)
-        if more is None:
-            yield m.start(), None
-        elif more:
+        taken = [0]
+        more = room.held(_steps(view[m.start():], taken))
+        if len(more):
             yield m.start(), more
-            budget -= len(more)
-            at = m.start() + max(taken, 1)
+            at = m.start() + max(taken[0], 1)
+
+
+def _pieces(raw: bytes | mmap.mmap, start: int, end: int) -> Iterator[bytes]:
+    for at in range(start, end, WINDOW):
+        yield raw[at: min(at + WINDOW, end)]
+
+
+def _percent_bytes(raw: bytes | mmap.mmap, start: int, end: int) -> Iterator[bytes]:
+    for at in range(start, end, 3 * WINDOW):
+        yield bytes.fromhex(raw[at: min(at + 3 * WINDOW, end)].replace(b"%", b"").decode("ascii"))
+
+
+def _escape_bytes(raw: bytes | mmap.mmap, start: int, end: int) -> Iterator[bytes]:
+    if raw[start: start + 1] == b"&":
+        got = _escapes(raw[start: end].decode("ascii"))
+        yield got[0].encode("utf-8", "surrogatepass") if got else raw[start: end]
+    elif any(int(m.group(1), 16) > 0x10FFFF for m in _ESCAPED.finditer(raw, start, end)):
+        yield from _pieces(raw, start, end)
+    else:
+        for m in _ESCAPED.finditer(raw, start, end):
+            yield chr(int(m.group(1), 16)).encode("utf-8", "surrogatepass")
+
+
+def _replaced_bytes(raw: bytes | mmap.mmap, pattern: re.Pattern, unwrap) -> Iterator[bytes]:
+    at = 0
+    for m in pattern.finditer(raw):
+        yield from _pieces(raw, at, m.start())
+        yield from unwrap(raw, *m.span())
+        at = m.end()
+    yield from _pieces(raw, at, len(raw))
+
+
+def _body(raw: bytes | mmap.mmap, start: int, end: int) -> Iterator[bytes]:
+    """A base64 run in the standard letters, without line ends and indents."""
+    for piece in _pieces(raw, start, end):
+        yield piece.translate(_STANDARD, b" \t\r\n")
+
+
+def _decoded(raw: bytes | mmap.mmap, start: int, end: int, offset: int) -> Iterator[bytes]:
+    """The bytes of a base64 run from its letter ``offset`` on."""
+    rest = b""
+    for piece in _body(raw, start, end):
+        skip = min(offset, len(piece))
+        rest, offset = rest + piece[skip:], offset - skip
+        n = len(rest) // 4 * 4
+        yield base64.b64decode(rest[:n])
+        rest = rest[n:]
+    if len(rest) > 1:
+        yield base64.b64decode(rest + b"=" * (4 - len(rest)))
+
+
+def _long_enough(raw: bytes | mmap.mmap, start: int, end: int) -> bool:
+    size = 0
+    for piece in _body(raw, start, end) if end - start >= MIN_RUN else ():
+        size += len(piece)
+        if size >= MIN_RUN:
+            return True
+    return False
+
+
+class Inside:
+    """Bytes that came of a compressed member, all of which stand for one stretch; ``packed`` if they may hold members and zero bytes."""
+
+    def __init__(self, raw: bytes | mmap.mmap, start: int, end: int, packed: bool, above: frozenset = frozenset()):
+        self.raw, self.start, self.end, self.packed = raw, start, end, packed
+        self.digest = hashlib.blake2b(raw, digest_size=16).digest()
+        self.known = (self.digest, packed) in above
+        self.above = above | {(self.digest, False), (self.digest, packed)}
+
+    def key(self) -> tuple:
+        return self.digest, self.start, self.end, self.packed
+
+    def inner(self, raw: bytes | mmap.mmap, packed: bool) -> Iterator[Inside]:
+        found = Inside(raw, self.start, self.end, packed, self.above)
+        if len(raw) and not found.known:
+            yield found
+
+    def spans(self) -> set[tuple[int, int, int]]:
+        found = (any(m.end(2) - m.start(2) >= MIN_VALUE for m in _ASSIGN.finditer(self.raw)),
+                 any(m.end() - m.start() >= MIN_ACCESS for m in _ACCESS.finditer(self.raw)), _HEX.search(self.raw))
+        return {(self.start, kind, self.end) for kind, hit in enumerate(found) if hit}
+
+    def layers(self, room: Room) -> Iterator[Inside]:
+        raw = self.raw
+        if _HINT.search(raw):
+            for pattern, unwrap in ((_PERCENT, _percent_bytes), (_ESCAPES, _escape_bytes)):
+                if pattern.search(raw):
+                    yield from self.inner(room.held(_replaced_bytes(raw, pattern, unwrap)), False)
+            for m in _RUN.finditer(raw):
+                if _long_enough(raw, *m.span()):
+                    for offset in range(4):
+                        yield from self.inner(room.held(_decoded(raw, *m.span(), offset)), True)
+        if self.packed:
+            if raw.find(b"\0") >= 0:
+                yield from self.inner(room.held(x.replace(b"\0", b"") for x in _pieces(raw, 0, len(raw))), False)
+            for _, more in _members(raw, room):
+                yield from self.inner(more, True)
 
 
 def _in_run(run: str) -> np.ndarray:
@@ -238,27 +339,40 @@ def _in_run(run: str) -> np.ndarray:
     return np.frombuffer(run.encode("ascii"), dtype=np.uint8) > 0x20
 
 
-def _of_run(layer: Layer, bytes_: bytes, start: int, end: int) -> Iterator[Layer]:
-    """Layers of bytes that all stand for one stretch of the original."""
-    for text, _, _ in _readings(bytes_):
-        if _CANDIDATE.search(text):
-            found = layer.inner(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)))
-            if found:
-                yield found
-
-
-def _in_windows(layer: Layer, raw: memoryview, start: int, end: int) -> Iterator[Layer]:
-    for window in _windows(raw):
-        yield from _of_run(layer, window, start, end)
+def _layers(layer: Layer, room: Room) -> Iterator[Layer | Inside]:
+    """What one step unwraps from a layer with places."""
+    for inner in (_replaced(layer, PERCENT, _percent), _replaced(layer, ESCAPES, _escapes)):
+        if inner:
+            yield inner
+    for m in RUN.finditer(layer.text):
+        if m.end() - m.start() < MIN_RUN:
+            continue
+        run = m.group()
+        places = np.flatnonzero(_in_run(run)) + m.start()
+        if len(places) < MIN_RUN:
+            continue
+        body = "".join(run.split()).replace("-", "+").replace("_", "/")
+        for offset in range(4):
+            n = (len(body) - offset) // 4 * 4 + (len(body) - offset) % 4 * ((len(body) - offset) % 4 > 1)
+            raw = base64.b64decode(body[offset: offset + n] + "=" * (-n % 4))
+            where = places[offset: offset + n]
+            for text_in, first, behind in _readings(raw):
+                if _CANDIDATE.search(text_in):
+                    inner = layer.inner(text_in, layer.start[where[first * 4 // 3]], layer.end[where[-(-behind * 4 // 3) - 1]])
+                    if inner:
+                        yield inner
+            for at, more in _members(raw, room):
+                yield Inside(more, int(layer.start[where[at * 4 // 3]]), int(layer.end[where[-1]]), True)
 
 
 def scan(text: str, whole: int = WHOLE) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans, layers looked at, and compressed members that were looked at in windows."""
+    """Base spans, all spans, layers looked at, and pieces that were held in files; only the last depends on ``whole``."""
     base = base_spans(text)
     place = np.arange(len(text) + 1)
-    # A stack of iterators: windows are made when their turn comes.
-    work: list[Iterator[Layer]] = [iter([Layer(text, place[:-1], place[1:])])]
-    every, seen, layers, windowed, budget = set(base), set(), 0, 0, whole
+    room = Room(whole)
+    # A stack of iterators: layers are made when their turn comes.
+    work: list[Iterator[Layer | Inside]] = [iter([Layer(text, place[:-1], place[1:])])]
+    every, seen, layers = set(base), set(), 0
     while work:
         layer = next(work[-1], None)
         if layer is None:
@@ -269,42 +383,14 @@ def scan(text: str, whole: int = WHOLE) -> tuple[list[tuple[int, int, int]], lis
             continue
         seen.add(key)
         layers += 1
+        if isinstance(layer, Inside):
+            every |= layer.spans()
+            work.append(layer.layers(room))
+            continue
         if layers > 1:
             every |= {(int(layer.start[s]), kind, int(layer.end[e - 1])) for s, kind, e in base_spans(layer.text)}
-        inner = [_replaced(layer, PERCENT, _percent), _replaced(layer, ESCAPES, _escapes)]
-        later: list[Iterator[Layer]] = []
-        for m in RUN.finditer(layer.text):
-            if m.end() - m.start() < MIN_RUN:
-                continue
-            run = m.group()
-            places = np.flatnonzero(_in_run(run)) + m.start()
-            if len(places) < MIN_RUN:
-                continue
-            body = "".join(run.split()).replace("-", "+").replace("_", "/")
-            for offset in range(4):
-                n = (len(body) - offset) // 4 * 4 + (len(body) - offset) % 4 * ((len(body) - offset) % 4 > 1)
-                raw = base64.b64decode(body[offset: offset + n] + "=" * (-n % 4))
-                where = places[offset: offset + n]
-                for text_in, first, behind in _readings(raw):
-                    if _CANDIDATE.search(text_in):
-                        inner.append(layer.inner(text_in, layer.start[where[first * 4 // 3]], layer.end[where[-(-behind * 4 // 3) - 1]]))
-                packed = [(raw, None, frozenset())]
-                while packed:
-                    raw, begin, above = packed.pop()
-                    for at, more in _members(raw, budget):
-                        start, end = int(layer.start[where[at * 4 // 3]]) if begin is None else begin, int(layer.end[where[-1]])
-                        if more is None:
-                            windowed += 1
-                            later.append(_in_windows(layer, memoryview(raw)[at:], start, end))
-                            continue
-                        digest = hashlib.blake2b(more, digest_size=16).digest()
-                        if digest in above:
-                            continue
-                        budget -= len(more)
-                        packed.append((more, start, above | {digest}))
-                        inner += _of_run(layer, more, start, end)
-        work.append(itertools.chain([x for x in inner if x is not None], *later))
-    return base, sorted(every), layers, windowed
+        work.append(_layers(layer, room))
+    return base, sorted(every), layers, room.filed
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
