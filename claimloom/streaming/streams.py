@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
@@ -74,7 +75,8 @@ def progress_state(events: DataFrame) -> DataFrame:
                        F.col("s.status").alias("status"))
 
 
-def live_progress(events: DataFrame, delay: str = "1 day", idle: timedelta = timedelta(days=7), linger: timedelta = timedelta(hours=1)) -> DataFrame:
+def live_progress(events: DataFrame, delay: str = "1 day", idle: timedelta = timedelta(days=7), linger: timedelta = timedelta(hours=1),
+                  buckets: int = 1024) -> DataFrame:
     """The latest state per (job, channel) as a stream of changes whose state leaves again.
 
     events: (job, channel, ts timestamp, seq, value, status).  A channel's state goes
@@ -84,36 +86,48 @@ def live_progress(events: DataFrame, delay: str = "1 day", idle: timedelta = tim
     comes out is never older than one before.  Values as in :func:`progress_state`;
     of one time the greatest ``seq`` counts.  A batch gives one row for each channel
     that changed.
+
+    A call of Python and its state cost far more than a row, so a state row holds the
+    channels of one of ``buckets`` hashes, as JSON; each channel leaves by itself.
     """
-    # Times travel as microseconds, which no session time zone shifts.
-    slim = events.select("job", "channel", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"),
-                         clip01(F.coalesce(finite(F.col("value")), F.lit(0.0))).alias("value"), F.col("status").cast("string").alias("status"))
-    types = {f.name: f.dataType.simpleString() for f in slim.schema}
-    columns = ["at", "seq", "value", "status"]
+    # Times travel as microseconds, which no session time zone shifts; a row without a time says nothing.
+    slim = events.filter(F.col("ts").isNotNull()).select(
+        F.pmod(F.xxhash64("job", "channel"), F.lit(buckets)).alias("bucket"), F.col("job").cast("string").alias("job"), F.col("channel").cast("string").alias("channel"),
+        "ts", F.unix_micros("ts").alias("at"), F.col("seq").isNotNull().alias("known"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"),
+        clip01(F.coalesce(finite(F.col("value")), F.lit(0.0))).alias("value"), F.col("status").cast("string").alias("status"))
+    columns, order = ["job", "channel", "at", "seq", "value", "status"], ["at", "known", "seq"]
     terminal, waits = frozenset(config.TERMINAL_PROGRESS), (int(idle.total_seconds() * 1000), int(linger.total_seconds() * 1000))
 
+    def rank(row: tuple) -> tuple:
+        return row[0], row[1] is not None, row[1] or 0
+
+    def until(row: tuple) -> int:
+        return row[0] // 1000 + waits[row[3] in terminal]
+
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {(r[0], r[1]): tuple(r[2:]) for r in json.loads(state.get[0])} if state.exists else {}
+        now, touched, changed = state.getCurrentWatermarkMs(), set(), {}
+        for part in () if state.hasTimedOut else parts:
+            newest = part.sort_values(order).drop_duplicates(["job", "channel"], keep="last")
+            texts = [[x if isinstance(x, str) else None for x in newest[c]] for c in ("job", "channel", "status")]
+            for job, channel, status, at, known, seq, value in zip(*texts, *(newest[c].tolist() for c in (*order, "value"))):
+                name, row = (job, channel), (at, seq if known else None, value, status)
+                touched.add(name)
+                if name not in held or rank(row) > rank(held[name]):
+                    held[name] = changed[name] = row
+        held = {name: row for name, row in held.items() if name in touched or until(row) >= now}
+        if held:
+            state.update((json.dumps([[*name, *row] for name, row in held.items()]),))
+            state.setTimeoutTimestamp(max(min(map(until, held.values())), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        before = last = state.get if state.exists else None
-        for part in parts:
-            part = part[part["at"].notna()]
-            if len(part):
-                top = part.sort_values(["at", "seq"], na_position="first").iloc[-1]
-                found = (int(top["at"]), None if pd.isna(top["seq"]) else int(top["seq"]), float(top["value"]), top["status"])
-                order = lambda r: (r[0], r[1] is not None, r[1] or 0)
-                last = found if last is None or order(found) > order(last) else last
-        if last is None:
-            return
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[0] // 1000 + waits[last[3] in terminal], state.getCurrentWatermarkMs() + 1))
-        if last != before:
-            yield pd.DataFrame([dict(zip(["job", "channel", *columns], (*key, *last)))]).astype({"seq": "Int64"})
-
-    changes = slim.withWatermark("ts", delay).groupBy("job", "channel").applyInPandasWithState(
-        fold, ", ".join(f"{c} {types[c]}" for c in ["job", "channel", *columns]), "at long, seq long, value double, status string", "update", "EventTimeTimeout")
-    return changes.select("job", "channel", F.timestamp_micros("at").alias("ts"), *columns[1:])
+        if changed:
+            yield pd.DataFrame([(*name, *row) for name, row in changed.items()], columns=columns).astype({"seq": "Int64"})
+
+    changes = slim.withWatermark("ts", delay).groupBy("bucket").applyInPandasWithState(
+        fold, "job string, channel string, at long, seq long, value double, status string", "channels string", "update", "EventTimeTimeout")
+    types = {c: events.schema[c].dataType for c in ("job", "channel")}
+    return changes.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()], F.timestamp_micros("at").alias("ts"), *columns[3:])
 
 
 def close_running(states: DataFrame) -> DataFrame:

@@ -63,6 +63,15 @@ def test_progress_leaves_the_state_after_its_end(spark):
     assert max(state) >= 3 and state[-1] == 2
 
 
+def test_channels_of_one_state_row_leave_by_themselves(spark):
+    rows = [[(j, "batch", 0, j, 0.25, "done" if j % 2 else "running") for j in range(40)], [(50, "batch", 30, 99, 0.5, "running")], [(2, "batch", 31, 100, 0.75, "running"), (50, "batch", 30, 7, 0.1, "done")],
+            [(51, "batch", 400, 101, 0.1, "running")]]
+    source = _hourly(spark, rows, "job long, channel string, h int, seq int, value double, status string")
+    batches, state = _drained(streams.live_progress(source, "2 hours", buckets=1), "update")
+    assert [sorted((r[0], r[4]) for r in x) for x in batches if x] == [[(j, 0.25) for j in range(40)], [(50, 0.5)], [(2, 0.75)], [(51, 0.1)]]
+    assert max(state) == 1 and type(batches[0][0][0]) is int
+
+
 def test_closed_sessions_leave_the_state(spark):
     source = _hourly(spark, [[("u", 0, 1.0), ("u", 1, 1.0), ("v", 0, 5.0)], [("u", 30, 1.0)], [("u", 60, 1.0)]], "user string, h int, value double")
     batches, state = _drained(streams.sessions(source, "user", delay="3 hours"), "append")
