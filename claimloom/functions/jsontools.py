@@ -304,7 +304,7 @@ PROBABILITY_KEY = r"^(?:confidence|recoverability|coverage)$|(?:^|_)(?:confidenc
 def normalise_probabilities(df, json_col: str, error: str = "error", levels: int = 8):
     """Percentages under confidence, recoverability, coverage and *_probability keys, at any depth, become 0..1.
 
-    Documents with nothing to change keep their text and never reach Python.
+    Documents with nothing to change keep their text; Python sees only nulls of them.
     A number outside 0-1 and 0-100% is reported in ``error``.
     """
     def changed(leaf: Column) -> Column:
@@ -321,12 +321,11 @@ def normalise_probabilities(df, json_col: str, error: str = "error", levels: int
     wrong = F.get(F.filter("_p", lambda p: ~p["value"].between(0, 1)), F.lit(0))["pointer"]
     marked = marked.withColumn(error, F.when(wrong.isNotNull(), F.concat(F.lit("invalid probability at "), wrong)))
     fixes = F.filter("_p", lambda p: p["new"])
-    todo = F.col(error).isNull() & (F.size(fixes) > 0)
-    kept = marked.filter(~todo)
-    fixed = marked.filter(todo).withColumn(json_col, pointer_set_all(
-        F.col(json_col), F.transform(fixes, lambda p: p["pointer"]), F.transform(fixes, lambda p: p["value"].cast("string"))
-    ))
-    return kept.unionByName(fixed).drop("_p")
+    # No filter on what the leaves say: Spark would move it below the exchange that spreads a small file and find the leaves twice.
+    marked = marked.withColumn("_fixes", F.when(F.col(error).isNull() & (F.size(fixes) > 0), fixes)).drop("_p")
+    todo = F.col("_fixes").isNotNull()
+    fixed = pointer_set_all(F.when(todo, F.col(json_col)), F.transform("_fixes", lambda p: p["pointer"]), F.transform("_fixes", lambda p: p["value"].cast("string")))
+    return marked.withColumn(json_col, F.when(todo, fixed).otherwise(F.col(json_col))).drop("_fixes")
 
 
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```\s*$", re.IGNORECASE)

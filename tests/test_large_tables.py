@@ -121,3 +121,10 @@ def test_leaves_are_made_once_behind_the_exchange(spark):
     # of the leaves nothing may be computed below the exchange, only the depth test
     plan = registry.QUERIES["h52_json_flatten"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate inline" in plan and "size(" not in "".join(p.split("\n", 1)[1] for p in plan.split("Generate ")[1:] for p in [p[p.index("Repartition"):]])
+
+
+def test_probabilities_are_found_once_behind_the_exchange(spark):
+    # one scan for flat documents and one for deep ones, and no leaf below their exchange
+    plan = registry.QUERIES["h42_probability_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    assert all("lambda" not in part[:part.index("Relation [")] for part in plan.split("Repartition")[1:])
