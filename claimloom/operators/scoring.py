@@ -197,9 +197,16 @@ def reusable_articles(envelopes: DataFrame, sources: DataFrame, task: str, mode:
     made = envelopes.filter(
         (F.col("task") == task) & (F.col("mode") == mode) & (F.col("endpoint") == endpoint)
         & (F.col("status") == "complete")
-    ).select("record_id", F.col("source_sha256").alias("_sha"))
-    joined = sources.join(made, "record_id", "left")
-    same = F.coalesce(F.coalesce("_sha", F.lit("?")) == F.coalesce("source_sha256", F.lit("")), F.lit(False))
+    )
+
+    def packed(sha: Column) -> Column:
+        # Half the bytes to shuffle of a hash in hex; anything else as it is. The first byte tells which.
+        return F.when(sha.rlike(r"\A[0-9a-f]{64}\z"), F.concat(F.lit(b"\0"), F.unhex(sha))).otherwise(F.concat(F.lit(b"\1"), F.encode(sha, "UTF-8")))
+
+    unknown = F.lit(b"\1?")
+    made = made.select("record_id", packed(F.coalesce("source_sha256", F.lit("?"))).alias("_sha"))
+    joined = sources.select("article_id", "record_id", packed(F.coalesce("source_sha256", F.lit(""))).alias("_own")).join(made, "record_id", "left")
+    same = F.coalesce("_sha", unknown) == F.col("_own")
     return joined.groupBy("article_id").agg(
         F.count("*").alias("n_records"), F.bool_and(same).alias("reusable")
     )

@@ -87,10 +87,18 @@ def plan_run(records: DataFrame, envelopes: DataFrame, articles: DataFrame, task
 
 
 def run(plan: DataFrame, responder: Responder) -> DataFrame:
-    """Envelopes for the open work items; the responder maps a table to (record_id, prediction, error)."""
+    """Envelopes for the open work items; the responder maps a table to (record_id, prediction, error).
+
+    Answers that have the work items' columns too must hold every item, and are taken as they
+    are; others are joined to the items, for which the plan runs a second time.
+    """
     work = plan.filter(~F.col("reusable"))
-    answers = responder(work).select("record_id", "prediction", "error")
-    return work.join(answers, "record_id", "left").withColumn(
+    answers = responder(work)
+    if set(work.columns) <= set(answers.columns):
+        answered = answers.select(*work.columns, "prediction", "error")
+    else:
+        answered = work.join(answers.select("record_id", "prediction", "error"), "record_id", "left")
+    return answered.withColumn(
         "status", F.when(F.col("error").isNull() & F.col("prediction").isNotNull(), F.lit("complete")).otherwise(F.lit("error"))
     )
 

@@ -128,3 +128,27 @@ def test_probabilities_are_found_once_behind_the_exchange(spark):
     plan = registry.QUERIES["h42_probability_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2
     assert all("lambda" not in part[:part.index("Relation [")] for part in plan.split("Repartition")[1:])
+
+
+def test_reuse_compares_hashes_of_any_kind(spark):
+    from claimloom.operators import scoring
+
+    a, b = "ab" * 32, "cd" * 32
+    pairs = [(a, a), (a, b), (a, a.upper()), (a.upper(), a.upper()), ("x", "x"), (None, None), ("", None), (None, ""), ("?", None), ("?", "-"), ("é" * 16, "é" * 16), (a + "\n", a)]
+    sources = spark.createDataFrame([(str(i), str(i), s) for i, (s, _) in enumerate(pairs)], "article_id string, record_id string, source_sha256 string")
+    made = spark.createDataFrame([(str(i), "t", "m", "e", "complete", e) for i, (_, e) in enumerate(pairs) if e != "-"], "record_id string, task string, mode string, endpoint string, status string, source_sha256 string")
+    got = {int(r["article_id"]): r["reusable"] for r in scoring.reusable_articles(made, sources, "t", "m", "e").collect()}
+    assert got == {i: (s or "") == ("?" if e in (None, "-") else e) for i, (s, e) in enumerate(pairs)}
+    plan = scoring.reusable_articles(made, sources, "t", "m", "e")._jdf.queryExecution().optimizedPlan().toString()
+    assert "source_sha256" not in "".join(line for line in plan.splitlines() if "Join" in line or "Aggregate" in line)
+
+
+def test_answers_that_hold_their_items_are_not_joined_again(spark):
+    from claimloom.plans import jobs, plugins
+
+    plan = spark.createDataFrame([("r1", "t", False), ("r2", "t", False), ("r3", "t", True)], "record_id string, title string, reusable boolean")
+    answers = spark.createDataFrame([("r1", "{}", None), ("r2", None, "timeout"), ("r9", "{}", None)], "record_id string, prediction string, error string")
+    stored = jobs.run(plan, plugins.stored_responder(answers, "record_id"))
+    apart = jobs.run(plan, lambda work: answers.filter("record_id = 'r1'"))
+    assert {(r["record_id"], r["title"], r["status"]) for r in stored.collect()} == {("r1", "t", "complete"), ("r2", "t", "error")} == {(r["record_id"], r["title"], r["status"]) for r in apart.collect()}
+    assert stored._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 < apart._jdf.queryExecution().optimizedPlan().toString().count("Join") + 1
