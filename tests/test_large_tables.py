@@ -152,3 +152,10 @@ def test_answers_that_hold_their_items_are_not_joined_again(spark):
     apart = jobs.run(plan, lambda work: answers.filter("record_id = 'r1'"))
     assert {(r["record_id"], r["title"], r["status"]) for r in stored.collect()} == {("r1", "t", "complete"), ("r2", "t", "error")} == {(r["record_id"], r["title"], r["status"]) for r in apart.collect()}
     assert stored._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 < apart._jdf.queryExecution().optimizedPlan().toString().count("Join") + 1
+
+
+def test_article_files_do_not_follow_the_splits_of_the_scan(spark, tmp_path):
+    rows = [(i, f"title {i}\ntext", "en", "web", 9) for i in range(4500)]
+    spark.createDataFrame(rows, DOCUMENTS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["a16_article_xml"](spark, str(tmp_path))
+    assert df.count() == 4500 and len(df.inputFiles()) == 3

@@ -325,8 +325,9 @@ def article_xml(spark, sf):
         F.struct(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("_VALUE"), F.lit("pmc").alias("_IdType")),
     ).alias("ArticleId")).alias("ArticleIdList"))
     path = scratch_path(spark, "articles")
+    # an XML file is read whole by one task, so its size must not follow the size of the scan's splits
     a.select(citation.alias("MedlineCitation"), ids.alias("PubmedData")).write.format("xml").option("rowTag", "PubmedArticle").option(
-        "rootTag", "PubmedArticleSet").save(path)
+        "rootTag", "PubmedArticleSet").option("maxRecordsPerFile", 2000).save(path)
     x = readers.article_xml(spark, path)
     return x.select("pmid", F.trim("title").alias("title"), F.md5(F.trim("abstract")).alias("abstract_md5"), "journal", "year", "doi", "pmcid",
                     F.array_join("authors", "|").alias("authors"))
