@@ -159,3 +159,10 @@ def test_article_files_do_not_follow_the_splits_of_the_scan(spark, tmp_path):
     spark.createDataFrame(rows, DOCUMENTS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     df = registry.QUERIES["a16_article_xml"](spark, str(tmp_path))
     assert df.count() == 4500 and len(df.inputFiles()) == 3
+
+
+def test_scalar_fields_of_small_order_files_use_all_cores(spark):
+    from workload import joins
+
+    for side in joins.score_tables(registry.Tables(spark, "/root/testdata/sf0.001")):
+        assert side["scalar"].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

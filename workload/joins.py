@@ -111,7 +111,7 @@ def score_tables(t: Tables):
             F.when(F.col("type") != "theta", F.col("l_quantity") * (1 + F.col("l_tax"))).alias("number")),
     }
     none = F.lit(None)
-    o = t.orders
+    o = t.spread("orders")
     fields = lambda a, b, c, d: X.rows_array(["path", "text", "number"], ["compound", a, none.cast("double")], ["route", b, none.cast("double")], ["n_subjects", none.cast("string"), c], ["population", d, none.cast("double")])
     truth["scalar"] = o.select(F.col("o_orderkey").alias("doc_id"), F.inline(fields(F.lit("Carbamazepine"), F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderpriority"))))
     proposed["scalar"] = o.select(
