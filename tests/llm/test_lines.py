@@ -98,3 +98,28 @@ def test_sketch_is_the_parity_of_the_set(spark):
         for h in sets[row["line_id"]]:
             want[h >> 6 & lines.SKETCH_WORDS - 1] ^= 1 << (h & 63)
         assert row["n"] == len(sets[row["line_id"]]) and [row[f"s{i}"] % (1 << 64) for i in range(lines.SKETCH_WORDS)] == want
+
+
+def test_sketch_refuses_long_lines_that_cannot_link(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for k in range(0, 40, 2):
+        both, ends = "".join(rng.choices(letters, k=742)), ["".join(rng.choices(letters, k=158)) for _ in range(2)]
+        rows += [(k + i, both + end) for i, end in enumerate(ends)]
+    got = {r["line_id"]: r for r in lines._sketched(docs(spark, rows).selectExpr("doc_id AS line_id", "text AS line")).collect()}
+    for k in range(0, 40, 2):
+        x, y = got[k], got[k + 1]
+        differ = sum(((x[f"s{i}"] ^ y[f"s{i}"]) % (1 << 64)).bit_count() for i in range(lines.SKETCH_WORDS))
+        assert differ * (1 + lines.THRESHOLD) > (x["n"] + y["n"]) * (1 - lines.THRESHOLD)
+
+
+def test_shingles_are_windows_of_characters(spark):
+    kinds = ["abcdefg", "abcdefgh", "abcdefghi", "é" * 9, "\U0001F600ab\u4e2dcdefgh", "x" * 30]
+    want = {x: {x[k:k + 8] for k in range(len(x) - 7)} if len(x) >= 8 else {x} for x in kinds}
+    frame = docs(spark, list(enumerate(kinds)))
+    cut = frame.selectExpr("text", "xxhash64(encode(text, 'UTF-32')) AS whole").collect()
+    got = {r["text"]: r["s"] for r in frame.select("text", lines.shingle_set(frame["text"]).alias("s")).collect()}
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(got[r["text"]] == [r["whole"]] for r in cut if len(r["text"]) <= 8)
+    assert len(set(got["abcdefgh"]) & set(got["abcdefghi"])) == 1
