@@ -60,12 +60,18 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
     """(key, target, background) summed over all rows (text, is_target); ``keys_of`` gives a run's keys and rows."""
 
     def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of each key; the parts are let go, and the columns are summed one after the other, for the room they take."""
         keys = np.concatenate([k for k, _ in parts])
         counts = np.concatenate([c for _, c in parts])
+        parts.clear()
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+        sums = np.zeros((len(first), 2), dtype=np.int64)
+        if len(first):
+            for c in range(2):
+                sums[:, c] = np.add.reduceat(counts[:, c][order], first)
+        return keys[first], sums
 
     def handed(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 1 << 18):
@@ -85,7 +91,7 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
                 every = np.bincount(inverse, minlength=len(kinds))
                 held.append((kinds, np.stack([target, every - target], axis=1)))
                 size += len(kinds)
-                if size > 2 * total + (1 << 20):
+                if size > total + total // 2 + (1 << 20):
                     held = [merged(held)]
                     size = total = len(held[0][0])
                     if total > HELD:
@@ -109,6 +115,15 @@ def _rows(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def _sorted_in_rows(codes: np.ndarray, row: np.ndarray, bound: int) -> np.ndarray:
+    """The codes (under ``bound``) in ascending order inside each row; the rows do not descend."""
+    if len(codes) and (int(row[-1]) + 1) * bound < 1 << 63:
+        keys = row * bound + codes
+        keys.sort()
+        return keys % bound
+    return codes[np.lexsort((codes, row))]
+
+
 def _least(counted: DataFrame, most: int) -> int:
     """The smallest c for which at most ``most`` rows have at least c occurrences.
 
@@ -148,8 +163,10 @@ class Models:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
             return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
+        # Each word is looked up once a run: sorted look-ups stay in the cache, those in text order do not.
+        kinds, inverse = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.vocabulary, kinds), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == kinds, at, len(self.vocabulary))[inverse]
 
     def codes(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word number and bigram code (context, word) of every token."""
@@ -227,7 +244,7 @@ def score(docs: DataFrame, models: Models, doc: str = "doc_id", text: str = "tex
                 loss, codes, open_ = known.losses(hashes, first)
                 sums = [np.bincount(row, weights=loss[:, c], minlength=n).astype(np.float64) for c in range(2)]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[open_], minlength=n))]).astype(np.int32)
-                listed = codes[open_][np.lexsort((codes[open_], row[open_]))]  # sorted numbers take less room
+                listed = _sorted_in_rows(codes[open_], row[open_], (len(known.vocabulary) + 2) ** 2)  # sorted numbers take less room
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(np.diff(first).astype(np.int64)), *[pa.array(x) for x in sums],
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(listed))], names=[*batch.schema.names[:2], "n_tokens", "target_sum", "background_sum", "codes"])

@@ -100,6 +100,29 @@ def test_scores_without_target_or_rows(spark):
     assert lmscore.cross_entropy_difference(docs(spark, []), F.lit(True)).count() == 0
 
 
+def test_words_are_looked_up_once_a_run(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    hashes = np.concatenate([rng.choice(vocabulary, 5000), rng.integers(0, 1 << 63, 40, dtype=np.uint64)])
+    rng.shuffle(hashes)
+    models = lmscore.Models(vocabulary, np.ones((len(vocabulary) + 2, 2), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64))
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(lmscore.np, "searchsorted", lambda a, v, *rest: looked.append(len(v)) or search(a, v, *rest))
+    places = {int(h): k for k, h in enumerate(vocabulary)}
+    assert models.numbers(hashes).tolist() == [places.get(int(h), len(vocabulary)) for h in hashes]
+    assert sum(looked) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize("bound", [1 << 20, (1 << 63) - 1])
+def test_codes_are_sorted_in_their_rows(bound):
+    rng = np.random.default_rng(6)
+    row = np.sort(rng.integers(0, 50, 2000))
+    codes = rng.integers(0, bound, 2000)
+    got = lmscore._sorted_in_rows(codes, row, bound)
+    assert got.tolist() == [c for _, c in sorted(zip(row.tolist(), codes.tolist()))]
+    assert not len(lmscore._sorted_in_rows(codes[:0], row[:0], bound))
+
+
 def test_word_hashes_follow_the_words():
     texts = ["One two ONE", None, "", "é É é", "x" * 70000 + " tail", "tail"]
     got = []
