@@ -61,9 +61,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives lost executors)."""
+    """Reliable checkpoint (written to the shared folder, survives lost executors), sized by the files it was written to.
+
+    Spark's own size of a join is the product of its sides' sizes, and a checkpoint hands it on: in a loop of joins its
+    digits multiply each round, until the driver's memory and time go into them.  After an explode it is too low
+    instead, and a table that is too large for it is broadcast.
+    """
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _sized(df.checkpoint(eager=True))
+
+
+def _sized(kept: DataFrame) -> DataFrame:
+    """A checkpoint's rows, partitions and order; as its size the planner sees eight times the length of its files."""
+    spark, plan = kept.sparkSession, kept._jdf.logicalPlan()
+    # The plan of a scan has the length of the files as its size; nothing is read.  They are compressed, the rows of a broadcast are not.
+    scan = spark.read.text(plan.rdd().getCheckpointFile().get())
+    for _ in range(3):
+        scan = scan.unionAll(scan)
+    stats, some, none = scan._jdf.logicalPlan().stats(), spark._jvm.scala.Option.apply, spark._jvm.scala.Option.empty()
+    # Of no rows the size is left open: a join with them would seem empty, whatever its other side.
+    sized = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
+                      spark._jsparkSession, some(stats) if stats.sizeInBytes() else none, some(plan.constraints()))
+    return type(kept)(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
 
 
 def spread(scan: DataFrame) -> DataFrame:
