@@ -2,7 +2,7 @@
 
 * Shingles are the CHARS-character windows of a line (a shorter line is one).
 * A line's signature is 16 minima of its shingle hashes, each under another
-  constant that is xored in; hashing and minima stay in one generated stage, eight
+  constant that is xored in; hashing and minima stay in one generated stage, twelve
   shingles a row.
 * Bands are the lines of the affine plane over the 16 minima as a 4 x 4 grid: any
   four minima on a grid line make a band key.  With three directions there are 12
@@ -33,7 +33,7 @@ from claimloom.session import cut_lineage, scratch_path
 CHARS = 8
 THRESHOLD = 0.8
 #: Shingles a row, and bytes a character.
-STEP, WIDTH = 8, 4
+STEP, WIDTH = 12, 4
 #: Bits of the table that marks the members of bands' groups: 2 MB whatever their number.
 SLOT_BITS = 24
 #: 1,024 bits: with half of them, lines of 900 characters at Jaccard 0.70 are not refused.
@@ -93,8 +93,11 @@ def groups(distinct: DataFrame) -> DataFrame:
     """(key, line_id, head, before, size) of every line in a band's group of two or more: the group's smallest line and the preceding one."""
     keys = [F.xxhash64(F.lit(i), *[f"m{j}" for j in band]) for i, band in enumerate(bands())]
     keyed = distinct.select("line_id", F.explode(F.array(*keys)).alias("key"))
-    return keyed.select("key", "line_id", F.expr("min(line_id) OVER (PARTITION BY key ORDER BY line_id)").alias("head"),
-                        F.expr("lag(line_id) OVER (PARTITION BY key ORDER BY line_id)").alias("before"), F.expr("count(*) OVER (PARTITION BY key)").alias("size")).where("size > 1")
+    # One order for all three, so that the rows go through one window.
+    order = "PARTITION BY key ORDER BY line_id"
+    whole = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return keyed.select("key", "line_id", F.expr(f"min(line_id) OVER ({whole})").alias("head"), F.expr(f"lag(line_id) OVER ({order})").alias("before"),
+                        F.expr(f"count(*) OVER ({whole})").alias("size")).where("size > 1")
 
 
 def candidates(grouped: DataFrame) -> DataFrame:
@@ -113,20 +116,25 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
 
 def other_candidates(grouped: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a group that lie in different components and may link; of up to three lines all pairs were tested."""
+    """Pairs (a, b) of a group that lie in different components and may link; of up to three lines all pairs were tested.
+
+    A pair that shares several groups leaves the join once, from the group with the smallest key.
+    """
     large = grouped.where("size > 3").select("key", "line_id")
     rooted = large.join(roots, large["line_id"] == roots["node"], "left").select("key", "line_id", F.coalesce("root", "line_id").alias("root"))
     rooted = cut_lineage(rooted)
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     several = cut_lineage(rooted.join(several, "key", "left_semi"))
-    sketches = _sketched(texts.join(several.select("line_id").distinct(), "line_id", "left_semi"))
+    shared = several.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
+    sketches = _sketched(texts.join(shared, "line_id", "left_semi")).join(shared, "line_id")
     open_groups = cut_lineage(several.join(sketches, "line_id"))
     x, y = open_groups.alias("x"), open_groups.alias("y")
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
     n, m = F.col("x.n"), F.col("y.n")
     may_link = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (differ * (1 + threshold) <= (n + m) * (1 - threshold) + 1e-6)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.line_id") < F.col("y.line_id")) & (F.col("x.root") != F.col("y.root")) & may_link).select(
-        F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
+    here = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.line_id") < F.col("y.line_id")) & (F.col("x.root") != F.col("y.root")) & may_link & here).select(
+        F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

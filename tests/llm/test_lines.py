@@ -123,3 +123,23 @@ def test_shingles_are_windows_of_characters(spark):
     assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     assert all(got[r["text"]] == [r["whole"]] for r in cut if len(r["text"]) <= 8)
     assert len(set(got["abcdefgh"]) & set(got["abcdefghi"])) == 1
+
+
+def test_pairs_of_several_groups_leave_the_join_once(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120))
+    kinds = sorted({base[:k] + rng.choice("0123456789") + base[k + 1:] for k in range(0, 120, 2)})
+    texts = docs(spark, list(enumerate(kinds))).selectExpr("xxhash64(text) AS line_id", "text AS line")
+    grouped = lines.groups(lines.signatures(texts))
+    nobody = spark.createDataFrame([], "node bigint, root bigint")
+    found = lines.other_candidates(grouped, nobody, texts, lines.THRESHOLD)
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    several = {}
+    for r in grouped.where("size > 3").collect():
+        several.setdefault(r["key"], []).append(r["line_id"])
+    sets = {r["line_id"]: {r["line"][k:k + 8] for k in range(113)} for r in texts.collect()}
+    shared = [(a, b) for ids in several.values() for a in ids for b in ids if a < b]
+    links = {(a, b) for a, b in shared if len(sets[a] & sets[b]) >= lines.THRESHOLD * len(sets[a] | sets[b])}
+    assert len(shared) > len(set(shared)) and links <= set(got) <= set(shared)
+    # no step behind the join takes copies out: it makes none
+    assert len(got) == len(set(got)) and found._jdf.queryExecution().optimizedPlan().nodeName() == "Project"
