@@ -386,18 +386,23 @@ def _salvage(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_salvage_one(t) for t in texts], columns=["payload", "error"])
 
 
+# Spark moves a filter on what a deterministic function returns below the function, and below the exchange that spreads
+# a small file: the function then runs twice for each row, once in a single task.
+_salvage = _salvage.asNondeterministic()
+
+
 def salvage(df, text_col: str, payload: str = "payload", error: str = "error"):
-    """Repair response text: valid JSON passes on the JVM, only the rest goes through Python."""
-    container = F.coalesce(kind_of(strict_parse(F.col(text_col))).isin("object", "array"), F.lit(False))
-    kept = df.filter(container).withColumn(payload, F.trim(F.col(text_col))).withColumn(
-        error, F.lit(None).cast("string")
-    )
-    broken = df.filter(~container).withColumn("_fix", _salvage(F.col(text_col)))
+    """Repair response text: valid JSON passes on the JVM, only the rest goes through Python, which sees nulls of the others."""
+    text = F.col(text_col)
+    # The whole text is one JSON value, so that its first mark tells a container; its kind would come from a walk through all of it.
+    valid = strict_parse(text).isNotNull() & text.rlike(r"^[ \t\r\n]*[\[{]")
+    told = df.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    fixed = told.withColumn("_fix", _salvage(F.when(~F.col("_valid"), text)))
     # What Python accepts counts only if the JVM parser accepts it too.
-    good = strict_parse(F.col("_fix.payload")).isNotNull()
-    fixed = broken.withColumn(payload, F.when(good, F.col("_fix.payload"))).withColumn(
-        error, F.when(F.col("_fix.error").isNull() & ~good, F.lit("invalid JSON")).otherwise(F.col("_fix.error"))).drop("_fix")
-    return kept.unionByName(fixed)
+    fixed = fixed.withColumn("_good", F.when(~F.col("_valid"), strict_parse(F.col("_fix.payload")).isNotNull()))
+    trimmed, failed = F.trim(text), F.when(F.col("_fix.error").isNull() & ~F.col("_good"), F.lit("invalid JSON")).otherwise(F.col("_fix.error"))
+    return fixed.withColumns({payload: F.when(F.col("_valid"), trimmed).when(F.col("_good"), F.col("_fix.payload")),
+                              error: F.when(~F.col("_valid"), failed)}).drop("_valid", "_fix", "_good")
 
 
 # ---------------------------------------------------------------- conformance
@@ -470,12 +475,13 @@ def payload_fault(payload: Column, spec: dict) -> Column:
     """:func:`conformance_error` for JSON text and contracts of any size, in Arrow batches.
 
     A contract with hundreds of fields as one row expression takes longer to plan than its rows take to check.
+    Not deterministic to Spark, for the reason that :func:`_salvage` is not: each text is checked once.
     """
 
     def check(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: None if text is None else _fault(json.loads(text), spec, "response")).astype(object)
 
-    return F.pandas_udf(check, "string")(payload)
+    return F.pandas_udf(check, "string").asNondeterministic()(payload)
 
 
 def typed(payload: Column, spec: dict) -> Column:

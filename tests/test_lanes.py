@@ -103,3 +103,26 @@ def test_enriched_lanes_keep_what_was_reported(spark):
     a, b = (r["extraction"] for r in lanes.decode_lane(frame, "response").orderBy("n").collect())
     assert (a["advan"], a["trans"], a["compartments"], a["n_subjects"], a["implementation"]["status"]) == (4, 4, 2, 12.0, "inferred")
     assert (b["advan"], b["compartments"], b["n_subjects"], b["implementation"]["status"], b["implementation"]["advan"]) == (13, 3, 9.0, "derived", 6)
+
+
+def test_a_response_is_repaired_and_checked_once(spark, tmp_path):
+    from workload import jobs
+
+    rows = [(k, f"part {k}", 1 + k % 50) for k in range(1, 40)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = jobs.response_claims(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # one repair, one check, both above the exchange that spreads the one small file
+    assert plan.count("ArrowEvalPython [") == 2 and "ArrowEvalPython" not in plan[plan.index("Exchange RoundRobin"):]
+    kept = {k for k, *_ in rows if k % 11 and k % 13}
+    assert {r["p_partkey"] for r in found.collect()} == kept
+
+
+def test_texts_around_one_json_value(spark):
+    from claimloom.functions import jsontools as J
+
+    texts = ['{"a": 1}', ' \t\n{"a": 1} ', "[1]", '"{"', "3", "null", '{"a": 1} {"b": 2}', '{"a": 1},{"b": 2}', "", None, "{", '{"a": "[', "[1}", "say {\"a\": 1}", "﻿{\"a\": 1}"]
+    got = {r["i"]: (r["payload"], r["error"]) for r in J.salvage(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t").collect()}
+    one = ('{"a": 1}', None)
+    assert [got[i] for i in range(len(texts))] == [
+        one, ('\t\n{"a": 1}', None), ("[1]", None), *[J._salvage_one(t) for t in texts[3:]]]
